@@ -40,7 +40,7 @@ def is_numeric(df: DataFrame, name: str) -> bool:
 def to_number(c: Column | str) -> Column:
     """Coerce to double, unparsable text becomes null (pandas ``errors='coerce'``)."""
     c = q(c) if isinstance(c, str) else c
-    return F.try_cast(c, "double") if hasattr(F, "try_cast") else c.try_cast("double")
+    return c.try_cast("double")
 
 
 def finite_or_null(c: Column | str) -> Column:

@@ -140,3 +140,5 @@ register("pack_qty_revenue_corr", with_sales("""
 SELECT ROUND(AVG(quantity), 2) AS avg_qty, ROUND(AVG(revenue), 2) AS avg_revenue,
        ROUND(SUM(revenue) / SUM(quantity), 2) AS overall_rev_per_unit FROM sales WHERE quantity > 0"""))(
     lambda s, d: qp.qty_revenue_corr(_sales(s, d), "quantity", "revenue"))
+
+from tabulon.plans import catalog_clean  # noqa: E402,F401  (registers on import)
