@@ -26,6 +26,11 @@ def _sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+# Sums of doubles depend on the order rows are added in; summing as a wide
+# decimal is exact, so the summary is the same however the data is split.
+_EXACT_SUM = "decimal(38,10)"
+
+
 def column_summary(df: DataFrame, cols: list[str] | None = None, digits: int | None = 4,
                    with_median: bool = True, half_even: bool = False) -> DataFrame:
     """A1: min, max, mean, median, std (sample), sum, count and missing % per numeric column.
@@ -42,7 +47,7 @@ def column_summary(df: DataFrame, cols: list[str] | None = None, digits: int | N
     for i, c in enumerate(cols):
         v = q(c).cast("double")
         aggs += [F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}"), F.avg(v).alias(f"av{i}"),
-                 F.stddev_samp(v).alias(f"sd{i}"), F.sum(v).alias(f"su{i}"), F.count(v).alias(f"n{i}")]
+                 F.stddev_samp(v).alias(f"sd{i}"), F.sum(v.cast(_EXACT_SUM)).alias(f"su{i}"), F.count(v).alias(f"n{i}")]
     row = df.agg(*aggs)
     meds = quantiles(df, cols, [0.5]) if with_median else {c: [None] for c in cols}
     r = _rounder(digits, half_even)
@@ -53,7 +58,8 @@ def column_summary(df: DataFrame, cols: list[str] | None = None, digits: int | N
         f"stack({len(cols)}, {parts}) AS (column, min, max, mean, median, std, sum, count)", "_rows")
     return long.select(
         "column", r(F.col("min")).alias("min"), r(F.col("max")).alias("max"), r(F.col("mean")).alias("mean"),
-        r(F.col("median")).alias("median"), r(F.col("std")).alias("std"), r(F.col("sum")).alias("sum"),
+        r(F.col("median")).alias("median"), r(F.col("std")).alias("std"),
+        r(F.col("sum")).cast("double").alias("sum"),
         F.col("count"),
         F.round((F.col("_rows") - F.col("count")) / F.col("_rows") * 100, 2).alias("missing_pct"))
 
@@ -90,8 +96,9 @@ def histogram(df: DataFrame, cols: list[str] | None = None, bins: int = 20, max_
                 .where(F.col("bin").isNotNull())
                 .groupBy("column", "bin").agg(F.count(F.lit(1)).alias("count")))
     grid = spark.createDataFrame(
-        [(c, b, round(lo + b * ((hi - lo) / bins), edge_digits)) for c, (lo, hi) in ranges.items() for b in range(bins)],
-        "column string, bin int, left_edge double")
+        [(c, b, lo, (hi - lo) / bins) for c, (lo, hi) in ranges.items() for b in range(bins)],
+        "column string, bin int, lo double, step double").select(
+        "column", "bin", F.round(F.col("lo") + F.col("bin") * F.col("step"), edge_digits).alias("left_edge"))
     # The grid is columns x bins rows, known on the driver: broadcast is bounded.
     return (binned.join(F.broadcast(grid), ["column", "bin"], "right")
                   .select("column", "bin", "left_edge", F.coalesce("count", F.lit(0)).cast("long").alias("count")))
@@ -162,7 +169,7 @@ def trend(df: DataFrame, date: str, value: str, digits: int | None = 2) -> DataF
     return g.orderBy(q(date))
 
 
-def kpis(df: DataFrame, rev: str | None, cost: str | None) -> DataFrame:
+def kpis(df: DataFrame, rev: str | None, cost: str | None, digits: int | None = None) -> DataFrame:
     """Record count, column count, total revenue and net profit (nulls as 0), long form."""
     ncols = len(df.columns)
     aggs = [F.count(F.lit(1)).cast("double").alias("k_records"), F.lit(float(ncols)).alias("k_columns")]
@@ -175,7 +182,10 @@ def kpis(df: DataFrame, rev: str | None, cost: str | None) -> DataFrame:
             c = F.coalesce(q(cost).try_cast("double"), F.lit(0.0))
             aggs.append((F.sum(r) - F.sum(c)).alias("k_profit"))
             names.append("'Net Profit', k_profit")
-    return df.agg(*aggs).selectExpr(f"stack({len(names)}, {', '.join(names)}) AS (kpi, value)")
+    out = df.agg(*aggs).selectExpr(f"stack({len(names)}, {', '.join(names)}) AS (kpi, value)")
+    if digits is not None:
+        out = out.select("kpi", F.round("value", digits).alias("value"))
+    return out
 
 
 # ------------------------------------------------------------------ chart data (V1-V6)
