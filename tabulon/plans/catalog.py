@@ -143,3 +143,4 @@ SELECT ROUND(AVG(quantity), 2) AS avg_qty, ROUND(AVG(revenue), 2) AS avg_revenue
 
 from tabulon.plans import catalog_clean  # noqa: E402,F401  (registers on import)
 from tabulon.plans import catalog_stats  # noqa: E402,F401
+from tabulon.plans import catalog_ml  # noqa: E402,F401
