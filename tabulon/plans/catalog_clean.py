@@ -217,3 +217,26 @@ register("page_rows", """
 SELECT event_id, ts, user_id, event_type, value FROM events ORDER BY event_id LIMIT 12 OFFSET 36""")(
     lambda s, d: O.page(fx.table(s, d, "events").select("event_id", "ts", "user_id", "event_type", "value"),
                         "event_id", 3))
+
+# ------------------------------------------------------------------ the ETL cleaning flow end to end
+
+
+def _etl_clean(spark, d):
+    from tabulon.plans.workflows import etl_clean
+    return etl_clean(_de(spark, d), order_by=["event_id"])[0]
+
+
+_etl_fence, _etl_last = fence_chain_sql("imp", ["event_id", "amount"], 0.01, 0.99, 3.0, False, "e")
+register("etl_clean", with_dirty(f"""
+, u AS (SELECT DISTINCT * FROM dirty_events),
+imp AS (SELECT event_id,
+               last_value(event_date IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING
+                                                         AND CURRENT ROW) AS event_date,
+               COALESCE(event_type, (SELECT event_type FROM u WHERE event_type IS NOT NULL GROUP BY event_type
+                                     ORDER BY COUNT(*) DESC, event_type LIMIT 1)) AS event_type,
+               COALESCE(amount, (SELECT median(amount) FROM u)) AS amount
+        FROM u),
+{_etl_fence}
+SELECT *, CAST(year(event_date) AS INTEGER) AS event_date_year, CAST(month(event_date) AS INTEGER) AS event_date_month,
+       CAST(day(event_date) AS INTEGER) AS event_date_day, CAST(isodow(event_date) - 1 AS INTEGER) AS event_date_dow
+FROM {_etl_last}"""))(_etl_clean)
