@@ -91,7 +91,8 @@ def histogram(df: DataFrame, cols: list[str] | None = None, bins: int = 20, max_
     for c, (lo, hi) in ranges.items():
         v = q(c).cast("double")
         idx = F.floor((v - F.lit(lo)) * (F.lit(float(bins)) / (F.lit(hi) - F.lit(lo)))).cast("int")
-        arms.append(F.struct(F.lit(c).alias("column"), F.least(idx, F.lit(bins - 1)).alias("bin")))
+        # least() skips nulls, so a null value must not reach it
+        arms.append(F.struct(F.lit(c).alias("column"), F.when(v.isNotNull(), F.least(idx, F.lit(bins - 1))).alias("bin")))
     binned = (df.select(F.inline(F.array(*arms)))
                 .where(F.col("bin").isNotNull())
                 .groupBy("column", "bin").agg(F.count(F.lit(1)).alias("count")))
@@ -138,7 +139,11 @@ def corr_matrix(df: DataFrame, cols: list[str] | None = None, max_cols: int = 12
             va, vb = q(a).cast("double"), q(b).cast("double")
             both = va.isNotNull() & vb.isNotNull()
             pa, pb = F.when(both, va), F.when(both, vb)
-            aggs.append(F.try_divide(F.covar_pop(pa, pb), F.stddev_pop(pa) * F.stddev_pop(pb)).alias(f"c{i}_{j}"))
+            # A constant column has no correlation; the streaming variance of a constant can be 1e-16,
+            # not 0, so test min == max instead of a zero deviation.
+            flat = (F.min(pa) == F.max(pa)) | (F.min(pb) == F.max(pb))
+            ratio = F.try_divide(F.covar_pop(pa, pb), F.stddev_pop(pa) * F.stddev_pop(pb))
+            aggs.append(F.when(~flat, ratio).alias(f"c{i}_{j}"))
             pairs.append((i, j))
     row = df.agg(*aggs)
     parts = []
