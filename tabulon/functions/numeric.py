@@ -37,6 +37,26 @@ def is_numeric(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, NUMERIC_TYPES)
 
 
+# Necessary (not sufficient) shapes of a parsable value.  Spark's try_* parsers
+# fail through exceptions, which costs microseconds per value; testing the
+# shape first keeps obvious text away from them.
+NUMBER_SHAPE = r"^\s*[+-]?(\d|\.\d|(?i:inf|nan))"
+INTEGER_SHAPE = r"^\s*[+-]?\d+\s*$"
+DATE_SHAPE = r"^\s*[+-]?\d"
+
+
+def fails_number(c: Column, to: str = "double") -> Column:
+    """True for a non-null value that does not parse as ``to`` (long/double)."""
+    shape = INTEGER_SHAPE if to in ("long", "int", "bigint") else NUMBER_SHAPE
+    return c.isNotNull() & (~c.rlike(shape) | c.try_cast(to).isNull())
+
+
+def fails_timestamp(c: Column, fmt: str | None = None) -> Column:
+    """True for a non-null value that does not parse as a timestamp (or date with ``fmt``)."""
+    parsed = F.try_to_date(c, fmt) if fmt else F.try_to_timestamp(c)
+    return c.isNotNull() & (~c.rlike(DATE_SHAPE) | parsed.isNull())
+
+
 def to_number(c: Column | str) -> Column:
     """Coerce to double, unparsable text becomes null (pandas ``errors='coerce'``)."""
     c = q(c) if isinstance(c, str) else c

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.functions.numeric import DATE_TYPES, NUMERIC_TYPES, q
+from tabulon.functions.numeric import DATE_TYPES, NUMERIC_TYPES, fails_number, fails_timestamp, q
 
 DISTINCT_BATCH = 8
 
@@ -65,8 +65,8 @@ def profile_columns(df: DataFrame, distinct_batch: int = DISTINCT_BATCH) -> list
         c = q(f.name)
         aggs.append(F.count(c).alias(f"n{i}"))
         if isinstance(f.dataType, T.StringType):
-            aggs.append(F.count_if(c.isNotNull() & F.try_to_timestamp(c).isNull()).alias(f"t{i}"))
-            aggs.append(F.count_if(c.isNotNull() & c.try_cast("double").isNull()).alias(f"x{i}"))
+            aggs.append(F.count_if(fails_timestamp(c)).alias(f"t{i}"))
+            aggs.append(F.count_if(fails_number(c)).alias(f"x{i}"))
     base = df.agg(*aggs).first()
     distinct: dict[int, int] = {}
     idx = list(range(len(fields)))

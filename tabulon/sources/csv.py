@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.functions.numeric import q
+from tabulon.functions.numeric import fails_number, fails_timestamp, q
 
 # Candidate delimiters, in tie-break order.
 DELIMITERS = [",", ";", "\t", "|"]
@@ -111,39 +111,54 @@ def read_lenient(spark: SparkSession, path: str, sep: str, encoding: str = "utf-
 
 
 def infer_types(df: DataFrame, dates: bool = True) -> DataFrame:
-    """S1 type inference over all rows, one aggregate: long, double, boolean, date, timestamp, else text."""
+    """S1 type inference over all rows: long, double, boolean, date, timestamp, else text.
+
+    Two aggregates: the cheap numeric/boolean checks for every text column,
+    then the (costlier) date parses only for columns that are still text.
+    """
     cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not cols:
         return df
     aggs = []
     for i, c in enumerate(cols):
-        v = q(c)
-        nn = v.isNotNull()
-        aggs += [F.count_if(nn & v.try_cast("long").isNull()).alias(f"l{i}"),
-                 F.count_if(nn & v.try_cast("double").isNull()).alias(f"d{i}"),
+        v, nn = q(c), q(c).isNotNull()
+        aggs += [F.count_if(fails_number(v, "long")).alias(f"l{i}"),
+                 F.count_if(fails_number(v, "double")).alias(f"d{i}"),
                  F.count_if(nn & ~F.lower(v).isin("true", "false")).alias(f"b{i}"),
-                 F.count_if(nn & F.try_to_date(v, "yyyy-MM-dd").isNull()).alias(f"t{i}"),
-                 F.count_if(nn & F.try_to_timestamp(v).isNull()).alias(f"s{i}"),
                  F.count(v).alias(f"n{i}")]
     row = df.agg(*aggs).first()
-    out = []
-    for f in df.schema.fields:
-        if f.name not in cols:
-            out.append(q(f.name))
-            continue
-        i = cols.index(f.name)
-        v = q(f.name)
+    kind = {}
+    for i, c in enumerate(cols):
         if row[f"n{i}"] == 0:
-            out.append(v.cast("double").alias(f.name))          # an all-missing column reads as float
+            kind[c] = "empty"
         elif row[f"l{i}"] == 0:
-            out.append(v.try_cast("long").alias(f.name))
+            kind[c] = "long"
         elif row[f"d{i}"] == 0:
-            out.append(v.try_cast("double").alias(f.name))
+            kind[c] = "double"
         elif row[f"b{i}"] == 0:
+            kind[c] = "bool"
+    text = [c for c in cols if c not in kind]
+    if dates and text:
+        drow = df.agg(*[x for i, c in enumerate(text) for x in (
+            F.count_if(fails_timestamp(q(c), "yyyy-MM-dd")).alias(f"t{i}"),
+            F.count_if(fails_timestamp(q(c))).alias(f"s{i}"))]).first()
+        for i, c in enumerate(text):
+            if drow[f"t{i}"] == 0:
+                kind[c] = "date"
+            elif drow[f"s{i}"] == 0:
+                kind[c] = "timestamp"
+    out = []
+    for f in df.schema.fields:
+        v, k = q(f.name), kind.get(f.name)
+        if k == "empty":
+            out.append(v.cast("double").alias(f.name))          # an all-missing column reads as float
+        elif k in ("long", "double"):
+            out.append(v.try_cast(k).alias(f.name))
+        elif k == "bool":
             out.append((F.lower(v) == "true").alias(f.name))
-        elif dates and row[f"t{i}"] == 0:
+        elif k == "date":
             out.append(F.try_to_date(v, "yyyy-MM-dd").alias(f.name))
-        elif dates and row[f"s{i}"] == 0:
+        elif k == "timestamp":
             out.append(F.try_to_timestamp(v).alias(f.name))
         else:
             out.append(v)
