@@ -59,20 +59,33 @@ def _semantic(dtype: T.DataType, n: int, n_distinct: int, bad_ts: int, bad_num:
 
 
 def profile_columns(df: DataFrame, distinct_batch: int = DISTINCT_BATCH) -> list[ColumnProfile]:
+    """One row of statistics per column.
+
+    The counts and parse checks ride along with the first batch of exact
+    distinct counts, so a table of up to ``distinct_batch`` columns takes one
+    job.  When producing the input needs a shuffle (joins, dedup) and several
+    batches are needed, the input is written once to the checkpoint dir.
+    """
+    from tabulon.operators.quantiles import stable_input
     fields = df.schema.fields
-    aggs = [F.count(F.lit(1)).alias("_rows")]
+    if len(fields) > distinct_batch:
+        df = stable_input(df, df.columns)
+    base_aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, f in enumerate(fields):
         c = q(f.name)
-        aggs.append(F.count(c).alias(f"n{i}"))
+        base_aggs.append(F.count(c).alias(f"n{i}"))
         if isinstance(f.dataType, T.StringType):
-            aggs.append(F.count_if(fails_timestamp(c)).alias(f"t{i}"))
-            aggs.append(F.count_if(fails_number(c)).alias(f"x{i}"))
-    base = df.agg(*aggs).first()
+            base_aggs.append(F.count_if(fails_timestamp(c)).alias(f"t{i}"))
+            base_aggs.append(F.count_if(fails_number(c)).alias(f"x{i}"))
+    base = None
     distinct: dict[int, int] = {}
     idx = list(range(len(fields)))
-    for s in range(0, len(idx), max(1, distinct_batch)):
+    for s in range(0, max(len(idx), 1), max(1, distinct_batch)):
         part = idx[s:s + distinct_batch]
-        row = df.agg(*[F.count_distinct(q(fields[i].name)).alias(f"d{i}") for i in part]).first()
+        aggs = [F.count_distinct(q(fields[i].name)).alias(f"d{i}") for i in part]
+        row = df.agg(*(base_aggs if base is None else []), *aggs).first()
+        if base is None:
+            base = row
         distinct.update({i: row[f"d{i}"] for i in part})
     rows = base["_rows"]
     out = []
