@@ -28,8 +28,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _HANDLES[key]
 
 
-def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F-3: one row per lineitem with category, region, segment and money columns."""
+_WRITTEN: dict[tuple[int, str], str] = {}
+
+
+def sales(spark: SparkSession, sf_dir: str, written: bool = True) -> DataFrame:
+    """F-3: one row per lineitem with category, region, segment and money columns.
+
+    By default the join runs once per session and its result is written as a
+    table under ``spark.checkpoint.dir``; every query then scans only the
+    columns it needs from that table (the pack runs many queries over one
+    prepared table).  ``written=False`` returns the join plan itself.
+    """
+    if not written:
+        return sales_plan(spark, sf_dir)
+    from tabulon.session import scratch_path
+    key = (spark._jsparkSession.hashCode(), sf_dir.rstrip("/"))
+    if key not in _WRITTEN:
+        path = scratch_path(spark, "sales")
+        sales_plan(spark, sf_dir).write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
+
+
+def sales_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The F-3 star join as a plan."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_quantity", "l_extendedprice")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
