@@ -155,7 +155,10 @@ def stable_input(df: DataFrame, cols: list[str]) -> DataFrame:
     """Project to ``cols``; if producing them needs a shuffle (joins, dedup), write
     the projection once to the checkpoint dir so the passes do not redo it."""
     proj = df.select(*[q(c) for c in cols])
-    plan = proj._jdf.queryExecution().executedPlan().toString()
+    try:
+        plan = proj._jdf.queryExecution().executedPlan().toString()
+    except Exception:  # no JVM handle: assume the input is expensive
+        plan = "Exchange"
     if "Exchange" in plan:
         from tabulon.session import materialize
         return materialize(proj)

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabulon.session import session_key
+
 
 _HANDLES: dict[tuple[int, str], DataFrame] = {}
 
@@ -22,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     listing) is kept per session, as a catalog would keep it; DataFrames are
     immutable, so every query still plans its own pruned, pushed-down scan."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark._jsparkSession.hashCode(), path)
+    key = (session_key(spark), path)
     if key not in _HANDLES:
         _HANDLES[key] = spark.read.parquet(path)
     return _HANDLES[key]
@@ -42,7 +44,7 @@ def sales(spark: SparkSession, sf_dir: str, written: bool = True) -> DataFrame:
     if not written:
         return sales_plan(spark, sf_dir)
     from tabulon.session import scratch_path
-    key = (spark._jsparkSession.hashCode(), sf_dir.rstrip("/"))
+    key = (session_key(spark), sf_dir.rstrip("/"))
     if key not in _WRITTEN:
         path = scratch_path(spark, "sales")
         sales_plan(spark, sf_dir).write.parquet(path)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.functions.numeric import nan_to_null, numeric_columns, q, string_columns
+from tabulon.functions.numeric import nan_to_null, numeric_columns, q
 from tabulon.functions.roles import detect_roles
 from tabulon.operators import clean as C
 from tabulon.operators import features as FE
@@ -19,6 +19,7 @@ from tabulon.operators import profile as P
 from tabulon.operators import stats as S
 from tabulon.operators.ordering import preview
 from tabulon.plans.querypack import run_pack
+from tabulon.session import materialize
 from tabulon.sources.csv import clean_column_names
 
 
@@ -35,7 +36,7 @@ def analyst(df: DataFrame, with_model: bool = True) -> dict:
     n_dedup = dedup.count()
     filled, fills = C.impute_basic(dedup)
     fenced = C.tukey_filter(filled)
-    cleaned = fenced.frame
+    cleaned = materialize(fenced.frame)      # read by the score, the model and every chart
     st = cleaned.agg(F.count(F.lit(1)).alias("n"),
                      sum((F.count_if(q(c).isNull()) for c in cleaned.columns), F.lit(0)).alias("m")).first()
     score = P.quality_score(rows_before, rows_before - n_dedup, st["m"], st["n"], len(cleaned.columns))
@@ -96,6 +97,7 @@ def etl(df: DataFrame, order_by=None, with_model: bool = True, boosted: bool = F
     log = P.StepLog()
     rows, cols = df.count(), len(df.columns)
     cleaned, _ = etl_clean(df, order_by, log)
+    cleaned = materialize(cleaned)           # every statistic, chart and model reads it
     profiles = P.profile_columns(cleaned)
     types = {p.column: p.semantic_type for p in profiles}
     nums = numeric_columns(cleaned)
@@ -133,6 +135,7 @@ def bi_report(df: DataFrame, order_by=None, with_model: bool = True) -> dict:
     roles = detect_roles(cleaned, "bi")
     if roles.revenue and roles.cost:
         cleaned = FE.add_profit(cleaned, roles.revenue, roles.cost, "bi")
+    cleaned = materialize(cleaned)           # the report tables and the model all read it
     order = _order(cleaned, order_by)
     out = {"original_shape": orig, "cleaned": cleaned, "roles": roles.as_dict(), "log": info}
     nums = numeric_columns(cleaned)
@@ -164,7 +167,7 @@ def sql_prepare(df: DataFrame) -> DataFrame:
 
 def sql_pack(df: DataFrame, table: str = "data", order_by=None, collect: bool = True) -> dict:
     """The SQL flow: prepare, detect roles (category at most 50 distinct), run the pack, stats and charts."""
-    prepared = sql_prepare(df)
+    prepared = materialize(sql_prepare(df))  # loaded once, queried by the whole pack
     roles = detect_roles(prepared, "sql")
     prepared.createOrReplaceTempView(table)
     out = {"table": prepared, "roles": roles.as_dict(), "queries": run_pack(prepared, roles, table, collect=collect)}
@@ -178,6 +181,3 @@ def sql_pack(df: DataFrame, table: str = "data", order_by=None, collect: bool =
     out["preview"] = preview(nan_to_null(prepared), _order(prepared, order_by), 50)
     return out
 
-
-__all__ = ["analyst", "chart", "etl", "etl_clean", "bi_clean", "bi_report", "sql_prepare", "sql_pack",
-           "string_columns"]

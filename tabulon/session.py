@@ -44,18 +44,29 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def session_key(spark: SparkSession) -> int:
+    """A stable identity of the session, for per-session handle caches."""
+    j = getattr(spark, "_jsparkSession", None)
+    return j.hashCode() if j is not None else id(spark)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the operator of the cluster sets it to shared storage and we
     only read it.  Only when it is unset (local tests) do we pick a folder.
     """
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    sc = None
+    try:
+        sc = spark.sparkContext
+        path = path or sc.getConf().get("spark.checkpoint.dir", None)
+    except Exception:  # sessions without a local SparkContext
+        sc = None
     if not path:
         path = tempfile.mkdtemp(prefix="tabulon-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    if sc.getCheckpointDir() is None:
+    if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
 
