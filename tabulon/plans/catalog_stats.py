@@ -188,6 +188,20 @@ FROM sales GROUP BY upper(substr(category, 1, 3)), CAST(year(ship_date) AS INTEG
 }
 
 
+ADHOC.update({
+    "adhoc_left_join": """
+SELECT c.category, c.n, r.region, r.n_region FROM
+  (SELECT category, COUNT(*) AS n FROM sales GROUP BY category) c
+LEFT JOIN (SELECT category, region, COUNT(*) AS n_region FROM sales WHERE quantity > 48 GROUP BY category, region) r
+  ON c.category = r.category AND r.region = 'ASIA'""",
+    "adhoc_theta_join": """
+SELECT b.band, COUNT(*) AS n, ROUND(SUM(s.revenue), 2) AS revenue FROM sales s
+JOIN (VALUES (0.0, 20000.0, 'low'), (20000.0, 60000.0, 'mid'), (60000.0, 1.0e12, 'high')) AS b(lo, hi, band)
+  ON s.revenue >= b.lo AND s.revenue < b.hi
+GROUP BY b.band""",
+})
+
+
 def _adhoc(sql):
     return lambda s, d: AD.query(s, sql, {"sales": _sales(s, d)})
 
@@ -201,6 +215,14 @@ def _search(spark, d):
     return search(fx.table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_brand"), "Ring ")
 
 
+register("adhoc_json_functions", """
+SELECT event_type, SUM(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS k_sum, COUNT(*) AS n
+FROM events GROUP BY event_type""")(
+    lambda s, d: AD.query(s, """
+SELECT event_type, SUM(CAST(get_json_object(props, '$.k') AS BIGINT)) AS k_sum, COUNT(*) AS n
+FROM events GROUP BY event_type""", {"events": fx.table(s, d, "events")}))
+
+
 register("search_rows", """
 SELECT p_partkey, p_name, p_type, p_brand FROM part
 WHERE contains(lower(concat_ws('', CAST(p_partkey AS VARCHAR), p_name, p_type, p_brand)), 'ring')""")(_search)
