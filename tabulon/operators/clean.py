@@ -48,15 +48,17 @@ def drop_sparse(df: DataFrame, threshold: float = 70.0, profiles: list[ColumnPro
 def column_modes(df: DataFrame, cols: list[str]) -> dict[str, object]:
     """Most frequent non-null value per column, ties to the smallest; None when all null.
 
-    ``groupBy(value).count()`` is partially aggregated per task, and the pick
-    is a top-1 (``TakeOrderedAndProject``), so no task holds all values.
+    One job for all columns: values are unpivoted, counted with partial
+    aggregation per task, and the top-1 per column is a group limit applied
+    before the shuffle, so no task ever holds all values of a column.  Modes
+    fill text, date and boolean columns, whose text forms sort like the values.
     """
-    out = {}
-    for c in cols:
-        top = (df.where(q(c).isNotNull()).groupBy(q(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-                 .orderBy(F.desc("n"), F.asc("v")).limit(1).collect())
-        out[c] = top[0]["v"] if top else None
-    return out
+    if not cols:
+        return {}
+    from tabulon.operators.stats import value_counts
+    top = {r["column"]: r["value"] for r in value_counts(df, cols, 1).collect()}
+    # Values come back as text; the fill casts them to the column type in the plan.
+    return {c: top.get(c) for c in cols}
 
 
 def fill_median(df: DataFrame, cols: list[str] | None = None) -> tuple[DataFrame, dict[str, float]]:
