@@ -172,7 +172,8 @@ class FenceResult:
 
 
 def quantile_filter(df: DataFrame, cols: list[str] | None = None, lo_p: float = 0.25, hi_p: float = 0.75,
-                    k: float = 1.5, only_if_outliers: bool = True, mode: str = "sequential") -> FenceResult:
+                    k: float = 1.5, only_if_outliers: bool = True, mode: str = "sequential",
+                    exact: bool = True) -> FenceResult:
     """Keep rows inside ``[q_lo - k*(q_hi-q_lo), q_hi + k*(q_hi-q_lo)]`` (inclusive).
 
     ``sequential`` (the reference's semantics): column by column, quantiles of
@@ -180,16 +181,17 @@ def quantile_filter(df: DataFrame, cols: list[str] | None = None, lo_p: float =
     without outliers filters nothing (its nulls stay); otherwise (wide fence,
     C8) the filter always applies and a null fails it.  ``simultaneous``
     computes all fences on the input in one pass (a documented, different
-    result).  All-null columns are skipped.
+    result).  ``exact=False`` uses one-pass sketch quantiles (opt-in).
+    All-null columns are skipped.
     """
     cols = cols if cols is not None else numeric_columns(df)
     base = stable_input(df, df.columns)
     res = FenceResult(base)
     if mode == "simultaneous":
-        qs = quantiles(base, cols, [lo_p, hi_p])
+        qs = quantiles(base, cols, [lo_p, hi_p], exact=exact)
     cur = base
     for c in cols:
-        qv = qs[c] if mode == "simultaneous" else quantiles(cur, [c], [lo_p, hi_p])[c]
+        qv = qs[c] if mode == "simultaneous" else quantiles(cur, [c], [lo_p, hi_p], exact=exact)[c]
         if qv[0] is None:
             continue
         a, b = qv
@@ -212,14 +214,16 @@ def quantile_filter(df: DataFrame, cols: list[str] | None = None, lo_p: float =
     return res
 
 
-def tukey_filter(df: DataFrame, cols: list[str] | None = None, mode: str = "sequential") -> FenceResult:
+def tukey_filter(df: DataFrame, cols: list[str] | None = None, mode: str = "sequential",
+                 exact: bool = True) -> FenceResult:
     """1.5 IQR fences on quartiles, only columns with outliers filter."""
-    return quantile_filter(df, cols, 0.25, 0.75, 1.5, only_if_outliers=True, mode=mode)
+    return quantile_filter(df, cols, 0.25, 0.75, 1.5, only_if_outliers=True, mode=mode, exact=exact)
 
 
-def wide_fence_filter(df: DataFrame, cols: list[str] | None = None, mode: str = "sequential") -> FenceResult:
+def wide_fence_filter(df: DataFrame, cols: list[str] | None = None, mode: str = "sequential",
+                      exact: bool = True) -> FenceResult:
     """3x (q99 - q1) fences on the 1st/99th percentiles; nulls fail."""
-    return quantile_filter(df, cols, 0.01, 0.99, 3.0, only_if_outliers=False, mode=mode)
+    return quantile_filter(df, cols, 0.01, 0.99, 3.0, only_if_outliers=False, mode=mode, exact=exact)
 
 
 def coerce_numeric(df: DataFrame, cols: list[str]) -> DataFrame:

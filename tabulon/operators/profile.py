@@ -58,17 +58,22 @@ def _semantic(dtype: T.DataType, n: int, n_distinct: int, bad_ts: int, bad_num:
     return "categorical" if n_distinct / n < 0.5 else "text"
 
 
-def profile_columns(df: DataFrame, distinct_batch: int = DISTINCT_BATCH) -> list[ColumnProfile]:
+def profile_columns(df: DataFrame, distinct_batch: int = DISTINCT_BATCH,
+                    approx_distinct: bool = False) -> list[ColumnProfile]:
     """One row of statistics per column.
 
     The counts and parse checks ride along with the first batch of exact
     distinct counts, so a table of up to ``distinct_batch`` columns takes one
     job.  When producing the input needs a shuffle (joins, dedup) and several
     batches are needed, the input is written once to the checkpoint dir.
+    ``approx_distinct`` (opt-in) uses HyperLogLog counts in the same single
+    pass: no Expand, but the 2/15/ratio thresholds become approximate.
     """
     from tabulon.operators.quantiles import stable_input
     fields = df.schema.fields
-    if len(fields) > distinct_batch:
+    if approx_distinct:
+        distinct_batch = max(len(fields), 1)
+    elif len(fields) > distinct_batch:
         df = stable_input(df, df.columns)
     base_aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, f in enumerate(fields):
@@ -82,7 +87,8 @@ def profile_columns(df: DataFrame, distinct_batch: int = DISTINCT_BATCH) -> list
     idx = list(range(len(fields)))
     for s in range(0, max(len(idx), 1), max(1, distinct_batch)):
         part = idx[s:s + distinct_batch]
-        aggs = [F.count_distinct(q(fields[i].name)).alias(f"d{i}") for i in part]
+        count = F.approx_count_distinct if approx_distinct else F.count_distinct
+        aggs = [count(q(fields[i].name)).alias(f"d{i}") for i in part]
         row = df.agg(*(base_aggs if base is None else []), *aggs).first()
         if base is None:
             base = row

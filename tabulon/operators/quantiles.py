@@ -165,10 +165,21 @@ def stable_input(df: DataFrame, cols: list[str]) -> DataFrame:
     return proj
 
 
-def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
-    """Exact linear-interpolated quantiles per column (None for an all-null column)."""
+def quantiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool = True,
+              accuracy: int = ACCURACY) -> dict[str, list[float | None]]:
+    """Linear-interpolated quantiles per column (None for an all-null column).
+
+    ``exact=False`` is the opt-in one-pass sketch (``percentile_approx``:
+    rank error at most 1/accuracy, values taken from the data, no
+    interpolation).
+    """
     if not cols:
         return {}
+    if not exact:
+        row = df.agg(*[F.percentile_approx(q(c).cast("double"), list(probs), accuracy).alias(f"p{i}")
+                       for i, c in enumerate(cols)]).first()
+        return {c: (list(row[f"p{i}"]) if row[f"p{i}"] is not None else [None] * len(probs))
+                for i, c in enumerate(cols)}
     df = stable_input(df, cols)
     row = df.agg(*[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(cols)],
                  *[_grid(c).alias(f"g{i}") for i, c in enumerate(cols)]).first()

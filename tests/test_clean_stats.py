@@ -128,3 +128,28 @@ def test_summary_and_box(noisy):
     assert math.isclose(s["v"]["median"], round(pdf["v"].median(), 4))
     b = S.box_data(noisy, "v").first()
     assert b["n_outliers"] >= 1
+
+
+def test_opt_in_sketches(spark, noisy):
+    approx = quantiles(noisy, ["v"], [0.25, 0.75], exact=False)["v"]
+    exact = quantiles(noisy, ["v"], [0.25, 0.75])["v"]
+    assert all(abs(a - b) < 2.0 for a, b in zip(approx, exact))
+    assert C.tukey_filter(noisy, ["v"], exact=False).frame.count() > 0
+    prof = {p.column: p.n_distinct for p in P.profile_columns(noisy, approx_distinct=True)}
+    assert prof["const"] == 1 and prof["cat"] == 3
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.integers(-50, 50).map(float), st.floats(-1e6, 1e6)), min_size=1, max_size=300),
+       st.sampled_from([0.0, 0.1, 0.5, 0.9, 1.0]))
+def test_quantiles_property(spark, vals, p):
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = quantiles(df, ["x"], [p])["x"][0]
+    present = [v for v in vals if v is not None]
+    if not present:
+        assert got is None
+    else:
+        assert math.isclose(got, float(np.quantile(np.array(present), p)), rel_tol=1e-9, abs_tol=1e-9)
