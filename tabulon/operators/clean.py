@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from tabulon.functions.numeric import INTEGRAL_TYPES, numeric_columns, q
 from tabulon.operators.ordering import forward_fill
 from tabulon.operators.profile import ColumnProfile, StepLog, profile_columns
-from tabulon.operators.quantiles import quantiles, stable_input
+from tabulon.operators.quantiles import quantiles, quantiles_and_counts, stable_input
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
@@ -187,33 +187,60 @@ def quantile_filter(df: DataFrame, cols: list[str] | None = None, lo_p: float =
     cols = cols if cols is not None else numeric_columns(df)
     base = stable_input(df, df.columns)
     res = FenceResult(base)
+    probs = [lo_p, hi_p]
     if mode == "simultaneous":
-        qs = quantiles(base, cols, [lo_p, hi_p], exact=exact)
+        qs = quantiles(base, cols, probs, exact=exact)
+        cur = base
+        for c in cols:
+            if qs[c][0] is None:
+                continue
+            lo, hi = _fence(qs[c], k)
+            res.bounds[c] = (lo, hi)
+            res.removed[c] = cur.agg(F.count_if(~_inside(c, lo, hi)).alias("n")).first()["n"]
+            cur = cur.where(_inside(c, lo, hi)) if (res.removed[c] or not only_if_outliers) else cur
+        res.frame = cur
+        return res
+    # Sequential: the first pass of column i+1 also counts the rows left after
+    # the fence of column i, so that count needs no pass of its own.
     cur = base
-    for c in cols:
-        qv = qs[c] if mode == "simultaneous" else quantiles(cur, [c], [lo_p, hi_p], exact=exact)[c]
+    info = quantiles_and_counts(cur, cols[:1], probs, exact, stable=False) if cols else None
+    for i, c in enumerate(cols):
+        qv, nonnull, rows = info[0][c], info[1][c], info[2]
+        nxt_col = cols[i + 1:i + 2]
         if qv[0] is None:
+            info = quantiles_and_counts(cur, nxt_col, probs, exact, stable=False) if nxt_col else None
             continue
-        a, b = qv
-        lo, hi = a - k * (b - a), b + k * (b - a)
+        lo, hi = _fence(qv, k)
         res.bounds[c] = (lo, hi)
-        col = q(c)
-        inside = (col >= F.lit(lo)) & (col <= F.lit(hi))
-        if only_if_outliers:
-            n_out = cur.agg(F.count_if((col < F.lit(lo)) | (col > F.lit(hi))).alias("n")).first()["n"]
-            if n_out == 0:
-                res.removed[c] = 0
-                continue
+        filtered = cur.where(_inside(c, lo, hi))
+        if only_if_outliers and nonnull < rows:
+            # Nulls present: rows outside the fence are not the rows a filter drops.
+            n_out = cur.agg(F.count_if((q(c) < F.lit(lo)) | (q(c) > F.lit(hi))).alias("n")).first()["n"]
             res.removed[c] = n_out
-            cur = cur.where(inside)
+            cur = filtered if n_out else cur
+            info = quantiles_and_counts(cur, nxt_col, probs, exact, stable=False) if nxt_col else None
+            continue
+        if nxt_col:
+            info = quantiles_and_counts(filtered, nxt_col, probs, exact, stable=False)
+            rows_after = info[2]
         else:
-            before_after = cur.agg(F.count(F.lit(1)).alias("n"), F.count_if(inside).alias("k")).first()
-            res.removed[c] = before_after["n"] - before_after["k"]
-            cur = cur.where(inside)
+            rows_after = filtered.count()
+        res.removed[c] = rows - rows_after
+        # Without nulls, "no outliers" means the filter keeps every row: keep the plan short.
+        cur = cur if (only_if_outliers and rows_after == rows) else filtered
     res.frame = cur
     return res
 
 
+def _fence(qv, k):
+    a, b = qv
+    return a - k * (b - a), b + k * (b - a)
+
+
+def _inside(c: str, lo: float, hi: float):
+    return (q(c) >= F.lit(lo)) & (q(c) <= F.lit(hi))
+
+
 def tukey_filter(df: DataFrame, cols: list[str] | None = None, mode: str = "sequential",
                  exact: bool = True) -> FenceResult:
     """1.5 IQR fences on quartiles, only columns with outliers filter."""

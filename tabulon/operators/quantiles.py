@@ -173,15 +173,27 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool =
     rank error at most 1/accuracy, values taken from the data, no
     interpolation).
     """
+    return quantiles_and_counts(df, cols, probs, exact, accuracy)[0]
+
+
+def quantiles_and_counts(df: DataFrame, cols: list[str], probs: list[float], exact: bool = True,
+                         accuracy: int = ACCURACY, stable: bool = True
+                         ) -> tuple[dict[str, list[float | None]], dict[str, int], int]:
+    """Quantiles plus, from the same first pass, non-null counts per column and the row count."""
     if not cols:
-        return {}
+        return {}, {}, df.count()
     if not exact:
-        row = df.agg(*[F.percentile_approx(q(c).cast("double"), list(probs), accuracy).alias(f"p{i}")
+        row = df.agg(F.count(F.lit(1)).alias("_rows"),
+                     *[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(cols)],
+                     *[F.percentile_approx(q(c).cast("double"), list(probs), accuracy).alias(f"p{i}")
                        for i, c in enumerate(cols)]).first()
-        return {c: (list(row[f"p{i}"]) if row[f"p{i}"] is not None else [None] * len(probs))
-                for i, c in enumerate(cols)}
-    df = stable_input(df, cols)
-    row = df.agg(*[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(cols)],
+        out = {c: (list(row[f"p{i}"]) if row[f"p{i}"] is not None else [None] * len(probs))
+               for i, c in enumerate(cols)}
+        return out, {c: row[f"n{i}"] for i, c in enumerate(cols)}, row["_rows"]
+    if stable:
+        df = stable_input(df, cols)
+    row = df.agg(F.count(F.lit(1)).alias("_rows"),
+                 *[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(cols)],
                  *[_grid(c).alias(f"g{i}") for i, c in enumerate(cols)]).first()
     counts = {c: row[f"n{i}"] for i, c in enumerate(cols)}
     grids = {c: row[f"g{i}"] for i, c in enumerate(cols)}
@@ -204,7 +216,7 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool =
             a, b = kv[(c, lo)], kv[(c, min(lo + 1, n - 1))]
             res.append(a + (b - a) * (h - lo))
         out[c] = res
-    return out
+    return out, counts, row["_rows"]
 
 
 def medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
