@@ -61,17 +61,23 @@ def column_modes(df: DataFrame, cols: list[str]) -> dict[str, object]:
     return {c: top.get(c) for c in cols}
 
 
-def fill_median(df: DataFrame, cols: list[str] | None = None) -> tuple[DataFrame, dict[str, float]]:
+def _with_nulls(df: DataFrame, cols: list[str]) -> list[str]:
+    row = df.agg(*[F.count_if(q(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    return [c for i, c in enumerate(cols) if row[f"m{i}"] > 0]
+
+
+def fill_median(df: DataFrame, cols: list[str] | None = None, have_nulls: bool = False
+                ) -> tuple[DataFrame, dict[str, float]]:
     """C4: fill numeric nulls with the exact column median.
 
     Integral columns with nulls become double first: a median may be x.5.
     All-null columns are left alone (their median is undefined).
+    ``have_nulls``: the caller already knows every column in ``cols`` has nulls.
     """
     cols = cols if cols is not None else numeric_columns(df)
     if not cols:
         return df, {}
-    row = df.agg(*[F.count_if(q(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    need = [c for i, c in enumerate(cols) if row[f"m{i}"] > 0]
+    need = cols if have_nulls else _with_nulls(df, cols)
     med = {c: v[0] for c, v in (quantiles(df, need, [0.5]).items() if need else []) if v[0] is not None}
     return _fill(df, med, as_double=True), med
 
@@ -112,14 +118,14 @@ def _fill(df: DataFrame, values: dict[str, object], as_double: bool = False) ->
     return df.select(*out)
 
 
-def fill_mode(df: DataFrame, cols: list[str] | None = None, unknown: str = "Unknown") -> tuple[DataFrame, dict[str, object]]:
+def fill_mode(df: DataFrame, cols: list[str] | None = None, unknown: str = "Unknown",
+              have_nulls: bool = False) -> tuple[DataFrame, dict[str, object]]:
     """Fill nulls with the mode (ties to the smallest), ``'Unknown'`` when a text column has no value."""
     num = set(numeric_columns(df))
     cols = cols if cols is not None else [c for c in df.columns if c not in num]
     if not cols:
         return df, {}
-    row = df.agg(*[F.count_if(q(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    need = [c for i, c in enumerate(cols) if row[f"m{i}"] > 0]
+    need = cols if have_nulls else _with_nulls(df, cols)
     modes = column_modes(df, need)
     string_cols = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
     for c, v in list(modes.items()):
@@ -129,9 +135,14 @@ def fill_mode(df: DataFrame, cols: list[str] | None = None, unknown: str = "Unkn
 
 
 def impute_basic(df: DataFrame) -> tuple[DataFrame, dict[str, object]]:
-    """C4 + C5 as the analyst/BI/SQL flavours do it: numeric by median, the rest by mode."""
-    df1, med = fill_median(df)
-    df2, modes = fill_mode(df1)
+    """C4 + C5 as the analyst/BI/SQL flavours do it: numeric by median, the rest by mode.
+
+    One pass finds the columns with nulls for both steps.
+    """
+    need = set(_with_nulls(df, df.columns)) if df.columns else set()
+    num = set(numeric_columns(df))
+    df1, med = fill_median(df, [c for c in df.columns if c in num and c in need], have_nulls=True)
+    df2, modes = fill_mode(df1, [c for c in df.columns if c not in num and c in need], have_nulls=True)
     return df2, {**med, **modes}
 
 
@@ -139,21 +150,25 @@ def smart_impute(df: DataFrame, types: dict[str, str], order_by=None, log: StepL
                  profiles: list[ColumnProfile] | None = None) -> DataFrame:
     """ETL flavour (C3 -> C4/C6/C5): drop columns >70 % missing; numeric-like by median,
     datetime by forward fill in ``order_by`` order, others by mode."""
-    df, dropped = drop_sparse(df, profiles=profiles)
+    row = df.agg(F.count(F.lit(1)).alias("_rows"),
+                 *[F.count_if(q(c).isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)]).first()
+    missing = {c: row[f"m{i}"] for i, c in enumerate(df.columns)}
+    rows = row["_rows"]
+    dropped = [c for c in df.columns
+               if rows and missing[c] > 0 and round(missing[c] / rows * 100, 1) > 70.0]
+    df = df.drop(*dropped)
     for c in dropped:
         log and log.add("TRANSFORM", "drop_sparse_column", c)
-    row = df.agg(*[F.count_if(q(c).isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)]).first()
-    missing = {c: row[f"m{i}"] for i, c in enumerate(df.columns)}
     todo = [c for c in df.columns if missing[c] > 0 and c in types]
     med_cols = [c for c in todo if types[c] in ("numeric", "binary", "categorical_num")]
     dt_cols = [c for c in todo if types[c] == "datetime"]
     mode_cols = [c for c in todo if c not in med_cols and c not in dt_cols]
-    df, _ = fill_median(df, med_cols)
+    df, _ = fill_median(df, med_cols, have_nulls=True)
     if dt_cols:
         if order_by is None:
             raise ValueError("forward fill of datetime columns needs order_by")
         df = forward_fill(df, dt_cols, order_by)
-    df, _ = fill_mode(df, mode_cols)
+    df, _ = fill_mode(df, mode_cols, have_nulls=True)
     if log:
         for c in med_cols:
             log.add("TRANSFORM", "fill_median", c, missing[c])

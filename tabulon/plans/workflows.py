@@ -78,7 +78,8 @@ def etl_clean(df: DataFrame, order_by=None, log: P.StepLog | None = None) -> tup
         log.add("EXTRACT", f"type:{t}", ",".join(c for c, v in types.items() if v == t))
     dedup = C.drop_duplicates(df)
     log.add("TRANSFORM", "drop_duplicates", n=profiles[0].rows - dedup.count() if profiles else 0)
-    dedup, zero = C.drop_zero_variance(dedup)
+    # Dedup removes whole repeated rows, so each column keeps its set of distinct values.
+    dedup, zero = C.drop_zero_variance(dedup, profiles)
     for c in zero:
         log.add("TRANSFORM", "drop_zero_variance", c)
     types = {c: t for c, t in types.items() if c in dedup.columns}
