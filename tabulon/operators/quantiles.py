@@ -10,8 +10,10 @@ window around the wanted rank:
 2. the grid brackets the wanted rank within the approximation error; the
    next job counts exactly how many values fall below and inside each
    bracket (so the rank inside is known) and draws a finer grid inside it;
-3. once a bracket holds at most ``collect_limit`` values, those values (a
-   bounded set) are fetched and the exact order statistic is read off.
+3. once a bracket is expected to be small, value counts inside it are
+   fetched (ties collapse into one row; at most ``COLLECT_LIMIT + 2`` rows
+   ever leave the tasks, whatever the bracket really holds) and the exact
+   order statistic is read off.
 
 Every job scans only the needed columns and shuffles only one aggregate row.
 Three to four jobs suffice up to 10^12 rows.  Interpolation is the linear
@@ -30,7 +32,7 @@ from tabulon.functions.numeric import q
 
 GRID = 256                # grid points per bracket and pass
 ACCURACY = 10000          # percentile_approx accuracy (relative rank error 1/ACCURACY)
-COLLECT_LIMIT = 20000     # a bracket expected to hold fewer values is fetched as values
+COLLECT_LIMIT = 20000     # most value groups fetched for one bracket
 
 
 @dataclass
@@ -40,7 +42,6 @@ class _Target:
     lo: float = -math.inf
     hi: float = math.inf
     expect: float = 0.0   # expected number of values in [lo, hi]
-    below: int = 0        # values < lo (exact, once counted)
     value: float | None = None
     done: bool = False
 
@@ -64,11 +65,16 @@ def kth_values(df: DataFrame, wanted: dict[str, list[int]], counts: dict[str, in
     targets = [_Target(c, k) for c, ks in wanted.items() for k in sorted(set(ks)) if counts.get(c, 0) > 0]
     for t in targets:
         _bracket(t, grids[t.col], t.k, counts[t.col])
-    for _ in range(12):
+    for _ in range(16):
         open_ = [t for t in targets if not t.done]
         if not open_:
             break
-        _step(df, open_)
+        small = [t for t in open_ if t.expect <= COLLECT_LIMIT // 2]
+        if small:
+            _fetch(df, small)
+        large = [t for t in open_ if t not in small and not t.done]
+        if large:
+            _step(df, large)
     unresolved = [t for t in targets if not t.done]
     if unresolved:
         raise RuntimeError(f"quantile search did not converge for {[(t.col, t.k) for t in unresolved]}")
@@ -86,69 +92,79 @@ def _bracket(t: _Target, grid: list[float], rank: int, n: int) -> None:
     t.expect = n * (j - i) / GRID
 
 
-def _step(df: DataFrame, targets: list[_Target]) -> None:
-    """One job over all open brackets (targets sharing a bracket share its aggregates).
-
-    Small brackets: exact count below plus the sorted values inside.
-    Large brackets: exact counts below/inside plus a finer grid inside.
-    """
-    brackets: dict[tuple, list[_Target]] = {}
+def _groups(targets: list[_Target]) -> dict[tuple, list[_Target]]:
+    out: dict[tuple, list[_Target]] = {}
     for t in targets:
-        brackets.setdefault((t.col, t.lo, t.hi, t.expect <= COLLECT_LIMIT), []).append(t)
-    aggs = []
+        out.setdefault((t.col, t.lo, t.hi), []).append(t)
+    return out
+
+
+def _step(df: DataFrame, targets: list[_Target]) -> None:
+    """One job over all large brackets: exact counts below/inside and a finer grid inside."""
+    brackets = _groups(targets)
     keys = list(brackets)
-    for i, (col, lo, hi, small) in enumerate(keys):
+    aggs = []
+    for i, (col, lo, hi) in enumerate(keys):
         c, inside = _v(col), _in(_v(col), lo, hi)
-        aggs.append(F.count_if(c < F.lit(lo)).alias(f"b{i}"))
-        aggs.append(F.count_if(inside).alias(f"n{i}"))
-        if small:
-            aggs.append(F.sort_array(F.collect_list(F.when(inside, c))).alias(f"v{i}"))
-        else:
-            aggs.append(_grid(col, inside).alias(f"g{i}"))
+        aggs += [F.count_if(c < F.lit(lo)).alias(f"b{i}"), F.count_if(inside).alias(f"n{i}"),
+                 _grid(col, inside).alias(f"g{i}")]
     row = df.agg(*aggs).first()
-    stuck: dict[str, list[_Target]] = {}
     for i, key in enumerate(keys):
-        col, lo, hi, small = key
-        below, inside = row[f"b{i}"], row[f"n{i}"]
+        below, inside, grid = row[f"b{i}"], row[f"n{i}"], row[f"g{i}"]
         for t in brackets[key]:
             if not (below <= t.k < below + inside):
                 t.lo, t.hi, t.expect = -math.inf, math.inf, float("inf")   # sketch miss: start over wide
                 continue
-            t.below = below
-            if small:
-                t.value, t.done = float(row[f"v{i}"][t.k - below]), True
-                continue
-            grid = row[f"g{i}"]
             if grid[0] == grid[-1]:
-                t.value, t.done = float(grid[0]), True          # a run of equal values
+                t.value, t.done = float(grid[0]), True          # every value in the bracket is equal
                 continue
             old = (t.lo, t.hi)
             _bracket(t, grid, t.k - below, inside)
+            t.expect = min(t.expect, inside)
             if (t.lo, t.hi) == old:
-                stuck.setdefault(col, []).append(t)              # heavy ties: few distinct values
-    for col, ts in stuck.items():
-        _fetch_counts(df, col, ts)
+                t.expect = 0.0        # few distinct values span the bracket: counting them is bounded
 
 
-def _fetch_counts(df: DataFrame, col: str, targets: list[_Target]) -> None:
-    """Exact value counts inside brackets that hold few distinct values (one job per column)."""
-    c = _v(col)
-    cond = None
-    for t in targets:
-        cond = _in(c, t.lo, t.hi) if cond is None else (cond | _in(c, t.lo, t.hi))
-    rows = (df.where(cond).groupBy(c.alias("v")).count()
-              .orderBy("v").limit(COLLECT_LIMIT + 1).collect())
-    if len(rows) > COLLECT_LIMIT:
-        raise RuntimeError(f"bracket for {col} holds too many distinct values")
-    for t in targets:
-        seen = t.below
-        for r in rows:
-            if not (t.lo <= r["v"] <= t.hi):
-                continue
-            seen += r["count"]
-            if t.k < seen:
-                t.value, t.done = float(r["v"]), True
-                break
+def _fetch(df: DataFrame, targets: list[_Target]) -> None:
+    """Resolve small brackets from value counts, one job for all of them.
+
+    Per bracket: values below ``lo`` fold into one group, values inside are
+    grouped by value (ties collapse) and only the first ``COLLECT_LIMIT + 2``
+    groups leave the tasks, so nothing unbounded is gathered even if a
+    bracket turns out to be large; such a bracket goes back to narrowing.
+    """
+    from functools import reduce
+    brackets = _groups(targets)
+    keys = list(brackets)
+    parts = []
+    for i, (col, lo, hi) in enumerate(keys):
+        v = _v(col)
+        key = F.when(v < F.lit(lo), F.lit(-math.inf)).otherwise(v).alias("v")
+        parts.append(df.where(v <= F.lit(hi)).groupBy(key).count()
+                       .orderBy("v").limit(COLLECT_LIMIT + 2)
+                       .select(F.lit(i).alias("b"), "v", "count"))
+    rows = reduce(lambda a, b: a.unionAll(b), parts).collect()
+    by_b: dict[int, list] = {}
+    for r in rows:
+        by_b.setdefault(r["b"], []).append((r["v"], r["count"]))
+    for i, key in enumerate(keys):
+        col, lo, hi = key
+        vals = sorted(by_b.get(i, []))
+        cut = len(vals) >= COLLECT_LIMIT + 2
+        below = vals[0][1] if vals and vals[0][0] == -math.inf and lo != -math.inf else 0
+        inside = [(v, n) for v, n in vals if not (v == -math.inf and lo != -math.inf)]
+        for t in brackets[key]:
+            seen = below
+            for v, n in inside:
+                seen += n
+                if t.k < seen:
+                    t.value, t.done = float(v), True
+                    break
+            if not t.done:
+                # Cut off (too many values) or a sketch miss: narrow again from here.
+                t.expect = float("inf")
+                if not cut:
+                    t.lo, t.hi = -math.inf, math.inf
 
 
 def stable_input(df: DataFrame, cols: list[str]) -> DataFrame:
