@@ -87,8 +87,9 @@ def fill_mean(df: DataFrame, cols: list[str] | None = None) -> tuple[DataFrame,
     cols = cols if cols is not None else numeric_columns(df)
     if not cols:
         return df, {}
-    row = df.agg(*[F.avg(q(c)).alias(f"a{i}") for i, c in enumerate(cols)]).first()
-    means = {c: row[f"a{i}"] for i, c in enumerate(cols) if row[f"a{i}"] is not None}
+    row = df.agg(*[F.avg(q(c)).alias(f"a{i}") for i, c in enumerate(cols)],
+                 *[F.count_if(q(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    means = {c: row[f"a{i}"] for i, c in enumerate(cols) if row[f"a{i}"] is not None and row[f"m{i}"] > 0}
     return _fill(df, means, as_double=True), means
 
 

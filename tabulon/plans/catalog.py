@@ -122,12 +122,12 @@ ORDER BY revenue DESC, order_id, line_no, ship_date, category, region, segment,
     lambda s, d: qp.above_avg(_sales(s, d), "revenue"))
 
 register("pack_null_check", with_sales("""
-SELECT SUM(CASE WHEN order_id IS NULL THEN 1 ELSE 0 END) AS order_id_nulls,
-       SUM(CASE WHEN line_no IS NULL THEN 1 ELSE 0 END) AS line_no_nulls,
-       SUM(CASE WHEN ship_date IS NULL THEN 1 ELSE 0 END) AS ship_date_nulls,
-       SUM(CASE WHEN category IS NULL THEN 1 ELSE 0 END) AS category_nulls,
-       SUM(CASE WHEN region IS NULL THEN 1 ELSE 0 END) AS region_nulls,
-       SUM(CASE WHEN segment IS NULL THEN 1 ELSE 0 END) AS segment_nulls FROM sales"""))(
+SELECT CAST(SUM(CASE WHEN order_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS order_id_nulls,
+       CAST(SUM(CASE WHEN line_no IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS line_no_nulls,
+       CAST(SUM(CASE WHEN ship_date IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS ship_date_nulls,
+       CAST(SUM(CASE WHEN category IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS category_nulls,
+       CAST(SUM(CASE WHEN region IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS region_nulls,
+       CAST(SUM(CASE WHEN segment IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS segment_nulls FROM sales"""))(
     lambda s, d: qp.null_check(_sales(s, d)))
 
 register("pack_distinct_counts", with_sales("""

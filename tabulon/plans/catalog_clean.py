@@ -113,7 +113,7 @@ for _c in DE_COLS:
         _imp_cols.append(_c)
 _IMPUTED = f"u AS (SELECT DISTINCT * FROM dirty_events),\nimp AS (SELECT {', '.join(_imp_cols)} FROM u)"
 _chain, _last = fence_chain_sql("imp", DE_NUMERIC, 0.25, 0.75, 1.5, True, "t")
-_missing_after = " + ".join(f"COUNT_IF({c} IS NULL)" for c in DE_COLS)
+_missing_after = "CAST(" + " + ".join(f"COUNT_IF({c} IS NULL)" for c in DE_COLS) + " AS BIGINT)"
 register("quality_score", with_dirty(f"""
 , {_IMPUTED},
 {_chain},

@@ -183,7 +183,7 @@ SELECT DISTINCT region, segment FROM sales ORDER BY region, segment LIMIT 10 OFF
     "adhoc_scalar_functions": """
 SELECT upper(substr(category, 1, 3)) AS cat3, CAST(year(ship_date) AS INTEGER) AS yr,
        COUNT(*) AS n, ROUND(AVG(ln(revenue)), 4) AS avg_log_revenue,
-       SUM(CASE WHEN lower(region) LIKE '%ia' THEN 1 ELSE 0 END) AS n_ia
+       CAST(SUM(CASE WHEN lower(region) LIKE '%ia' THEN 1 ELSE 0 END) AS BIGINT) AS n_ia
 FROM sales GROUP BY upper(substr(category, 1, 3)), CAST(year(ship_date) AS INTEGER)""",
 }
 
@@ -216,7 +216,7 @@ def _search(spark, d):
 
 
 register("adhoc_json_functions", """
-SELECT event_type, SUM(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS k_sum, COUNT(*) AS n
+SELECT event_type, CAST(SUM(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum, COUNT(*) AS n
 FROM events GROUP BY event_type""")(
     lambda s, d: AD.query(s, """
 SELECT event_type, SUM(CAST(get_json_object(props, '$.k') AS BIGINT)) AS k_sum, COUNT(*) AS n

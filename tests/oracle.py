@@ -51,7 +51,28 @@ def rows_of(pdf: pd.DataFrame, sig: int) -> list[tuple]:
     return sorted(out, key=lambda r: tuple((x is None, str(type(x)), str(x)) for x in r))
 
 
-def compare(spark_df, con, sql: str, sig: int = 9) -> tuple[bool, str]:
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+                 "timestamp": "TIMESTAMP WITH TIME ZONE", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN",
+                 "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
+def type_diff(spark_df, con, sql: str) -> dict:
+    """Columns whose Spark type does not map to the oracle's DuckDB type."""
+    rel = con.sql(sql)
+    duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    out = {}
+    for f in spark_df.schema.fields:
+        st = SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+        if st != duck_types.get(f.name):
+            out[f.name] = (st, duck_types.get(f.name))
+    return out
+
+
+def compare(spark_df, con, sql: str, sig: int = 9, check_types: bool = True) -> tuple[bool, str]:
+    if check_types:
+        td = type_diff(spark_df, con, sql)
+        if td:
+            return False, f"types differ (spark, oracle): {td}"
     s = spark_df.toPandas()
     d = con.execute(sql).df()
     if sorted(s.columns) != sorted(d.columns):
