@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabulon.functions.numeric import DATE_TYPES, q, to_number
 from tabulon.functions.roles import ETL_KEYWORDS, first_match
