@@ -15,6 +15,14 @@ from tabulon.functions.roles import ETL_KEYWORDS, first_match
 MARGIN_NAME = {"etl": "Profit_Margin_%", "bi": "Profit_Margin_%", "sql": "Profit_Margin_Pct"}
 
 
+def set_columns(df: DataFrame, new: dict) -> DataFrame:
+    """Assign columns like ``frame[name] = expr``: an existing column is replaced
+    in place, a new one is appended; one projection for all of them."""
+    exprs = [(new[c].alias(c) if c in new else q(c)) for c in df.columns]
+    exprs += [e.alias(c) for c, e in new.items() if c not in df.columns]
+    return df.select(*exprs)
+
+
 def add_profit(df: DataFrame, rev: str, cost: str, flavour: str = "sql") -> DataFrame:
     """``Profit = revenue - cost`` and margin % (2 dp, half even like pandas).
 
@@ -25,13 +33,13 @@ def add_profit(df: DataFrame, rev: str, cost: str, flavour: str = "sql") -> Data
     if flavour == "bi":
         r = F.coalesce(to_number(rev), F.lit(0.0))
         c = F.coalesce(to_number(cost), F.lit(0.0))
-        base = df.select(*[(r.alias(x) if x == rev else c.alias(x) if x == cost else q(x)) for x in df.columns])
+        base = set_columns(df, {rev: r, cost: c})
         profit = q(rev) - q(cost)
         margin = F.coalesce(F.bround(F.try_divide(profit, F.when(q(rev) != 0, q(rev))) * 100, 2), F.lit(0.0))
-        return base.select("*", profit.alias("Profit"), margin.alias(MARGIN_NAME["bi"]))
+        return set_columns(base, {"Profit": profit, MARGIN_NAME["bi"]: margin})
     profit = to_number(rev) - to_number(cost)
     margin = F.bround(F.try_divide(profit, to_number(rev)) * 100, 2)
-    return df.select("*", profit.alias("Profit"), margin.alias(MARGIN_NAME[flavour]))
+    return set_columns(df, {"Profit": profit, MARGIN_NAME[flavour]: margin})
 
 
 def _as_timestamp(df: DataFrame, c: str):
@@ -42,17 +50,17 @@ def _as_timestamp(df: DataFrame, c: str):
 
 def date_parts(df: DataFrame, cols: list[str]) -> DataFrame:
     """``<c>_year, _month, _day, _dow`` (Monday = 0); unparsable values give nulls."""
-    extra = []
+    new = {}
     for c in cols:
         t = _as_timestamp(df, c)
-        extra += [F.year(t).alias(f"{c}_year"), F.month(t).alias(f"{c}_month"),
-                  F.dayofmonth(t).alias(f"{c}_day"), F.weekday(t).alias(f"{c}_dow")]
-    return df.select("*", *extra)
+        new.update({f"{c}_year": F.year(t), f"{c}_month": F.month(t), f"{c}_day": F.dayofmonth(t),
+                    f"{c}_dow": F.weekday(t)})
+    return set_columns(df, new)
 
 
 def total_value(df: DataFrame, qty: str, price: str, name: str = "Total_Value") -> DataFrame:
     """quantity x price after numeric coercion."""
-    return df.select("*", (to_number(qty) * to_number(price)).alias(name))
+    return set_columns(df, {name: to_number(qty) * to_number(price)})
 
 
 def feature_engineer(df: DataFrame, types: dict[str, str]) -> tuple[DataFrame, list[str]]:
