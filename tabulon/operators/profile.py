@@ -134,7 +134,7 @@ def missing_report(df: DataFrame) -> DataFrame:
     stack = ", ".join(f"'{c.replace(chr(39), chr(39) * 2)}', m{i}" for i, c in enumerate(cols))
     return row.selectExpr(f"stack({len(cols)}, {stack}) AS (column, n_missing)", "_rows").select(
         "column", "n_missing",
-        F.round(F.col("n_missing") / F.col("_rows") * 100, 2).alias("missing_pct"))
+        F.round(F.try_divide(F.col("n_missing"), F.col("_rows")) * 100, 2).alias("missing_pct"))
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ def column_summary(df: DataFrame, cols: list[str] | None = None, digits: int | N
         r(F.col("median")).alias("median"), r(F.col("std")).alias("std"),
         r(F.col("sum")).cast("double").alias("sum"),
         F.col("count"),
-        F.round((F.col("_rows") - F.col("count")) / F.col("_rows") * 100, 2).alias("missing_pct"))
+        F.round(F.try_divide(F.col("_rows") - F.col("count"), F.col("_rows")) * 100, 2).alias("missing_pct"))
 
 
 def histogram(df: DataFrame, cols: list[str] | None = None, bins: int = 20, max_cols: int = 8,
