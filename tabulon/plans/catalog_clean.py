@@ -10,6 +10,7 @@ from tabulon.operators import ordering as O
 from tabulon.operators import profile as P
 from tabulon.plans import fixtures as fx
 from tabulon.plans.catalog import register, with_dirty
+from tabulon.session import materialize
 
 DE_COLS = ["event_id", "event_date", "event_type", "amount", "sparse_id", "constant_col"]
 DE_NUMERIC = ["event_id", "amount", "sparse_id", "constant_col"]
@@ -89,7 +90,7 @@ def _analyst_quality(spark, d):
     """P8 over the analyst cleaning chain: C1 -> C4/C5 -> C7 -> score."""
     de = _de(spark, d)
     rows_before = de.count()
-    dedup = C.drop_duplicates(de)
+    dedup = materialize(C.drop_duplicates(de))    # read by the fills, every fence pass and the score
     n_dedup = dedup.count()
     filled, _ = C.impute_basic(dedup)
     fenced = C.tukey_filter(filled).frame

@@ -32,7 +32,8 @@ def _order(df: DataFrame, order_by) -> list[str]:
 def analyst(df: DataFrame, with_model: bool = True) -> dict:
     """C1 -> C4/C5 -> C7 -> P8 (+ M17 forest metrics)."""
     rows_before, cols_before = df.count(), len(df.columns)
-    dedup = C.drop_duplicates(df)
+    # Written once: fills, fences and the score all read the deduplicated rows.
+    dedup = materialize(C.drop_duplicates(df))
     n_dedup = dedup.count()
     filled, fills = C.impute_basic(dedup)
     fenced = C.tukey_filter(filled)
@@ -76,7 +77,7 @@ def etl_clean(df: DataFrame, order_by=None, log: P.StepLog | None = None) -> tup
     types = {p.column: p.semantic_type for p in profiles}
     for t in sorted(set(types.values())):
         log.add("EXTRACT", f"type:{t}", ",".join(c for c, v in types.items() if v == t))
-    dedup = C.drop_duplicates(df)
+    dedup = materialize(C.drop_duplicates(df))   # read by every later pass of the chain
     log.add("TRANSFORM", "drop_duplicates", n=profiles[0].rows - dedup.count() if profiles else 0)
     # Dedup removes whole repeated rows, so each column keeps its set of distinct values.
     dedup, zero = C.drop_zero_variance(dedup, profiles)
@@ -123,7 +124,7 @@ def etl(df: DataFrame, order_by=None, with_model: bool = True, boosted: bool = F
 
 def bi_clean(df: DataFrame) -> tuple[DataFrame, dict]:
     """C1 -> C4/C5 -> C8 on every numeric column."""
-    dedup = C.drop_duplicates(df)
+    dedup = materialize(C.drop_duplicates(df))   # read by the fills and every fence pass
     filled, fills = C.impute_basic(dedup)
     fenced = C.wide_fence_filter(filled)
     return fenced.frame, {"filled": fills, "outliers_removed": sum(fenced.removed.values())}
