@@ -4,9 +4,9 @@ Design notes for scale:
 
 * Label encoding (M3) does not use ``StringIndexer``: fitting it collects
   every distinct label to the driver.  Codes are the position of a value in
-  the sorted distinct values, computed by the range-partitioned row index,
-  and joined back on the value (AQE broadcasts the code table only when its
-  measured size is small).
+  the sorted distinct values, computed for all text columns at once by one
+  range-partitioned row index, and joined back on the value (AQE broadcasts
+  a code table only when its measured size is small).
 * The 80/20 split (M5) is a hash of the row content and a seed: stable
   across recomputation and executor loss, no sampling state.
 * Standardisation (M6) is one aggregate on the training rows and a
@@ -52,15 +52,22 @@ def choose_target(df: DataFrame) -> str | None:
 def label_encode(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict[str, DataFrame]]:
     """M3: replace each text column by the 0-based rank of its value among the sorted distinct values.
 
-    Returns the encoded frame and, per column, the code table ``(value, code)``.
+    One pass for all columns: distinct ``(column, value)`` pairs are
+    unpivoted and numbered by the range-partitioned row index; a column's
+    codes are its indexes minus the index of its first value (one small row
+    per column).  Returns the encoded frame and, per column, ``(value, code)``.
     """
-    tables = {}
-    out = df
+    if not cols:
+        return df, {}
+    arms = [F.struct(F.lit(c).alias("__col"), q(c).cast("string").alias("__v")) for c in cols]
+    pairs = df.select(F.inline(F.array(*arms))).where(F.col("__v").isNotNull()).distinct()
+    idx = row_index(pairs, ["__col", "__v"], name="__g")
+    first = {r["__col"]: r["m"] for r in idx.groupBy("__col").agg(F.min("__g").alias("m")).collect()}
+    tables, out = {}, df
     for c in cols:
-        codes = row_index(df.select(q(c).cast("string").alias("__v")).where(F.col("__v").isNotNull()).distinct(),
-                          "__v", name="__code")
+        codes = idx.where(F.col("__col") == c).select("__v", (F.col("__g") - F.lit(first.get(c, 0))).alias("__code"))
         tables[c] = codes.select(F.col("__v").alias("value"), F.col("__code").alias("code"))
-        out = (out.join(codes, out[c].cast("string") == codes["__v"], "left")
+        out = (out.join(codes, q(c).cast("string") == codes["__v"], "left")
                   .withColumn(c, F.col("__code").cast("double")).drop("__v", "__code"))
     return out, tables
 
