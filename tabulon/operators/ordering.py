@@ -22,6 +22,24 @@ from tabulon.session import materialize
 
 _TB = "__tb"
 _PID = "__pid"
+TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+MAX_PARTITIONS = 200_000
+
+
+def partitions_for(df: DataFrame) -> int:
+    """Partition count for a range partitioning of ``df``: its input bytes (the sum of the
+    scanned relations' sizes, an upper bound) over 256 MB, at least the session's shuffle
+    partitions.  A global order has to be cut into tasks that fit executor memory."""
+    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        total = 0
+        for i in range(leaves.size()):
+            size = leaves.apply(i).stats().sizeInBytes()
+            total += size if isinstance(size, int) else int(size.toString())
+    except Exception:  # no JVM handle: keep the session setting
+        return base
+    return max(base, min(MAX_PARTITIONS, -(-total // TARGET_PARTITION_BYTES)))
 
 
 def _order_cols(order_by) -> list[Column]:
@@ -37,7 +55,7 @@ def range_partitioned(df: DataFrame, order_by, num_partitions: int | None = None
     several partitions, and equal rows (whose relative order cannot matter)
     stay deterministic.
     """
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or partitions_for(df)
     keys = _order_cols(order_by)
     tb = F.xxhash64(*[q(c) for c in df.columns]).alias(_TB)
     ranged = (df.select("*", tb)
@@ -58,16 +76,17 @@ def row_index(df: DataFrame, order_by, name: str = "row_index", num_partitions:
     r = range_partitioned(df, order_by, num_partitions)
     keys = _order_cols(order_by)
     sizes = sorted((row[_PID], row["n"]) for row in r.groupBy(_PID).agg(F.count(F.lit(1)).alias("n")).collect())
-    offsets, acc = {}, 0
+    offsets, acc = [], 0
     for pid, n in sizes:
-        offsets[pid] = acc
+        offsets.append((pid, acc))
         acc += n
-    offset_map = F.create_map(*[x for pid, off in offsets.items() for x in (F.lit(pid), F.lit(off))]) \
-        if offsets else F.create_map().cast("map<int,bigint>")
-    local = F.monotonically_increasing_id() - F.shiftleft(F.col(_PID).cast("long"), 33)
-    out = r.sortWithinPartitions(*keys, F.col(_TB)).select(
-        "*", (offset_map[F.col(_PID)] + local).alias(name))
-    return out.drop(_TB, _PID)
+    # One row per partition: a broadcast side whose size is bounded by the partition count.
+    off = df.sparkSession.createDataFrame(offsets, f"{_PID} int, __off bigint")
+    local = (r.sortWithinPartitions(*keys, F.col(_TB))
+              .select("*", (F.monotonically_increasing_id() - F.shiftleft(F.col(_PID).cast("long"), 33)).alias("__loc")))
+    out = local.join(F.broadcast(off), _PID).select(*[q(c) for c in df.columns],
+                                                    (F.col("__off") + F.col("__loc")).alias(name))
+    return out
 
 
 def forward_fill(df: DataFrame, cols: list[str], order_by, num_partitions: int | None = None) -> DataFrame:
@@ -91,6 +110,8 @@ def forward_fill(df: DataFrame, cols: list[str], order_by, num_partitions: int |
         carry[pid] = list(running)
         running = [v if v is not None else running[i] for i, v in enumerate(last[pid])]
     schema = r.schema
+    # One entry per partition, shipped once per executor rather than in every task closure.
+    carry_b = df.sparkSession.sparkContext.broadcast(carry)
 
     def fill(batches):
         state: dict[int, list] = {}
@@ -99,7 +120,7 @@ def forward_fill(df: DataFrame, cols: list[str], order_by, num_partitions: int |
                 yield pdf
                 continue
             pid = int(pdf[_PID].iloc[0])
-            prev = state.get(pid) or list(carry.get(pid, [None] * len(cols)))
+            prev = state.get(pid) or list(carry_b.value.get(pid, [None] * len(cols)))
             for j, c in enumerate(cols):
                 s = pdf[c].copy()
                 if prev[j] is not None and s.isna().iloc[0]:
