@@ -58,7 +58,8 @@ def run_custom_query(spark: SparkSession, sql: str, tables: dict[str, DataFrame]
     """First ``row_cap`` rows, full row count, error returned as a value."""
     try:
         df = query(spark, sql, tables)
-        rows = [r.asDict() for r in df.limit(row_cap).collect()]
-        return AdhocResult(df.columns, rows, df.count())
+        got = df.limit(row_cap + 1).collect()
+        n = len(got) if len(got) <= row_cap else df.count()     # a second run only past the cap
+        return AdhocResult(df.columns, [r.asDict() for r in got[:row_cap]], n)
     except Exception as exc:  # error as value, like the reference
         return AdhocResult([], [], 0, str(exc).strip().splitlines()[0])
