@@ -1,0 +1,231 @@
+"""Secret scans: fixed patterns, and guess costs of the values in credential contexts.
+
+Patterns: assignments to password-like names, access keys, long hex runs.  Beyond these, a value that stands in a
+credential context ("pwd is ...", "passphrase: ...") is cut by dynamic programming into the segmentation that an
+attacker would guess cheapest: common words by rank, dates, repeats, keyboard walks and brute-force spans.  The
+cost is the sum of log10 guesses of the spans and of one guess per span for how they are put together; values of
+at least MIN_COST are reported as kind `guess` unless a pattern already covers them.
+
+Null texts have no spans.  Positions are code points, ends exclusive.  Repeated rows get a row each.  Texts are
+scanned whole; a map without shuffle.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from functools import lru_cache
+from math import log10
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tabulon.llm.common import append_columns
+from tabulon.llm.words import text_blocks
+
+KINDS = ("assign", "access", "hex", "guess")
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
+HEX = re.compile(r"[0-9a-f]{32,}")
+#: What stands before a value that deserves a guess cost.
+CONTEXT = re.compile(
+    r"""(?<![a-z0-9])(?:pass(?:word|wd|code|phrase)?|pwd|secret|token|api[ _-]?key|credentials?|login|auth)["']?"""
+    r"""(?:\x20*(?::=|=>|[:=])\x20*|\x20+(?:is|was)\x20+)["'`]?([^\s"'`<>,;()\[\]{}]+)""", re.I | re.A)
+_HINTS = ("pass", "pwd", "secret", "token", "api", "credential", "login", "auth")
+MIN_COST = 8.0
+
+#: Common words of passwords, most common first (their place is their rank); a parameter of the scan.
+COMMON = tuple("""password qwerty abc letmein monkey dragon master login admin welcome hello secret test user root
+love sunshine princess football baseball shadow superman batman trustno access flower summer winter spring autumn
+monday friday january march april june july august october december pass key token home house computer internet
+freedom whatever starwars cheese orange purple silver golden chocolate cookie pepper ginger tiger eagle hunter
+killer soccer hockey ranger jordan thomas michael jennifer daniel charlie george london paris america change the
+and for you not with this that from have will your default guest public private server system data example""".split())
+ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
+_DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])"
+                   r"|(?:0?[1-9]|[12]\d|3[01])[-/.](?:0?[1-9]|1[0-2])[-/.](?:19|20)?\d\d|(?:19|20)\d\d")
+_LOOKS = str.maketrans("4@310$57!", "aaeiossti")
+
+
+@lru_cache(maxsize=1)
+def _neighbours() -> dict[str, set[str]]:
+    near: dict[str, set[str]] = {}
+    for r, row in enumerate(ROWS):
+        for i, c in enumerate(row):
+            near.setdefault(c, set())
+            for rr, ii in ((r, i - 1), (r, i + 1), (r - 1, i), (r - 1, i + 1), (r + 1, i - 1), (r + 1, i)):
+                if 0 <= rr < len(ROWS) and 0 <= ii < len(ROWS[rr]):
+                    near[c].add(ROWS[rr][ii])
+    return near
+
+
+def _alphabet(c: str) -> int:
+    return 26 if c.isascii() and c.isalpha() else 10 if c.isdigit() else 33 if c.isascii() else 1000
+
+
+@lru_cache(maxsize=50_000)
+def guess_cost(value: str, words: tuple[str, ...] = COMMON) -> float:
+    """log10 of the guesses that the cheapest segmentation of the value takes."""
+    n = len(value)
+    rank = _ranks(words)
+    longest = max(map(len, rank), default=0)
+    low, plain, near = value.lower(), value.lower().translate(_LOOKS), _neighbours()
+    if len(low) != n:  # a letter whose lower case is longer
+        low = plain = value
+    best = [0.0] + [float("inf")] * n
+    single = 1 + log10(2)  # one more span to put in place
+    repeat = walk = turns = 1
+    turned = ""
+    dates = {}
+    for m in re.finditer(r"(?=(\d))", low):
+        if d := _DATE.match(low, m.start()):
+            dates.setdefault(d.end(), []).append(m.start())
+    brute = [0.0]
+    for c in value:
+        brute.append(brute[-1] + log10(_alphabet(c)))
+    open_brute = 0.0  # least of best[i] - brute[i] over earlier i
+    for j in range(1, n + 1):
+        c = low[j - 1]
+        options = [open_brute + brute[j] + log10(2)]
+        same = j > 1 and c == low[j - 2]
+        repeat = repeat + 1 if same else 1
+        beside = j > 1 and c in near.get(low[j - 2], ())
+        if beside:
+            way = f"{ROWS_AT.get(c, (0, 0))[0] - ROWS_AT.get(low[j - 2], (0, 0))[0]}"
+            turns = turns + (way != turned) if walk > 1 else 1
+            walk, turned = walk + 1, way
+        else:
+            walk, turns, turned = 1, 1, ""
+        if repeat >= 3:
+            options.append(best[j - repeat] + log10(_alphabet(c) * repeat) + log10(2))
+        if walk >= 3:
+            options.append(best[j - walk] + log10(47 * walk) + turns * log10(4) + log10(2))
+        for k in range(max(0, j - longest), j - 1):
+            r = rank.get(low[k:j])
+            extra = 0.0
+            if r is None:
+                r, extra = rank.get(plain[k:j]), log10(4)
+            if r is not None:
+                upper = log10(2) if value[k:j] != low[k:j] else 0.0
+                options.append(best[k] + log10(r + 1) + extra + upper + log10(2))
+        for k in dates.get(j, ()):
+            options.append(best[k] + log10(365 * 120 if j - k > 4 else 120) + log10(2))
+        best[j] = min(options)
+        open_brute = min(open_brute, best[j] - brute[j])
+    return best[n] if n else 0.0
+
+
+ROWS_AT = {c: (r, i) for r, row in enumerate(ROWS) for i, c in enumerate(row)}
+
+
+@lru_cache(maxsize=4)
+def _ranks(words: tuple[str, ...]) -> dict[str, int]:
+    return {w: i + 1 for i, w in reversed(list(enumerate(words)))}
+
+
+def find_spans(text: str | None, has_hex: bool = True, min_cost: float = MIN_COST) -> list[tuple[str, int, int, int, float | None]]:
+    """(kind, start, end, start of the value, cost) by start, then kind as listed."""
+    if not text:
+        return []
+    found = []
+    low = text.lower()
+    if any(h in low for h in _HINTS):
+        for m in ASSIGN.finditer(text):
+            if m.end(2) - m.start(2) >= 8:
+                found.append(("assign", m.start(), m.end(), m.start(2), guess_cost(m[2])))
+        covered = [(a, b) for _, a, b, _, _ in found]
+        for m in CONTEXT.finditer(text):
+            a, b = m.span(1)
+            value = m[1].rstrip(".:!?")
+            b = a + len(value)
+            if len(value) >= 6 and not any(x < b and a < y for x, y in covered):
+                cost = guess_cost(value)
+                if cost >= min_cost and (any(c.isdigit() for c in value) or not value.isalpha()):
+                    found.append(("guess", a, b, a, cost))
+    if "AKIA" in text:
+        found += [("access", m.start(), m.end(), m.start(), None) for m in ACCESS.finditer(text)]
+    if has_hex:
+        found += [("hex", m.start(), m.end(), m.start(), None) for m in HEX.finditer(text)]
+    return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+
+
+_HEX_BYTE = np.zeros(256, bool)
+_HEX_BYTE[np.frombuffer(b"0123456789abcdef", np.uint8)] = True
+
+
+def _hex_runs(texts: pa.Array) -> np.ndarray:
+    """Whether a text's bytes hold 32 hex digits in a row (over a text's end may count too; the pattern decides)."""
+    out = np.zeros(len(texts), bool)
+    for i, _, data, bounds in text_blocks(texts):
+        on = np.concatenate([[False], _HEX_BYTE[data], [False]])
+        edge = np.flatnonzero(on[1:] != on[:-1])
+        start, end = edge[0::2], edge[1::2]
+        long = np.flatnonzero(end - start >= 32)
+        for k in long:
+            a = np.searchsorted(bounds, start[k], side="right") - 1
+            b = np.searchsorted(bounds, end[k] - 1, side="right") - 1
+            out[i + a : i + b + 1] = True
+    return out
+
+
+SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()),
+                     T.StructField("end", T.IntegerType()), T.StructField("value_start", T.IntegerType()),
+                     T.StructField("log10_guesses", T.DoubleType())])
+
+
+def _columns(texts: pa.Array) -> dict:
+    hexes = _hex_runs(texts)
+    spans = [find_spans(t.as_py(), bool(h)) for t, h in zip(texts, hexes, strict=True)]
+    as_text = lambda s: ",".join(f"{k}:{a}:{b}" for k, a, b, _, _ in s)
+    base = [[x for x in s if x[0] != "guess"] for s in spans]
+    return {"secrets": [[dict(zip(SPAN.names, x, strict=True)) for x in s] for s in spans],
+            **{f"n_{k}": [sum(x[0] == k for x in s) for s in base] for k in KINDS[:3]},
+            "base_sha256": [hashlib.sha256(as_text(s).encode()).hexdigest() for s in base],
+            "spans": [as_text(s) for s in spans]}
+
+
+FIELDS = [T.StructField("secrets", T.ArrayType(SPAN)), *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:3]],
+          T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())]
+
+
+def scan_secrets(df: DataFrame, *, text_col: str = "text") -> tuple[DataFrame, dict[str, str]]:
+    """The rows with the secrets (kind, positions, guess cost) and their counts appended; also the new names."""
+    return append_columns(df, text_col, FIELDS, _columns)
+
+
+def redact(df: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """The same rows and columns with the value of every secret replaced by `mark`."""
+
+    def run(texts: pa.Array) -> dict:
+        out = []
+        for t, h in zip(texts, _hex_runs(texts), strict=True):
+            t = t.as_py()
+            parts, at = [], 0
+            for _, _, end, value, _ in sorted(find_spans(t, bool(h)), key=lambda s: s[3]):
+                if end > at:
+                    if value >= at:
+                        parts += [t[at:value], mark]
+                    at = end
+            out.append(t if not parts else "".join([*parts, t[at:]]))
+        return {"clean": out}
+
+    out, names = append_columns(df, text_col, [T.StructField("clean", T.StringType())], run)
+    clean = F.col(names["clean"])
+    return out.select(*[clean.alias(c) if c == text_col else
+                        F.when(clean.eqNullSafe(F.col(text_col)), F.col(f"`{c}`"))
+                        .otherwise(F.length(clean).cast(df.schema[c].dataType)).alias(c) if c == "n_chars" else F.col(f"`{c}`")
+                        for c in df.columns])
+
+
+def op8(documents: DataFrame) -> DataFrame:
+    docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
+    out, _ = scan_secrets(docs)
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the texts (and n_chars with them); every document stays."""
+    return redact(docs)
