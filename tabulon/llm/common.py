@@ -36,7 +36,7 @@ def fresh(name: str, taken: Iterable[str]) -> str:
 
 def input_bytes(df: DataFrame) -> int:
     """Spark's own estimate of the plan's size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def parts_for(df: DataFrame, per_part: int = 16 << 20) -> int:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.llm import decontaminate, language_id, mixing, neighbours, secrets, token_counts
+from tabulon.llm import decontaminate, language_id, mixing, neighbours, secrets, seed_extend, token_counts
 from tabulon.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,7 @@ def _documents(op: Callable[[DataFrame], DataFrame]) -> Query:
 QUERIES: dict[str, Query] = {
     "op3_mix_sources": _documents(mixing.op3),
     "op4_nearest_neighbours": lambda s, d: neighbours.op4(table(s, d, "embeddings")),
+    "op5_substring_dedup": _documents(seed_extend.op5),
     "op7_decontaminate": lambda s, d: decontaminate.op7(table(s, d, "documents"), table(s, d, "benchmark")),
     "op8_secret_scan": _documents(secrets.op8),
     "op9_language_id": _documents(language_id.op9),
@@ -28,5 +29,6 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op3_mix_sources": mixing.sql(),
+    "op5_substring_dedup": seed_extend.SQL,
     "op7_decontaminate": decontaminate.SQL,
 }
