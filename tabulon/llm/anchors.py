@@ -83,8 +83,9 @@ def _joined(column, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(x for x in column.to_pylist() if x), dtype)
 
 
-def resolve_shared(got: pa.Table) -> pa.Table:
-    """The entries of one hash range whose hash several keys hold, or that some batch knows as shared."""
+def resolve_shared(got: pa.Table, every: bool) -> pa.Table:
+    """The entries of one hash range whose hash several keys hold (`every`: that occurs twice), or that some batch
+    knows as shared."""
     passed, packed = got.filter(pc.is_valid(got["key"])), got.filter(pc.is_null(got["key"]))
     h, keys = _joined(packed["hashes"], U32), _joined(packed["keys"], np.int64)
     places = _joined(packed["low"], U16).astype(np.int64) | (_joined(packed["high"], U16).astype(np.int64) << 16)
@@ -93,7 +94,7 @@ def resolve_shared(got: pa.Table) -> pa.Table:
     h, keys, places = h[order], keys[order], places[order]
     start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
     end = np.concatenate([start[1:], [len(h)]]).astype(int) if len(h) else start
-    shared = keys[start] != keys[end - 1] if len(h) else np.zeros(0, bool)
+    shared = (end - start > 1 if every else keys[start] != keys[end - 1]) if len(h) else np.zeros(0, bool)
     if len(known) and len(h):
         shared |= known[np.minimum(np.searchsorted(known, h[start]), len(known) - 1)] == h[start]
     on = np.repeat(shared, end - start)
@@ -127,5 +128,5 @@ def shared_places(docs: DataFrame, parts: int,
                 yield pack(parts, h[~on], key[row[~on]], place[~on], h[start[shared]], key[row[on]], place[on])
 
     packed = arrow_map(docs, run, PACKED)
-    found = packed.groupBy("part").applyInArrow(resolve_shared, PLACES)
+    found = packed.groupBy("part").applyInArrow(lambda got: resolve_shared(got, same_document_counts), PLACES)
     return found.groupBy("key").agg(F.collect_list("places").alias("places"))
