@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.llm import decontaminate, language_id, mixing, neighbours, secrets, seed_extend, suffix_dedup, token_counts
+from tabulon.llm import decontaminate, jaccard_join, language_id, mixing, neighbours, secret_scan, seed_extend, suffix_dedup, token_counts
 from tabulon.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,12 +18,13 @@ def _documents(op: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_jaccard_join": _documents(jaccard_join.op1),
     "op3_mix_sources": _documents(mixing.op3),
     "op4_nearest_neighbours": lambda s, d: neighbours.op4(table(s, d, "embeddings")),
     "op5_substring_dedup": _documents(seed_extend.op5),
     "op6_suffix_dedup": _documents(suffix_dedup.op6),
     "op7_decontaminate": lambda s, d: decontaminate.op7(table(s, d, "documents"), table(s, d, "benchmark")),
-    "op8_secret_scan": _documents(secrets.op8),
+    "op8_secret_scan": _documents(secret_scan.op8),
     "op9_language_id": _documents(language_id.op9),
     "op10_token_counts": _documents(lambda docs: token_counts.op10(docs, public_tokenizers.path("piece_bpe_32k.model"))),
 }
