@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.common import arrow_map, deliver
+from tabulon.llm.common import arrow_map, deliver, parts_for
 from tabulon.llm.words import SPACE, Words, byte_table, mix, shingle_hashes, text_blocks
 from tabulon.session import ensure_checkpoint_dir, materialize, scratch_path
 
@@ -122,24 +122,43 @@ def _paths(batches: Iterator[pa.RecordBatch], order: np.ndarray) -> Iterator[pa.
                                          names=["path", "coord", "node"])
 
 
-def candidates(sketch: np.ndarray, n: np.ndarray, coord: int, order: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a < b) of a bucket that may reach the threshold and whose first common bucket this is."""
-    left, right = [], []
+def _maybe(sketch: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, coord: np.ndarray, order: np.ndarray,
+           threshold: float) -> np.ndarray:
+    """Which pairs may reach the threshold and have no common first-level bucket before this one."""
+    out = np.zeros(len(a), bool)
     least = int(np.ceil((threshold - SLACK) * COORDINATES))
-    for i in range(0, len(n) - 1, 128):
-        part = sketch[i : i + 128]
-        same = np.zeros((len(part), len(n)), np.int16)
-        for c in range(COORDINATES):
-            same += part[:, c][:, None] == sketch[:, c][None]
-        ok = (same >= least) & (np.arange(len(n))[None] > np.arange(i, i + len(part))[:, None])
-        ok &= np.minimum(n[i : i + 128, None], n[None]) >= threshold * np.maximum(n[i : i + 128, None], n[None])
-        a, b = np.nonzero(ok)
-        if coord > 0:
-            earlier = order[:coord]
-            keep = ~(part[a][:, earlier] == sketch[b][:, earlier]).any(axis=1)
-            a, b = a[keep], b[keep]
-        left.append(a + i)
-        right.append(b)
+    for i in range(0, len(a), 1 << 16):
+        x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
+        fits = np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y])
+        at = np.flatnonzero(fits)
+        same = sketch[x[at]] == sketch[y[at]]
+        near = same.sum(axis=1) >= least
+        at, same = at[near], same[near]
+        first = np.argmax(same[:, order], axis=1)
+        place = coord[x[at]]
+        out[i + at[(place < 0) | (place == first)]] = True
+    return out
+
+
+def candidates(path: np.ndarray, coord: np.ndarray, sketch: np.ndarray, n: np.ndarray, order: np.ndarray,
+               threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (a before b) that share a bucket and may reach the threshold; the rows are sorted by path."""
+    start = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]])) if len(path) else np.zeros(0, int)
+    size = np.diff([*start, len(path)]).astype(np.int64)
+    left, right = [], []
+    for s in np.unique(size[size > 1]):
+        base = start[size == s]
+        if s <= 64:  # all buckets of one size at once
+            x, y = np.triu_indices(s, 1)
+            step = max(1, (1 << 18) // len(x))
+            tasks = [((base[k : k + step, None] + x).ravel(), (base[k : k + step, None] + y).ravel()) for k in range(0, len(base), step)]
+        else:
+            tasks = ((np.repeat(f + i, s - i - 1), f + np.arange(i + 1, s)) for f in base for i in range(s - 1))
+        for a, b in tasks:
+            if len(a):
+                ok = _maybe(sketch, n, a, b, coord, order, threshold)
+                left.append(a[ok])
+                right.append(b[ok])
     if not left:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(left), np.concatenate(right)
@@ -173,19 +192,31 @@ LINKS = T.StructType([T.StructField("node", T.LongType()), T.StructField("root",
                       T.StructField("others", T.BinaryType()), T.StructField("copies", T.BinaryType())])
 
 
+def _members(got: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """The rows of some buckets sorted by path and node, their nodes and sketches."""
+    got = got.sort_by([("path", "ascending"), ("node", "ascending")])
+    return got, got["node"].to_numpy(), np.frombuffer(b"".join(got["sketch"].to_pylist()), U16).reshape(-1, COORDINATES)
+
+
+def _probe(got: pa.Table, order: np.ndarray, threshold: float) -> pa.Table:
+    """The members of a range of buckets that have a candidate there."""
+    got, _, sketch = _members(got)
+    a, b = candidates(got["path"].to_numpy(), got["coord"].to_numpy(), sketch, got["n"].to_numpy(), order, threshold)
+    return got.take(pa.array(np.unique(np.concatenate([a, b])))).select(["path", "coord", "node"])
+
+
 def _verified(got: pa.Table, order: np.ndarray, threshold: float) -> pa.Table:
-    node = got["node"].to_numpy()
-    seq = np.argsort(node, kind="stable")
-    node = node[seq]
-    sketch = np.frombuffer(b"".join(got["sketch"].to_pylist()), U16).reshape(-1, COORDINATES)[seq]
-    n, copies = got["n"].to_numpy()[seq], got["copies"].to_numpy()[seq].astype(np.int64)
+    """The links in a range of buckets, by node."""
+    got, node, sketch = _members(got)
+    copies = got["copies"].to_numpy().astype(np.int64)
+    a, b = candidates(got["path"].to_numpy(), got["coord"].to_numpy(), sketch, got["n"].to_numpy(), order, threshold)
     rows = []
-    a, b = candidates(sketch, n, got["coord"][0].as_py(), order, threshold)
     if len(a):
-        raw = got["grams"].to_pylist()
-        ok = verify([np.frombuffer(raw[i], np.uint64) for i in seq], a, b, threshold)
-        a, b = a[ok], b[ok]
-        root = np.arange(len(node))
+        ok = verify([np.frombuffer(x, np.uint64) for x in got["grams"].to_pylist()], a, b, threshold)
+        names, first, number = np.unique(node, return_index=True, return_inverse=True)
+        pair = np.unique(number[a[ok]] * len(names) + number[b[ok]])
+        a, b = np.divmod(pair, len(names))
+        root = list(range(len(names)))
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -201,7 +232,8 @@ def _verified(got: pa.Table, order: np.ndarray, threshold: float) -> pa.Table:
         one, two = one[turn], two[turn]
         cut = np.flatnonzero(np.concatenate([[True], one[1:] != one[:-1]])) if len(one) else []
         for x, y in zip(cut, [*cut[1:], len(one)] if len(one) else [], strict=True):
-            rows.append((int(node[one[x]]), int(node[find(int(one[x]))]), node[two[x:y]].tobytes(), copies[two[x:y]].tobytes()))
+            rows.append((int(names[one[x]]), int(names[find(int(one[x]))]), names[two[x:y]].tobytes(),
+                         copies[first[two[x:y]]].tobytes()))
     return pa.table({f.name: pa.array([r[k] for r in rows], t) for k, (f, t) in
                      enumerate(zip(LINKS.fields, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True))})
 
@@ -269,16 +301,10 @@ def similar_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
         rows = split(big).distinct()
     member = buckets.join(nodes.select("node", "n", "sketch"), "node").select("path", "coord", "node", "n", "sketch")
 
-    def probe(got: pa.Table) -> pa.Table:
-        node = got["node"].to_numpy()
-        sketch = np.frombuffer(b"".join(got["sketch"].to_pylist()), U16).reshape(-1, COORDINATES)
-        a, b = candidates(sketch, got["n"].to_numpy(), got["coord"][0].as_py(), order, threshold)
-        keep = np.unique(np.concatenate([a, b]))
-        return pa.table({"path": got["path"].take(pa.array(keep)), "coord": got["coord"].take(pa.array(keep)),
-                         "node": pa.array(node[keep], pa.int64())})
-
+    # Buckets go to tasks in ranges of paths, so that a task call serves many small buckets.
+    ranges = F.pmod(F.col("path"), F.lit(parts_for(docs))).alias("part")
     where = scratch_path(spark, "jaccard-candidates")
-    member.groupBy("path").applyInArrow(probe, paths).write.parquet(where)
+    (member.groupBy(ranges).applyInArrow(lambda got: _probe(got, order, threshold), paths).write.parquet(where))
     wanted = spark.read.parquet(where).groupBy("node").agg(F.collect_list(F.struct("path", "coord")).alias("paths"))
     wanted = wanted.join(nodes, "node").select("key", "node", "n", "copies", "sketch", "paths")
 
@@ -304,7 +330,7 @@ def similar_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     texts = docs.select("key", "text").join(wanted, "key").select("text", "node", "n", "copies", "sketch", "paths")
     where = scratch_path(spark, "jaccard-links")
-    (arrow_map(texts, with_sets, full).groupBy("path").applyInArrow(lambda got: _verified(got, order, threshold), LINKS)
+    (arrow_map(texts, with_sets, full).groupBy(ranges).applyInArrow(lambda got: _verified(got, order, threshold), LINKS)
      .write.parquet(where))
     links = spark.read.parquet(where)
 
