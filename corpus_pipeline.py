@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.llm import decontaminate, language_id, secret_scan
+from tabulon.llm import decontaminate, jaccard_join, language_id, mixing, secret_scan
 from tabulon.llm.common import table
 from tabulon.session import ensure_checkpoint_dir, scratch_path
 
 STAGES = [
     ("language_id", language_id.stage),
+    ("jaccard_join", jaccard_join.stage),
     ("decontaminate", decontaminate.stage),
     ("secret_scan", secret_scan.stage),
+    ("mix_sources", mixing.stage),
 ]
 
 #: Language ID and the search for near copies can't be written in SQL.

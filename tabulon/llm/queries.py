@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.llm import decontaminate, jaccard_join, language_id, mixing, neighbours, secret_scan, seed_extend, suffix_dedup, token_counts
+from tabulon.llm import decontaminate, jaccard_join, language_id, lm_scoring, mixing, neighbours, secret_scan, seed_extend, suffix_dedup, token_counts
 from tabulon.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,7 @@ def _documents(op: Callable[[DataFrame], DataFrame]) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": _documents(jaccard_join.op1),
+    "op2_lm_score": _documents(lm_scoring.op2),
     "op3_mix_sources": _documents(mixing.op3),
     "op4_nearest_neighbours": lambda s, d: neighbours.op4(table(s, d, "embeddings")),
     "op5_substring_dedup": _documents(seed_extend.op5),
