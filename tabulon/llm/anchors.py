@@ -15,17 +15,24 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.llm.common import arrow_map
 
-PACKED = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("key", T.LongType()),
-                       *[T.StructField(x, T.BinaryType()) for x in ("hashes", "keys", "low", "high", "known")]])
-PLACES = T.StructType([T.StructField("key", T.LongType()), T.StructField("places", T.BinaryType())])
 U32, U16 = np.uint32, np.uint16
 
 
+def packed_schema(*columns: str) -> T.StructType:
+    """A range and packed columns; the last three carry places that are settled, by range of their keys."""
+    return T.StructType([T.StructField("part", T.IntegerType()), *[T.StructField(x, T.BinaryType()) for x in columns],
+                         *[T.StructField(x, T.BinaryType()) for x in ("of_keys", "of_sizes", "of_places")]])
+
+
+PACKED = packed_schema("hashes", "keys", "low", "high", "known")
+SETTLED = packed_schema()
+PLACES = T.StructType([T.StructField("key", T.LongType()), T.StructField("places", T.BinaryType())])
+
+
 def window_anchor(hashes: np.ndarray, span: int) -> np.ndarray:
     """Of each run of `span` hashes, the position of the smallest (rightmost of equals).
 
@@ -48,45 +55,85 @@ def window_anchor(hashes: np.ndarray, span: int) -> np.ndarray:
     return np.where(right, at[span - width : span - width + n], at[:n])
 
 
-def by_key(keys: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(key, places as packed uint32) with the places of a key together."""
+def settle(parts: int, keys: np.ndarray, places: np.ndarray) -> list[tuple]:
+    """(range of the keys, keys, sizes, places) for places (numbers or pairs) sorted by key."""
     if not len(keys):
-        return
+        return []
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    size = np.diff([*new, len(keys)])
+    part = keys[new] % parts
+    out = []
+    for p in np.unique(part):
+        on = part == p
+        out.append((int(p), keys[new[on]].tobytes(), size[on].astype(U32).tobytes(),
+                    places[np.repeat(on, size)].astype(U32).tobytes()))
+    return out
+
+
+def sorted_places(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((places, keys))
-    keys, places = keys[order], places[order].astype(U32)
-    cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    for a, b in zip(cut, [*cut[1:], len(keys)], strict=True):
-        yield int(keys[a]), places[a:b].tobytes()
+    return keys[order], places[order]
+
+
+def rows_to_batch(schema: T.StructType, rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of a packed schema; short rows are filled with nulls up to the settled columns."""
+    n = len(schema.fields)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i == 0 else pa.binary()) for i in range(n)],
+                                      names=schema.names)
+
+
+def settled_rows(schema: T.StructType, rows: list[tuple]) -> list[tuple]:
+    return [(r[0], *[None] * (len(schema.fields) - 4), *r[1:]) for r in rows]
+
+
+def passed_on(got: pa.Table) -> list[tuple]:
+    """The settled rows among those of a range."""
+    done = got.filter(pc.is_valid(got["of_keys"]))
+    return list(zip(*[done[x].to_pylist() for x in SETTLED.names], strict=True))
+
+
+def unpack(width: int) -> Callable[[pa.Table], pa.Table]:
+    """One row for each key of a range, with all its places (`width` numbers each)."""
+
+    def run(got: pa.Table) -> pa.Table:
+        keys, size, places = _joined(got["of_keys"], np.int64), _joined(got["of_sizes"], U32).astype(np.int64), _joined(got["of_places"], U32)
+        places = places.reshape(-1, width)
+        start = np.cumsum(size) - size
+        order = np.argsort(keys, kind="stable")
+        keys, size, start = keys[order], size[order], start[order]
+        places = places[np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+        cut = np.concatenate([[0], np.cumsum(size)])[np.concatenate([new, [len(keys)]])] if len(keys) else [0]
+        return pa.table({"key": pa.array(keys[new], pa.int64()),
+                         "places": pa.array([places[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+
+    return run
 
 
 def pack(parts: int, hashes: np.ndarray, keys: np.ndarray, places: np.ndarray, known: np.ndarray,
          known_keys: np.ndarray, known_places: np.ndarray) -> pa.RecordBatch:
-    """One row for each hash range with its entries and the hashes known as shared; one for each key known."""
-    rows: list[tuple] = []
+    """One row for each hash range with its entries and the hashes known as shared, and the places settled here."""
     part, known_part = (hashes >> np.uint64(32)) % np.uint64(parts), (known >> np.uint64(32)) % np.uint64(parts)
     order, known_order = np.argsort(part, kind="stable"), np.argsort(known_part, kind="stable")
     part, known_part = part[order], known_part[known_order]
+    rows = settled_rows(PACKED, settle(parts, *sorted_places(known_keys, known_places)))
     for p in np.union1d(part, known_part):
         at = order[np.searchsorted(part, p) : np.searchsorted(part, p, side="right")]
         kn = known_order[np.searchsorted(known_part, p) : np.searchsorted(known_part, p, side="right")]
-        rows.append((int(p), None, hashes[at].astype(U32).tobytes(), keys[at].tobytes(),
+        rows.append((int(p), hashes[at].astype(U32).tobytes(), keys[at].tobytes(),
                      (places[at] & 0xFFFF).astype(U16).tobytes(), (places[at] >> 16).astype(U16).tobytes(),
-                     known[kn].astype(U32).tobytes()))
-    for key, at in by_key(known_keys, known_places):
-        rows.append((key % parts, key, None, None, at, None, None))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), *[pa.binary()] * 5))],
-        names=PACKED.names)
+                     known[kn].astype(U32).tobytes(), None, None, None))
+    return rows_to_batch(PACKED, rows)
 
 
 def _joined(column, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(x for x in column.to_pylist() if x), dtype)
 
 
-def resolve_shared(got: pa.Table, every: bool) -> pa.Table:
+def resolve_shared(got: pa.Table, every: bool, parts: int) -> pa.Table:
     """The entries of one hash range whose hash several keys hold (`every`: that occurs twice), or that some batch
     knows as shared."""
-    passed, packed = got.filter(pc.is_valid(got["key"])), got.filter(pc.is_null(got["key"]))
+    packed = got.filter(pc.is_null(got["of_keys"]))
     h, keys = _joined(packed["hashes"], U32), _joined(packed["keys"], np.int64)
     places = _joined(packed["low"], U16).astype(np.int64) | (_joined(packed["high"], U16).astype(np.int64) << 16)
     known = np.unique(_joined(got["known"], U32))
@@ -98,8 +145,7 @@ def resolve_shared(got: pa.Table, every: bool) -> pa.Table:
     if len(known) and len(h):
         shared |= known[np.minimum(np.searchsorted(known, h[start]), len(known) - 1)] == h[start]
     on = np.repeat(shared, end - start)
-    out = [*zip(passed["key"].to_pylist(), passed["low"].to_pylist(), strict=True), *by_key(keys[on], places[on])]
-    return pa.table({"key": pa.array([k for k, _ in out], pa.int64()), "places": pa.array([x for _, x in out], pa.binary())})
+    return pa.Table.from_batches([rows_to_batch(SETTLED, [*passed_on(got), *settle(parts, *sorted_places(keys[on], places[on]))])])
 
 
 def shared_places(docs: DataFrame, parts: int,
@@ -128,5 +174,5 @@ def shared_places(docs: DataFrame, parts: int,
                 yield pack(parts, h[~on], key[row[~on]], place[~on], h[start[shared]], key[row[on]], place[on])
 
     packed = arrow_map(docs, run, PACKED)
-    found = packed.groupBy("part").applyInArrow(lambda got: resolve_shared(got, same_document_counts), PLACES)
-    return found.groupBy("key").agg(F.collect_list("places").alias("places"))
+    found = packed.groupBy("part").applyInArrow(lambda got: resolve_shared(got, same_document_counts, parts), SETTLED)
+    return found.groupBy("part").applyInArrow(unpack(1), PLACES)

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.anchors import PLACES, U16, U32, _joined, by_key, shared_places, window_anchor
+from tabulon.llm.anchors import (PLACES, SETTLED, U16, U32, _joined, packed_schema, passed_on, rows_to_batch, settle,
+                                 settled_rows, shared_places, sorted_places, unpack, window_anchor)
 from tabulon.llm.common import arrow_map, parts_for
 from tabulon.llm.words import SPACE, Words, byte_table, mix, shingle_hashes, text_blocks
 
@@ -58,8 +59,7 @@ def anchors_of(texts: pa.Array, window: int = WINDOW, seed: int = SEED) -> tuple
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-ENTRIES = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("key", T.LongType()),
-                        *[T.StructField(x, T.BinaryType()) for x in ("hashes", "checks", "owners", "keys", "low", "high")]])
+ENTRIES = packed_schema("hashes", "checks", "owners", "keys", "low", "high")
 
 
 def _least_owner(order_by: tuple, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,7 +76,7 @@ def extend(batches: Iterator[pa.RecordBatch], parts: int, window: int, seed: int
     for batch in batches:
         owner = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         key = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-        places = [np.frombuffer(b"".join(x), U32) for x in batch.column(3).to_pylist()]
+        places = [np.frombuffer(x, U32) for x in batch.column(3).to_pylist()]
         got = []
         for i, j, data, bounds in text_blocks(batch.column(2)):
             words = Words(data, bounds, _TABLES)
@@ -99,32 +99,30 @@ def extend(batches: Iterator[pa.RecordBatch], parts: int, window: int, seed: int
         order, _, least = _least_owner((check, h), owner[row])
         h, check, row, place = h[order], check[order], row[order], place[order]
         gone = owner[row] > least
-        rows = [(k % parts, k, None, None, None, None, at, None) for k, at in by_key(key[row[gone]], place[gone])]
+        rows = settled_rows(ENTRIES, settle(parts, *sorted_places(key[row[gone]], place[gone])))
         h, check, row, place = h[~gone], check[~gone], row[~gone], place[~gone]
         part = (h >> np.uint64(32)) % np.uint64(parts)
         order = np.argsort(part, kind="stable")
         part = part[order]
         for p in np.unique(part):
             at = order[np.searchsorted(part, p) : np.searchsorted(part, p, side="right")]
-            rows.append((int(p), None, h[at].tobytes(), check[at].tobytes(), owner[row[at]].tobytes(), key[row[at]].tobytes(),
-                         (place[at] & 0xFFFF).astype(U16).tobytes(), (place[at] >> 16).astype(U16).tobytes()))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), *[pa.binary()] * 6))],
-            names=ENTRIES.names)
+            rows.append((int(p), h[at].tobytes(), check[at].tobytes(), owner[row[at]].tobytes(), key[row[at]].tobytes(),
+                         (place[at] & 0xFFFF).astype(U16).tobytes(), (place[at] >> 16).astype(U16).tobytes(),
+                         None, None, None))
+        yield rows_to_batch(ENTRIES, rows)
 
 
-def resolve(got: pa.Table) -> pa.Table:
-    """(key, places) of the windows of one hash range that a document with a smaller id holds too."""
-    passed, packed = got.filter(pc.is_valid(got["key"])), got.filter(pc.is_null(got["key"]))
-    out = list(zip(passed["key"].to_pylist(), passed["low"].to_pylist(), strict=True))
+def resolve(got: pa.Table, parts: int) -> pa.Table:
+    """The windows of one hash range that a document with a smaller id holds too."""
+    packed, out = got.filter(pc.is_null(got["of_keys"])), passed_on(got)
     h = _joined(packed["hashes"], np.uint64)
     if len(h):
         check, owner, keys = _joined(packed["checks"], U32), _joined(packed["owners"], np.int64), _joined(packed["keys"], np.int64)
         places = _joined(packed["low"], U16).astype(np.int64) | (_joined(packed["high"], U16).astype(np.int64) << 16)
         order, _, least = _least_owner((check, h), owner)
         gone = owner[order] > least
-        out += by_key(keys[order][gone], places[order][gone])
-    return pa.table({"key": pa.array([k for k, _ in out], pa.int64()), "places": pa.array([x for _, x in out], pa.binary())})
+        out += settle(parts, *sorted_places(keys[order][gone], places[order][gone]))
+    return pa.Table.from_batches([rows_to_batch(SETTLED, out)])
 
 
 def repeated_windows(docs: DataFrame, *, window: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -133,10 +131,11 @@ def repeated_windows(docs: DataFrame, *, window: int = WINDOW, seed: int = SEED)
     docs = docs.select("owner", "key", "text")
     shared = shared_places(docs.where(F.col("owner").isNotNull() & F.col("text").isNotNull()), parts,
                            lambda texts: anchors_of(texts, window, seed), same_document_counts=False)
-    near = docs.join(shared, "key").where(F.col("owner").isNotNull()).select("owner", "key", "text", "places")
+    # The same columns as the final join takes, so that Spark shuffles the texts once for both.
+    near = docs.join(shared, "key").select("owner", "key", "text", "places")
     packed = arrow_map(near, lambda b: extend(b, parts, window, seed), ENTRIES)
-    found = packed.groupBy("part").applyInArrow(resolve, PLACES)
-    return found.groupBy("key").agg(F.collect_list("places").alias("places"))
+    found = packed.groupBy("part").applyInArrow(lambda got: resolve(got, parts), SETTLED)
+    return found.groupBy("part").applyInArrow(unpack(1), PLACES)
 
 
 KEPT = T.StructType([T.StructField("owner", T.LongType()), T.StructField("kept", T.BinaryType()),
@@ -167,7 +166,7 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 total.append(len(words))
                 if places:
                     mark = np.zeros(len(words) + 1, np.int32)
-                    at = np.unique(np.frombuffer(b"".join(places), U32)).astype(np.int64)
+                    at = np.unique(np.frombuffer(places, U32)).astype(np.int64)
                     mark[at] += 1
                     np.subtract.at(mark, at + window, 1)
                     words = [words[i] for i in np.flatnonzero(np.cumsum(mark[:-1]) == 0)]
