@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.anchors import PLACES, U32, _joined, shared_places, window_anchor
+from tabulon.llm.anchors import (PLACES, SETTLED, U32, _joined, packed_schema, passed_on, rows_to_batch, settle, settled_rows,
+                                 shared_places, unpack, window_anchor)
 from tabulon.llm.common import arrow_map, parts_for
 from tabulon.llm.seed_extend import keyed
 from tabulon.llm.words import mix, powers, text_blocks
@@ -107,14 +108,13 @@ def anchors_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-STRETCHES = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("key", T.LongType()),
-                          *[T.StructField(x, T.BinaryType()) for x in ("buckets", "keys", "starts", "sizes", "fronts", "bytes")]])
+STRETCHES = packed_schema("buckets", "wholes", "keys", "starts", "sizes", "fronts", "bytes")
 
 
-def _runs_by_key(keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(key, byte runs as packed uint32 pairs), touching runs joined."""
+def _runs(keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, (start, end)) of the byte runs by key, touching runs joined."""
     if not len(keys):
-        return
+        return keys, np.zeros((0, 2), np.int64)
     order = np.lexsort((end, start, keys))
     keys, start, end = keys[order], start[order], end[order]
     group = np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]]))
@@ -122,19 +122,15 @@ def _runs_by_key(keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterat
     reach = np.maximum.accumulate(end + lift)
     new = np.flatnonzero(np.concatenate([[True], (start + lift)[1:] > reach[:-1]]))
     last = np.concatenate([new[1:], [len(keys)]]) - 1
-    runs = np.stack([start[new], reach[last] - lift[new]], axis=1).astype(U32)
-    keys = keys[new]
-    cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    for a, b in zip(cut, [*cut[1:], len(keys)], strict=True):
-        yield int(keys[a]), runs[a:b].tobytes()
+    return keys[new], np.stack([start[new], reach[last] - lift[new]], axis=1)
 
 
 def stretches(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """(key, text, places) -> the bytes of the suffixes at shared anchors, by bucket; equal ones of a batch once."""
+    """(owner, key, text, places) -> the bytes of the suffixes at shared anchors, by bucket; equal ones of a batch once."""
     for batch in batches:
-        key = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        places = [np.unique(np.frombuffer(b"".join(x), U32)) for x in batch.column(2).to_pylist()]
-        for i, j, data, bounds in text_blocks(batch.column(1), 4 * BLOCK):
+        key = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        places = [np.frombuffer(x, U32) for x in batch.column(3).to_pylist()]
+        for i, j, data, bounds in text_blocks(batch.column(2), 2 * BLOCK):
             at, first, last, of, total = _anchored(data, bounds)
             if not len(at):
                 continue
@@ -162,17 +158,15 @@ def stretches(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Reco
             many = np.diff([*head, len(side)]) > 1
             twice = np.repeat(many, np.diff([*head, len(side)]))
             keys, base = key[row + i], bounds[row]
-            rows = [(k % parts, k, None, None, None, None, None, runs) for k, runs in
-                    _runs_by_key(keys[twice], (start - base)[twice], (stop - base)[twice])]
+            rows = settled_rows(STRETCHES, settle(parts, *_runs(keys[twice], (start - base)[twice], (stop - base)[twice])))
             part = (side[head] >> np.uint64(32)) % np.uint64(parts)
             for p in np.unique(part):
                 h = head[part == p]
-                rows.append((int(p), None, side[h].tobytes(), keys[h].tobytes(), (start - base)[h].astype(U32).tobytes(),
+                rows.append((int(p), side[h].tobytes(), whole[h].tobytes(), keys[h].tobytes(), (start - base)[h].astype(U32).tobytes(),
                              (stop - start)[h].astype(U32).tobytes(), front[h].astype(np.uint16).tobytes(),
-                             b"".join(data[a:b].tobytes() for a, b in zip(start[h], stop[h], strict=True))))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), *[pa.binary()] * 6))],
-                names=STRETCHES.names)
+                             b"".join(data[a:b].tobytes() for a, b in zip(start[h], stop[h], strict=True)),
+                             None, None, None))
+            yield rows_to_batch(STRETCHES, rows)
 
 
 def equal_suffixes(text: np.ndarray, position: np.ndarray, bucket: np.ndarray) -> np.ndarray:
@@ -237,19 +231,16 @@ def equal_suffixes(text: np.ndarray, position: np.ndarray, bucket: np.ndarray) -
     return twice
 
 
-def resolve(got: pa.Table) -> pa.Table:
-    """(key, byte runs) of the repeated bytes in the stretches of one range of buckets."""
-    passed, packed = got.filter(pc.is_valid(got["key"])), got.filter(pc.is_null(got["key"]))
-    out = list(zip(passed["key"].to_pylist(), passed["bytes"].to_pylist(), strict=True))
+def resolve(got: pa.Table, parts: int) -> pa.Table:
+    """The byte runs of the repeated bytes in the stretches of one range of buckets."""
+    packed, out = got.filter(pc.is_null(got["of_keys"])), passed_on(got)
     side = _joined(packed["buckets"], np.uint64)
     if len(side):
         keys, first = _joined(packed["keys"], np.int64), _joined(packed["starts"], U32).astype(np.int64)
         size, front = _joined(packed["sizes"], U32).astype(np.int64), _joined(packed["fronts"], np.uint16).astype(np.int64)
         data = _joined(packed["bytes"], np.uint8)
         place = np.cumsum(size) - size
-        total = _prefix(data)
-        whole = _span_hash(total, place, place + size) ^ mix(size.astype(np.uint64))
-        del total
+        whole = _joined(packed["wholes"], np.uint64)
         order = np.lexsort((whole, front, side))
         s, w, f = side[order], whole[order], front[order]
         new = np.concatenate([[True], (s[1:] != s[:-1]) | (w[1:] != w[:-1]) | (f[1:] != f[:-1])])
@@ -262,7 +253,6 @@ def resolve(got: pa.Table) -> pa.Table:
         count = np.bincount(bucket)
         keep = count[bucket] > 1
         one, bucket = one[keep], bucket[keep]
-        stands = {}  # representative -> all its equals
         if len(one):
             of = np.cumsum(new) - 1
             member = np.argsort(of, kind="stable")
@@ -295,20 +285,21 @@ def resolve(got: pa.Table) -> pa.Table:
                     for m in order[member[head[g] : tail[g]]]:
                         marked.append((np.full(len(mine), keys[m]), first[m] + mine, first[m] + mine + LENGTH))
                 i = j
-        out += _runs_by_key(*(np.concatenate(x) for x in zip(*marked, strict=True)))
-    return pa.table({"key": pa.array([k for k, _ in out], pa.int64()), "places": pa.array([x for _, x in out], pa.binary())})
+        out += settle(parts, *_runs(*(np.concatenate(x) for x in zip(*marked, strict=True))))
+    return pa.Table.from_batches([rows_to_batch(SETTLED, out)])
 
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:
     """(key, places): the byte runs of each row of (owner, key, text) that LENGTH-byte repeats cover."""
-    parts = parts_for(docs, 8 << 20)
+    parts = parts_for(docs, 4 << 20)
     docs = docs.select("owner", "key", "text")
     whole = docs.where(F.octet_length("text") >= LENGTH).select(F.lit(0).cast("long").alias("owner"), "key", "text")
     shared = shared_places(whole, parts, anchors_of, same_document_counts=True)
-    near = docs.join(shared, "key").select("key", "text", "places")
+    # The same columns as the final join takes, so that Spark shuffles the texts once for both.
+    near = docs.join(shared, "key").select("owner", "key", "text", "places")
     packed = arrow_map(near, lambda b: stretches(b, parts), STRETCHES)
-    found = packed.groupBy("part").applyInArrow(resolve, PLACES)
-    return found.groupBy("key").agg(F.collect_list("places").alias("places"))
+    found = packed.groupBy("part").applyInArrow(lambda got: resolve(got, parts), SETTLED)
+    return found.groupBy("part").applyInArrow(unpack(2), PLACES)
 
 
 KEPT = T.StructType([T.StructField("owner", T.LongType()), T.StructField("kept", T.BinaryType()),
@@ -327,7 +318,7 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 raw = text.as_py() or b""
                 parts, at, n = [], 0, 0
                 if places:
-                    runs = np.frombuffer(b"".join(places), U32).reshape(-1, 2)
+                    runs = np.frombuffer(places, U32).reshape(-1, 2)
                     for a, b in runs[np.lexsort((runs[:, 1], runs[:, 0]))].tolist():
                         if a > at or not n:
                             parts.append(raw[at:a])
