@@ -40,9 +40,13 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def parts_for(df: DataFrame, per_part: int = 16 << 20) -> int:
-    """Number of key ranges so that a range's share of the input stays near `per_part` bytes."""
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // per_part), 16)
+    """Number of key ranges so that a range's share of the input stays near `per_part` bytes.
+
+    Where Spark can't estimate the size (rows made in the driver), the number of shuffle partitions decides.
+    """
+    least = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16)
+    size = input_bytes(df)
+    return least if size >= 1 << 60 else max(least, -(-size // per_part))
 
 
 def deliver(spark: SparkSession) -> None:
