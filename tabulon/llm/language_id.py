@@ -30,6 +30,8 @@ FEATURES = 1 << 15
 UNDEFINED = "und"
 #: Languages whose counts a task holds at a time.
 HELD = 32
+#: Lead in loss below which the pipeline takes a text's language for undecided; clean documents should stay.
+STAGE_GAP = 0.002
 
 _TABLE = np.full(256, 32, np.uint8)
 _TABLE[97:123] = np.arange(97, 123)
@@ -207,7 +209,7 @@ def op9(documents: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those whose language stays ambiguous, go."""
+    """Documents without a letter, and those between two languages (STAGE_GAP), go."""
     model = fit(docs, train=training_rows())
-    out, names = identify(docs, model)
+    out, names = identify(docs, model, ambiguous_gap=STAGE_GAP)
     return out.where(F.col(names["has_letter"]) & ~F.col(names["ambiguous"])).select(*[F.col(f"`{c}`") for c in docs.columns])
