@@ -42,13 +42,15 @@ def is_numeric(df: DataFrame, name: str) -> bool:
 # shape first keeps obvious text away from them.
 NUMBER_SHAPE = r"^\s*[+-]?(\d|\.\d|(?i:inf|nan))"
 INTEGER_SHAPE = r"^\s*[+-]?\d+\s*$"
+# "12F" and "7D" are codes, not numbers, though Spark's cast reads them as Java literals.
+LITERAL_SUFFIX = r"[0-9.][fFdD]\s*$"
 DATE_SHAPE = r"^\s*[+-]?\d"
 
 
 def fails_number(c: Column, to: str = "double") -> Column:
     """True for a non-null value that does not parse as ``to`` (long/double)."""
     shape = INTEGER_SHAPE if to in ("long", "int", "bigint") else NUMBER_SHAPE
-    return c.isNotNull() & (~c.rlike(shape) | c.try_cast(to).isNull())
+    return c.isNotNull() & (~c.rlike(shape) | c.rlike(LITERAL_SUFFIX) | c.try_cast(to).isNull())
 
 
 def fails_timestamp(c: Column, fmt: str | None = None) -> Column:
@@ -60,7 +62,7 @@ def fails_timestamp(c: Column, fmt: str | None = None) -> Column:
 def to_number(c: Column | str) -> Column:
     """Coerce to double, unparsable text becomes null (pandas ``errors='coerce'``)."""
     c = q(c) if isinstance(c, str) else c
-    return c.try_cast("double")
+    return F.when(~c.cast("string").rlike(LITERAL_SUFFIX), c.try_cast("double"))
 
 
 def finite_or_null(c: Column | str) -> Column:

@@ -14,6 +14,10 @@ would move the whole table into one task; instead:
 
 from __future__ import annotations
 
+import datetime as dt
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,11 +93,18 @@ def row_index(df: DataFrame, order_by, name: str = "row_index", num_partitions:
     return out
 
 
+def _scalar(value, kind: pa.DataType) -> pa.Scalar:
+    """A collected value as an Arrow scalar; Spark hands timestamps out as naive local times."""
+    if pa.types.is_timestamp(kind) and kind.tz is not None and value.tzinfo is None:
+        value = value.astimezone(dt.timezone.utc)
+    return pa.scalar(value, type=kind)
+
+
 def forward_fill(df: DataFrame, cols: list[str], order_by, num_partitions: int | None = None) -> DataFrame:
     """Replace nulls by the last earlier non-null value in ``order_by`` order; leading nulls stay.
 
-    Per partition: local fill with pandas ``ffill`` (Arrow batches, no shuffle),
-    seeded with the carry-in: the last non-null of the nearest earlier
+    Per partition: local fill of the named columns in Arrow (no shuffle, other
+    columns pass through untouched), seeded with the carry-in: the last non-null of the nearest earlier
     partition that has one (a table of at most one row per partition).
     """
     if not cols:
@@ -113,27 +124,29 @@ def forward_fill(df: DataFrame, cols: list[str], order_by, num_partitions: int |
     # One entry per partition, shipped once per executor rather than in every task closure.
     carry_b = df.sparkSession.sparkContext.broadcast(carry)
 
+    at = [r.columns.index(c) for c in cols]
+    pid_at = r.columns.index(_PID)
+
     def fill(batches):
         state: dict[int, list] = {}
-        for pdf in batches:
-            if pdf.empty:
-                yield pdf
-                continue
-            pid = int(pdf[_PID].iloc[0])
-            prev = state.get(pid) or list(carry_b.value.get(pid, [None] * len(cols)))
-            for j, c in enumerate(cols):
-                s = pdf[c].copy()
-                if prev[j] is not None and s.isna().iloc[0]:
-                    s.iloc[0] = prev[j]
-                s = s.ffill()
-                pdf[c] = s
-                lv = s.dropna()
-                if len(lv):
-                    prev[j] = lv.iloc[-1]
-            state[pid] = prev
-            yield pdf
-
-    filled = r.sortWithinPartitions(*keys, F.col(_TB)).mapInPandas(fill, schema)
+        for batch in batches:
+            if batch.num_rows:
+                pid = batch.column(pid_at)[0].as_py()
+                if pid not in state:
+                    state[pid] = [None if v is None else _scalar(v, batch.column(i).type)
+                                  for v, i in zip(carry_b.value.get(pid, [None] * len(cols)), at)]
+                arrays = list(batch.columns)
+                for j, i in enumerate(at):
+                    filled = pc.fill_null_forward(arrays[i])
+                    if state[pid][j] is not None:
+                        filled = pc.fill_null(filled, state[pid][j])
+                    arrays[i] = filled
+                    if filled[-1].is_valid:
+                        state[pid][j] = filled[-1]
+                batch = pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
+            yield batch
+
+    filled = r.sortWithinPartitions(*keys, F.col(_TB)).mapInArrow(fill, schema)
     return filled.drop(_TB, _PID)
 
 

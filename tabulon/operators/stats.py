@@ -30,6 +30,12 @@ def _sql_str(s: str) -> str:
 _EXACT_SUM = "decimal(38,10)"
 
 
+def _sum(v):
+    """Exact where the values fit the decimal, else (huge, tiny or infinite values) the sum of doubles."""
+    size = F.max(F.abs(v))
+    return F.when((size < 1e15) & (size >= 1e-2), F.sum(v.try_cast(_EXACT_SUM)).cast("double")).otherwise(F.sum(v))
+
+
 def column_summary(df: DataFrame, cols: list[str] | None = None, digits: int | None = 4,
                    with_median: bool = True, half_even: bool = False) -> DataFrame:
     """A1: min, max, mean, median, std (sample), sum, count and missing % per numeric column.
@@ -46,12 +52,12 @@ def column_summary(df: DataFrame, cols: list[str] | None = None, digits: int | N
     for i, c in enumerate(cols):
         v = q(c).cast("double")
         aggs += [F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}"), F.avg(v).alias(f"av{i}"),
-                 F.stddev_samp(v).alias(f"sd{i}"), F.sum(v.cast(_EXACT_SUM)).alias(f"su{i}"), F.count(v).alias(f"n{i}")]
+                 F.stddev_samp(v).alias(f"sd{i}"), _sum(v).alias(f"su{i}"), F.count(v).alias(f"n{i}")]
     row = df.agg(*aggs)
     meds = quantiles(df, cols, [0.5]) if with_median else {c: [None] for c in cols}
     r = _rounder(digits, half_even)
     parts = ", ".join(
-        f"{_sql_str(c)}, mn{i}, mx{i}, av{i}, CAST({meds[c][0] if meds[c][0] is not None else 'NULL'} AS DOUBLE), "
+        f"{_sql_str(c)}, mn{i}, mx{i}, av{i}, CAST({'NULL' if meds[c][0] is None else repr(str(float(meds[c][0])))} AS DOUBLE), "
         f"sd{i}, su{i}, n{i}" for i, c in enumerate(cols))
     long = row.selectExpr(
         f"stack({len(cols)}, {parts}) AS (column, min, max, mean, median, std, sum, count)", "_rows")
@@ -63,7 +69,7 @@ def column_summary(df: DataFrame, cols: list[str] | None = None, digits: int | N
         F.round(F.try_divide(F.col("_rows") - F.col("count"), F.col("_rows")) * 100, 2).alias("missing_pct"))
 
 
-def histogram(df: DataFrame, cols: list[str] | None = None, bins: int = 20, max_cols: int = 8,
+def histogram(df: DataFrame, cols: list[str] | None = None, bins: int = 20, max_cols: int | None = None,
               edge_digits: int = 2) -> DataFrame:
     """A2: equal-width bins over [min, max] (last bin closed), zero bins included.
 
@@ -119,7 +125,7 @@ def value_counts(df: DataFrame, cols: list[str], k: int = 10) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def corr_matrix(df: DataFrame, cols: list[str] | None = None, max_cols: int = 12, digits: int | None = 3
+def corr_matrix(df: DataFrame, cols: list[str] | None = None, max_cols: int | None = None, digits: int | None = 3
                 ) -> DataFrame:
     """A4/V4: pairwise-complete Pearson correlation, long form ``(col_a, col_b, corr)``.
 

@@ -7,28 +7,41 @@ returned.  The full row count is a separate ``count()`` of the same plan.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 ROW_CAP = 200
 
-_COMMENT = re.compile(r"(--[^\n]*\n?)|(/\*.*?\*/)", re.S)
+_LOGICAL = "org.apache.spark.sql.catalyst.plans.logical."
+#: Plan nodes of statements that do more than read.
+_ACTIONS = ("Command", "ParsedStatement", "InsertIntoDir")
 
 
-def is_query(sql: str) -> bool:
-    """G1: only ``SELECT`` or ``WITH ... SELECT`` text (comments and parentheses skipped).
+def is_query(sql: str, spark: SparkSession | None = None) -> bool:
+    """G1: one statement whose parsed plan only reads.
 
-    The reference accepts only a ``SELECT`` prefix; ``WITH`` is also accepted
-    here.  A single statement only: a ``;`` followed by more text is refused.
+    Spark's own parser decides; a command, an insert or any other statement
+    node anywhere in the plan (below a ``WITH`` too) is refused.
     """
-    text = _COMMENT.sub(" ", sql).strip().lstrip("(").strip()
-    body = text.rstrip().rstrip(";")
-    if ";" in body:
+    spark = spark or SparkSession.active()
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql.strip().rstrip(";"))
+    except (PySparkException, Py4JJavaError):
         return False
-    head = body.split(None, 1)[0].upper() if body else ""
-    return head in ("SELECT", "WITH")
+    loader = plan.getClass().getClassLoader()
+    actions = [loader.loadClass(_LOGICAL + name) for name in _ACTIONS]
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        if any(a.isInstance(node) for a in actions):
+            return False
+        for nested in (node.children(), node.innerChildren()):
+            todo += [nested.apply(i) for i in range(nested.size())
+                     if loader.loadClass(_LOGICAL + "LogicalPlan").isInstance(nested.apply(i))]
+    return True
 
 
 def bind(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
@@ -38,7 +51,7 @@ def bind(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
 
 def query(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """Check, bind and plan; returns the lazy result (the whole result, no cap)."""
-    if not is_query(sql):
+    if not is_query(sql, spark):
         raise ValueError("Only SELECT queries allowed")
     if tables:
         bind(spark, tables)
@@ -51,15 +64,16 @@ class AdhocResult:
     rows: list[dict]
     row_count: int
     error: str | None = None
+    frame: DataFrame | None = None
 
 
 def run_custom_query(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None = None,
                      row_cap: int = ROW_CAP) -> AdhocResult:
-    """First ``row_cap`` rows, full row count, error returned as a value."""
+    """First ``row_cap`` rows as a preview, full row count, the whole result as a frame; error as a value."""
     try:
         df = query(spark, sql, tables)
         got = df.limit(row_cap + 1).collect()
         n = len(got) if len(got) <= row_cap else df.count()     # a second run only past the cap
-        return AdhocResult(df.columns, [r.asDict() for r in got[:row_cap]], n)
+        return AdhocResult(df.columns, [r.asDict() for r in got[:row_cap]], n, frame=df)
     except Exception as exc:  # error as value, like the reference
         return AdhocResult([], [], 0, str(exc).strip().splitlines()[0])

@@ -127,13 +127,18 @@ SELECT CAST(SUM(CASE WHEN order_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS orde
        CAST(SUM(CASE WHEN ship_date IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS ship_date_nulls,
        CAST(SUM(CASE WHEN category IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS category_nulls,
        CAST(SUM(CASE WHEN region IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS region_nulls,
-       CAST(SUM(CASE WHEN segment IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS segment_nulls FROM sales"""))(
+       CAST(SUM(CASE WHEN segment IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS segment_nulls,
+       CAST(SUM(CASE WHEN quantity IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS quantity_nulls,
+       CAST(SUM(CASE WHEN revenue IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS revenue_nulls,
+       CAST(SUM(CASE WHEN cost IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS cost_nulls FROM sales"""))(
     lambda s, d: qp.null_check(_sales(s, d)))
 
 register("pack_distinct_counts", with_sales("""
 SELECT COUNT(DISTINCT order_id) AS order_id_unique, COUNT(DISTINCT line_no) AS line_no_unique,
        COUNT(DISTINCT ship_date) AS ship_date_unique, COUNT(DISTINCT category) AS category_unique,
-       COUNT(DISTINCT region) AS region_unique, COUNT(DISTINCT segment) AS segment_unique FROM sales"""))(
+       COUNT(DISTINCT region) AS region_unique, COUNT(DISTINCT segment) AS segment_unique,
+       COUNT(DISTINCT quantity) AS quantity_unique, COUNT(DISTINCT revenue) AS revenue_unique,
+       COUNT(DISTINCT cost) AS cost_unique FROM sales"""))(
     lambda s, d: qp.distinct_counts(_sales(s, d)))
 
 register("pack_qty_revenue_corr", with_sales("""

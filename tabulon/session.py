@@ -64,6 +64,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # sessions without a local SparkContext
         sc = None
     if not path:
+        if sc is None or not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tabulon-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if sc is not None and sc.getCheckpointDir() is None:

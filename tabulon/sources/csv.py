@@ -6,8 +6,6 @@ few header/sample lines (bounded) come to the driver for sniffing.
 
 from __future__ import annotations
 
-import csv
-import io
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +20,7 @@ DELIMITERS = [",", ";", "\t", "|"]
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
              "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 SAMPLE_BYTES = 4096
+MAX_COLUMNS = 200_000
 _EXTRA = "__extra_field"
 # A null marker no real field holds, so empty fields stay "" until S6 decides.
 _NO_NULL = "\u0000\u0001no-null\u0001\u0000"
@@ -76,8 +75,10 @@ def clean_column_names(df: DataFrame) -> DataFrame:
     return df.toDF(*safe_names(df.columns))
 
 
-def _header(sample: str, sep: str) -> list[str]:
-    first = next(csv.reader(io.StringIO(sample), delimiter=sep), [])
+def _header(spark: SparkSession, path: str, sep: str, encoding: str, multi_line: bool) -> list[str]:
+    """Names from the whole first record, decoded like the data."""
+    row = _reader(spark, sep, encoding, multi_line).option("header", False).csv(path).first()
+    first = ["" if v is None else v for v in row] if row is not None else []
     names, seen = [], {}
     for i, n in enumerate(first):
         n = n if n != "" else f"Unnamed: {i}"
@@ -90,21 +91,28 @@ def _header(sample: str, sep: str) -> list[str]:
     return names
 
 
-def read_lenient(spark: SparkSession, path: str, sep: str, encoding: str = "utf-8") -> DataFrame:
+def _reader(spark: SparkSession, sep: str, encoding: str, multi_line: bool):
+    """Standard quoting: a quote inside quotes is doubled, a backslash is an ordinary character."""
+    return (spark.read.option("sep", sep).option("encoding", _SPARK_ENCODING.get(encoding, encoding))
+            .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+            .option("maxColumns", MAX_COLUMNS).option("mode", "PERMISSIVE")
+            .option("nullValue", _NO_NULL).option("emptyValue", ""))
+
+
+def read_lenient(spark: SparkSession, path: str, sep: str, encoding: str = "utf-8", multi_line: bool = False) -> DataFrame:
     """All-text read; short rows are padded with nulls, rows with too many fields are skipped.
 
     The schema has one spare field: a row that fills it had too many fields
     and is dropped (``DROPMALFORMED`` would also drop short rows).  Missing
     tokens become null afterwards (Spark itself reads ``NA`` as text).
+    ``multi_line`` accepts line breaks inside quotes; a file is then read by
+    one task instead of being split.
     """
-    names = _header(_sample(spark, path), sep)
+    names = _header(spark, path, sep, encoding, multi_line)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] +
                           [T.StructField(_EXTRA, T.StringType())])
-    raw = (spark.read.schema(schema)
-           .option("header", True).option("enforceSchema", True)
-           .option("sep", sep).option("encoding", _SPARK_ENCODING.get(encoding, encoding))
-           .option("mode", "PERMISSIVE").option("nullValue", _NO_NULL).option("emptyValue", "")
-           .csv(path))
+    raw = (_reader(spark, sep, encoding, multi_line).schema(schema)
+           .option("header", True).option("enforceSchema", True).csv(path))
     kept = raw.where(F.col(_EXTRA).isNull()).drop(_EXTRA)
     return kept.select(*[F.when(q(c).isin(NA_TOKENS), F.lit(None).cast("string")).otherwise(q(c)).alias(c)
                          for c in names])
@@ -166,11 +174,12 @@ def infer_types(df: DataFrame, dates: bool = True) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
-             infer: bool = True, clean_names: bool = False, dates: bool = True) -> DataFrame:
+             infer: bool = True, clean_names: bool = False, dates: bool = True,
+             multi_line: bool = False) -> DataFrame:
     """S1 (+S3-S7): headered delimited text with sniffed encoding/delimiter, lenient rows, NA tokens."""
     enc = encoding or detect_encoding(spark, path)
     delim = sep or detect_delimiter(_sample(spark, path))
-    df = read_lenient(spark, path, delim, enc)
+    df = read_lenient(spark, path, delim, enc, multi_line)
     if infer:
         df = infer_types(df, dates=dates)
     return clean_column_names(df) if clean_names else df

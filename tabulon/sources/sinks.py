@@ -12,11 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", quote_all: bool = False, mode: str = "overwrite") -> str:
-    """K1 (and K4 with ``quote_all``: every field quoted, embedded quotes doubled)."""
-    w = df.write.mode(mode).option("header", True).option("sep", sep)
-    if quote_all:
-        w = w.option("quoteAll", True).option("escape", '"')
-    w.csv(path)
+    """K1 (and K4 with ``quote_all``: every field quoted); embedded quotes are doubled."""
+    w = df.write.mode(mode).option("header", True).option("sep", sep).option("escape", '"')
+    w.option("quoteAll", quote_all).csv(path)
     return path
 
 
