@@ -31,15 +31,11 @@ def save_table(df: DataFrame, name: str | None = None, path: str | None = None,
 
 
 def pack_sql_text(results: dict, source: str, table: str, now: _dt.datetime | None = None) -> str:
-    """K3 text: a header, then title, description and SQL of every query that ran without error."""
-    now = now or _dt.datetime.now()
-    lines = [f"-- SQL Analytics Report: {source}", f"-- Table: {table}",
-             f"-- Generated: {now.strftime('%Y-%m-%d %H:%M')}\n"]
-    for r in results.values():
-        if r.error:
-            continue
-        lines += [f"-- === {r.title} ===", f"-- {r.desc}", r.sql.strip() + ";\n"]
-    return "\n".join(lines)
+    """K3 text: what the pack was made from, then each query that ran, with its title and purpose as comments."""
+    made = (now or _dt.datetime.now()).isoformat(sep=" ", timespec="minutes")
+    blocks = [f"-- Query pack over {table} (from {source}), written {made}"]
+    blocks += [f"-- {r.title}: {r.desc}\n{r.sql.strip().rstrip(';')};" for r in results.values() if not r.error]
+    return "\n\n".join(blocks) + "\n"
 
 
 def export_pack_sql(spark: SparkSession, results: dict, path: str, source: str, table: str) -> str:
