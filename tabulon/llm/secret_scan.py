@@ -47,6 +47,10 @@ and for you not with this that from have will your default guest public private
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])"
                    r"|(?:0?[1-9]|[12]\d|3[01])[-/.](?:0?[1-9]|1[0-2])[-/.](?:19|20)?\d\d|(?:19|20)\d\d")
+#: Fewest and most characters of a date.
+DATE_CHARS = (4, 10)
+#: One more span to put in place.
+SPAN_COST = log10(2)
 _LOOKS = str.maketrans("4@310$57!", "aaeiossti")
 
 
@@ -66,9 +70,29 @@ def _alphabet(c: str) -> int:
     return 26 if c.isascii() and c.isalpha() else 10 if c.isdigit() else 33 if c.isascii() else 1000
 
 
+def _walk_way(before: str, c: str) -> int:
+    """Rows that a step on the keyboard goes down; a change of it is a turn."""
+    return ROWS_AT[c][0] - ROWS_AT[before][0]
+
+
+def _cheapest(starts: list[tuple[int, float]], j: int) -> float:
+    """Least of base + log10(j - i) over the starts (i, base).
+
+    A start that an earlier one undercuts now is dropped: the gap of the logarithms only shrinks as j grows.
+    """
+    least, kept = float("inf"), []
+    for i, base in starts:
+        cost = base + log10(j - i)
+        if cost < least:
+            least = cost
+            kept.append((i, base))
+    starts[:] = kept
+    return least
+
+
 @lru_cache(maxsize=50_000)
 def guess_cost(value: str, words: tuple[str, ...] = COMMON) -> float:
-    """log10 of the guesses that the cheapest segmentation of the value takes."""
+    """log10 of the guesses that the cheapest segmentation of the value takes, over all segmentations."""
     n = len(value)
     rank = _ranks(words)
     longest = max(map(len, rank), default=0)
@@ -76,33 +100,40 @@ def guess_cost(value: str, words: tuple[str, ...] = COMMON) -> float:
     if len(low) != n:  # a letter whose lower case is longer
         low = plain = value
     best = [0.0] + [float("inf")] * n
-    single = 1 + log10(2)  # one more span to put in place
-    repeat = walk = turns = 1
-    turned = ""
-    dates = {}
-    for m in re.finditer(r"(?=(\d))", low):
-        if d := _DATE.match(low, m.start()):
-            dates.setdefault(d.end(), []).append(m.start())
+    dates: dict[int, list[int]] = {}
+    for m in re.finditer(r"(?=[0-9])", low):
+        for end in range(m.start() + DATE_CHARS[0], min(n, m.start() + DATE_CHARS[1]) + 1):
+            if _DATE.fullmatch(low, m.start(), end):
+                dates.setdefault(end, []).append(m.start())
     brute = [0.0]
     for c in value:
         brute.append(brute[-1] + log10(_alphabet(c)))
     open_brute = 0.0  # least of best[i] - brute[i] over earlier i
+    repeat = walk = turns = 1
+    way = 0
+    repeats: list[tuple[int, float]] = []  # where a repeat or walk that reaches j may start, with its cost but for the length
+    walks: list[tuple[int, float]] = []
     for j in range(1, n + 1):
-        c = low[j - 1]
-        options = [open_brute + brute[j] + log10(2)]
-        same = j > 1 and c == low[j - 2]
-        repeat = repeat + 1 if same else 1
-        beside = j > 1 and c in near.get(low[j - 2], ())
-        if beside:
-            way = f"{ROWS_AT.get(c, (0, 0))[0] - ROWS_AT.get(low[j - 2], (0, 0))[0]}"
-            turns = turns + (way != turned) if walk > 1 else 1
-            walk, turned = walk + 1, way
+        c, before = low[j - 1], low[j - 2] if j > 1 else ""
+        options = [open_brute + brute[j] + SPAN_COST]
+        if c == before:
+            repeat += 1
+        else:
+            repeat = 1
+            repeats.clear()
+        if c in near.get(before, ()):
+            last_turns, last_way, way = turns, way, _walk_way(before, c)
+            turns = turns + (way != last_way) if walk > 1 else 1
+            walk += 1
         else:
-            walk, turns, turned = 1, 1, ""
+            walk = turns = last_turns = 1
+            walks.clear()
         if repeat >= 3:
-            options.append(best[j - repeat] + log10(_alphabet(c) * repeat) + log10(2))
+            repeats.append((j - 3, best[j - 3]))
+            options.append(_cheapest(repeats, j) + log10(_alphabet(c)) + SPAN_COST)
         if walk >= 3:
-            options.append(best[j - walk] + log10(47 * walk) + turns * log10(4) + log10(2))
+            walks.append((j - 3, best[j - 3] - last_turns * log10(4)))
+            options.append(_cheapest(walks, j) + log10(47) + (1 + turns) * log10(4) + SPAN_COST)
         for k in range(max(0, j - longest), j - 1):
             r = rank.get(low[k:j])
             extra = 0.0
@@ -110,9 +141,9 @@ def guess_cost(value: str, words: tuple[str, ...] = COMMON) -> float:
                 r, extra = rank.get(plain[k:j]), log10(4)
             if r is not None:
                 upper = log10(2) if value[k:j] != low[k:j] else 0.0
-                options.append(best[k] + log10(r + 1) + extra + upper + log10(2))
+                options.append(best[k] + log10(r + 1) + extra + upper + SPAN_COST)
         for k in dates.get(j, ()):
-            options.append(best[k] + log10(365 * 120 if j - k > 4 else 120) + log10(2))
+            options.append(best[k] + log10(365 * 120 if j - k > 4 else 120) + SPAN_COST)
         best[j] = min(options)
         open_brute = min(open_brute, best[j] - brute[j])
     return best[n] if n else 0.0

@@ -218,6 +218,38 @@ def test_secret_spans():
     assert secret_scan.guess_cost("19991231") < secret_scan.guess_cost("83619402")
 
 
+def _span_costs(value):
+    """Every way to take value as one span, by its own definition."""
+    low, rank = value.lower(), {w: i + 1 for i, w in reversed(list(enumerate(secret_scan.COMMON)))}
+    size = secret_scan._alphabet
+    yield sum(math.log10(size(c)) for c in value)
+    if len(value) >= 3 and len(set(low)) == 1:
+        yield math.log10(size(low[0]) * len(low))
+    near, at = secret_scan._neighbours(), secret_scan.ROWS_AT
+    if len(value) >= 3 and all(b in near.get(a, ()) for a, b in zip(low, low[1:])):
+        ways = [at[b][0] - at[a][0] for a, b in zip(low, low[1:])]
+        yield math.log10(47 * len(low)) + (1 + sum(a != b for a, b in zip(ways, ways[1:]))) * math.log10(4)
+    upper = math.log10(2) if value != low else 0.0
+    if low in rank:
+        yield math.log10(rank[low] + 1) + upper
+    elif low.translate(secret_scan._LOOKS) in rank:
+        yield math.log10(rank[low.translate(secret_scan._LOOKS)] + 1) + math.log10(4) + upper
+    if secret_scan._DATE.fullmatch(low):
+        yield math.log10(365 * 120 if len(low) > 4 else 120)
+
+
+def test_guess_cost_is_the_least_of_all_segmentations():
+    rng = random.Random(4)
+    parts = ["password", "Dragon", "p4ssw0rd", "qwerty", "asdfdsa", "ddd", "111", "1999", "2024-01-31", "1/2/03", "xk", "9$", "tyty", "ß"]
+    for _ in range(150):
+        value = "".join(rng.choice(parts) for _ in range(rng.randint(1, 3)))[rng.randint(0, 2):]
+        best = [0.0]
+        for j in range(1, len(value) + 1):
+            best.append(min(best[i] + cost + math.log10(2) for i in range(j) for cost in _span_costs(value[i:j])))
+        assert secret_scan.guess_cost(value) == pytest.approx(best[-1]), value
+    assert secret_scan.guess_cost("qw" * 30_000 + "a" * 30_000) > 0  # very long walks and repeats
+
+
 def test_redaction(spark, docs):
     df = spark.createDataFrame([(1, "a password=b7db7aa4a5fcc78305 b", 31, "x"), (2, "clean", 5, "y"), (3, None, None, None)],
                                "doc_id long, text string, n_chars int, spans string")
