@@ -22,9 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.numeric import q
+from tabulon.operators.quantiles import stable_input
 from tabulon.session import materialize
 
 _TB = "__tb"
+_ROW = "__row"
 _PID = "__pid"
 TARGET_PARTITION_BYTES = 256 * 1024 * 1024
 MAX_PARTITIONS = 200_000
@@ -55,15 +57,17 @@ def _order_cols(order_by) -> list[Column]:
 def range_partitioned(df: DataFrame, order_by, num_partitions: int | None = None) -> DataFrame:
     """Range-partition on ``order_by`` + a tie-break, sort inside, pin with a checkpoint.
 
-    The tie-break is a hash of the whole row: rows with equal keys spread over
-    several partitions, and equal rows (whose relative order cannot matter)
-    stay deterministic.
+    The tie-break is a hash of the whole row, so rows with equal keys spread
+    over several partitions in a stable order; a row id splits equal rows,
+    whose relative order cannot matter.  The id must not change when a task
+    runs again, so an input that comes out of a shuffle is written first.
     """
     n = num_partitions or partitions_for(df)
     keys = _order_cols(order_by)
     tb = F.xxhash64(*[q(c) for c in df.columns]).alias(_TB)
-    ranged = (df.select("*", tb)
-                .repartitionByRange(n, *keys, F.col(_TB))
+    ranged = (stable_input(df, df.columns).select("*", tb, F.monotonically_increasing_id().alias(_ROW))
+                .repartitionByRange(n, *keys, F.col(_TB), F.col(_ROW))
+                .drop(_ROW)
                 .sortWithinPartitions(*keys, F.col(_TB))
                 .withColumn(_PID, F.spark_partition_id()))
     return materialize(ranged)

@@ -2,56 +2,76 @@
 
 Spark's exact ``percentile``/``median`` aggregate merges every distinct value
 of a column into a single buffer in one task; on a 100 TB column that task
-never finishes.  Here the k-th smallest value is found by narrowing a value
-window around the wanted rank:
-
-1. one job, all columns fused: ``count`` and a grid of ``percentile_approx``
-   points (a mergeable sketch, bounded memory per task);
-2. the grid brackets the wanted rank within the approximation error; the
-   next job counts exactly how many values fall below and inside each
-   bracket (so the rank inside is known) and draws a finer grid inside it;
-3. once a bracket is expected to be small, value counts inside it are
-   fetched (ties collapse into one row; at most ``COLLECT_LIMIT + 2`` rows
-   ever leave the tasks, whatever the bracket really holds) and the exact
-   order statistic is read off.
-
-Every job scans only the needed columns and shuffles only one aggregate row.
-Three to four jobs suffice up to 10^12 rows.  Interpolation is the linear
-rule used by pandas/numpy (and DuckDB ``quantile_cont``).
+never finishes.  Here the k-th smallest value is found by narrowing an open
+interval around the wanted rank:
+
+1. one job, all columns fused: counts, ends and a grid of
+   ``percentile_approx`` points (a mergeable sketch, bounded memory per task);
+2. two grid points around the rank are the pivots of the next job, which
+   counts exactly how many values lie below, at, between and above them and
+   draws a finer grid between them.  A rank that falls on a pivot is found,
+   however many rows hold that value; otherwise the interval shrinks to the
+   side that holds the rank and never widens again;
+3. once an interval holds few values by exact count, their value counts are
+   fetched and the order statistic is read off.
+
+Every job is one scan of the needed columns for all open intervals.  Each
+round shrinks the interval some hundredfold; a grid point that misses the rank
+costs a further round, never a wrong result.  NaN counts as missing, infinite
+values count.  Interpolation is the linear rule used by pandas/numpy (and
+DuckDB ``quantile_cont``).
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.numeric import q
 
-GRID = 256                # grid points per bracket and pass
+GRID = 256                # grid points per interval and pass
 ACCURACY = 10000          # percentile_approx accuracy (relative rank error 1/ACCURACY)
-COLLECT_LIMIT = 20000     # most value groups fetched for one bracket
+COLLECT_LIMIT = 20000     # most values fetched for all intervals together (GRID for each at least)
 
 
 @dataclass
 class _Target:
+    """A wanted order statistic: rank ``r`` among the ``inside`` values strictly between ``lo`` and ``hi``."""
     col: str
-    k: int                # 0-based rank among non-null values
-    lo: float = -math.inf
-    hi: float = math.inf
-    expect: float = 0.0   # expected number of values in [lo, hi]
+    k: int                # 0-based rank in the column
+    r: int
+    inside: int
+    grid: list[float] | None
+    lo: float | None = None       # None: unbounded
+    hi: float | None = None
     value: float | None = None
-    done: bool = False
 
-
-def _in(c, lo, hi):
-    return (c >= F.lit(lo)) & (c <= F.lit(hi))
+    def pivots(self) -> tuple[float | None, float | None]:
+        if self.grid is None:
+            return None, None
+        margin = 2.0 / ACCURACY + 1.0 / GRID
+        p = self.r / max(self.inside - 1, 1)
+        i, j = math.floor((p - margin) * GRID), math.ceil((p + margin) * GRID)
+        return float(self.grid[max(0, i)]), float(self.grid[min(GRID, j)])
 
 
 def _v(col: str):
-    return q(col).cast("double")
+    """The column as double, NaN as null."""
+    v = q(col).cast("double")
+    return F.when(~F.isnan(v), v)
+
+
+def _between(col: str, lo: float | None, hi: float | None):
+    v, cond = q(col).cast("double"), _v(col).isNotNull()
+    if lo is not None:
+        cond &= v > F.lit(lo)
+    if hi is not None:
+        cond &= v < F.lit(hi)
+    return cond
 
 
 def _grid(c: str, cond=None):
@@ -61,110 +81,79 @@ def _grid(c: str, cond=None):
 
 def kth_values(df: DataFrame, wanted: dict[str, list[int]], counts: dict[str, int],
                grids: dict[str, list[float]]) -> dict[tuple[str, int], float]:
-    """Exact k-th smallest non-null value for each (column, k), given whole-column grids."""
-    targets = [_Target(c, k) for c, ks in wanted.items() for k in sorted(set(ks)) if counts.get(c, 0) > 0]
-    for t in targets:
-        _bracket(t, grids[t.col], t.k, counts[t.col])
-    for _ in range(16):
-        open_ = [t for t in targets if not t.done]
-        if not open_:
-            break
-        small = [t for t in open_ if t.expect <= COLLECT_LIMIT // 2]
+    """Exact k-th smallest value for each (column, k), given whole-column grids."""
+    targets = [_Target(c, k, k, counts[c], grids[c]) for c, ks in wanted.items() for k in sorted(set(ks))
+               if counts.get(c, 0) > 0]
+    while todo := [t for t in targets if t.value is None]:
+        few = max(GRID, COLLECT_LIMIT // len({(t.col, t.lo, t.hi) for t in todo}))
+        small = [t for t in todo if t.inside <= few]
         if small:
             _fetch(df, small)
-        large = [t for t in open_ if t not in small and not t.done]
-        if large:
-            _step(df, large)
-    unresolved = [t for t in targets if not t.done]
-    if unresolved:
-        raise RuntimeError(f"quantile search did not converge for {[(t.col, t.k) for t in unresolved]}")
+        else:
+            _narrow(df, todo)
     return {(t.col, t.k): t.value for t in targets}
 
 
-def _bracket(t: _Target, grid: list[float], rank: int, n: int) -> None:
-    """Pick grid points that surely enclose the value of rank ``rank`` among ``n``."""
-    margin = 2.0 / ACCURACY + 1.0 / GRID
-    p = rank / max(n - 1, 1)
-    i = max(0, math.floor((p - margin) * GRID))
-    j = min(GRID, math.ceil((p + margin) * GRID))
-    t.lo = -math.inf if i == 0 else float(grid[i])
-    t.hi = math.inf if j == GRID else float(grid[j])
-    t.expect = n * (j - i) / GRID
-
-
-def _groups(targets: list[_Target]) -> dict[tuple, list[_Target]]:
-    out: dict[tuple, list[_Target]] = {}
+def _narrow(df: DataFrame, targets: list[_Target]) -> None:
+    """One job over all open intervals: exact counts around the pivots and a finer grid between them."""
+    groups: dict[tuple, list[_Target]] = {}
     for t in targets:
-        out.setdefault((t.col, t.lo, t.hi), []).append(t)
-    return out
-
-
-def _step(df: DataFrame, targets: list[_Target]) -> None:
-    """One job over all large brackets: exact counts below/inside and a finer grid inside."""
-    brackets = _groups(targets)
-    keys = list(brackets)
+        groups.setdefault((t.col, t.lo, t.hi, *t.pivots()), []).append(t)
     aggs = []
-    for i, (col, lo, hi) in enumerate(keys):
-        c, inside = _v(col), _in(_v(col), lo, hi)
-        aggs += [F.count_if(c < F.lit(lo)).alias(f"b{i}"), F.count_if(inside).alias(f"n{i}"),
-                 _grid(col, inside).alias(f"g{i}")]
+    for i, (col, lo, hi, a, b) in enumerate(groups):
+        if a is None:
+            aggs.append(_grid(col, _between(col, lo, hi)).alias(f"g{i}"))
+            continue
+        v = _v(col)
+        aggs += [F.count_if(_between(col, lo, a)).alias(f"below{i}"), F.count_if(v == F.lit(a)).alias(f"a{i}"),
+                 F.count_if(_between(col, a, b)).alias(f"mid{i}"), F.count_if(v == F.lit(b)).alias(f"b{i}"),
+                 _grid(col, _between(col, a, b)).alias(f"g{i}")]
     row = df.agg(*aggs).first()
-    for i, key in enumerate(keys):
-        below, inside, grid = row[f"b{i}"], row[f"n{i}"], row[f"g{i}"]
-        for t in brackets[key]:
-            if not (below <= t.k < below + inside):
-                t.lo, t.hi, t.expect = -math.inf, math.inf, float("inf")   # sketch miss: start over wide
-                continue
-            if grid[0] == grid[-1]:
-                t.value, t.done = float(grid[0]), True          # every value in the bracket is equal
+    for i, ((_, _, _, a, b), members) in enumerate(groups.items()):
+        grid = row[f"g{i}"]
+        for t in members:
+            if a is None:
+                t.grid = grid
                 continue
-            old = (t.lo, t.hi)
-            _bracket(t, grid, t.k - below, inside)
-            t.expect = min(t.expect, inside)
-            if (t.lo, t.hi) == old:
-                t.expect = 0.0        # few distinct values span the bracket: counting them is bounded
+            below, at_a, mid = row[f"below{i}"], row[f"a{i}"], row[f"mid{i}"]
+            at_b = row[f"b{i}"] if b > a else 0
+            if t.r < below:                                    # the grid missed the rank: go on below it
+                t.hi, t.inside, t.grid = a, below, None
+            elif t.r < below + at_a:
+                t.value = a
+            elif t.r < below + at_a + mid:
+                t.lo, t.hi, t.r, t.inside, t.grid = a, b, t.r - below - at_a, mid, grid
+            elif t.r < below + at_a + mid + at_b:
+                t.value = b
+            else:                                              # or above it
+                past = below + at_a + mid + at_b
+                t.lo, t.r, t.inside, t.grid = b, t.r - past, t.inside - past, None
 
 
 def _fetch(df: DataFrame, targets: list[_Target]) -> None:
-    """Resolve small brackets from value counts, one job for all of them.
+    """Resolve small intervals from their value counts: one scan and one shuffle for all of them.
 
-    Per bracket: values below ``lo`` fold into one group, values inside are
-    grouped by value (ties collapse) and only the first ``COLLECT_LIMIT + 2``
-    groups leave the tasks, so nothing unbounded is gathered even if a
-    bracket turns out to be large; such a bracket goes back to narrowing.
+    The number of values in each is known exactly, so what leaves the tasks is bounded.
     """
-    from functools import reduce
-    brackets = _groups(targets)
-    keys = list(brackets)
-    parts = []
-    for i, (col, lo, hi) in enumerate(keys):
-        v = _v(col)
-        key = F.when(v < F.lit(lo), F.lit(-math.inf)).otherwise(v).alias("v")
-        parts.append(df.where(v <= F.lit(hi)).groupBy(key).count()
-                       .orderBy("v").limit(COLLECT_LIMIT + 2)
-                       .select(F.lit(i).alias("b"), "v", "count"))
-    rows = reduce(lambda a, b: a.unionAll(b), parts).collect()
-    by_b: dict[int, list] = {}
-    for r in rows:
-        by_b.setdefault(r["b"], []).append((r["v"], r["count"]))
-    for i, key in enumerate(keys):
-        col, lo, hi = key
-        vals = sorted(by_b.get(i, []))
-        cut = len(vals) >= COLLECT_LIMIT + 2
-        below = vals[0][1] if vals and vals[0][0] == -math.inf and lo != -math.inf else 0
-        inside = [(v, n) for v, n in vals if not (v == -math.inf and lo != -math.inf)]
-        for t in brackets[key]:
-            seen = below
-            for v, n in inside:
+    groups: dict[tuple, list[_Target]] = {}
+    for t in targets:
+        groups.setdefault((t.col, t.lo, t.hi), []).append(t)
+    inside = [_between(*key) for key in groups]
+    values = [F.when(cond, F.struct(F.lit(i).alias("b"), _v(key[0]).alias("v")))
+              for i, (cond, key) in enumerate(zip(inside, groups))]
+    rows = (df.where(reduce(lambda x, y: x | y, inside)).select(F.inline(F.array_compact(F.array(*values))))
+              .groupBy("b", "v").count().collect())
+    for i, members in enumerate(groups.values()):
+        counted = sorted((r["v"], r["count"]) for r in rows if r["b"] == i)
+        for t in members:
+            seen = 0
+            for v, n in counted:
                 seen += n
-                if t.k < seen:
-                    t.value, t.done = float(v), True
+                if t.r < seen:
+                    t.value = v
                     break
-            if not t.done:
-                # Cut off (too many values) or a sketch miss: narrow again from here.
-                t.expect = float("inf")
-                if not cut:
-                    t.lo, t.hi = -math.inf, math.inf
+            else:
+                raise ValueError(f"the input changed between two passes over {t.col}")
 
 
 def stable_input(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -195,13 +184,13 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool =
 def quantiles_and_counts(df: DataFrame, cols: list[str], probs: list[float], exact: bool = True,
                          accuracy: int = ACCURACY, stable: bool = True
                          ) -> tuple[dict[str, list[float | None]], dict[str, int], int]:
-    """Quantiles plus, from the same first pass, non-null counts per column and the row count."""
+    """Quantiles plus, from the same first pass, counts of values (neither null nor NaN) per column and the row count."""
     if not cols:
         return {}, {}, df.count()
     if not exact:
         row = df.agg(F.count(F.lit(1)).alias("_rows"),
-                     *[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(cols)],
-                     *[F.percentile_approx(q(c).cast("double"), list(probs), accuracy).alias(f"p{i}")
+                     *[F.count(_v(c)).alias(f"n{i}") for i, c in enumerate(cols)],
+                     *[F.percentile_approx(_v(c), list(probs), accuracy).alias(f"p{i}")
                        for i, c in enumerate(cols)]).first()
         out = {c: (list(row[f"p{i}"]) if row[f"p{i}"] is not None else [None] * len(probs))
                for i, c in enumerate(cols)}
@@ -209,7 +198,8 @@ def quantiles_and_counts(df: DataFrame, cols: list[str], probs: list[float], exa
     if stable:
         df = stable_input(df, cols)
     row = df.agg(F.count(F.lit(1)).alias("_rows"),
-                 *[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(cols)],
+                 *[x for i, c in enumerate(cols) for x in (F.count(_v(c)).alias(f"n{i}"), F.min(_v(c)).alias(f"mn{i}"),
+                                                           F.max(_v(c)).alias(f"mx{i}"))],
                  *[_grid(c).alias(f"g{i}") for i, c in enumerate(cols)]).first()
     counts = {c: row[f"n{i}"] for i, c in enumerate(cols)}
     grids = {c: row[f"g{i}"] for i, c in enumerate(cols)}
@@ -218,11 +208,12 @@ def quantiles_and_counts(df: DataFrame, cols: list[str], probs: list[float], exa
         n = counts[c]
         for p in probs if n else []:
             lo = math.floor((n - 1) * p)
-            wanted.setdefault(c, []).extend([lo, min(lo + 1, n - 1)])
+            wanted.setdefault(c, []).extend(k for k in (lo, min(lo + 1, n - 1)) if 0 < k < n - 1)
     kv = kth_values(df, wanted, counts, grids)
     out: dict[str, list[float | None]] = {}
-    for c in cols:
+    for i, c in enumerate(cols):
         n, res = counts[c], []
+        kv |= {(c, n - 1): row[f"mx{i}"], (c, 0): row[f"mn{i}"]}
         for p in probs:
             if n == 0:
                 res.append(None)
@@ -230,10 +221,6 @@ def quantiles_and_counts(df: DataFrame, cols: list[str], probs: list[float], exa
             h = (n - 1) * p
             lo = math.floor(h)
             a, b = kv[(c, lo)], kv[(c, min(lo + 1, n - 1))]
-            res.append(a + (b - a) * (h - lo))
+            res.append(a if a == b or h == lo else a + (b - a) * (h - lo))
         out[c] = res
     return out, counts, row["_rows"]
-
-
-def medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
-    return {c: v[0] for c, v in quantiles(df, cols, [0.5]).items()}

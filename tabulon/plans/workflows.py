@@ -1,12 +1,15 @@
 """The four upload-to-results flows, composed from the operators.
 
 Each takes a DataFrame (any table) and returns a dict of DataFrames and small
-driver-side values (roles, logs, scores).  Order-dependent steps take an
+driver-side values (roles, logs, scores).  NaN and infinite values become null
+on entry; statistics and charts cover all columns.  Order-dependent steps take an
 explicit ``order_by``; without one, all columns are used (deterministic).
 """
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,14 @@ from tabulon.session import materialize
 from tabulon.sources.csv import clean_column_names
 
 
+def _guarded(model, *args) -> tuple[dict, str | None]:
+    """A model that can't be fitted leaves an error, it doesn't end the flow."""
+    try:
+        return model(*args), None
+    except (ValueError, PySparkException, Py4JJavaError) as exc:
+        return {}, (str(exc).strip().splitlines() or [type(exc).__name__])[0]
+
+
 def _order(df: DataFrame, order_by) -> list[str]:
     return list(order_by) if order_by else list(df.columns)
 
@@ -31,6 +42,7 @@ def _order(df: DataFrame, order_by) -> list[str]:
 
 def analyst(df: DataFrame, with_model: bool = True) -> dict:
     """C1 -> C4/C5 -> C7 -> P8 (+ M17 forest metrics)."""
+    df = nan_to_null(df)
     rows_before, cols_before = df.count(), len(df.columns)
     # Written once: fills, fences and the score all read the deduplicated rows.
     dedup = materialize(C.drop_duplicates(df))
@@ -41,9 +53,9 @@ def analyst(df: DataFrame, with_model: bool = True) -> dict:
     st = cleaned.agg(F.count(F.lit(1)).alias("n"),
                      sum((F.count_if(q(c).isNull()) for c in cleaned.columns), F.lit(0)).alias("m")).first()
     score = P.quality_score(rows_before, rows_before - n_dedup, st["m"], st["n"], len(cleaned.columns))
-    metrics = ml.analyst_metrics(cleaned) if with_model else {}
+    metrics, failed = _guarded(ml.analyst_metrics, cleaned) if with_model else ({}, None)
     return {
-        "cleaned": cleaned,
+        "cleaned": cleaned, **({"ml_error": failed} if failed else {}),
         "changes": {"original_shape": [rows_before, cols_before], "duplicates_removed": rows_before - n_dedup,
                     "missing_values": fills, "outliers": {c: n for c, n in fenced.removed.items() if n},
                     "final_shape": [st["n"], len(cleaned.columns)], "quality_score": score,
@@ -73,6 +85,7 @@ def chart(df: DataFrame, kind: str, order_by=None) -> DataFrame | None:
 def etl_clean(df: DataFrame, order_by=None, log: P.StepLog | None = None) -> tuple[DataFrame, dict[str, str]]:
     """Type -> dedup -> zero-variance -> smart impute -> wide fence on numeric -> features."""
     log = log if log is not None else P.StepLog()
+    df = nan_to_null(df)
     profiles = P.profile_columns(df)
     types = {p.column: p.semantic_type for p in profiles}
     for t in sorted(set(types.values())):
@@ -103,20 +116,18 @@ def etl(df: DataFrame, order_by=None, with_model: bool = True, boosted: bool = F
     profiles = P.profile_columns(cleaned)
     types = {p.column: p.semantic_type for p in profiles}
     nums = numeric_columns(cleaned)
-    cats = [c for c in cleaned.columns if types.get(c) in ("categorical", "binary")][:6]
+    cats = [c for c in cleaned.columns if types.get(c) in ("categorical", "binary")]
     out = {
         "original_shape": (rows, cols), "cleaned": cleaned, "col_types": types,
-        "stats": S.column_summary(cleaned, nums, digits=4), "distributions": S.histogram(cleaned, nums[:8]),
-        "cat_counts": S.value_counts(cleaned, cats, 10), "corr": S.corr_matrix(cleaned, nums[:12], digits=3),
+        "stats": S.column_summary(cleaned, nums, digits=4), "distributions": S.histogram(cleaned, nums),
+        "cat_counts": S.value_counts(cleaned, cats, 10), "corr": S.corr_matrix(cleaned, nums, digits=3),
         "preview": preview(nan_to_null(cleaned), _order(cleaned, order_by), 200), "logs": log,
     }
     target = ml.choose_target(cleaned)
     if with_model and target:
         log.add("ML", "target", target)
-        try:
-            out["ml"] = ml.auto_ml(cleaned, target, types=types, boosted=boosted)
-        except ValueError as exc:
-            out["ml_error"] = str(exc)
+        model, failed = _guarded(lambda: ml.auto_ml(cleaned, target, types=types, boosted=boosted))
+        out |= {"ml_error": failed} if failed else {"ml": model}
     return out
 
 
@@ -124,7 +135,7 @@ def etl(df: DataFrame, order_by=None, with_model: bool = True, boosted: bool = F
 
 def bi_clean(df: DataFrame) -> tuple[DataFrame, dict]:
     """C1 -> C4/C5 -> C8 on every numeric column."""
-    dedup = materialize(C.drop_duplicates(df))   # read by the fills and every fence pass
+    dedup = materialize(C.drop_duplicates(nan_to_null(df)))   # read by the fills and every fence pass
     filled, fills = C.impute_basic(dedup)
     fenced = C.wide_fence_filter(filled)
     return fenced.frame, {"filled": fills, "outliers_removed": sum(fenced.removed.values())}
@@ -142,15 +153,16 @@ def bi_report(df: DataFrame, order_by=None, with_model: bool = True) -> dict:
     out = {"original_shape": orig, "cleaned": cleaned, "roles": roles.as_dict(), "log": info}
     nums = numeric_columns(cleaned)
     out["summary"] = S.kpis(cleaned, roles.revenue, roles.cost)
-    out["cleaned_data"] = preview(nan_to_null(cleaned), order, 50_000)
+    out["cleaned_data"] = nan_to_null(cleaned)
     out["statistics"] = S.column_summary(cleaned, nums, digits=2)
-    out["stats"] = S.column_summary(cleaned, nums[:10], digits=2, with_median=False).select(
+    out["stats"] = S.column_summary(cleaned, nums, digits=2, with_median=False).select(
         "column", "min", "max", "mean", "sum")
     if roles.category and roles.revenue:
         out["chart"] = S.group_top_k(cleaned, roles.category, roles.revenue, 10)
         out["cat_data"] = S.group_top_k(cleaned, roles.category, roles.revenue, 8, digits=None)
     if with_model and roles.revenue:
-        out["ml"] = ml.bi_forecast(cleaned, roles.revenue, order)
+        model, failed = _guarded(ml.bi_forecast, cleaned, roles.revenue, order)
+        out |= {"ml_error": failed} if failed else {"ml": model}
     out["preview"] = preview(nan_to_null(cleaned), order, 100)
     return out
 
@@ -159,7 +171,7 @@ def bi_report(df: DataFrame, order_by=None, with_model: bool = True) -> dict:
 
 def sql_prepare(df: DataFrame) -> DataFrame:
     """S7 -> C1 -> C4/C5 -> Profit/margin (SQL roles)."""
-    named = clean_column_names(df)
+    named = nan_to_null(clean_column_names(df))
     filled, _ = C.impute_basic(C.drop_duplicates(named))
     roles = detect_roles(filled, "sql", check_cardinality=False)
     if roles.revenue and roles.cost:
@@ -174,7 +186,7 @@ def sql_pack(df: DataFrame, table: str = "data", order_by=None, collect: bool =
     prepared.createOrReplaceTempView(table)
     out = {"table": prepared, "roles": roles.as_dict(), "queries": run_pack(prepared, roles, table, collect=collect)}
     nums = numeric_columns(prepared)
-    out["stats"] = S.column_summary(prepared, nums[:8], digits=2, with_median=False).select(
+    out["stats"] = S.column_summary(prepared, nums, digits=2, with_median=False).select(
         "column", "min", "max", "mean", "sum")
     if roles.category and roles.revenue:
         out["cat_revenue"] = S.group_top_k(prepared, roles.category, roles.revenue, 8)

@@ -2,11 +2,14 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tabulon.operators import stats
-from tabulon.operators.ordering import forward_fill
-from tabulon.plans import adhoc, querypack
+from tabulon.operators import clean, stats
+from tabulon.operators.ordering import forward_fill, range_partitioned, row_index
+from tabulon.operators.quantiles import quantiles, quantiles_and_counts
+from tabulon.plans import adhoc, querypack, workflows
 from tabulon.sources import csv, sinks
 
 
@@ -73,3 +76,48 @@ def test_no_column_cuts(spark):
 def test_summary_of_extreme_values(spark, values, total):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     assert stats.column_summary(df, digits=None).first()["sum"] == pytest.approx(total)
+
+
+@pytest.mark.parametrize("share", [0.987, 0.7498])
+def test_quantiles_beside_a_hot_value(spark, share):
+    n = 3_000_000
+    zeros = int(n * share)
+    df = spark.range(n).select(F.when(F.col("id") < zeros, 0.0).otherwise(F.col("id") * 0.37 % 1000 - 3).alias("x"),
+                               (F.col("id") % 3).alias("few"), F.lit(7).alias("one"))
+    ids = np.arange(n)
+    x = np.where(ids < zeros, 0.0, ids * 0.37 % 1000 - 3)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = quantiles(df, ["x", "few", "one"], probs)
+    assert got["x"] == pytest.approx(np.quantile(x, probs).tolist())
+    assert got["few"] == pytest.approx(np.quantile(ids % 3, probs).tolist()) and got["one"] == [7.0] * 7
+
+
+def test_quantiles_of_missing_and_infinite_values(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(float(i), nan if i % 10 == 0 else float(i), inf if i > 97 else float(i), None)
+                                for i in range(100)] + [(nan, None, -inf, None)], "a double, b double, c double, d double")
+    got, counts, rows = quantiles_and_counts(df, ["a", "b", "c", "d"], [0.5, 0.99])
+    kept = [i for i in range(100) if i % 10]
+    assert got["a"] == pytest.approx([49.5, np.quantile(range(100), 0.99)])
+    assert got["b"] == pytest.approx(np.quantile(kept, [0.5, 0.99]).tolist())
+    assert got["c"] == [49.0, inf] and got["d"] == [None, None]
+    assert counts == {"a": 100, "b": 90, "c": 101, "d": 0} and rows == 101
+    filled, medians = clean.fill_median(spark.createDataFrame([(1.0,), (nan,), (None,), (2.0,), (nan,)], "v double"), ["v"])
+    assert medians == {"v": 1.5}
+
+
+def test_equal_rows_are_split(spark):
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("k"))
+    sizes = [r["count"] for r in range_partitioned(df, ["k"], 7).groupBy("__pid").count().collect()]
+    assert max(sizes) < 6000 and sum(sizes) == 30_000
+    indexed = row_index(df, ["k"], "at", 7)
+    assert indexed.select("at").distinct().count() == 30_000 and indexed.agg(F.max("at")).first()[0] == 29_999
+
+
+def test_flows_take_nan(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("c%d" % (i % 3), float(i), nan if i % 4 == 0 else float(i * 2), float(i * i)) for i in range(40)],
+                               "category string, revenue double, cost double, extra double")
+    out = workflows.bi_report(df, order_by=["revenue"])
+    assert "ml" in out and out["cleaned"].where("isnan(cost) or cost is null").count() == 0
+    assert workflows.analyst(df, with_model=False)["changes"]["missing_values"]
