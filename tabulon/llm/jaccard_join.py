@@ -3,12 +3,13 @@
 A document is the set of its word 5-grams (a text of fewer words: one gram of all of them; words are
 `[^\\x20\\x09-\\x0D]+`, unchanged).  Equal sets are one node.  Nodes are embedded by COORDINATES min-hashes; a token is a
 coordinate with its value.  From the root, each of RUNS runs samples coordinates, 1/threshold of them on average, and splits the
-nodes by the tokens they have there; buckets that stay over LIMIT are split again along sampled coordinates, level by level.
+nodes by the tokens they have there; buckets that stay over LIMIT are split again along sampled coordinates (at least one), level by level.
 In a small bucket all pairs are compared by their sketches, the ones that may reach the threshold by their whole sets.
 A pair of similarity 0.8 shares no bucket of a run with probability e^-1, so 16 runs leave about one pair in ten
-million (and one in a thousand inside buckets that were split three times).
+million; of the shared buckets that are split, each loses the pair with probability 0.36 at most.
 
-A pair that shares several first-level buckets is handled in the first of them only.  Pairs are never rows: each node
+A pair that shares several first-level buckets is handled in the first of them that was not split, and in every bucket
+below a split one that it shares; its links are made unique.  Pairs are never rows: each node
 of a bucket gets its verified neighbours as one packed list, and an edge to the smallest node it is linked with
 there; classes are the connected components of those edges.
 
@@ -115,16 +116,19 @@ def _paths(batches: Iterator[pa.RecordBatch], order: np.ndarray) -> Iterator[pa.
         else:
             above = batch.column(0).to_numpy().view(np.uint64)
             draw = mix(above[:, None] + (np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None])
-            at, coord = np.nonzero(draw < np.uint64(int((1 << 64) * 2 / COORDINATES)))
+            taken = draw < np.uint64(int((1 << 64) * 2 / COORDINATES))
+            taken[np.arange(len(draw)), draw.argmin(axis=1)] = True  # every path goes on
+            at, coord = np.nonzero(taken)
             above, place = above[at], np.full(len(at), -1)
         path = mix(mix(above + coord.astype(np.uint64) + np.uint64(1)) ^ sketch[at, coord] + np.uint64(1 << 20))
         yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(place, pa.int32()), pa.array(node[at])],
                                          names=["path", "coord", "node"])
 
 
-def _maybe(sketch: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, coord: np.ndarray, order: np.ndarray,
-           threshold: float) -> np.ndarray:
-    """Which pairs may reach the threshold and have no common first-level bucket before this one."""
+def _maybe(sketch: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, coord: np.ndarray, split: np.ndarray,
+           order: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs may reach the threshold and have no common first-level bucket before this one, split ones aside."""
+    bit = np.int64(1) << np.arange(len(order), dtype=np.int64)
     out = np.zeros(len(a), bool)
     least = int(np.ceil((threshold - SLACK) * COORDINATES))
     for i in range(0, len(a), 1 << 16):
@@ -134,15 +138,17 @@ def _maybe(sketch: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, coor
         same = sketch[x[at]] == sketch[y[at]]
         near = same.sum(axis=1) >= least
         at, same = at[near], same[near]
-        first = np.argmax(same[:, order], axis=1)
+        whole = (split[x[at], None] & bit) == 0  # a common bucket is split for both or for none
+        first = np.argmax(same[:, order] & whole, axis=1)
         place = coord[x[at]]
         out[i + at[(place < 0) | (place == first)]] = True
     return out
 
 
-def candidates(path: np.ndarray, coord: np.ndarray, sketch: np.ndarray, n: np.ndarray, order: np.ndarray,
-               threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def candidates(got: pa.Table, sketch: np.ndarray, order: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows (a before b) that share a bucket and may reach the threshold; the rows are sorted by path."""
+    path, coord, n = (got[x].to_numpy() for x in ("path", "coord", "n"))
+    split = got["split"].to_numpy() if "split" in got.column_names else np.zeros(len(path), np.int64)
     start = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]])) if len(path) else np.zeros(0, int)
     size = np.diff([*start, len(path)]).astype(np.int64)
     left, right = [], []
@@ -156,7 +162,7 @@ def candidates(path: np.ndarray, coord: np.ndarray, sketch: np.ndarray, n: np.nd
             tasks = ((np.repeat(f + i, s - i - 1), f + np.arange(i + 1, s)) for f in base for i in range(s - 1))
         for a, b in tasks:
             if len(a):
-                ok = _maybe(sketch, n, a, b, coord, order, threshold)
+                ok = _maybe(sketch, n, a, b, coord, split, order, threshold)
                 left.append(a[ok])
                 right.append(b[ok])
     if not left:
@@ -201,7 +207,7 @@ def _members(got: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
 def _probe(got: pa.Table, order: np.ndarray, threshold: float) -> pa.Table:
     """The members of a range of buckets that have a candidate there."""
     got, _, sketch = _members(got)
-    a, b = candidates(got["path"].to_numpy(), got["coord"].to_numpy(), sketch, got["n"].to_numpy(), order, threshold)
+    a, b = candidates(got, sketch, order, threshold)
     return got.take(pa.array(np.unique(np.concatenate([a, b])))).select(["path", "coord", "node"])
 
 
@@ -209,7 +215,7 @@ def _verified(got: pa.Table, order: np.ndarray, threshold: float) -> pa.Table:
     """The links in a range of buckets, by node."""
     got, node, sketch = _members(got)
     copies = got["copies"].to_numpy().astype(np.int64)
-    a, b = candidates(got["path"].to_numpy(), got["coord"].to_numpy(), sketch, got["n"].to_numpy(), order, threshold)
+    a, b = candidates(got, sketch, order, threshold)
     rows = []
     if len(a):
         ok = verify([np.frombuffer(x, np.uint64) for x in got["grams"].to_pylist()], a, b, threshold)
@@ -260,9 +266,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def similar_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM,
-                      threshold: float = THRESHOLD) -> DataFrame:
+                      threshold: float = THRESHOLD, limit: int = LIMIT) -> DataFrame:
     """One row per document: doc_id, class_id (smallest id of its class), n_links (other documents at the threshold
-    or more, copies included), n_copies (documents with the same set, itself included).
+    or more, copies included), n_copies (documents with the same set, itself included).  Buckets of more than `limit`
+    nodes are split.
 
     Written on the way, in the shared folder: the sketches (about 130 bytes a document) and small link tables.
     """
@@ -286,35 +293,41 @@ def similar_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     paths = T.StructType([T.StructField("path", T.LongType()), T.StructField("coord", T.IntegerType()), T.StructField("node", T.LongType())])
     split = lambda rows: arrow_map(rows.select("path", "coord", "node", "sketch"), lambda b: _paths(b, order), paths)
     rows = split(nodes.select(F.lit(None).cast("long").alias("path"), F.lit(-1).alias("coord"), "node", "sketch"))
-    buckets = None
+    buckets, known, extra = None, nodes, []
     for depth in range(DEPTH):
         sized = rows.groupBy("path").agg(F.count("*").alias("size")).where(F.col("size") > 1)
         where = scratch_path(spark, f"jaccard-buckets-{depth}")
         rows.join(sized, "path").write.parquet(where)
         level = spark.read.parquet(where)
         last = depth == DEPTH - 1
-        leaves = level if last else level.where(F.col("size") <= LIMIT)
+        leaves = level if last else level.where(F.col("size") <= limit)
         buckets = leaves if buckets is None else buckets.unionAll(leaves)
-        if last or not level.where(F.col("size") > LIMIT).head(1):
+        if last or not level.where(F.col("size") > limit).head(1):
             break
-        big = level.where(F.col("size") > LIMIT).join(nodes.select("node", "sketch"), "node")
+        if depth == 0:  # by node, a bit for each of its first-level buckets that is split
+            where, extra = scratch_path(spark, "jaccard-split"), ["split"]
+            (level.where(F.col("size") > limit).groupBy("node")
+             .agg(F.bit_or(F.expr("shiftleft(1L, coord)")).alias("split")).write.parquet(where))
+            known = nodes.join(spark.read.parquet(where), "node", "left").fillna(0, extra)
+        big = level.where(F.col("size") > limit).join(nodes.select("node", "sketch"), "node")
         rows = split(big).distinct()
-    member = buckets.join(nodes.select("node", "n", "sketch"), "node").select("path", "coord", "node", "n", "sketch")
+    member = buckets.join(known.select("node", "n", "sketch", *extra), "node").select("path", "coord", "node", "n", "sketch", *extra)
 
     # Buckets go to tasks in ranges of paths, so that a task call serves many small buckets.
     ranges = F.pmod(F.col("path"), F.lit(parts_for(docs))).alias("part")
     where = scratch_path(spark, "jaccard-candidates")
     (member.groupBy(ranges).applyInArrow(lambda got: _probe(got, order, threshold), paths).write.parquet(where))
     wanted = spark.read.parquet(where).groupBy("node").agg(F.collect_list(F.struct("path", "coord")).alias("paths"))
-    wanted = wanted.join(nodes, "node").select("key", "node", "n", "copies", "sketch", "paths")
+    wanted = wanted.join(known, "node").select("key", "node", "n", "copies", "sketch", "paths", *extra)
 
     full = T.StructType([T.StructField("path", T.LongType()), T.StructField("coord", T.IntegerType()), T.StructField("node", T.LongType()),
                          T.StructField("n", T.IntegerType()), T.StructField("copies", T.IntegerType()),
-                         T.StructField("sketch", T.BinaryType()), T.StructField("grams", T.BinaryType())])
+                         T.StructField("sketch", T.BinaryType()), T.StructField("grams", T.BinaryType()),
+                         *[T.StructField(x, T.LongType()) for x in extra]])
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col = {x: batch.column(x).to_pylist() for x in ("node", "n", "copies", "sketch", "paths")}
+            col = {x: batch.column(x).to_pylist() for x in ("node", "n", "copies", "sketch", "paths", *extra)}
             seen = set()
             for i, j, h, bounds in gram_sets(batch.column(batch.schema.get_field_index("text")), gram):
                 out = []
@@ -323,12 +336,14 @@ def similar_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
                         continue
                     seen.add(col["node"][t])
                     grams = h[bounds[t - i] : bounds[t - i + 1]].tobytes()
-                    out += [(p["path"], p["coord"], col["node"][t], col["n"][t], col["copies"][t], col["sketch"][t], grams)
+                    out += [(p["path"], p["coord"], col["node"][t], col["n"][t], col["copies"][t], col["sketch"][t], grams,
+                             *[col[x][t] for x in extra])
                             for p in col["paths"][t]]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(
-                    (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=full.names)
+                    (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * len(extra)))],
+                    names=full.names)
 
-    texts = docs.select("key", "text").join(wanted, "key").select("text", "node", "n", "copies", "sketch", "paths")
+    texts = docs.select("key", "text").join(wanted, "key").select("text", "node", "n", "copies", "sketch", "paths", *extra)
     where = scratch_path(spark, "jaccard-links")
     (arrow_map(texts, with_sets, full).groupBy(ranges).applyInArrow(lambda got: _verified(got, order, threshold), LINKS)
      .write.parquet(where))

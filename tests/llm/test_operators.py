@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -87,6 +88,31 @@ def test_jaccard_large_near_group(spark):
     assert got == want
 
 
+def test_jaccard_hot_passage_in_split_buckets(spark):
+    rng = random.Random(8)
+    hot = [f"hot{k}" for k in range(60)]
+    rows = []
+    for i in range(200):  # pairs, one of them with a changed word; all share the passage
+        w = [*hot, *[f"d{i}w{k}" for k in range(90)]]
+        rows.append((2 * i, " ".join(w)))
+        w[60 + rng.randrange(90)] = "changed"
+        w[60 + rng.randrange(90)] = "changed"
+        rows.append((2 * i + 1, " ".join(w)))
+    sets = {i: {tuple(x.split()[k:k + 5]) for k in range(146)} for i, x in rows}
+    want = {i: sum(len(a & b) / len(a | b) >= 0.8 for b in sets.values()) - 1 for i, a in sets.items()}
+    assert sum(want.values()) > 300
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_links for r in jaccard_join.similar_documents(frame, limit=20).collect()} == want
+
+
+def test_jaccard_split_draws_a_coordinate():
+    sketch = [np.zeros(jaccard_join.COORDINATES, np.uint16).tobytes()] * 500
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1, 501), pa.int64()), pa.array([0] * 500, pa.int32()), pa.array(range(500), pa.int64()),
+                                        pa.array(sketch, pa.binary())], names=["path", "coord", "node", "sketch"])
+    (out,) = jaccard_join._paths(iter([batch]), jaccard_join.first_coordinates())
+    assert set(out.column(2).to_pylist()) == set(range(500))
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 99)], "node long, root long")
     assert {r.label for r in jaccard_join.components(edges).collect()} == {0, 99}
