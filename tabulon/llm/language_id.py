@@ -3,11 +3,12 @@
 Every language gets a codeword of plus and minus one.  For each bit a binary classifier over hashed byte
 trigrams (log odds of the trigram under the languages on either side, each language counting alike) is fitted
 from the counts of all labelled training texts.  A text's bit margins are decoded by loss: the codeword with the
-smallest logistic loss, weighted by how well each bit separates its languages, wins; a small lead over the
-second is flagged as ambiguous.
+smallest logistic loss, weighted by how well each bit separates its languages, wins.  A text is flagged as ambiguous
+if its lead over the second is smaller, or its loss larger, than that of all but REJECT of the training texts that are
+decoded to their label: a mixture of languages, a language that was not learned, or letters without sense.
 
-Training counts are sums over all labelled rows (no sample); what reaches the driver is languages x FEATURES
-counts.  Null texts and texts without a letter are `und` with score 0; with no labelled row at all every text is
+Training counts and limits come from all labelled rows (no sample); what reaches the driver is languages x FEATURES
+counts and the texts counted by lead and loss in steps of 1/STEPS.  Null texts and texts without a letter are `und` with score 0; with no labelled row at all every text is
 `und`.  Repeated rows each get a row; only the id and text columns are read for a prediction.
 """
 
@@ -30,8 +31,9 @@ FEATURES = 1 << 15
 UNDEFINED = "und"
 #: Languages whose counts a task holds at a time.
 HELD = 32
-#: Lead in loss below which the pipeline takes a text's language for undecided; clean documents should stay.
-STAGE_GAP = 0.002
+#: Share of the correctly decoded training texts that either limit (lead, loss) may flag.
+REJECT = 0.001
+STEPS = 1000
 
 _TABLE = np.full(256, 32, np.uint8)
 _TABLE[97:123] = np.arange(97, 123)
@@ -138,12 +140,26 @@ class Codebook:
             middle = (expected[side].min() + expected[~side].max()) / 2
             self.weights[b] = w - middle
             self.spread[b] = max((expected[side].min() - expected[~side].max()) / 2, 1e-3)
-
-    def predict(self, texts: pa.Array, ambiguous_gap: float) -> dict:
+        self.least_gap, self.most_loss = 0.0, np.inf
+
+    def set_limits(self, kind: np.ndarray, step: np.ndarray, n: np.ndarray, reject: float = REJECT) -> None:
+        """Limits of lead (kind 0) and loss (kind 1) from counts of correctly decoded texts by step."""
+        for k in (0, 1):
+            at = np.flatnonzero(kind == k)
+            if not len(at):
+                continue
+            at = at[np.argsort(step[at] if k == 0 else -step[at])]
+            first = step[at[np.flatnonzero(np.cumsum(n[at]) > reject * n[at].sum())[0]]]
+            if k == 0:
+                self.least_gap = first / STEPS
+            else:
+                self.most_loss = (first + 1) / STEPS
+
+    def predict(self, texts: pa.Array) -> dict:
         n = len(texts)
         languages = np.array([*self.languages, UNDEFINED], object)
         letters = has_letter(texts)
-        lang, score, gap = np.full(n, len(self.languages)), np.zeros(n), np.zeros(n)
+        lang, score, gap, least = np.full(n, len(self.languages)), np.zeros(n), np.zeros(n), np.zeros(n)
         if self.languages:
             margins, total = np.zeros((n, len(self.weights))), np.zeros(n)
             for i, j, data, bounds in text_blocks(texts):
@@ -160,13 +176,13 @@ class Codebook:
             weight = np.exp(-4 * (loss - loss[rows, best][:, None]))
             score = np.where(letters, 1 / weight.sum(axis=1), 0.0)
             gap = loss[rows, order[:, 1]] - loss[rows, best] if len(self.languages) > 1 else np.full(n, np.inf)
-            lang = np.where(letters, best, lang)
-        return {"lang_pred": languages[lang], "score": score, "has_letter": letters,
-                "ambiguous": letters & bool(self.languages) & (gap < ambiguous_gap)}
+            lang, least = np.where(letters, best, lang), loss[rows, best]
+        return {"lang_pred": languages[lang], "score": score, "has_letter": letters, "gap": gap, "loss": least,
+                "ambiguous": letters & bool(self.languages) & ((gap < self.least_gap) | (least > self.most_loss))}
 
 
 def fit(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", train: Column | None = None) -> Codebook:
-    """Fit on all labelled rows that `train` selects."""
+    """Fit on all labelled rows that `train` selects; a second pass over them sets the limits."""
     rows = df if train is None else df.where(train)
     found = trigram_counts(rows, text_col, lang_col).toArrow().combine_chunks()
     names = found["lang"].to_pylist()
@@ -175,11 +191,33 @@ def fit(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", train:
     counts = np.zeros((len(languages), FEATURES))
     if names:
         counts[np.array([number[x] for x in names]), found["feature"].to_numpy()] = found["n"].to_numpy()
-    return Codebook(languages, counts)
+    model = Codebook(languages, counts)
+    steps = decoded_steps(rows, model, text_col, lang_col).toArrow().combine_chunks()
+    model.set_limits(*(steps[x].to_numpy() for x in ("kind", "step", "n")))
+    return model
+
+
+def decoded_steps(df: DataFrame, model: Codebook, text_col: str, lang_col: str) -> DataFrame:
+    """(kind, step, n): correctly decoded labelled texts by lead (kind 0) and by loss (kind 1), in steps."""
+    held = df.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("step", T.LongType()), T.StructField("n", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pickle.loads(held.value)
+        for batch in batches:
+            found = model.predict(batch.column(0))
+            right = found["has_letter"] & (found["lang_pred"] == np.array(batch.column(1).to_pylist(), object))
+            for kind, x in enumerate((found["gap"], found["loss"])):
+                step, n = np.unique(np.floor(x[right & np.isfinite(x)] * STEPS).astype(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(step), kind, np.int32)), pa.array(step), pa.array(n, pa.int64())],
+                                                 names=schema.names)
+
+    rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(text_col).cast("string"), F.col(lang_col).cast("string"))
+    return arrow_map(rows, run, schema).groupBy("kind", "step").agg(F.sum("n").alias("n"))
 
 
-def identify(df: DataFrame, model: Codebook, *, text_col: str = "text",
-             ambiguous_gap: float = 0.05) -> tuple[DataFrame, dict[str, str]]:
+def identify(df: DataFrame, model: Codebook, *, text_col: str = "text") -> tuple[DataFrame, dict[str, str]]:
     """The rows with lang_pred, score, has_letter and ambiguous appended; returns the frame and their names.
 
     The model (bits x FEATURES weights, under a megabyte for ten languages) is broadcast.
@@ -190,7 +228,8 @@ def identify(df: DataFrame, model: Codebook, *, text_col: str = "text",
     def run(texts: pa.Array) -> dict:
         if not loaded:
             loaded.append(pickle.loads(held.value))
-        return loaded[0].predict(texts, ambiguous_gap)
+        found = loaded[0].predict(texts)
+        return {f.name: found[f.name] for f in fields}
 
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
               T.StructField("has_letter", T.BooleanType()), T.StructField("ambiguous", T.BooleanType())]
@@ -209,7 +248,7 @@ def op9(documents: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those between two languages (STAGE_GAP), go."""
+    """Documents without a letter, and those that op 9 flags as ambiguous, go."""
     model = fit(docs, train=training_rows())
-    out, names = identify(docs, model, ambiguous_gap=STAGE_GAP)
+    out, names = identify(docs, model)
     return out.where(F.col(names["has_letter"]) & ~F.col(names["ambiguous"])).select(*[F.col(f"`{c}`") for c in docs.columns])

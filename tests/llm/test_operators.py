@@ -298,6 +298,20 @@ def test_language_id(spark, empty):
     assert min((code[a] != code[b]).sum() for a in range(9) for b in range(a)) >= 8
 
 
+def test_language_limits_flag_mixed_and_foreign_texts(spark):
+    rng = random.Random(6)
+    vocab = {"aa": ["strasse", "und", "nicht", "haus"], "bb": ["the", "house", "and", "river"], "cc": ["maison", "avec", "rue", "rivage"]}
+    make = lambda x, n=40: " ".join(rng.choice(vocab[x]) for _ in range(n))
+    rows = [(i, make(x), x) for i in range(900) for x in [list(vocab)[i % 3]]]
+    odd = [make("aa") + " " + make("bb"), make("bb") + " " + make("cc"), "qzx wvk jjq pfx " * 20, "быстрая лиса прыгает " * 10]
+    rows += [(2000 + k, x, None) for k, x in enumerate(odd)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    flagged = {r.doc_id for r in language_id.op9(df).collect() if r.ambiguous}
+    assert flagged >= {2000, 2001, 2002, 2003} and len(flagged) < 4 + 0.03 * 900
+    kept = {r.doc_id for r in language_id.stage(spark, df, "").collect()}
+    assert kept == {r[0] for r in rows} - flagged
+
+
 def test_token_counts(docs, rows, empty):
     P = pytest.importorskip("public_tokenizers")
     from sentencepiece import SentencePieceProcessor
