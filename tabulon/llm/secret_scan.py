@@ -2,8 +2,8 @@
 
 Patterns: assignments to password-like names, access keys, long hex runs.  Beyond these, a value that stands in a
 credential context ("pwd is ...", "passphrase: ...") is cut by dynamic programming into the segmentation that an
-attacker would guess cheapest: common words by rank, dates, repeats, keyboard walks and brute-force spans.  The
-cost is the sum of log10 guesses of the spans and of one guess per span for how they are put together; values of
+attacker would guess cheapest: common words by rank (words of prose after them), dates, repeats, keyboard walks and
+brute-force spans.  The cost alone decides, for values of letters too: it is the sum of log10 guesses of the spans and of one guess per span for how they are put together; values of
 at least MIN_COST are reported as kind `guess` unless a pattern already covers them.
 
 Null texts have no spans.  Positions are code points, ends exclusive.  Repeated rows get a row each.  Texts are
@@ -44,6 +44,33 @@ monday friday january march april june july august october december pass key tok
 freedom whatever starwars cheese orange purple silver golden chocolate cookie pepper ginger tiger eagle hunter
 killer soccer hockey ranger jordan thomas michael jennifer daniel charlie george london paris america change the
 and for you not with this that from have will your default guest public private server system data example""".split())
+#: Words of prose that follow "password is", "token:" and the like: ranked after the others, so that a guess of them is cheap.
+PROSE = tuple("""required incorrect invalid wrong correct valid needed missing empty expired changed reset set stored sent
+saved hidden shown used unused given entered asked prompted requested provided supplied specified included generated created updated
+deleted removed replaced revoked refreshed renewed rotated issued accepted rejected denied refused blocked locked unlocked disabled
+enabled protected encrypted decrypted hashed salted encoded decoded masked redacted compromised leaked stolen exposed cracked
+guessed broken forgotten remembered lost found known unknown printed displayed written typed copied pasted shared passed returned
+received transmitted authenticated unauthenticated authorized unauthorized authorised unauthorised verified unverified confirmed
+checked validated tested compared matched mismatched successful unsuccessful failed failing failure success successfully
+always never often usually sometimes still already only also just now then here there therefore thus hence however because
+simply really actually probably possibly perhaps maybe certainly definitely clearly obviously apparently currently recently
+previously originally initially finally normally typically generally automatically immediately temporarily permanently securely
+properly correctly incorrectly directly easily quickly safely supposed expected intended allowed forbidden permitted
+optional mandatory necessary unnecessary important essential critical sensitive confidential secure insecure strong stronger
+weak weaker simple complex complicated difficult short shorter long longer enough sufficient insufficient unique random
+different similar identical same equal another something anything nothing everything someone anyone everyone nobody
+available unavailable visible invisible accessible readable unreadable plain plaintext clear cleartext bad good better best
+safe unsafe easy hard impossible possible useless useful obsolete deprecated temporary permanent initial original previous
+current active inactive pending ready complete completed incomplete finished started stopped running working
+between before after during without within against through about above below under where when while which what whose
+being been made done taken kept held left right called named based defined configured installed loaded described
+considered recommended suggested assigned associated attached appended added bound tied linked limited restricted
+supported unsupported implemented ignored skipped omitted cleared cached logged recorded tracked monitored managed handled
+button field fields page screen form prompt dialog window account accounts username username's email address number
+string value values name code phrase length character characters letter letters information credential credentials
+authentication authorization verification validation encryption protection security management manager service services
+provider session sessions database application applications website please contact support administrator""".split())
+COMMON += PROSE
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])"
                    r"|(?:0?[1-9]|[12]\d|3[01])[-/.](?:0?[1-9]|1[0-2])[-/.](?:19|20)?\d\d|(?:19|20)\d\d")
@@ -174,7 +201,7 @@ def find_spans(text: str | None, has_hex: bool = True, min_cost: float = MIN_COS
             b = a + len(value)
             if len(value) >= 6 and not any(x < b and a < y for x, y in covered):
                 cost = guess_cost(value)
-                if cost >= min_cost and (any(c.isdigit() for c in value) or not value.isalpha()):
+                if cost >= min_cost:
                     found.append(("guess", a, b, a, cost))
     if "AKIA" in text:
         found += [("access", m.start(), m.end(), m.start(), None) for m in ACCESS.finditer(text)]

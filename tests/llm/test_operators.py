@@ -244,6 +244,15 @@ def test_secret_spans():
     assert secret_scan.guess_cost("19991231") < secret_scan.guess_cost("83619402")
 
 
+def test_secret_values_of_letters_only():
+    f = secret_scan.find_spans
+    for text in ("pwd: QxzvbnTrkPlm", "passphrase=qzxwvkjtrb", "the passcode is WmqTzrKvhXbd.", "login: hgqztbvxmw", "my password is kqwzvmtrxj"):
+        (span,) = f(text) if "password" not in text else [s for s in f(text) if s[0] == "guess"]
+        assert span[0] == "guess" and span[4] >= secret_scan.MIN_COST, text
+    for word in ("required", "Incorrect", "therefore", "authenticated", "transmitted", "automatically", "recommended", "password", "SUMMER"):
+        assert f(f"your password is {word}.") == [] == f(f"login: {word}"), word
+
+
 def _span_costs(value):
     """Every way to take value as one span, by its own definition."""
     low, rank = value.lower(), {w: i + 1 for i, w in reversed(list(enumerate(secret_scan.COMMON)))}
