@@ -152,25 +152,36 @@ def search(df: DataFrame, queries, *, k: int = 20, id_col: str = "vec_id", vec_c
         centres, _ = pickle.loads(held.value)
         for b in batches:
             v = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            near = nearest(v, centres)
-            asked = b.column("is_query").to_numpy(zero_copy_only=False).astype(bool)
-            probe = np.argpartition(-(v[asked] @ centres.T), probes - 1, axis=1)[:, :probes].astype(np.int32)
-            lists: list = [None] * len(v)
-            for i, p in zip(np.flatnonzero(asked), probe, strict=True):
-                lists[i] = p.tolist()
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array([r.tobytes() for r in v], pa.binary()), pa.array(near, pa.int32()),
-                 pa.array(lists, pa.list_(pa.int32()))], names=["id", "v", "list", "probe"])
+                [b.column("id"), pa.array([r.tobytes() for r in v], pa.binary()), pa.array(nearest(v, centres), pa.int32()),
+                 b.column("is_query")], names=["id", "v", "list", "is_query"])
 
     path = scratch_path(spark, "ann-lists")
     arrow_map(clean.select("id", "v", F.coalesce("is_query", F.lit(False)).alias("is_query")), assign, T.StructType([
         T.StructField("id", T.LongType()), T.StructField("v", T.BinaryType()), T.StructField("list", T.IntegerType()),
-        T.StructField("probe", T.ArrayType(T.IntegerType()))])).write.parquet(path)
+        T.StructField("is_query", T.BooleanType())])).write.parquet(path)
     lists = spark.read.parquet(path)
-    asks = spark.read.parquet(path).where(F.col("probe").isNotNull())
+    sizes = np.zeros(len(centres), np.int64)
+    for r in lists.groupBy("list").count().collect():  # at most as many rows as centroids
+        sizes[r["list"]] = r["count"]
+
+    def choose(batches):
+        """A query's nearest lists: the probe share, and on until they hold k rows besides the query's own."""
+        centres, _ = pickle.loads(held.value)
+        for b in batches:
+            order = np.argsort(-(_rows(b.column("v"), dim) @ centres.T), axis=1, kind="stable")
+            before = np.cumsum(sizes[order], axis=1) - sizes[order]
+            taken = (np.arange(len(centres)) < probes) | (before < k + 1)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), b.column("v"), pa.array([o[t].tolist() for o, t in zip(order, taken, strict=True)], pa.list_(pa.int32()))],
+                names=["id", "v", "probe"])
+
+    queried = lists.where("is_query").select("id", "v")
+    asks = arrow_map(queried, choose, T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.BinaryType()),
+                                                    T.StructField("probe", T.ArrayType(T.IntegerType()))]))
     # A small table by list (at most as many rows as centroids): into how many cells of bounded rows it is dealt.
     cells = F.broadcast(spark.read.parquet(path).groupBy("list").agg(F.ceil(F.count("*") / CELL_ROWS).alias("cells")))
-    shards, groups = ceil(rows / SHARD_ROWS), max(1, ceil(asks.count() / GROUP_QUERIES))
+    shards, groups = ceil(rows / SHARD_ROWS), max(1, ceil(queried.count() / GROUP_QUERIES))
     left = (lists.join(cells, "list")
             .withColumn("shard", F.pmod(F.xxhash64("list", F.pmod(F.xxhash64("id", "v"), F.col("cells"))), F.lit(shards)).cast("int"))
             .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
@@ -189,7 +200,8 @@ def search(df: DataFrame, queries, *, k: int = 20, id_col: str = "vec_id", vec_c
             q, c = _rows(want["v"], dim), _rows(have["v"], dim)
             rq, rc = q @ turn, c @ turn
             probe = np.zeros((len(q), len(centres)), bool)
-            probe[np.repeat(np.arange(len(q)), probes), want["probe"].combine_chunks().flatten().to_numpy()] = True
+            asked = want["probe"].combine_chunks()
+            probe[np.repeat(np.arange(len(q)), asked.value_lengths().to_numpy()), asked.flatten().to_numpy()] = True
             names, first = np.unique(of_list, return_index=True)
             for name, a, b in zip(names, first, [*first[1:], len(c)], strict=True):
                 every = np.flatnonzero(probe[:, name])

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.llm import (decontaminate, jaccard_join, language_id, lm_scoring, mixing, neighbours, secret_scan, seed_extend,
@@ -375,6 +376,16 @@ def test_neighbours(spark):
     assert neighbours.op4(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("n", [5, 21, 40])
+def test_neighbours_of_small_tables(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(rng.standard_normal((n, 8)))]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.lit(True)).collect()
+    for q in range(n):
+        mine = [r.vec_id for r in got if r.query_id == q]
+        assert len(mine) == len(set(mine)) == min(20, n - 1) and q not in mine
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
