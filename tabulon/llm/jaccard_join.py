@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.common import arrow_map, deliver, parts_for
+from tabulon.llm.common import arrow_map, deliver, fresh, parts_for
 from tabulon.llm.words import SPACE, Words, byte_table, mix, shingle_hashes, text_blocks
 from tabulon.session import ensure_checkpoint_dir, materialize, scratch_path
 
@@ -216,6 +216,8 @@ def _verified(got: pa.Table, order: np.ndarray, threshold: float) -> pa.Table:
     got, node, sketch = _members(got)
     copies = got["copies"].to_numpy().astype(np.int64)
     a, b = candidates(got, sketch, order, threshold)
+    other = node[a] != node[b]  # repeated rows of a node
+    a, b = a[other], b[other]
     rows = []
     if len(a):
         ok = verify([np.frombuffer(x, np.uint64) for x in got["grams"].to_pylist()], a, b, threshold)
@@ -265,11 +267,9 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select(F.col("u").alias("node"), "label")
 
 
-def similar_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM,
+def _classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM,
                       threshold: float = THRESHOLD, limit: int = LIMIT) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest id of its class), n_links (other documents at the threshold
-    or more, copies included), n_copies (documents with the same set, itself included).  Buckets of more than `limit`
-    nodes are split.
+    """The rows of similar_documents with `key` (hash of id and text) and `class_key`, the key of the row that stands for the class.
 
     Written on the way, in the shared folder: the sketches (about 130 bytes a document) and small link tables.
     """
@@ -360,26 +360,38 @@ def similar_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     degree = arrow_map(links.groupBy("node").agg(F.collect_list("others").alias("others"), F.collect_list("copies").alias("copies")),
                        count, T.StructType([T.StructField("node", T.LongType()), T.StructField("linked", T.LongType())]))
     labels = components(links.select("node", "root"))
-    named = labels.join(nodes.select("node", "doc_id"), "node")
-    classes = named.join(named.groupBy("label").agg(F.min("doc_id").alias("class_doc")), "label").select("node", "class_doc")
-    by_node = (nodes.select("node", "copies", "doc_id").join(classes, "node", "left").join(degree, "node", "left")
-               .select("node", "copies", F.coalesce("class_doc", "doc_id").alias("class_doc"), F.coalesce("linked", F.lit(0)).alias("linked")))
+    named = labels.join(nodes.select("node", F.struct("doc_id", "key").alias("own")), "node")
+    classes = named.join(named.groupBy("label").agg(F.min("own").alias("least")), "label").select("node", "least")
+    by_node = (nodes.select("node", "copies", F.struct("doc_id", "key").alias("own")).join(classes, "node", "left").join(degree, "node", "left")
+               .select("node", "copies", F.coalesce("least", "own").alias("least"), F.coalesce("linked", F.lit(0)).alias("linked"))
+               .select("node", "copies", F.col("least.doc_id").alias("class_doc"), F.col("least.key").alias("class_key"), "linked"))
     own = F.col("doc_id").isNotNull()
-    return (sketched.select("doc_id", "node").join(by_node, "node", "left")
-            .select("doc_id", F.when(own, F.coalesce("class_doc", "doc_id")).alias("class_id"),
+    return (sketched.select("doc_id", "key", "node").join(by_node, "node", "left")
+            .select("doc_id", "key", F.coalesce("class_key", "key").alias("class_key"), F.when(own, F.coalesce("class_doc", "doc_id")).alias("class_id"),
                     F.when(own, F.coalesce(F.col("linked") + F.col("copies") - 1, F.lit(0))).otherwise(0).cast("long").alias("n_links"),
                     F.when(own, F.coalesce("copies", F.lit(1))).otherwise(1).cast("long").alias("n_copies")))
 
 
+def similar_documents(df: DataFrame, **options) -> DataFrame:
+    """One row per document: doc_id, class_id (smallest id of its class), n_links (other documents at the threshold
+    or more, copies included), n_copies (documents with the same set, itself included).
+
+    Options: id_col, text_col, gram, threshold, limit (buckets of more nodes are split).
+    """
+    return _classes(df, **options).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op1(documents: DataFrame) -> DataFrame:
     return similar_documents(documents)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class the document with the smallest id stays (one row of it, if rows repeat)."""
-    classes = similar_documents(docs)
-    stay = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
+    """Of each class one row stays: that of the smallest id (of several such, that of the smallest hash of id and text)."""
+    key = fresh("key", docs.columns)
+    stay = (_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key")))
+            .select("doc_id", F.col("key").alias(key)).distinct())
     names = docs.columns
-    kept = docs.where(F.col("doc_id").isNotNull()).join(stay, "doc_id").select(*[F.col(f"`{c}`") for c in names])
-    once = kept.dropDuplicates(["doc_id"])
+    own = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    kept = docs.where(F.col("doc_id").isNotNull()).withColumn(key, own).join(stay, ["doc_id", key])
+    once = kept.dropDuplicates(["doc_id", key]).select(*[F.col(f"`{c}`") for c in names])
     return once.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -106,6 +106,24 @@ def test_jaccard_hot_passage_in_split_buckets(spark):
     assert {r.doc_id: r.n_links for r in jaccard_join.similar_documents(frame, limit=20).collect()} == want
 
 
+def test_jaccard_repeated_rows_and_ids(spark, tmp_path):
+    a = [f"a{k}" for k in range(80)]
+    near = " ".join([*a[:79], "end"])
+    a, b = " ".join(a), " ".join(f"b{k}" for k in range(80))
+    rows = [(1, a), (1, a), (1, a), (2, near), (2, near), (1, b), (4, b)]
+    for r in rows:
+        spark.createDataFrame([r], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    docs = spark.read.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)  # repeats never share a batch
+    try:
+        got = sorted(tuple(r) for r in jaccard_join.op1(docs).collect())
+        kept = sorted(tuple(r) for r in jaccard_join.stage(spark, docs, "").collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted([(1, 1, 4, 3)] * 3 + [(2, 1, 4, 2)] * 2 + [(1, 1, 1, 2), (4, 1, 1, 2)])
+    assert kept == [(1, a), (1, b)]
+
+
 def test_jaccard_split_draws_a_coordinate():
     sketch = [np.zeros(jaccard_join.COORDINATES, np.uint16).tobytes()] * 500
     batch = pa.RecordBatch.from_arrays([pa.array(range(1, 501), pa.int64()), pa.array([0] * 500, pa.int32()), pa.array(range(500), pa.int64()),
