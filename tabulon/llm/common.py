@@ -107,3 +107,10 @@ def append_columns(df: DataFrame, text: str, fields: list[T.StructField],
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
 
     return arrow_map(df, run, schema), names
+
+
+def remove_tables(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete tables of this run under the shared folder that nothing will read again."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.llm import decontaminate, jaccard_join, language_id, lm_scoring, mixing, neighbours, secret_scan, seed_extend, suffix_dedup, token_counts
+from tabulon.llm import (centroids, chat_format, decontaminate, jaccard_join, language_id, lm_scoring, mixing, neighbours, secret_scan,
+                         seed_extend, suffix_dedup, token_counts, whitening)
 from tabulon.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,10 +29,15 @@ QUERIES: dict[str, Query] = {
     "op8_secret_scan": _documents(secret_scan.op8),
     "op9_language_id": _documents(language_id.op9),
     "op10_token_counts": _documents(lambda docs: token_counts.op10(docs, public_tokenizers.path("piece_bpe_32k.model"))),
+    "op11_chat_format": lambda s, d: chat_format.op11(table(s, d, "conversations")),
+    "op12_whitening": lambda s, d: whitening.op12(table(s, d, "embeddings")),
+    "op13_centroid_clusters": lambda s, d: centroids.op13(table(s, d, "embeddings")),
 }
 
 ORACLES: dict[str, str] = {
     "op3_mix_sources": mixing.sql(),
     "op5_substring_dedup": seed_extend.SQL,
     "op7_decontaminate": decontaminate.SQL,
+    "op11_chat_format": chat_format.sql(),
+    "op13_centroid_clusters": centroids.SQL,
 }
