@@ -204,13 +204,12 @@ def cluster(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding"
 def op13(embeddings: DataFrame) -> DataFrame:
     spark = embeddings.sparkSession
     found, centres = cluster(embeddings)
-    # At most as many rows as centroids: the hash of each final centroid and the inertia of its cluster.
-    digests = spark.createDataFrame([(i, hashlib.sha256(",".join(map(str, c.tolist())).encode()).hexdigest()) for i, c in enumerate(centres)],
-                                    "cluster int, centroid_sha256 string")
-    sums = found.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("of_cluster"))
-    total = sums.agg(F.sum("of_cluster").alias("of_all"))
-    small = F.broadcast(digests.join(sums, "cluster").crossJoin(F.broadcast(total)).select(
-        "cluster", "centroid_sha256", F.expr("try_cast(of_cluster AS LONG)").alias("cluster_inertia"), F.expr("try_cast(of_all AS LONG)").alias("inertia")))
+    # At most as many rows as centroids: the inertia of each cluster and the hash of its final centroid.
+    sums = {r["cluster"]: int(r["d"]) for r in found.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("d")).collect()}
+    fits = lambda v: v if v < 1 << 63 else None
+    small = F.broadcast(spark.createDataFrame(
+        [(i, fits(d), fits(sum(sums.values())), hashlib.sha256(",".join(map(str, centres[i].tolist())).encode()).hexdigest()) for i, d in sums.items()],
+        "cluster int, cluster_inertia long, inertia long, centroid_sha256 string"))
     return found.join(small, "cluster").select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
