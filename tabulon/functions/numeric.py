@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 INTEGRAL_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+#: The technical column that holds the order of the rows of a scan (`ordering.scan_order`); no statistic looks at it.
+ROW_ID = "_row_id"
 DATE_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
@@ -20,23 +22,20 @@ def q(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def data_columns(df: DataFrame) -> list[str]:
+    """All columns but the row id."""
+    return [c for c in df.columns if c != ROW_ID]
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     """Numeric columns in table order (booleans excluded, like pandas ``number``)."""
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC_TYPES)]
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC_TYPES) and f.name != ROW_ID]
 
 
 def string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
-def non_numeric_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if not isinstance(f.dataType, NUMERIC_TYPES)]
-
-
-def is_numeric(df: DataFrame, name: str) -> bool:
-    return isinstance(df.schema[name].dataType, NUMERIC_TYPES)
-
-
 # Necessary (not sufficient) shapes of a parsable value.  Spark's try_* parsers
 # fail through exceptions, which costs microseconds per value; testing the
 # shape first keeps obvious text away from them.
@@ -59,9 +58,14 @@ def fails_timestamp(c: Column, fmt: str | None = None) -> Column:
     return c.isNotNull() & (~c.rlike(DATE_SHAPE) | parsed.isNull())
 
 
-def to_number(c: Column | str) -> Column:
-    """Coerce to double, unparsable text becomes null (pandas ``errors='coerce'``)."""
+def to_number(c: Column | str, kind: T.DataType | None = None) -> Column:
+    """Coerce to double, unparsable text becomes null (pandas ``errors='coerce'``).
+
+    ``kind``: the column's type; a number needs no look at its text.
+    """
     c = q(c) if isinstance(c, str) else c
+    if isinstance(kind, NUMERIC_TYPES):
+        return c.cast("double")
     return F.when(~c.cast("string").rlike(LITERAL_SUFFIX), c.try_cast("double"))
 
 
@@ -80,17 +84,3 @@ def nan_to_null(df: DataFrame) -> DataFrame:
         else:
             cols.append(q(f.name))
     return df.select(*cols)
-
-
-def round_half_even(c: Column, digits: int) -> Column:
-    """numpy/pandas rounding (banker's)."""
-    return F.bround(c, digits)
-
-
-def round_half_up(c: Column, digits: int) -> Column:
-    """SQL-engine rounding (half away from zero)."""
-    return F.round(c, digits)
-
-
-def safe_divide(a: Column, b: Column) -> Column:
-    return F.try_divide(a, b)

@@ -13,15 +13,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.functions.numeric import INTEGRAL_TYPES, numeric_columns, q
+from tabulon.functions.numeric import INTEGRAL_TYPES, ROW_ID, data_columns, numeric_columns, q, to_number
 from tabulon.operators.ordering import forward_fill
 from tabulon.operators.profile import ColumnProfile, StepLog, profile_columns
 from tabulon.operators.quantiles import quantiles, quantiles_and_counts, stable_input
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
-    """Exact duplicate rows, nulls equal (partial aggregation collapses hot rows per task)."""
-    return df.dropDuplicates()
+    """Exact duplicate rows, nulls equal (partial aggregation collapses hot rows per task).
+
+    Row ids don't make rows different: of equal rows the first one's id stays.
+    """
+    if ROW_ID not in df.columns:
+        return df.dropDuplicates()
+    return df.groupBy(*[q(c) for c in data_columns(df)]).agg(F.min(ROW_ID).alias(ROW_ID)).select(*[q(c) for c in df.columns])
 
 
 def drop_zero_variance(df: DataFrame, profiles: list[ColumnProfile] | None = None) -> tuple[DataFrame, list[str]]:
@@ -271,7 +276,7 @@ def wide_fence_filter(df: DataFrame, cols: list[str] | None = None, mode: str =
 
 def coerce_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
     """Text to double, unparsable values become null."""
-    return df.select(*[(q(c).try_cast("double").alias(c) if c in cols else q(c)) for c in df.columns])
+    return df.select(*[(to_number(c, df.schema[c].dataType).alias(c) if c in cols else q(c)) for c in df.columns])
 
 
 def drop_incomplete(df: DataFrame) -> DataFrame:

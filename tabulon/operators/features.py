@@ -30,15 +30,16 @@ def add_profit(df: DataFrame, rev: str, cost: str, flavour: str = "sql") -> Data
     in output).  ``bi``: revenue and cost are coerced and null-filled with 0
     first (replacing the columns), and a zero-revenue margin is 0.
     """
+    number = lambda name: to_number(name, df.schema[name].dataType)
     if flavour == "bi":
-        r = F.coalesce(to_number(rev), F.lit(0.0))
-        c = F.coalesce(to_number(cost), F.lit(0.0))
+        r = F.coalesce(number(rev), F.lit(0.0))
+        c = F.coalesce(number(cost), F.lit(0.0))
         base = set_columns(df, {rev: r, cost: c})
         profit = q(rev) - q(cost)
         margin = F.coalesce(F.bround(F.try_divide(profit, F.when(q(rev) != 0, q(rev))) * 100, 2), F.lit(0.0))
         return set_columns(base, {"Profit": profit, MARGIN_NAME["bi"]: margin})
-    profit = to_number(rev) - to_number(cost)
-    margin = F.bround(F.try_divide(profit, to_number(rev)) * 100, 2)
+    profit = number(rev) - number(cost)
+    margin = F.bround(F.try_divide(profit, number(rev)) * 100, 2)
     return set_columns(df, {"Profit": profit, MARGIN_NAME[flavour]: margin})
 
 
@@ -60,7 +61,7 @@ def date_parts(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def total_value(df: DataFrame, qty: str, price: str, name: str = "Total_Value") -> DataFrame:
     """quantity x price after numeric coercion."""
-    return set_columns(df, {name: to_number(qty) * to_number(price)})
+    return set_columns(df, {name: to_number(qty, df.schema[qty].dataType) * to_number(price, df.schema[price].dataType)})
 
 
 def feature_engineer(df: DataFrame, types: dict[str, str]) -> tuple[DataFrame, list[str]]:

@@ -1,7 +1,8 @@
 """Order-dependent operators without one giant partition.
 
 Spark rows have no implicit order, so every operator here takes an explicit
-``order_by``.  A global window (``Window.orderBy`` without ``partitionBy``)
+``order_by``; :func:`scan_order` gives rows the order of the files they come
+from, as ids that need no sort.  A global window (``Window.orderBy`` without ``partitionBy``)
 would move the whole table into one task; instead:
 
 1. ``repartitionByRange`` on the order key (plus a tie-break so that a key
@@ -18,18 +19,23 @@ import datetime as dt
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.functions.numeric import q
+from tabulon.functions.numeric import ROW_ID, data_columns, q
 from tabulon.operators.quantiles import stable_input
-from tabulon.session import materialize
+from tabulon.session import deliver, materialize
 
+#: Where a row stands: its file, the split of the file, and an ascending number within the split.
+FILE, START, POS = "__file", "__start", "__pos"
 _TB = "__tb"
 _ROW = "__row"
 _PID = "__pid"
 TARGET_PARTITION_BYTES = 256 * 1024 * 1024
 MAX_PARTITIONS = 200_000
+#: Spark gives rows made in the driver the largest size there is; they are small.
+UNKNOWN_SIZE = 1 << 60
 
 
 def partitions_for(df: DataFrame) -> int:
@@ -42,12 +48,57 @@ def partitions_for(df: DataFrame) -> int:
         total = 0
         for i in range(leaves.size()):
             size = leaves.apply(i).stats().sizeInBytes()
-            total += size if isinstance(size, int) else int(size.toString())
+            size = size if isinstance(size, int) else int(size.toString())
+            total += size if size < UNKNOWN_SIZE else 0
     except Exception:  # no JVM handle: keep the session setting
         return base
     return max(base, min(MAX_PARTITIONS, -(-total // TARGET_PARTITION_BYTES)))
 
 
+def scan_place(df: DataFrame) -> DataFrame:
+    """The rows of a file scan with their file, split and number in it.
+
+    ``monotonically_increasing_id`` ascends within a partition, and a split is read by one partition from its beginning
+    to its end, whatever other splits Spark packs into that partition.
+    """
+    return df.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(START),
+                     F.monotonically_increasing_id().alias(POS))
+
+
+def number_rows(placed: DataFrame, name: str = ROW_ID) -> DataFrame:
+    """0, 1, ... by (file, split, number in the split), without a sort.
+
+    The rows are written once, so places cannot change between the two passes.  One aggregate counts the rows of each
+    split; the sum of the counts before a split (a table of a row for each split, in file order) is its offset.  Within a split the
+    numbers ascend without gaps, except where records were put together from lines; those splits rank their rows.
+    """
+    pinned = materialize(placed)
+    splits = pinned.groupBy(FILE, START).agg(F.count(F.lit(1)).alias("n"), F.min(POS).alias("lo"), F.max(POS).alias("hi")).collect()
+    offsets, total = [], 0
+    for r in sorted(splits, key=lambda r: (r[FILE], r[START])):
+        offsets.append((r[FILE], r[START], total, r["lo"], r["hi"] - r["lo"] + 1 != r["n"]))
+        total += r["n"]
+    table = placed.sparkSession.createDataFrame(offsets, f"{FILE} string, {START} bigint, __off bigint, __lo bigint, __gaps boolean")
+    rows = pinned.join(F.broadcast(table), [FILE, START])
+    kept = [q(c) for c in placed.columns if c not in (FILE, START, POS)]
+    out = rows.where("NOT __gaps").select(*kept, (F.col("__off") + F.col(POS) - F.col("__lo")).alias(name))
+    if any(o[4] for o in offsets):
+        within = F.row_number().over(Window.partitionBy(FILE, START).orderBy(POS)) - 1
+        out = out.union(rows.where("__gaps").select(*kept, (F.col("__off") + within).alias(name)))
+    return out
+
+
+def scan_order(df: DataFrame, name: str = ROW_ID) -> DataFrame:
+    """The rows with ids in scan order: file order where the rows come straight from files, else the order in which
+    Spark holds them (partition by partition)."""
+    try:
+        placed = scan_place(df)
+    except PySparkException:                   # not a plain scan of files
+        placed = df.select("*", F.lit("").alias(FILE), F.spark_partition_id().cast("long").alias(START),
+                           F.monotonically_increasing_id().alias(POS))
+    return number_rows(placed, name)
+
+
 def _order_cols(order_by) -> list[Column]:
     if isinstance(order_by, (str, Column)):
         order_by = [order_by]
@@ -150,6 +201,7 @@ def forward_fill(df: DataFrame, cols: list[str], order_by, num_partitions: int |
                 batch = pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
             yield batch
 
+    deliver(df.sparkSession)
     filled = r.sortWithinPartitions(*keys, F.col(_TB)).mapInArrow(fill, schema)
     return filled.drop(_TB, _PID)
 
@@ -166,5 +218,5 @@ def page(df: DataFrame, order_by, page_no: int, page_size: int = 12) -> DataFram
 
 def search(df: DataFrame, term: str) -> DataFrame:
     """Rows whose concatenated text contains ``term``, case-insensitive."""
-    text = F.lower(F.concat_ws("", *[q(c).cast("string") for c in df.columns]))
+    text = F.lower(F.concat_ws("", *[q(c).cast("string") for c in data_columns(df)]))
     return df.where(F.contains(text, F.lit(term.strip().lower())))

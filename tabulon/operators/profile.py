@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.functions.numeric import DATE_TYPES, NUMERIC_TYPES, fails_number, fails_timestamp, q
+from tabulon.functions.numeric import DATE_TYPES, NUMERIC_TYPES, ROW_ID, data_columns, fails_number, fails_timestamp, q
 
 DISTINCT_BATCH = 8
 
@@ -70,7 +70,7 @@ def profile_columns(df: DataFrame, distinct_batch: int = DISTINCT_BATCH,
     pass: no Expand, but the 2/15/ratio thresholds become approximate.
     """
     from tabulon.operators.quantiles import stable_input
-    fields = df.schema.fields
+    fields = [f for f in df.schema.fields if f.name != ROW_ID]
     if approx_distinct:
         distinct_batch = max(len(fields), 1)
     elif len(fields) > distinct_batch:
@@ -128,7 +128,7 @@ def types_by_group(profile: DataFrame) -> DataFrame:
 
 def missing_report(df: DataFrame) -> DataFrame:
     """Missing count and percentage per column, one aggregate, unpivoted."""
-    cols = df.columns
+    cols = data_columns(df)
     row = df.agg(F.count(F.lit(1)).alias("_rows"),
                  *[F.count_if(q(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)])
     stack = ", ".join(f"'{c.replace(chr(39), chr(39) * 2)}', m{i}" for i, c in enumerate(cols))
@@ -143,7 +143,7 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     The group-by on all columns is partially aggregated per task first, so a
     row repeated a billion times is collapsed before the shuffle.
     """
-    g = df.groupBy(*[q(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    g = df.groupBy(*[q(c) for c in data_columns(df)]).agg(F.count(F.lit(1)).alias("_n"))
     return g.agg(F.sum("_n").alias("n_rows"), F.count(F.lit(1)).alias("n_distinct_rows"),
                  (F.sum("_n") - F.count(F.lit(1))).alias("n_duplicates"))
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.functions.numeric import numeric_columns, q, string_columns
+from tabulon.functions.numeric import data_columns, numeric_columns, q, string_columns
 from tabulon.operators.quantiles import quantiles
 
 
@@ -181,7 +181,7 @@ def trend(df: DataFrame, date: str, value: str, digits: int | None = 2) -> DataF
 
 def kpis(df: DataFrame, rev: str | None, cost: str | None, digits: int | None = None) -> DataFrame:
     """Record count, column count, total revenue and net profit (nulls as 0), long form."""
-    ncols = len(df.columns)
+    ncols = len(data_columns(df))
     aggs = [F.count(F.lit(1)).cast("double").alias("k_records"), F.lit(float(ncols)).alias("k_columns")]
     names = ["'Total Records', k_records", "'Columns', k_columns"]
     if rev:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabulon.functions.numeric import q
+from tabulon.functions.numeric import ROW_ID, q
 from tabulon.operators import clean as C
 from tabulon.operators import ordering as O
 from tabulon.operators import profile as P
 from tabulon.plans import fixtures as fx
 from tabulon.plans.catalog import register, with_dirty
-from tabulon.session import materialize
+from tabulon.session import materialize, scratch_path
+from tabulon.sources.csv import read_csv
+from tabulon.sources.sinks import write_csv
 
 DE_COLS = ["event_id", "event_date", "event_type", "amount", "sparse_id", "constant_col"]
 DE_NUMERIC = ["event_id", "amount", "sparse_id", "constant_col"]
@@ -228,7 +230,7 @@ def _etl_clean(spark, d):
 
 
 _etl_fence, _etl_last = fence_chain_sql("imp", ["event_id", "amount"], 0.01, 0.99, 3.0, False, "e")
-register("etl_clean", with_dirty(f"""
+_ETL_SQL = with_dirty(f"""
 , u AS (SELECT DISTINCT * FROM dirty_events),
 imp AS (SELECT event_id,
                last_value(event_date IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING
@@ -240,4 +242,16 @@ imp AS (SELECT event_id,
 {_etl_fence}
 SELECT *, CAST(year(event_date) AS INTEGER) AS event_date_year, CAST(month(event_date) AS INTEGER) AS event_date_month,
        CAST(day(event_date) AS INTEGER) AS event_date_day, CAST(isodow(event_date) - 1 AS INTEGER) AS event_date_dow
-FROM {_etl_last}"""))(_etl_clean)
+FROM {_etl_last}""")
+register("etl_clean", _ETL_SQL)(_etl_clean)
+
+
+def _etl_clean_scan_order(spark, d):
+    """The same from CSV files and without ``order_by``: dates are filled in the order of the files."""
+    from tabulon.plans.workflows import etl_clean
+    path = scratch_path(spark, "dirty-events-csv")
+    write_csv(_de(spark, d).orderBy("event_id"), path)
+    return etl_clean(read_csv(spark, path, row_ids=True))[0].drop(ROW_ID)
+
+
+register("etl_clean_scan_order", _ETL_SQL)(_etl_clean_scan_order)

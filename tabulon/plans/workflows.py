@@ -3,7 +3,8 @@
 Each takes a DataFrame (any table) and returns a dict of DataFrames and small
 driver-side values (roles, logs, scores).  NaN and infinite values become null
 on entry; statistics and charts cover all columns.  Order-dependent steps take an
-explicit ``order_by``; without one, all columns are used (deterministic).
+explicit ``order_by``; without one, rows keep the order of the scan: ``_row_id`` of
+:func:`read_csv`, or ids added on entry.
 """
 
 from __future__ import annotations
@@ -13,14 +14,14 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.functions.numeric import nan_to_null, numeric_columns, q
+from tabulon.functions.numeric import ROW_ID, data_columns, nan_to_null, numeric_columns, q
 from tabulon.functions.roles import detect_roles
 from tabulon.operators import clean as C
 from tabulon.operators import features as FE
 from tabulon.operators import ml
 from tabulon.operators import profile as P
 from tabulon.operators import stats as S
-from tabulon.operators.ordering import preview
+from tabulon.operators.ordering import preview, scan_order
 from tabulon.plans.querypack import run_pack
 from tabulon.session import materialize
 from tabulon.sources.csv import clean_column_names
@@ -34,16 +35,19 @@ def _guarded(model, *args) -> tuple[dict, str | None]:
         return {}, (str(exc).strip().splitlines() or [type(exc).__name__])[0]
 
 
-def _order(df: DataFrame, order_by) -> list[str]:
-    return list(order_by) if order_by else list(df.columns)
+def in_order(df: DataFrame, order_by=None) -> tuple[DataFrame, list[str]]:
+    """The frame and the columns that order its rows; without ``order_by`` these are the ids of the scan."""
+    if order_by:
+        return df, list(order_by)
+    return (df if ROW_ID in df.columns else scan_order(df)), [ROW_ID]
 
 
 # ------------------------------------------------------------------ analyst flavour
 
 def analyst(df: DataFrame, with_model: bool = True) -> dict:
     """C1 -> C4/C5 -> C7 -> P8 (+ M17 forest metrics)."""
-    df = nan_to_null(df)
-    rows_before, cols_before = df.count(), len(df.columns)
+    df = nan_to_null(in_order(df)[0])
+    rows_before, cols_before = df.count(), len(data_columns(df))
     # Written once: fills, fences and the score all read the deduplicated rows.
     dedup = materialize(C.drop_duplicates(df))
     n_dedup = dedup.count()
@@ -51,14 +55,14 @@ def analyst(df: DataFrame, with_model: bool = True) -> dict:
     fenced = C.tukey_filter(filled)
     cleaned = materialize(fenced.frame)      # read by the score, the model and every chart
     st = cleaned.agg(F.count(F.lit(1)).alias("n"),
-                     sum((F.count_if(q(c).isNull()) for c in cleaned.columns), F.lit(0)).alias("m")).first()
-    score = P.quality_score(rows_before, rows_before - n_dedup, st["m"], st["n"], len(cleaned.columns))
+                     sum((F.count_if(q(c).isNull()) for c in data_columns(cleaned)), F.lit(0)).alias("m")).first()
+    score = P.quality_score(rows_before, rows_before - n_dedup, st["m"], st["n"], len(data_columns(cleaned)))
     metrics, failed = _guarded(ml.analyst_metrics, cleaned) if with_model else ({}, None)
     return {
         "cleaned": cleaned, **({"ml_error": failed} if failed else {}),
         "changes": {"original_shape": [rows_before, cols_before], "duplicates_removed": rows_before - n_dedup,
                     "missing_values": fills, "outliers": {c: n for c, n in fenced.removed.items() if n},
-                    "final_shape": [st["n"], len(cleaned.columns)], "quality_score": score,
+                    "final_shape": [st["n"], len(data_columns(cleaned))], "quality_score": score,
                     "accuracy_metrics": metrics, "accuracy_score": ml.accuracy_score(metrics, score)},
     }
 
@@ -70,7 +74,7 @@ def chart(df: DataFrame, kind: str, order_by=None) -> DataFrame | None:
     if kind == "pie":
         return S.pie_data(df)
     if kind == "line":
-        return S.xy_data(df, _order(df, order_by))
+        return S.xy_data(*in_order(df, order_by))
     if kind == "heatmap":
         return S.corr_matrix(df, max_cols=len(df.columns), digits=None)
     if kind == "scatter":
@@ -85,6 +89,8 @@ def chart(df: DataFrame, kind: str, order_by=None) -> DataFrame | None:
 def etl_clean(df: DataFrame, order_by=None, log: P.StepLog | None = None) -> tuple[DataFrame, dict[str, str]]:
     """Type -> dedup -> zero-variance -> smart impute -> wide fence on numeric -> features."""
     log = log if log is not None else P.StepLog()
+    given = ROW_ID in df.columns
+    df, order = in_order(df, order_by)
     df = nan_to_null(df)
     profiles = P.profile_columns(df)
     types = {p.column: p.semantic_type for p in profiles}
@@ -97,20 +103,21 @@ def etl_clean(df: DataFrame, order_by=None, log: P.StepLog | None = None) -> tup
     for c in zero:
         log.add("TRANSFORM", "drop_zero_variance", c)
     types = {c: t for c, t in types.items() if c in dedup.columns}
-    imputed = C.smart_impute(dedup, types, order_by=_order(dedup, order_by), log=log)
+    imputed = C.smart_impute(dedup, types, order_by=order, log=log)
     nums = [c for c in imputed.columns if types.get(c) == "numeric"]
     fenced = C.wide_fence_filter(imputed, nums)
     log.add("TRANSFORM", "outlier_rows_removed", n=sum(fenced.removed.values()))
     engineered, added = FE.feature_engineer(fenced.frame, types)
     for a in added:
         log.add("TRANSFORM", "feature", a)
-    return engineered, types
+    return engineered if given else engineered.drop(ROW_ID), types
 
 
 def etl(df: DataFrame, order_by=None, with_model: bool = True, boosted: bool = False) -> dict:
     """The ETL flow: clean, re-type, statistics, histograms, value counts, correlations, auto-ML."""
     log = P.StepLog()
-    rows, cols = df.count(), len(df.columns)
+    df, order = in_order(df, order_by)
+    rows, cols = df.count(), len(data_columns(df))
     cleaned, _ = etl_clean(df, order_by, log)
     cleaned = materialize(cleaned)           # every statistic, chart and model reads it
     profiles = P.profile_columns(cleaned)
@@ -118,10 +125,10 @@ def etl(df: DataFrame, order_by=None, with_model: bool = True, boosted: bool = F
     nums = numeric_columns(cleaned)
     cats = [c for c in cleaned.columns if types.get(c) in ("categorical", "binary")]
     out = {
-        "original_shape": (rows, cols), "cleaned": cleaned, "col_types": types,
+        "original_shape": (rows, cols), "cleaned": cleaned.drop(ROW_ID), "col_types": types,
         "stats": S.column_summary(cleaned, nums, digits=4), "distributions": S.histogram(cleaned, nums),
         "cat_counts": S.value_counts(cleaned, cats, 10), "corr": S.corr_matrix(cleaned, nums, digits=3),
-        "preview": preview(nan_to_null(cleaned), _order(cleaned, order_by), 200), "logs": log,
+        "preview": preview(nan_to_null(cleaned), order, 200).drop(ROW_ID), "logs": log,
     }
     target = ml.choose_target(cleaned)
     if with_model and target:
@@ -143,17 +150,17 @@ def bi_clean(df: DataFrame) -> tuple[DataFrame, dict]:
 
 def bi_report(df: DataFrame, order_by=None, with_model: bool = True) -> dict:
     """The BI flow and the report tables (A8): summary, cleaned data, statistics, category chart."""
-    orig = (df.count(), len(df.columns))
+    df, order = in_order(df, order_by)
+    orig = (df.count(), len(data_columns(df)))
     cleaned, info = bi_clean(df)
     roles = detect_roles(cleaned, "bi")
     if roles.revenue and roles.cost:
         cleaned = FE.add_profit(cleaned, roles.revenue, roles.cost, "bi")
     cleaned = materialize(cleaned)           # the report tables and the model all read it
-    order = _order(cleaned, order_by)
-    out = {"original_shape": orig, "cleaned": cleaned, "roles": roles.as_dict(), "log": info}
+    out = {"original_shape": orig, "cleaned": cleaned.drop(ROW_ID), "roles": roles.as_dict(), "log": info}
     nums = numeric_columns(cleaned)
     out["summary"] = S.kpis(cleaned, roles.revenue, roles.cost)
-    out["cleaned_data"] = nan_to_null(cleaned)
+    out["cleaned_data"] = nan_to_null(cleaned.drop(ROW_ID))
     out["statistics"] = S.column_summary(cleaned, nums, digits=2)
     out["stats"] = S.column_summary(cleaned, nums, digits=2, with_median=False).select(
         "column", "min", "max", "mean", "sum")
@@ -163,7 +170,7 @@ def bi_report(df: DataFrame, order_by=None, with_model: bool = True) -> dict:
     if with_model and roles.revenue:
         model, failed = _guarded(ml.bi_forecast, cleaned, roles.revenue, order)
         out |= {"ml_error": failed} if failed else {"ml": model}
-    out["preview"] = preview(nan_to_null(cleaned), order, 100)
+    out["preview"] = preview(nan_to_null(cleaned), order, 100).drop(ROW_ID)
     return out
 
 
@@ -181,7 +188,9 @@ def sql_prepare(df: DataFrame) -> DataFrame:
 
 def sql_pack(df: DataFrame, table: str = "data", order_by=None, collect: bool = True) -> dict:
     """The SQL flow: prepare, detect roles (category at most 50 distinct), run the pack, stats and charts."""
-    prepared = materialize(sql_prepare(df))  # loaded once, queried by the whole pack
+    df, order = in_order(df, order_by)
+    rows = materialize(sql_prepare(df))      # loaded once, queried by the whole pack
+    prepared = rows.drop(ROW_ID)
     roles = detect_roles(prepared, "sql")
     prepared.createOrReplaceTempView(table)
     out = {"table": prepared, "roles": roles.as_dict(), "queries": run_pack(prepared, roles, table, collect=collect)}
@@ -192,6 +201,6 @@ def sql_pack(df: DataFrame, table: str = "data", order_by=None, collect: bool =
         out["cat_revenue"] = S.group_top_k(prepared, roles.category, roles.revenue, 8)
     if roles.date and roles.revenue:
         out["trend"] = S.trend(prepared, roles.date, roles.revenue)
-    out["preview"] = preview(nan_to_null(prepared), _order(prepared, order_by), 50)
+    out["preview"] = preview(nan_to_null(rows), order, 50).drop(ROW_ID)
     return out
 

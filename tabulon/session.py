@@ -7,9 +7,13 @@ bench and the driver entry points.
 
 from __future__ import annotations
 
+import atexit
 import os
+import pathlib
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -88,3 +92,19 @@ def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def deliver(spark: SparkSession) -> None:
+    """Send this package to the executors, once a context, so that tasks import it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tabulon_delivered", False):
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="tabulon-code-")  # the driver serves the file as long as the context lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    to = os.path.join(folder, "tabulon.zip")
+    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent).as_posix())
+    sc.addPyFile(to)
+    sc._tabulon_delivered = True

@@ -2,17 +2,27 @@
 
 Everything reads through Spark's own sources, split across tasks; only a
 few header/sample lines (bounded) come to the driver for sniffing.
+
+A folder is read by a scan plan: one distributed pass over the raw lines finds
+the files that are not UTF-8 and those in which a quoted field spans lines.
+The rest, mostly everything, goes to Spark's CSV source as it is; files of
+another encoding go there with that encoding; files with line breaks in quotes
+are cut into records by `tabulon.sources.records`, split across tasks too.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.functions.numeric import fails_number, fails_timestamp, q
+from tabulon.functions.numeric import ROW_ID, fails_number, fails_timestamp, q
+from tabulon.operators.ordering import FILE, POS, START, number_rows, scan_order, scan_place
+from tabulon.sources.records import balanced_files, open_line, read_records
 
 # Candidate delimiters, in tie-break order.
 DELIMITERS = [",", ";", "\t", "|"]
@@ -37,6 +47,44 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
     return "latin-1" if bad else "utf-8"
 
 
+def literal_path(name: str) -> str:
+    """A file as Spark names it (an encoded URI, with or without the empty authority) as a path its readers take literally."""
+    return re.sub(r"([][{}*?\\])", r"\\\1", unquote(re.sub(r"^(\w+):///", r"\1:/", name)))
+
+
+def input_files(spark: SparkSession, path: str) -> list[str]:
+    """The files under a path in order of their names."""
+    return sorted(map(literal_path, spark.read.text(path).inputFiles()))
+
+
+@dataclass
+class ScanPart:
+    """Files that are read alike; `records`: quoted fields span lines in them."""
+    paths: list[str]
+    encoding: str
+    records: bool = False
+
+
+def scan_plan(spark: SparkSession, path: str, sep: str, encoding: str | None = None) -> list[ScanPart]:
+    """Which files of a folder need another encoding, or records cut by their quotes (in pieces of at most two
+    by two kinds).  Only the names of files that differ from the rest come to the driver, beside Spark's own listing."""
+    line = F.col("value")
+    odd = {r["file"]: r for r in spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), (~F.is_valid_utf8(line)).alias("latin"), open_line(line, sep).alias("open"))
+        .where("latin OR open").groupBy("file").agg(F.max("latin").alias("latin"), F.max("open").alias("open")).collect()}
+    if not odd:
+        return [ScanPart([path], encoding or "utf-8")]
+    kind = {literal_path(f): (encoding or ("latin-1" if r["latin"] else "utf-8"), r["open"]) for f, r in odd.items()}
+    several = [f for f, (_, is_open) in kind.items() if is_open]
+    # A quote that is never closed is a stray one: such a file is read line by line.
+    whole = {literal_path(f) for f in balanced_files(spark, several, sep)} if several else set()
+    parts: dict[tuple[str, bool], list[str]] = {}
+    for f in input_files(spark, path):
+        enc, _ = kind.get(f, (encoding or "utf-8", False))
+        parts.setdefault((enc, f in whole), []).append(f)
+    return [ScanPart(files, enc, records) for (enc, records), files in parts.items()]
+
+
 def _sample(spark: SparkSession, path: str, nbytes: int = SAMPLE_BYTES) -> str:
     lines, size = [], 0
     for row in spark.read.text(path).limit(256).collect():
@@ -75,9 +123,9 @@ def clean_column_names(df: DataFrame) -> DataFrame:
     return df.toDF(*safe_names(df.columns))
 
 
-def _header(spark: SparkSession, path: str, sep: str, encoding: str, multi_line: bool) -> list[str]:
-    """Names from the whole first record, decoded like the data."""
-    row = _reader(spark, sep, encoding, multi_line).option("header", False).csv(path).first()
+def _header(spark: SparkSession, path: str, sep: str, encoding: str) -> list[str]:
+    """Names from the whole first record of a file, decoded like the data."""
+    row = _reader(spark, sep, encoding, True).option("header", False).csv(path).first()
     first = ["" if v is None else v for v in row] if row is not None else []
     names, seen = [], {}
     for i, n in enumerate(first):
@@ -91,31 +139,60 @@ def _header(spark: SparkSession, path: str, sep: str, encoding: str, multi_line:
     return names
 
 
-def _reader(spark: SparkSession, sep: str, encoding: str, multi_line: bool):
+def _options(sep: str) -> dict[str, str]:
     """Standard quoting: a quote inside quotes is doubled, a backslash is an ordinary character."""
-    return (spark.read.option("sep", sep).option("encoding", _SPARK_ENCODING.get(encoding, encoding))
-            .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-            .option("maxColumns", MAX_COLUMNS).option("mode", "PERMISSIVE")
-            .option("nullValue", _NO_NULL).option("emptyValue", ""))
+    return {"sep": sep, "quote": '"', "escape": '"', "maxColumns": str(MAX_COLUMNS), "mode": "PERMISSIVE",
+            "nullValue": _NO_NULL, "emptyValue": ""}
+
+
+def _reader(spark: SparkSession, sep: str, encoding: str, multi_line: bool = False):
+    return (spark.read.options(**_options(sep)).option("encoding", _SPARK_ENCODING.get(encoding, encoding))
+            .option("multiLine", multi_line))
 
 
-def read_lenient(spark: SparkSession, path: str, sep: str, encoding: str = "utf-8", multi_line: bool = False) -> DataFrame:
+def _fields(names: list[str]) -> T.StructType:
+    return T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField(_EXTRA, T.StringType())])
+
+
+def read_lenient(spark: SparkSession, path: str, sep: str, encoding: str | None = None, multi_line: bool = False,
+                 row_ids: bool = False) -> DataFrame:
     """All-text read; short rows are padded with nulls, rows with too many fields are skipped.
 
     The schema has one spare field: a row that fills it had too many fields
     and is dropped (``DROPMALFORMED`` would also drop short rows).  Missing
     tokens become null afterwards (Spark itself reads ``NA`` as text).
-    ``multi_line`` accepts line breaks inside quotes; a file is then read by
-    one task instead of being split.
+    Line breaks inside quotes are found by the scan plan; ``multi_line`` skips
+    the plan and has each file read whole by one task.  ``row_ids`` adds the
+    place of each row in its file, for :func:`read_csv`.
     """
-    names = _header(spark, path, sep, encoding, multi_line)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names] +
-                          [T.StructField(_EXTRA, T.StringType())])
-    raw = (_reader(spark, sep, encoding, multi_line).schema(schema)
-           .option("header", True).option("enforceSchema", True).csv(path))
-    kept = raw.where(F.col(_EXTRA).isNull()).drop(_EXTRA)
-    return kept.select(*[F.when(q(c).isin(NA_TOKENS), F.lit(None).cast("string")).otherwise(q(c)).alias(c)
-                         for c in names])
+    files = input_files(spark, path)
+    parts = ([ScanPart([path], encoding or detect_encoding(spark, path))] if multi_line
+             else scan_plan(spark, path, sep, encoding))
+    first = next((p.encoding for p in parts if files[:1] and files[0] in p.paths), parts[0].encoding)
+    names = _header(spark, files[0], sep, first) if files else []
+    schema, frames = _fields(names), []
+    for part in parts:
+        if part.records:
+            rows = read_records(spark, part.paths, sep, _SPARK_ENCODING.get(part.encoding, part.encoding))
+            raw = (rows.where((F.col(START) > 0) | (F.col(POS) > 0))         # the first record of a file is its header
+                       .select(F.from_csv("record", _ddl(schema), _options(sep) | {"multiLine": "true"}).alias("r"),
+                               *([FILE, START, POS] if row_ids else []))
+                       .select("r.*", *([FILE, START, POS] if row_ids else [])))
+        else:
+            raw = (_reader(spark, sep, part.encoding, multi_line).schema(schema)
+                   .option("header", True).option("enforceSchema", True).csv(part.paths))
+        kept = raw.where(F.col(_EXTRA).isNull()).drop(_EXTRA)
+        kept = scan_place(kept) if row_ids and not part.records else kept
+        frames.append(kept.select(*[F.when(q(c).isin(NA_TOKENS), F.lit(None).cast("string")).otherwise(q(c)).alias(c) for c in names],
+                                  *([FILE, START, POS] if row_ids else [])))
+    out = frames[0]
+    for other in frames[1:]:
+        out = out.union(other)
+    return out
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join("`" + f.name.replace("`", "``") + "` STRING" for f in schema.fields)
 
 
 def infer_types(df: DataFrame, dates: bool = True) -> DataFrame:
@@ -175,26 +252,26 @@ def infer_types(df: DataFrame, dates: bool = True) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
              infer: bool = True, clean_names: bool = False, dates: bool = True,
-             multi_line: bool = False) -> DataFrame:
-    """S1 (+S3-S7): headered delimited text with sniffed encoding/delimiter, lenient rows, NA tokens."""
-    enc = encoding or detect_encoding(spark, path)
-    delim = sep or detect_delimiter(_sample(spark, path))
-    df = read_lenient(spark, path, delim, enc, multi_line)
+             multi_line: bool = False, row_ids: bool = False) -> DataFrame:
+    """S1 (+S3-S7): headered delimited text with sniffed encodings/delimiter, lenient rows, NA tokens.
+
+    ``row_ids`` adds ``_row_id``, 0, 1, ... in file order (files by name); the
+    rows are written once for it, so that ids and rows stay together.
+    """
+    files = input_files(spark, path)
+    delim = sep or detect_delimiter(_sample(spark, files[0] if files else path))
+    df = read_lenient(spark, path, delim, encoding, multi_line, row_ids)
+    if row_ids:
+        df = number_rows(df, ROW_ID)
     if infer:
         df = infer_types(df, dates=dates)
     return clean_column_names(df) if clean_names else df
 
 
-def read_table(spark: SparkSession, path: str, fmt: str | None = None, **opts) -> DataFrame:
-    """Open a table by format (``parquet``/``csv``/``json``/``orc``), guessing from the extension."""
-    fmt = fmt or path.rstrip("/").rsplit(".", 1)[-1].lower()
-    if fmt in ("csv", "txt", "tsv"):
-        return read_csv(spark, path, **opts)
-    if fmt in ("parquet", "orc", "json"):
-        return spark.read.format(fmt).load(path)
-    raise ValueError(f"unsupported format {fmt!r}")
-
-
 def limit_rows(df: DataFrame, n: int = 100_000, order_by: list[str] | None = None) -> DataFrame:
-    """The first ``n`` rows (in ``order_by`` order when given, else scan order)."""
-    return (df.orderBy(*[q(c) for c in order_by]) if order_by else df).limit(n)
+    """The first ``n`` rows in ``order_by`` order, by ``_row_id`` or else in the order of the scan."""
+    if order_by:
+        return df.orderBy(*[q(c) for c in order_by]).limit(n)
+    if ROW_ID in df.columns:
+        return df.orderBy(ROW_ID).limit(n)
+    return scan_order(df).orderBy(ROW_ID).limit(n).drop(ROW_ID)

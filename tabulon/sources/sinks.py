@@ -11,9 +11,12 @@ import datetime as _dt
 from pyspark.sql import DataFrame, SparkSession
 
 
-def write_csv(df: DataFrame, path: str, sep: str = ",", quote_all: bool = False, mode: str = "overwrite") -> str:
-    """K1 (and K4 with ``quote_all``: every field quoted); embedded quotes are doubled."""
+def write_csv(df: DataFrame, path: str, sep: str = ",", quote_all: bool = False, mode: str = "overwrite",
+              encoding: str = "utf-8") -> str:
+    """K1 (and K4 with ``quote_all``: every field quoted); embedded quotes are doubled, blanks around values stay."""
     w = df.write.mode(mode).option("header", True).option("sep", sep).option("escape", '"')
+    w = w.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    w = w.option("encoding", {"latin-1": "ISO-8859-1"}.get(encoding, encoding))
     w.option("quoteAll", quote_all).csv(path)
     return path
 
