@@ -10,7 +10,8 @@ from __future__ import annotations
 from dataclasses import dataclass, asdict
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from tabulon.operators.distinct import few_values
 
 # Role keywords per flavour, case-insensitive substrings.
 ETL_KEYWORDS = {
@@ -64,15 +65,10 @@ def all_matches(columns: list[str], keywords: list[str]) -> list[str]:
 def _bounded_category(df: DataFrame, candidates: list[str], max_distinct: int) -> str | None:
     """First candidate with at most ``max_distinct`` distinct non-null values.
 
-    Candidates are tried one job each, in table order, stopping at the first
-    that passes: one exact ``count_distinct`` over a single column (the bound
-    must be exact, so no sketch), and no multi-column distinct Expand.
+    One sketch job for all candidates; only those near the bound are counted.
     """
-    for c in candidates:
-        n = df.agg(F.count_distinct(F.col(f"`{c}`")).alias("n")).first()["n"]
-        if n <= max_distinct:
-            return c
-    return None
+    few = few_values(df, candidates, max_distinct)
+    return next((c for c in candidates if few[c]), None)
 
 
 def detect_roles(df: DataFrame, flavour: str = "sql", check_cardinality: bool = True, **override) -> Roles:

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.functions.numeric import INTEGRAL_TYPES, ROW_ID, data_columns, numeric_columns, q, to_number
+from tabulon.operators.distinct import constant_columns
 from tabulon.operators.ordering import forward_fill
-from tabulon.operators.profile import ColumnProfile, StepLog, profile_columns
+from tabulon.operators.profile import ColumnProfile, StepLog
 from tabulon.operators.quantiles import quantiles, quantiles_and_counts, stable_input
 
 
@@ -31,8 +32,10 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
 
 def drop_zero_variance(df: DataFrame, profiles: list[ColumnProfile] | None = None) -> tuple[DataFrame, list[str]]:
     """Drop columns with at most one distinct non-null value."""
-    profiles = profiles if profiles is not None else profile_columns(df)
-    cols = [p.column for p in profiles if p.n_distinct <= 1 and p.column in df.columns]
+    if profiles is None:
+        cols = constant_columns(df, data_columns(df))
+    else:
+        cols = [p.column for p in profiles if p.n_distinct <= 1 and p.column in df.columns]
     return df.drop(*cols), cols
 
 

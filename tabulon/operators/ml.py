@@ -21,12 +21,13 @@ from dataclasses import dataclass, field
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.functions.numeric import DATE_TYPES, numeric_columns, q
 from tabulon.functions.roles import detect_target
+from tabulon.operators.distinct import few_values
 from tabulon.operators.ordering import row_index
 from tabulon.session import materialize
 
@@ -40,8 +41,7 @@ def detect_problem_type(df: DataFrame, target: str, types: dict[str, str]) -> st
     """M2: classification for categorical/binary targets or at most 10 distinct values."""
     if types.get(target) in ("categorical", "binary"):
         return "classification"
-    n = df.agg(F.count_distinct(q(target)).alias("n")).first()["n"]
-    return "classification" if n <= 10 else "regression"
+    return "classification" if few_values(df, [target], 10)[target] else "regression"
 
 
 def choose_target(df: DataFrame) -> str | None:
@@ -280,8 +280,3 @@ def analyst_metrics(df: DataFrame, num_trees: int = 50) -> dict[str, float]:
 def accuracy_score(metrics: dict[str, float], quality: int) -> float:
     """R2 when a model was scored, else the quality score."""
     return round(metrics["R2"], 4) if metrics and "R2" in metrics and not math.isnan(metrics["R2"]) else quality
-
-
-def summarize(result: MLResult, spark: SparkSession) -> DataFrame:
-    """One row per model with its metrics and whether it won (for reports)."""
-    return result.scores.withColumn("best", F.col("model") == F.lit(result.best_model))

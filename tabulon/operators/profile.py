@@ -1,11 +1,9 @@
 """Column profiling and schema inference.
 
-All per-column statistics are fused into as few aggregates as possible: one
-pass for counts and parse checks of every column, and exact distinct counts
-in batches (``count_distinct`` over many columns in one aggregate makes Spark
-expand every row once per column, so batches bound that blow-up per job).
-The results are one row per column, built on the driver from those small
-aggregate rows.
+All per-column statistics are fused into one aggregate for counts, parse
+checks and distinct-value sketches of every column, and one job for the exact
+distinct counts that are asked for (see `distinct.py`).  The results are one
+row per column, built on the driver from those small aggregate rows.
 """
 
 from __future__ import annotations
@@ -17,8 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.functions.numeric import DATE_TYPES, NUMERIC_TYPES, ROW_ID, data_columns, fails_number, fails_timestamp, q
-
-DISTINCT_BATCH = 8
+from tabulon.operators import distinct as D
 
 PROFILE_SCHEMA = T.StructType([
     T.StructField("column", T.StringType()),
@@ -38,7 +35,7 @@ class ColumnProfile:
     semantic_type: str
     n: int              # non-null values
     n_missing: int
-    n_distinct: int     # exact, nulls excluded
+    n_distinct: int     # nulls excluded; an estimate where the caller asked for types only
     missing_pct: float  # of all rows, 2 dp
     rows: int
 
@@ -58,50 +55,39 @@ def _semantic(dtype: T.DataType, n: int, n_distinct: int, bad_ts: int, bad_num:
     return "categorical" if n_distinct / n < 0.5 else "text"
 
 
-def profile_columns(df: DataFrame, distinct_batch: int = DISTINCT_BATCH,
-                    approx_distinct: bool = False) -> list[ColumnProfile]:
+def profile_columns(df: DataFrame, exact: bool = True) -> list[ColumnProfile]:
     """One row of statistics per column.
 
-    The counts and parse checks ride along with the first batch of exact
-    distinct counts, so a table of up to ``distinct_batch`` columns takes one
-    job.  When producing the input needs a shuffle (joins, dedup) and several
-    batches are needed, the input is written once to the checkpoint dir.
-    ``approx_distinct`` (opt-in) uses HyperLogLog counts in the same single
-    pass: no Expand, but the 2/15/ratio thresholds become approximate.
+    One aggregate holds the counts, the parse checks and a distinct-value sketch of every column.  ``exact``: the
+    distinct counts of all columns follow from a second job over (column, value) keys.  Otherwise only columns whose
+    sketch lies near a limit of the type rule are counted; the others keep their estimate, and types are as exact.
     """
     from tabulon.operators.quantiles import stable_input
     fields = [f for f in df.schema.fields if f.name != ROW_ID]
-    if approx_distinct:
-        distinct_batch = max(len(fields), 1)
-    elif len(fields) > distinct_batch:
-        df = stable_input(df, df.columns)
-    base_aggs = [F.count(F.lit(1)).alias("_rows")]
+    df = stable_input(df, [f.name for f in fields])
+    aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, f in enumerate(fields):
         c = q(f.name)
-        base_aggs.append(F.count(c).alias(f"n{i}"))
+        aggs.append(F.count(c).alias(f"n{i}"))
+        if not exact:
+            aggs.append(D.sketch(f.name).alias(f"d{i}"))
         if isinstance(f.dataType, T.StringType):
-            base_aggs.append(F.count_if(fails_timestamp(c)).alias(f"t{i}"))
-            base_aggs.append(F.count_if(fails_number(c)).alias(f"x{i}"))
-    base = None
-    distinct: dict[int, int] = {}
-    idx = list(range(len(fields)))
-    for s in range(0, max(len(idx), 1), max(1, distinct_batch)):
-        part = idx[s:s + distinct_batch]
-        count = F.approx_count_distinct if approx_distinct else F.count_distinct
-        aggs = [count(q(fields[i].name)).alias(f"d{i}") for i in part]
-        row = df.agg(*(base_aggs if base is None else []), *aggs).first()
-        if base is None:
-            base = row
-        distinct.update({i: row[f"d{i}"] for i in part})
+            aggs.append(F.count_if(fails_timestamp(c)).alias(f"t{i}"))
+            aggs.append(F.count_if(fails_number(c)).alias(f"x{i}"))
+    base = df.agg(*aggs).first()
+    if exact:
+        distinct = D.counted(df, [f.name for f in fields])
+    else:
+        limits = {f.name: [1.5, 2.5, 15.5, base[f"n{i}"] / 2] for i, f in enumerate(fields)}
+        distinct = {c: d.n for c, d in D.decided(df, {f.name: base[f"d{i}"] for i, f in enumerate(fields)}, limits).items()}
     rows = base["_rows"]
     out = []
     for i, f in enumerate(fields):
-        n = base[f"n{i}"]
+        n, miss, n_distinct = base[f"n{i}"], rows - base[f"n{i}"], distinct[f.name]
         bad_ts = base[f"t{i}"] if f"t{i}" in base else 1
         bad_num = base[f"x{i}"] if f"x{i}" in base else 1
-        miss = rows - n
-        out.append(ColumnProfile(f.name, f.dataType.simpleString(), _semantic(f.dataType, n, distinct[i], bad_ts, bad_num),
-                                 n, miss, distinct[i], round(miss / rows * 100, 2) if rows else 0.0, rows))
+        out.append(ColumnProfile(f.name, f.dataType.simpleString(), _semantic(f.dataType, n, n_distinct, bad_ts, bad_num),
+                                 n, miss, n_distinct, round(miss / rows * 100, 2) if rows else 0.0, rows))
     return out
 
 
@@ -117,7 +103,7 @@ def column_profile(df: DataFrame) -> DataFrame:
 
 
 def semantic_types(df: DataFrame) -> dict[str, str]:
-    return {p.column: p.semantic_type for p in profile_columns(df)}
+    return {p.column: p.semantic_type for p in profile_columns(df, exact=False)}
 
 
 def types_by_group(profile: DataFrame) -> DataFrame:
@@ -148,11 +134,6 @@ def duplicate_count(df: DataFrame) -> DataFrame:
                  (F.sum("_n") - F.count(F.lit(1))).alias("n_duplicates"))
 
 
-def zero_variance_columns(profiles: list[ColumnProfile]) -> list[str]:
-    """P5: columns with at most one distinct non-null value."""
-    return [p.column for p in profiles if p.n_distinct <= 1]
-
-
 def quality_score(rows_before: int, duplicates_removed: int, missing_cells: int, rows_after: int,
                   cols_after: int) -> int:
     """100 minus capped missing-cell and duplicate penalties, truncated to int, floor 0."""

@@ -5,19 +5,21 @@ of a column into a single buffer in one task; on a 100 TB column that task
 never finishes.  Here the k-th smallest value is found by narrowing an open
 interval around the wanted rank:
 
-1. one job, all columns fused: counts, ends and a grid of
-   ``percentile_approx`` points (a mergeable sketch, bounded memory per task);
-2. two grid points around the rank are the pivots of the next job, which
-   counts exactly how many values lie below, at, between and above them and
-   draws a finer grid between them.  A rank that falls on a pivot is found,
-   however many rows hold that value; otherwise the interval shrinks to the
-   side that holds the rank and never widens again;
-3. once an interval holds few values by exact count, their value counts are
+1. one job, all columns fused: counts, ends and, for each wanted quantile,
+   two pivots around its rank from ``percentile_approx`` (a mergeable sketch of
+   proven rank error, bounded memory per task); neighbouring ranks share them;
+2. strictly between two pivots lie at most SPAN of all rows.  Where that is few,
+   one more job counts the rows below and at the pivots and fetches the values
+   between them: order statistics take two scans, however many columns;
+3. else the next job counts exactly how many values lie below, at, between and
+   above the pivots and draws a finer grid between them.  A rank that falls on a
+   pivot is found, however many rows hold that value; otherwise the interval
+   shrinks to the side that holds the rank and never widens again;
+4. once an interval holds few values by exact count, their value counts are
    fetched and the order statistic is read off.
 
-Every job is one scan of the needed columns for all open intervals.  Each
-round shrinks the interval some hundredfold; a grid point that misses the rank
-costs a further round, never a wrong result.  NaN counts as missing, infinite
+Every job is one scan of the needed columns for all open intervals.  A pivot that
+misses the rank costs a further round, never a wrong result.  NaN counts as missing, infinite
 values count.  Interpolation is the linear rule used by pandas/numpy (and
 DuckDB ``quantile_cont``).
 """
@@ -36,6 +38,8 @@ from tabulon.functions.numeric import q
 GRID = 256                # grid points per interval and pass
 ACCURACY = 10000          # percentile_approx accuracy (relative rank error 1/ACCURACY)
 COLLECT_LIMIT = 20000     # most values fetched for all intervals together (GRID for each at least)
+MARGIN = 2.0 / ACCURACY   # how far from a wanted rank its first pivots are drawn: twice the error of a point
+SPAN = 2 * MARGIN + 2.0 / ACCURACY   # so this share of the rows, at most, lies strictly between them
 
 
 @dataclass
@@ -49,8 +53,11 @@ class _Target:
     lo: float | None = None       # None: unbounded
     hi: float | None = None
     value: float | None = None
+    first: tuple[float, float] | None = None      # the pivots drawn with the first scan
 
     def pivots(self) -> tuple[float | None, float | None]:
+        if self.first:
+            return self.first
         if self.grid is None:
             return None, None
         margin = 2.0 / ACCURACY + 1.0 / GRID
@@ -79,11 +86,12 @@ def _grid(c: str, cond=None):
     return F.percentile_approx(v if cond is None else F.when(cond, v), [i / GRID for i in range(GRID + 1)], ACCURACY)
 
 
-def kth_values(df: DataFrame, wanted: dict[str, list[int]], counts: dict[str, int],
-               grids: dict[str, list[float]]) -> dict[tuple[str, int], float]:
-    """Exact k-th smallest value for each (column, k), given whole-column grids."""
-    targets = [_Target(c, k, k, counts[c], grids[c]) for c, ks in wanted.items() for k in sorted(set(ks))
-               if counts.get(c, 0) > 0]
+def kth_values(df: DataFrame, wanted: dict[str, dict[int, tuple[float, float]]], counts: dict[str, int]
+               ) -> dict[tuple[str, int], float]:
+    """Exact k-th smallest value for each (column, k), given the pivots around it."""
+    targets = [_Target(c, k, k, counts[c], None, first=ends) for c, ks in wanted.items() for k, ends in sorted(ks.items())]
+    if targets and sum(SPAN * counts[c] + 2 for c, _ in {(t.col, t.first) for t in targets}) <= COLLECT_LIMIT:
+        _count_and_fetch(df, targets)
     while todo := [t for t in targets if t.value is None]:
         few = max(GRID, COLLECT_LIMIT // len({(t.col, t.lo, t.hi) for t in todo}))
         small = [t for t in todo if t.inside <= few]
@@ -94,6 +102,34 @@ def kth_values(df: DataFrame, wanted: dict[str, list[int]], counts: dict[str, in
     return {(t.col, t.k): t.value for t in targets}
 
 
+def _count_and_fetch(df: DataFrame, targets: list[_Target]) -> None:
+    """One job: rows below and at the first pivots, and the values strictly between them.
+
+    The sketch's error bounds how many those are, also beside a hot value: one that lies strictly between two pivots
+    can't hold more rows than they enclose.  A rank outside its pivots stays open for the narrowing rounds.
+    """
+    groups: dict[tuple, list[_Target]] = {}
+    for t in targets:
+        groups.setdefault((t.col, *t.first), []).append(t)
+    aggs = []
+    for i, (col, a, b) in enumerate(groups):
+        v = _v(col)
+        aggs += [F.count_if(_between(col, None, a)).alias(f"below{i}"), F.count_if(v == F.lit(a)).alias(f"a{i}"),
+                 F.collect_list(F.when(_between(col, a, b), v)).alias(f"mid{i}"), F.count_if(v == F.lit(b)).alias(f"b{i}")]
+    row = df.agg(*aggs).first()
+    for i, ((_, a, b), members) in enumerate(groups.items()):
+        below, at_a, mid, at_b = row[f"below{i}"], row[f"a{i}"], sorted(row[f"mid{i}"]), row[f"b{i}"] if b > a else 0
+        for t in members:
+            r = t.r - below
+            if 0 <= r < at_a:
+                t.value = a
+            elif at_a <= r < at_a + len(mid):
+                t.value = mid[r - at_a]
+            elif at_a + len(mid) <= r < at_a + len(mid) + at_b:
+                t.value = b
+            t.first = None
+
+
 def _narrow(df: DataFrame, targets: list[_Target]) -> None:
     """One job over all open intervals: exact counts around the pivots and a finer grid between them."""
     groups: dict[tuple, list[_Target]] = {}
@@ -112,6 +148,7 @@ def _narrow(df: DataFrame, targets: list[_Target]) -> None:
     for i, ((_, _, _, a, b), members) in enumerate(groups.items()):
         grid = row[f"g{i}"]
         for t in members:
+            t.first = None
             if a is None:
                 t.grid = grid
                 continue
@@ -200,16 +237,17 @@ def quantiles_and_counts(df: DataFrame, cols: list[str], probs: list[float], exa
     row = df.agg(F.count(F.lit(1)).alias("_rows"),
                  *[x for i, c in enumerate(cols) for x in (F.count(_v(c)).alias(f"n{i}"), F.min(_v(c)).alias(f"mn{i}"),
                                                            F.max(_v(c)).alias(f"mx{i}"))],
-                 *[_grid(c).alias(f"g{i}") for i, c in enumerate(cols)]).first()
+                 *[F.percentile_approx(_v(c), [x for p in probs for x in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))], ACCURACY)
+                   .alias(f"g{i}") for i, c in enumerate(cols)]).first()
     counts = {c: row[f"n{i}"] for i, c in enumerate(cols)}
-    grids = {c: row[f"g{i}"] for i, c in enumerate(cols)}
-    wanted: dict[str, list[int]] = {}
-    for c in cols:
+    wanted: dict[str, dict[int, tuple[float, float]]] = {}
+    for i, c in enumerate(cols):
         n = counts[c]
-        for p in probs if n else []:
+        for j, p in enumerate(probs if n else []):
             lo = math.floor((n - 1) * p)
-            wanted.setdefault(c, []).extend(k for k in (lo, min(lo + 1, n - 1)) if 0 < k < n - 1)
-    kv = kth_values(df, wanted, counts, grids)
+            ends = (float(row[f"g{i}"][2 * j]), float(row[f"g{i}"][2 * j + 1]))
+            wanted.setdefault(c, {}).update((k, ends) for k in (lo, min(lo + 1, n - 1)) if 0 < k < n - 1)
+    kv = kth_values(df, wanted, counts)
     out: dict[str, list[float | None]] = {}
     for i, c in enumerate(cols):
         n, res = counts[c], []

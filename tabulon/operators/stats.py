@@ -25,19 +25,18 @@ def _sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-# Sums of doubles depend on the order rows are added in; summing as a wide
-# decimal is exact, so the summary is the same however the data is split.
+# Sums of doubles depend on the order rows are added in; the part of each value that a wide decimal holds is
+# summed exactly, and what is left of it (under 1e-10, or the whole of a huge or infinite value) as doubles.
 _EXACT_SUM = "decimal(38,10)"
 
 
 def _sum(v):
-    """Exact where the values fit the decimal, else (huge, tiny or infinite values) the sum of doubles."""
-    size = F.max(F.abs(v))
-    return F.when((size < 1e15) & (size >= 1e-2), F.sum(v.try_cast(_EXACT_SUM)).cast("double")).otherwise(F.sum(v))
+    held = F.when(F.abs(v) < 1e15, v).try_cast(_EXACT_SUM)
+    return F.coalesce(F.try_sum(held).cast("double"), F.when(F.count(v) > 0, 0.0)) + F.sum(v - F.coalesce(held.cast("double"), F.lit(0.0)))
 
 
 def column_summary(df: DataFrame, cols: list[str] | None = None, digits: int | None = 4,
-                   with_median: bool = True, half_even: bool = False) -> DataFrame:
+                   with_median: bool = True, half_even: bool = True) -> DataFrame:
     """A1: min, max, mean, median, std (sample), sum, count and missing % per numeric column.
 
     One aggregate for all columns plus the exact distributed medians; the
@@ -66,7 +65,7 @@ def column_summary(df: DataFrame, cols: list[str] | None = None, digits: int | N
         r(F.col("median")).alias("median"), r(F.col("std")).alias("std"),
         r(F.col("sum")).cast("double").alias("sum"),
         F.col("count"),
-        F.round(F.try_divide(F.col("_rows") - F.col("count"), F.col("_rows")) * 100, 2).alias("missing_pct"))
+        F.bround(F.try_divide(F.col("_rows") - F.col("count"), F.col("_rows")) * 100, 2).alias("missing_pct"))
 
 
 def histogram(df: DataFrame, cols: list[str] | None = None, bins: int = 20, max_cols: int | None = None,
@@ -104,7 +103,7 @@ def histogram(df: DataFrame, cols: list[str] | None = None, bins: int = 20, max_
     grid = spark.createDataFrame(
         [(c, b, lo, (hi - lo) / bins) for c, (lo, hi) in ranges.items() for b in range(bins)],
         "column string, bin int, lo double, step double").select(
-        "column", "bin", F.round(F.col("lo") + F.col("bin") * F.col("step"), edge_digits).alias("left_edge"))
+        "column", "bin", F.bround(F.col("lo") + F.col("bin") * F.col("step"), edge_digits).alias("left_edge"))
     # The grid is columns x bins rows, known on the driver: broadcast is bounded.
     return (binned.join(F.broadcast(grid), ["column", "bin"], "right")
                   .select("column", "bin", "left_edge", F.coalesce("count", F.lit(0)).cast("long").alias("count")))
@@ -158,7 +157,7 @@ def corr_matrix(df: DataFrame, cols: list[str] | None = None, max_cols: int | No
             parts.append(f"{_sql_str(cols[j])}, {_sql_str(cols[i])}, c{i}_{j}")
     long = row.selectExpr(f"stack({len(parts)}, {', '.join(parts)}) AS (col_a, col_b, corr)")
     if digits is not None:
-        long = long.select("col_a", "col_b", F.round("corr", digits).alias("corr"))
+        long = long.select("col_a", "col_b", F.bround("corr", digits).alias("corr"))
     return long
 
 
@@ -167,7 +166,7 @@ def group_top_k(df: DataFrame, cat: str, value: str, k: int = 8, digits: int | N
     total = F.sum(q(value))
     g = df.where(q(cat).isNotNull()).groupBy(q(cat).alias(cat)).agg(total.alias("total"))
     if digits is not None:
-        g = g.select(cat, F.round("total", digits).alias("total"))
+        g = g.select(cat, F.bround("total", digits).alias("total"))
     return g.orderBy(F.desc("total"), q(cat)).limit(k)
 
 
@@ -175,7 +174,7 @@ def trend(df: DataFrame, date: str, value: str, digits: int | None = 2) -> DataF
     """Sum of ``value`` per date, ascending, null dates dropped."""
     g = df.where(q(date).isNotNull()).groupBy(q(date).alias(date)).agg(F.sum(q(value)).alias("total"))
     if digits is not None:
-        g = g.select(date, F.round("total", digits).alias("total"))
+        g = g.select(date, F.bround("total", digits).alias("total"))
     return g.orderBy(q(date))
 
 
@@ -194,7 +193,7 @@ def kpis(df: DataFrame, rev: str | None, cost: str | None, digits: int | None =
             names.append("'Net Profit', k_profit")
     out = df.agg(*aggs).selectExpr(f"stack({len(names)}, {', '.join(names)}) AS (kpi, value)")
     if digits is not None:
-        out = out.select("kpi", F.round("value", digits).alias("value"))
+        out = out.select("kpi", F.bround("value", digits).alias("value"))
     return out
 
 

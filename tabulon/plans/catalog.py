@@ -83,9 +83,9 @@ HAVING ROUND(SUM(revenue), 2) > (SELECT AVG(t) FROM (SELECT SUM(revenue) AS t FR
     lambda s, d: qp.having_filter(_sales(s, d), "category", "revenue"))
 
 register("pack_cte_ranked", with_sales("""
-, totals AS (SELECT category, SUM(revenue) AS cat_revenue FROM sales GROUP BY category),
+, totals AS (SELECT category, SUM(revenue) AS part FROM sales GROUP BY category),
   grand AS (SELECT SUM(revenue) AS total FROM sales)
-SELECT category, ROUND(cat_revenue, 2) AS revenue, ROUND(cat_revenue / total * 100, 2) AS revenue_share_pct
+SELECT category, ROUND(part, 2) AS revenue, ROUND(part / total * 100, 2) AS revenue_share_pct
 FROM totals, grand"""))(
     lambda s, d: qp.cte_ranked(_sales(s, d), "category", "revenue"))
 

@@ -22,14 +22,21 @@ def _sales(spark, d):
 # ------------------------------------------------------------------ A1-A7
 
 register("stats_column_summary", with_sales("\nUNION ALL\n".join(
-    f"SELECT '{c}' AS \"column\", ROUND(MIN(CAST({c} AS DOUBLE)), 4) AS min, ROUND(MAX(CAST({c} AS DOUBLE)), 4) AS max, "
-    f"ROUND(AVG(CAST({c} AS DOUBLE)), 4) AS mean, ROUND(median(CAST({c} AS DOUBLE)), 4) AS median, "
-    f"ROUND(stddev_samp(CAST({c} AS DOUBLE)), 4) AS std, "
-    f"CAST(ROUND(SUM(CAST(CAST({c} AS DOUBLE) AS DECIMAL(38, 10))), 4) AS DOUBLE) AS sum, COUNT({c}) AS count, "
-    f"ROUND((COUNT(*) - COUNT({c})) / COUNT(*) * 100, 2) AS missing_pct FROM sales" for c in SALES_NUMERIC)))(
+    f"SELECT '{c}' AS \"column\", round_even(MIN(CAST({c} AS DOUBLE)), 4) AS min, round_even(MAX(CAST({c} AS DOUBLE)), 4) AS max, "
+    f"round_even(AVG(CAST({c} AS DOUBLE)), 4) AS mean, round_even(median(CAST({c} AS DOUBLE)), 4) AS median, "
+    f"round_even(stddev_samp(CAST({c} AS DOUBLE)), 4) AS std, "
+    f"CAST(round_even(SUM(CAST(CAST({c} AS DOUBLE) AS DECIMAL(38, 10))), 4) AS DOUBLE) AS sum, COUNT({c}) AS count, "
+    f"round_even((COUNT(*) - COUNT({c})) / COUNT(*) * 100, 2) AS missing_pct FROM sales" for c in SALES_NUMERIC)))(
     lambda s, d: S.column_summary(_sales(s, d)))
 
 
+def _half_even(value: str) -> str:
+    """Two digits, half even, on the decimal that a double prints as (scaling the double itself would lose the tie)."""
+    y = f"CAST({value} AS DECIMAL(30, 8)) * 100"
+    tie = f"(({y}) - floor({y}) = 0.5 AND abs(floor({y})) % 2 = 1)"
+    return f"CAST((floor({y}) + CASE WHEN ({y}) - floor({y}) > 0.5 OR {tie} THEN 1 ELSE 0 END) AS DOUBLE) / 100"
+
+
 def _hist_sql(cols, bins=20):
     ctes, parts = [], []
     for i, c in enumerate(cols):
@@ -39,7 +46,7 @@ def _hist_sql(cols, bins=20):
         ctes.append(f"b{i} AS (SELECT LEAST(CAST(FLOOR((CAST({c} AS DOUBLE) - lo) * ({float(bins)} / (hi - lo))) AS INTEGER), "
                     f"{bins - 1}) AS bin FROM sales, r{i} WHERE {c} IS NOT NULL)")
         parts.append(f"SELECT '{c}' AS \"column\", CAST(g.bin AS INTEGER) AS bin, "
-                     f"ROUND(lo + g.bin * ((hi - lo) / {bins}), 2) AS left_edge, COUNT(b.bin) AS count "
+                     f"{_half_even(f'lo + g.bin * ((hi - lo) / {bins})')} AS left_edge, COUNT(b.bin) AS count "
                      f"FROM (SELECT range AS bin FROM range({bins})) g CROSS JOIN r{i} LEFT JOIN b{i} b ON b.bin = g.bin "
                      f"GROUP BY g.bin, lo, hi")
     return with_sales(", " + ",\n".join(ctes) + "\n" + "\nUNION ALL\n".join(parts))
@@ -52,7 +59,7 @@ register("stats_histogram", _hist_sql(SALES_NUMERIC))(
 def _value_counts(spark, d):
     df = _sales(spark, d)
     types = P.semantic_types(df)
-    cats = [c for c in df.columns if types.get(c) in ("categorical", "binary")][:6]
+    cats = [c for c in df.columns if types.get(c) in ("categorical", "binary")]
     return S.value_counts(df, cats, 10)
 
 
@@ -70,7 +77,7 @@ def _corr_sql(cols):
         for b in cols:
             pa, pb = f"CASE WHEN {b} IS NOT NULL THEN CAST({a} AS DOUBLE) END", f"CASE WHEN {a} IS NOT NULL THEN CAST({b} AS DOUBLE) END"
             den = f"(stddev_pop({pa}) * stddev_pop({pb}))"
-            parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, ROUND(CASE WHEN {den} = 0 THEN NULL ELSE "
+            parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, round_even(CASE WHEN {den} = 0 THEN NULL ELSE "
                          f"covar_pop({pa}, {pb}) / {den} END, 3) + 0.0 AS corr FROM sales")
     return with_sales("\nUNION ALL\n".join(parts))
 
@@ -79,19 +86,19 @@ register("stats_corr_matrix", _corr_sql(SALES_NUMERIC))(
     lambda s, d: S.corr_matrix(_sales(s, d)))
 
 register("stats_group_top_k", with_sales("""
-SELECT category, ROUND(SUM(revenue), 2) AS total FROM sales WHERE category IS NOT NULL GROUP BY category
+SELECT category, round_even(SUM(revenue), 2) AS total FROM sales WHERE category IS NOT NULL GROUP BY category
 ORDER BY total DESC, category LIMIT 8"""))(
     lambda s, d: S.group_top_k(_sales(s, d), "category", "revenue", 8))
 
 register("stats_trend", with_sales("""
-SELECT ship_date, ROUND(SUM(revenue), 2) AS total FROM sales WHERE ship_date IS NOT NULL GROUP BY ship_date"""))(
+SELECT ship_date, round_even(SUM(revenue), 2) AS total FROM sales WHERE ship_date IS NOT NULL GROUP BY ship_date"""))(
     lambda s, d: S.trend(_sales(s, d), "ship_date", "revenue"))
 
 register("stats_kpis", with_sales("""
 SELECT 'Total Records' AS kpi, CAST(COUNT(*) AS DOUBLE) AS value FROM sales
 UNION ALL SELECT 'Columns', 9.0
-UNION ALL SELECT 'Total Revenue', ROUND(SUM(COALESCE(revenue, 0)), 2) FROM sales
-UNION ALL SELECT 'Net Profit', ROUND(SUM(COALESCE(revenue, 0)) - SUM(COALESCE(cost, 0)), 2) FROM sales"""))(
+UNION ALL SELECT 'Total Revenue', round_even(SUM(COALESCE(revenue, 0)), 2) FROM sales
+UNION ALL SELECT 'Net Profit', round_even(SUM(COALESCE(revenue, 0)) - SUM(COALESCE(cost, 0)), 2) FROM sales"""))(
     lambda s, d: S.kpis(_sales(s, d), "revenue", "cost", digits=2))
 
 # ------------------------------------------------------------------ V1-V6

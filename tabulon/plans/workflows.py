@@ -92,7 +92,7 @@ def etl_clean(df: DataFrame, order_by=None, log: P.StepLog | None = None) -> tup
     given = ROW_ID in df.columns
     df, order = in_order(df, order_by)
     df = nan_to_null(df)
-    profiles = P.profile_columns(df)
+    profiles = P.profile_columns(df, exact=False)
     types = {p.column: p.semantic_type for p in profiles}
     for t in sorted(set(types.values())):
         log.add("EXTRACT", f"type:{t}", ",".join(c for c, v in types.items() if v == t))
@@ -120,8 +120,7 @@ def etl(df: DataFrame, order_by=None, with_model: bool = True, boosted: bool = F
     rows, cols = df.count(), len(data_columns(df))
     cleaned, _ = etl_clean(df, order_by, log)
     cleaned = materialize(cleaned)           # every statistic, chart and model reads it
-    profiles = P.profile_columns(cleaned)
-    types = {p.column: p.semantic_type for p in profiles}
+    types = P.semantic_types(cleaned)
     nums = numeric_columns(cleaned)
     cats = [c for c in cleaned.columns if types.get(c) in ("categorical", "binary")]
     out = {
