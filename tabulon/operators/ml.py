@@ -5,8 +5,9 @@ Design notes for scale:
 * Label encoding (M3) does not use ``StringIndexer``: fitting it collects
   every distinct label to the driver.  Codes are the position of a value in
   the sorted distinct values, computed for all text columns at once by one
-  range-partitioned row index, and joined back on the value (AQE broadcasts
-  a code table only when its measured size is small).
+  range-partitioned row index; dictionaries of checked size are looked up in
+  the tasks, larger ones are joined, all columns at once either way.
+* Ridge (M7) is solved from sums of products (`linear.py`).
 * The 80/20 split (M5) is a hash of the row content and a seed: stable
   across recomputation and executor loss, no sampling state.
 * Standardisation (M6) is one aggregate on the training rows and a
@@ -18,9 +19,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +31,7 @@ from pyspark.sql import types as T
 from tabulon.functions.numeric import DATE_TYPES, numeric_columns, q
 from tabulon.functions.roles import detect_target
 from tabulon.operators.distinct import few_values
+from tabulon.operators.linear import fit_ridge
 from tabulon.operators.ordering import row_index
 from tabulon.session import materialize
 
@@ -49,27 +53,65 @@ def choose_target(df: DataFrame) -> str | None:
     return detect_target(df.columns, numeric_columns(df))
 
 
-def label_encode(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict[str, DataFrame]]:
+#: Columns with at most this many labels and characters of labels are looked up in a dictionary that every task holds.
+DICTIONARY_ROWS, DICTIONARY_CHARS = 200_000, 16 << 20
+
+
+def label_encode(df: DataFrame, cols: list[str], dictionary_rows: int = DICTIONARY_ROWS) -> tuple[DataFrame, dict[str, DataFrame]]:
     """M3: replace each text column by the 0-based rank of its value among the sorted distinct values.
 
-    One pass for all columns: distinct ``(column, value)`` pairs are
-    unpivoted and numbered by the range-partitioned row index; a column's
-    codes are its indexes minus the index of its first value (one small row
-    per column).  Returns the encoded frame and, per column, ``(value, code)``.
+    Distinct ``(column, value)`` pairs of all columns are unpivoted and numbered by one range-partitioned row index; a
+    column's codes are its indexes minus the index of its first value.  Columns whose dictionaries are small by count
+    (checked before anything is collected) are encoded together by one lookup in the tasks, without a shuffle.  All
+    others are encoded together too: their values are unpivoted with the row they stand in, met with the codes in one join
+    (AQE splits a hot value) and put back by row.  Returns the encoded frame and, per column, ``(value, code)``.
     """
     if not cols:
         return df, {}
     arms = [F.struct(F.lit(c).alias("__col"), q(c).cast("string").alias("__v")) for c in cols]
     pairs = df.select(F.inline(F.array(*arms))).where(F.col("__v").isNotNull()).distinct()
-    idx = row_index(pairs, ["__col", "__v"], name="__g")
-    first = {r["__col"]: r["m"] for r in idx.groupBy("__col").agg(F.min("__g").alias("m")).collect()}
-    tables, out = {}, df
-    for c in cols:
-        codes = idx.where(F.col("__col") == c).select("__v", (F.col("__g") - F.lit(first.get(c, 0))).alias("__code"))
-        tables[c] = codes.select(F.col("__v").alias("value"), F.col("__code").alias("code"))
-        out = (out.join(codes, q(c).cast("string") == codes["__v"], "left")
-                  .withColumn(c, F.col("__code").cast("double")).drop("__v", "__code"))
-    return out, tables
+    idx = materialize(row_index(pairs, ["__col", "__v"], name="__g"))
+    sizes = {r["__col"]: r for r in idx.groupBy("__col").agg(F.min("__g").alias("first"), F.count(F.lit(1)).alias("n"),
+                                                            F.sum(F.length("__v")).alias("chars")).collect()}
+    first = F.create_map(*[F.lit(x) for c in cols for x in (c, int(sizes[c]["first"]) if c in sizes else 0)])
+    codes = idx.select("__col", "__v", (F.col("__g") - first[F.col("__col")]).alias("__code"))
+    tables = {c: codes.where(F.col("__col") == c).select(F.col("__v").alias("value"), F.col("__code").alias("code")) for c in cols}
+    small, rows, chars = [], 0, 0
+    for c in sorted(cols, key=lambda c: sizes[c]["n"] if c in sizes else 0):
+        n, m = (sizes[c]["n"], sizes[c]["chars"]) if c in sizes else (0, 0)
+        if rows + n <= dictionary_rows and chars + m <= DICTIONARY_CHARS:
+            small, rows, chars = [*small, c], rows + n, chars + m
+    out = _looked_up(df, codes, small) if small else df
+    large = [c for c in cols if c not in small]
+    return (_met_with_codes(out, codes, large) if large else out), tables
+
+
+def _looked_up(df: DataFrame, codes: DataFrame, cols: list[str]) -> DataFrame:
+    """Codes from sorted dictionaries: the position of a value is its code."""
+    labels: dict[str, list[str]] = {c: [] for c in cols}
+    for r in codes.where(F.col("__col").isin(cols)).orderBy("__col", "__code").collect():  # size checked by the caller
+        labels[r["__col"]].append(r["__v"])
+    held = df.sparkSession.sparkContext.broadcast(labels)
+    at = {df.columns.index(c): c for c in cols}
+    schema = T.StructType([T.StructField(f.name, T.DoubleType() if f.name in labels else f.dataType) for f in df.schema.fields])
+
+    def run(batches):
+        sets = {i: pa.array(held.value[c], pa.string()) for i, c in at.items()}
+        for b in batches:
+            arrays = [pc.index_in(a.cast(pa.string()), value_set=sets[i]).cast(pa.float64()) if i in sets else a for i, a in enumerate(b.columns)]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return df.select(*[(q(c).cast("string") if c in labels else q(c)).alias(c) for c in df.columns]).mapInArrow(run, schema)
+
+
+def _met_with_codes(df: DataFrame, codes: DataFrame, cols: list[str]) -> DataFrame:
+    """Two shuffles for any number of columns: values to codes, codes back to rows."""
+    rows = materialize(df.select("*", F.monotonically_increasing_id().alias("__row")))  # written, so that ids stay
+    arms = [F.struct(F.lit(c).alias("__col"), q(c).cast("string").alias("__v")) for c in cols]
+    found = (rows.select("__row", F.inline(F.array(*arms))).join(codes, ["__col", "__v"])
+             .groupBy("__row").agg(*[F.max(F.when(F.col("__col") == c, F.col("__code"))).alias(f"__c{i}") for i, c in enumerate(cols)]))
+    return rows.join(found, "__row", "left").select(*[
+        F.col(f"__c{cols.index(c)}").cast("double").alias(c) if c in cols else q(c) for c in df.columns])
 
 
 def split(df: DataFrame, train_pct: int = 80, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -163,32 +205,30 @@ def auto_ml(df: DataFrame, target: str, problem: str | None = None, types: dict[
     models, errors = {}, {}
     candidates = []
     if problem == "regression":
-        ystd = train.agg(F.stddev_pop(LABEL).alias("s")).first()["s"] or 0.0
-        n_train = train.count()
-        candidates.append(("Ridge Regression", "scaled", LinearRegression(
-            featuresCol=FEATURES, labelCol=LABEL, regParam=alpha * ystd / max(n_train, 1), elasticNetParam=0.0,
-            standardization=False, solver="normal")))
-        candidates.append(("Random Forest", "raw", RandomForestRegressor(
+        candidates.append(("Ridge Regression", None))
+        candidates.append(("Random Forest", RandomForestRegressor(
             featuresCol=FEATURES, labelCol=LABEL, numTrees=num_trees, seed=SEED)))
         if boosted:
-            candidates.append(("Gradient Boosted Trees", "raw", GBTRegressor(
+            candidates.append(("Gradient Boosted Trees", GBTRegressor(
                 featuresCol=FEATURES, labelCol=LABEL, maxIter=100, seed=SEED)))
     else:
-        candidates.append(("Random Forest", "raw", RandomForestClassifier(
+        candidates.append(("Random Forest", RandomForestClassifier(
             featuresCol=FEATURES, labelCol=LABEL, numTrees=num_trees, seed=SEED)))
         if boosted:
             n_classes = target_codes.count()
             gbt = GBTClassifier(featuresCol=FEATURES, labelCol=LABEL, maxIter=100, seed=SEED)
-            candidates.append(("Gradient Boosted Trees", "raw",
+            candidates.append(("Gradient Boosted Trees",
                                gbt if n_classes <= 2 else OneVsRest(classifier=gbt, featuresCol=FEATURES,
                                                                      labelCol=LABEL)))
-    scaled = standardize(train, test, feats)
     preds = {}
-    for name, kind, est in candidates:
-        tr, te = scaled if kind == "scaled" else (train, test)
+    for name, est in candidates:
         try:
-            model = est.fit(assembler.transform(tr))
-            p = model.transform(assembler.transform(te))
+            if est is None:
+                model = fit_ridge(train, feats, LABEL, alpha)
+                p = model.transform(test)
+            else:
+                model = est.fit(assembler.transform(train))
+                p = model.transform(assembler.transform(test))
             results[name] = regression_metrics(p) if problem == "regression" else {"Accuracy": accuracy(p)}
             models[name], preds[name] = model, p
         except Exception as exc:  # recorded and skipped, like the reference

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.numeric import data_columns, numeric_columns, q, string_columns
+from tabulon.operators.moments import pair_moments
 from tabulon.operators.quantiles import quantiles
 
 
@@ -124,41 +125,32 @@ def value_counts(df: DataFrame, cols: list[str], k: int = 10) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: A spread below this share of the mean square is rounding: the column is constant on the rows of the pair.
+FLAT = 1e-13
+
+
 def corr_matrix(df: DataFrame, cols: list[str] | None = None, max_cols: int | None = None, digits: int | None = 3
                 ) -> DataFrame:
     """A4/V4: pairwise-complete Pearson correlation, long form ``(col_a, col_b, corr)``.
 
-    One aggregate for all pairs.  ``corr`` raises on a constant column under
-    ANSI; covariance over the product of population deviations, restricted
-    to rows where both are present, gives null there instead.
+    From the pair moments of all columns (`moments.py`): a pass for the means, a pass for the products, whatever the
+    number of columns.  A column that is constant where the other one is present has no correlation (null).
     """
     cols = (cols if cols is not None else numeric_columns(df))[:max_cols]
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
-    aggs, pairs = [], []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if j < i:
-                continue
-            va, vb = q(a).cast("double"), q(b).cast("double")
-            both = va.isNotNull() & vb.isNotNull()
-            pa, pb = F.when(both, va), F.when(both, vb)
-            # A constant column has no correlation; the streaming variance of a constant can be 1e-16,
-            # not 0, so test min == max instead of a zero deviation.
-            flat = (F.min(pa) == F.max(pa)) | (F.min(pb) == F.max(pb))
-            ratio = F.try_divide(F.covar_pop(pa, pb), F.stddev_pop(pa) * F.stddev_pop(pb))
-            aggs.append(F.when(~flat, ratio).alias(f"c{i}_{j}"))
-            pairs.append((i, j))
-    row = df.agg(*aggs)
-    parts = []
-    for i, j in pairs:
-        parts.append(f"{_sql_str(cols[i])}, {_sql_str(cols[j])}, c{i}_{j}")
-        if i != j:
-            parts.append(f"{_sql_str(cols[j])}, {_sql_str(cols[i])}, c{i}_{j}")
-    long = row.selectExpr(f"stack({len(parts)}, {', '.join(parts)}) AS (col_a, col_b, corr)")
-    if digits is not None:
-        long = long.select("col_a", "col_b", F.bround("corr", digits).alias("corr"))
-    return long
+    n = F.col("n")
+    vx, vy = F.col("xx") - F.try_divide(F.col("x") * F.col("x"), n), F.col("yy") - F.try_divide(F.col("y") * F.col("y"), n)
+    flat = (n == 0) | (vx <= F.col("xx") * FLAT) | (vy <= F.col("yy") * FLAT)
+    ratio = F.try_divide(F.col("xy") - F.try_divide(F.col("x") * F.col("y"), n), F.sqrt(F.when(~flat, vx)) * F.sqrt(F.when(~flat, vy)))
+    corr = F.when(F.col("i") == F.col("j"), F.when(~flat, F.lit(1.0))).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio)))
+    corr = F.when(~flat, corr)
+    names = F.array(*[F.lit(c) for c in cols])
+    pairs = pair_moments(df, cols).select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"),
+                                          (F.bround(corr, digits) if digits is not None else corr).alias("corr"))
+    both = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(
+        F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return pairs.select(F.inline(both).alias("col_a", "col_b"), "corr")
 
 
 def group_top_k(df: DataFrame, cat: str, value: str, k: int = 8, digits: int | None = 2) -> DataFrame:
