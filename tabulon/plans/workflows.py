@@ -25,6 +25,7 @@ from tabulon.operators.ordering import preview, scan_order
 from tabulon.plans.querypack import run_pack
 from tabulon.session import materialize
 from tabulon.sources.csv import clean_column_names
+from tabulon.sources.sinks import export_pack_sql, save_table, write_csv
 
 
 def _guarded(model, *args) -> tuple[dict, str | None]:
@@ -67,6 +68,17 @@ def analyst(df: DataFrame, with_model: bool = True) -> dict:
     }
 
 
+def load(frames: dict[str, DataFrame], out_dir: str, log: P.StepLog, fmt: str = "csv") -> dict[str, str]:
+    """LOAD: each frame as a folder under ``out_dir`` (CSV with every field quoted, or a Parquet table), with its row
+    count in the log.  A folder that is there already is replaced only by a complete one."""
+    paths = {}
+    for name, frame in frames.items():
+        at = f"{out_dir.rstrip('/')}/{name}"
+        paths[name] = write_csv(frame, at, quote_all=True) if fmt == "csv" else save_table(frame, path=at, fmt=fmt)
+        log.add("LOAD", f"{fmt}:{at}", n=frame.count())
+    return paths
+
+
 def chart(df: DataFrame, kind: str, order_by=None) -> DataFrame | None:
     """V1-V6 by name: bar, pie, line, heatmap, scatter, box."""
     if kind == "bar":
@@ -113,8 +125,8 @@ def etl_clean(df: DataFrame, order_by=None, log: P.StepLog | None = None) -> tup
     return engineered if given else engineered.drop(ROW_ID), types
 
 
-def etl(df: DataFrame, order_by=None, with_model: bool = True, boosted: bool = False) -> dict:
-    """The ETL flow: clean, re-type, statistics, histograms, value counts, correlations, auto-ML."""
+def etl(df: DataFrame, order_by=None, with_model: bool = True, boosted: bool = False, out_dir: str | None = None) -> dict:
+    """The ETL flow: clean, re-type, statistics, histograms, value counts, correlations, auto-ML, and, with ``out_dir``, load."""
     log = P.StepLog()
     df, order = in_order(df, order_by)
     rows, cols = df.count(), len(data_columns(df))
@@ -134,29 +146,41 @@ def etl(df: DataFrame, order_by=None, with_model: bool = True, boosted: bool = F
         log.add("ML", "target", target)
         model, failed = _guarded(lambda: ml.auto_ml(cleaned, target, types=types, boosted=boosted))
         out |= {"ml_error": failed} if failed else {"ml": model}
+    if out_dir:
+        out["paths"] = (load({"cleaned_csv": out["cleaned"]}, out_dir, log)
+                        | load({"cleaned": out["cleaned"]}, out_dir, log, fmt="parquet"))
     return out
 
 
 # ------------------------------------------------------------------ BI flavour
 
-def bi_clean(df: DataFrame) -> tuple[DataFrame, dict]:
+def bi_clean(df: DataFrame, log: P.StepLog | None = None) -> tuple[DataFrame, dict]:
     """C1 -> C4/C5 -> C8 on every numeric column."""
     dedup = materialize(C.drop_duplicates(nan_to_null(df)))   # read by the fills and every fence pass
     filled, fills = C.impute_basic(dedup)
     fenced = C.wide_fence_filter(filled)
+    if log is not None:
+        for c, v in fills.items():
+            log.add("CLEAN", f"filled with {v}", c)
+        for c, n in fenced.removed.items():
+            log.add("CLEAN", "outlier_rows_removed", c, n)
     return fenced.frame, {"filled": fills, "outliers_removed": sum(fenced.removed.values())}
 
 
-def bi_report(df: DataFrame, order_by=None, with_model: bool = True) -> dict:
-    """The BI flow and the report tables (A8): summary, cleaned data, statistics, category chart."""
+def bi_report(df: DataFrame, order_by=None, with_model: bool = True, out_dir: str | None = None) -> dict:
+    """The BI flow and the report tables (A8): summary, cleaned data, statistics, category chart; with ``out_dir`` also
+    as CSV folders."""
+    log = P.StepLog()
     df, order = in_order(df, order_by)
     orig = (df.count(), len(data_columns(df)))
-    cleaned, info = bi_clean(df)
+    log.add("EXTRACT", "rows", n=orig[0])
+    cleaned, info = bi_clean(df, log)
     roles = detect_roles(cleaned, "bi")
     if roles.revenue and roles.cost:
         cleaned = FE.add_profit(cleaned, roles.revenue, roles.cost, "bi")
+        log.add("FEATURE", f"profit:{roles.revenue}-{roles.cost}")
     cleaned = materialize(cleaned)           # the report tables and the model all read it
-    out = {"original_shape": orig, "cleaned": cleaned.drop(ROW_ID), "roles": roles.as_dict(), "log": info}
+    out = {"original_shape": orig, "cleaned": cleaned.drop(ROW_ID), "roles": roles.as_dict(), "log": info, "steps": log}
     nums = numeric_columns(cleaned)
     out["summary"] = S.kpis(cleaned, roles.revenue, roles.cost)
     out["cleaned_data"] = nan_to_null(cleaned.drop(ROW_ID))
@@ -170,29 +194,44 @@ def bi_report(df: DataFrame, order_by=None, with_model: bool = True) -> dict:
         model, failed = _guarded(ml.bi_forecast, cleaned, roles.revenue, order)
         out |= {"ml_error": failed} if failed else {"ml": model}
     out["preview"] = preview(nan_to_null(cleaned), order, 100).drop(ROW_ID)
+    if out_dir:
+        out["paths"] = load({k: out[k] for k in ("summary", "cleaned_data", "statistics", "chart") if k in out}, out_dir, log)
     return out
 
 
 # ------------------------------------------------------------------ SQL flavour
 
-def sql_prepare(df: DataFrame) -> DataFrame:
+def sql_prepare(df: DataFrame, log: P.StepLog | None = None) -> DataFrame:
     """S7 -> C1 -> C4/C5 -> Profit/margin (SQL roles)."""
     named = nan_to_null(clean_column_names(df))
-    filled, _ = C.impute_basic(C.drop_duplicates(named))
+    filled, fills = C.impute_basic(C.drop_duplicates(named))
     roles = detect_roles(filled, "sql", check_cardinality=False)
     if roles.revenue and roles.cost:
         filled = FE.add_profit(filled, roles.revenue, roles.cost, "sql")
+    if log is not None:
+        for before, after in zip(data_columns(df), data_columns(named)):
+            if before != after:
+                log.add("PREPARE", f"renamed from {before}", after)
+        for c, v in fills.items():
+            log.add("PREPARE", f"filled with {v}", c)
+        if "Profit" in filled.columns and "Profit" not in named.columns:
+            log.add("FEATURE", f"profit:{roles.revenue}-{roles.cost}")
     return filled
 
 
-def sql_pack(df: DataFrame, table: str = "data", order_by=None, collect: bool = True) -> dict:
-    """The SQL flow: prepare, detect roles (category at most 50 distinct), run the pack, stats and charts."""
+def sql_pack(df: DataFrame, table: str = "data", order_by=None, collect: bool = True, out_dir: str | None = None) -> dict:
+    """The SQL flow: prepare, detect roles (category at most 50 distinct), run the pack, stats and charts; with
+    ``out_dir`` also the prepared table and the pack's text."""
+    log = P.StepLog()
     df, order = in_order(df, order_by)
-    rows = materialize(sql_prepare(df))      # loaded once, queried by the whole pack
+    rows = materialize(sql_prepare(df, log)) # loaded once, queried by the whole pack
     prepared = rows.drop(ROW_ID)
     roles = detect_roles(prepared, "sql")
     prepared.createOrReplaceTempView(table)
-    out = {"table": prepared, "roles": roles.as_dict(), "queries": run_pack(prepared, roles, table, collect=collect)}
+    out = {"table": prepared, "roles": roles.as_dict(), "queries": run_pack(prepared, roles, table, collect=collect),
+           "steps": log}
+    for r in out["queries"].values():
+        log.add("QUERY", r.key if not r.error else f"{r.key} failed: {r.error}", n=r.row_count if collect and not r.error else None)
     nums = numeric_columns(prepared)
     out["stats"] = S.column_summary(prepared, nums, digits=2, with_median=False).select(
         "column", "min", "max", "mean", "sum")
@@ -201,5 +240,8 @@ def sql_pack(df: DataFrame, table: str = "data", order_by=None, collect: bool =
     if roles.date and roles.revenue:
         out["trend"] = S.trend(prepared, roles.date, roles.revenue)
     out["preview"] = preview(nan_to_null(rows), order, 50).drop(ROW_ID)
+    if out_dir:
+        out["paths"] = load({table: prepared}, out_dir, log, fmt="parquet")
+        out["paths"]["pack"] = export_pack_sql(prepared.sparkSession, out["queries"], f"{out_dir.rstrip('/')}/{table}_pack", table, table)
     return out
 

@@ -38,11 +38,14 @@ def process_upload(batch: DataFrame, out_dir: str, batch_id: int) -> None:
     S.kpis(saved, roles.revenue, roles.cost).write.mode("overwrite").parquet(f"{base}/kpis")
     prepared = sql_prepare(saved)
     sql_roles = detect_roles(prepared, "sql")
+    failed = []
     for key, pq in build_pack(prepared, sql_roles).items():
         try:
             pq.build(prepared).write.mode("overwrite").parquet(f"{base}/pack/{key}")
-        except Exception:  # a query that cannot run on this upload is skipped, like the reference
-            continue
+        except Exception as exc:  # a query that cannot run on this upload leaves its error
+            failed.append((key, str(exc).splitlines()[0]))
+    if failed:
+        batch.sparkSession.createDataFrame(failed, "query string, error string").write.mode("overwrite").parquet(f"{base}/failed")
 
 
 def watch_uploads(spark: SparkSession, in_dir: str, out_dir: str, schema: T.StructType, sep: str = ",",
