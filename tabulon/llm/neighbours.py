@@ -10,7 +10,8 @@ double precision on the original vectors.
 A list is dealt into cells of bounded rows, cells into shards and queries into groups, so one hot list (many equal
 vectors) spreads over many tasks; each (shard, group) returns at most k rows for a query.  Vectors that are null, zero,
 of another length than most, or hold null or non-finite components take no part.  Rows without an id take no part.
-Ties go to the smaller id; repeated ids are separate candidates.
+Ties go to the smaller id.  Rows are told apart by a row number of the written lists: every row of a repeated id is a query
+of its own (with its own k rows of the result) and a candidate of the others.
 """
 
 from __future__ import annotations
@@ -83,13 +84,13 @@ class Best:
         self.bar[self.query[last]] = self.score[last]
 
 
-def scan_list(best: Best, asked: np.ndarray, q_ids: np.ndarray, q: np.ndarray, rq: np.ndarray, c_ids: np.ndarray,
+def scan_list(best: Best, asked: np.ndarray, q_rows: np.ndarray, q: np.ndarray, rq: np.ndarray, c_rows: np.ndarray, c_ids: np.ndarray,
               c: np.ndarray, rc: np.ndarray, epsilon: float = EPSILON) -> None:
-    """Scan one list for the queries `asked`; a candidate with the query's own id is left out."""
+    """Scan one list for the queries `asked`; the query's own row is left out."""
     dim, k = q.shape[1], best.k
     d = min(COLUMN_BLOCK, dim)
     dot = rq[asked, :d] @ rc[:, :d].T
-    own = q_ids[asked][:, None] == c_ids[None]
+    own = q_rows[asked][:, None] == c_rows[None]
     bar = best.bar[asked]
     open_ = np.flatnonzero(np.isneginf(bar))
     if len(open_) and len(c) > k + 1:
@@ -159,7 +160,7 @@ def search(df: DataFrame, queries, *, k: int = 20, id_col: str = "vec_id", vec_c
     path = scratch_path(spark, "ann-lists")
     arrow_map(clean.select("id", "v", F.coalesce("is_query", F.lit(False)).alias("is_query")), assign, T.StructType([
         T.StructField("id", T.LongType()), T.StructField("v", T.BinaryType()), T.StructField("list", T.IntegerType()),
-        T.StructField("is_query", T.BooleanType())])).write.parquet(path)
+        T.StructField("is_query", T.BooleanType())])).withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
     lists = spark.read.parquet(path)
     sizes = np.zeros(len(centres), np.int64)
     for r in lists.groupBy("list").count().collect():  # at most as many rows as centroids
@@ -173,22 +174,23 @@ def search(df: DataFrame, queries, *, k: int = 20, id_col: str = "vec_id", vec_c
             before = np.cumsum(sizes[order], axis=1) - sizes[order]
             taken = (np.arange(len(centres)) < probes) | (before < k + 1)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("v"), pa.array([o[t].tolist() for o, t in zip(order, taken, strict=True)], pa.list_(pa.int32()))],
-                names=["id", "v", "probe"])
+                [b.column("row"), b.column("id"), b.column("v"),
+                 pa.array([o[t].tolist() for o, t in zip(order, taken, strict=True)], pa.list_(pa.int32()))], names=["row", "id", "v", "probe"])
 
-    queried = lists.where("is_query").select("id", "v")
-    asks = arrow_map(queried, choose, T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.BinaryType()),
-                                                    T.StructField("probe", T.ArrayType(T.IntegerType()))]))
+    queried = lists.where("is_query").select("row", "id", "v")
+    asks = arrow_map(queried, choose, T.StructType([
+        T.StructField("row", T.LongType()), T.StructField("id", T.LongType()), T.StructField("v", T.BinaryType()),
+        T.StructField("probe", T.ArrayType(T.IntegerType()))]))
     # A small table by list (at most as many rows as centroids): into how many cells of bounded rows it is dealt.
     cells = F.broadcast(spark.read.parquet(path).groupBy("list").agg(F.ceil(F.count("*") / CELL_ROWS).alias("cells")))
     shards, groups = ceil(rows / SHARD_ROWS), max(1, ceil(queried.count() / GROUP_QUERIES))
     left = (lists.join(cells, "list")
             .withColumn("shard", F.pmod(F.xxhash64("list", F.pmod(F.xxhash64("id", "v"), F.col("cells"))), F.lit(shards)).cast("int"))
             .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-            .select("shard", "part", "list", "id", "v"))
-    right = (asks.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
+            .select("shard", "part", "list", "row", "id", "v"))
+    right = (asks.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int"))
              .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-             .select("shard", "part", "probe", "id", "v"))
+             .select("shard", "part", "probe", "row", "id", "v"))
     deliver(spark)
 
     def scan(have: pa.Table, want: pa.Table) -> pa.Table:
@@ -196,7 +198,7 @@ def search(df: DataFrame, queries, *, k: int = 20, id_col: str = "vec_id", vec_c
         if have.num_rows and want.num_rows:
             centres, turn = pickle.loads(held.value)
             have = have.sort_by("list")
-            q_ids, c_ids, of_list = want["id"].to_numpy(), have["id"].to_numpy(), have["list"].to_numpy()
+            q_rows, c_rows, c_ids, of_list = want["row"].to_numpy(), have["row"].to_numpy(), have["id"].to_numpy(), have["list"].to_numpy()
             q, c = _rows(want["v"], dim), _rows(have["v"], dim)
             rq, rc = q @ turn, c @ turn
             probe = np.zeros((len(q), len(centres)), bool)
@@ -206,14 +208,15 @@ def search(df: DataFrame, queries, *, k: int = 20, id_col: str = "vec_id", vec_c
             for name, a, b in zip(names, first, [*first[1:], len(c)], strict=True):
                 every = np.flatnonzero(probe[:, name])
                 for i in range(0, len(every), 512):
-                    scan_list(best, every[i : i + 512], q_ids, q, rq, c_ids[a:b], c[a:b], rc[a:b])
-        return pa.table({"query_id": want["id"].to_numpy()[best.query] if len(best.query) else pa.array([], pa.int64()),
+                    scan_list(best, every[i : i + 512], q_rows, q, rq, c_rows[a:b], c_ids[a:b], c[a:b], rc[a:b])
+        of = lambda name: want[name].to_numpy()[best.query] if len(best.query) else pa.array([], pa.int64())
+        return pa.table({"query_row": of("row"), "query_id": of("id"),
                          "vec_id": pa.array(best.id, pa.int64()), "score": pa.array(best.score, pa.float64())})
 
     by = ["shard", "part"]
     hits = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(
-        scan, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        scan, "query_row long, query_id long, vec_id long, score double")
+    w = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return (hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
 

@@ -404,6 +404,27 @@ def test_neighbours_of_small_tables(spark, n):
         assert len(mine) == len(set(mine)) == min(20, n - 1) and q not in mine
 
 
+@pytest.mark.parametrize("share", [1.0, neighbours.PROBE_SHARE])
+def test_neighbours_of_repeated_query_rows(spark, tmp_path, share):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(40)]
+    rows += [rows[0], (0, rng.standard_normal(8).tolist()), rows[20], rows[3]]  # twins, and one id with two vectors
+    for k in range(3):
+        spark.createDataFrame(rows[k::3], "vec_id long, embedding array<double>").write.mode("append").parquet(str(tmp_path / "e"))
+    got = neighbours.search(spark.read.parquet(str(tmp_path / "e")), F.col("vec_id") % 20 == 0, probe_share=share).collect()
+    asked = [r for r in range(len(rows)) if rows[r][0] % 20 == 0]
+    assert len(got) == 20 * len(asked)
+
+    def nearest(r):
+        scored = [(-float(np.dot(rows[r][1], v)), i) for j, (i, v) in enumerate(rows) if j != r]
+        return [(rows[r][0], k + 1, i, round(-s, 9)) for k, (s, i) in enumerate(sorted(scored)[:20])]
+
+    want = sorted(x for r in asked for x in nearest(r))
+    found = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got)
+    hits = sum((Counter(found) & Counter(want)).values())
+    assert found == want if share == 1.0 else hits >= 0.5 * len(want)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
