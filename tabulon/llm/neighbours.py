@@ -31,7 +31,7 @@ from tabulon.session import ensure_checkpoint_dir, scratch_path
 
 SAMPLE = 20_000
 #: Share of the lists that a query probes; vectors without clusters need many for a recall of 0.9.
-PROBE_SHARE = 0.55
+PROBE_SHARE = 0.65
 CELL_ROWS, SHARD_ROWS, GROUP_QUERIES = 2048, 8192, 2048
 COLUMN_BLOCK = 16
 #: Width of the test: a candidate is abandoned when its scaled partial distance is beyond (1 + EPSILON / sqrt(d)) times.
