@@ -150,3 +150,4 @@ from tabulon.plans import catalog_clean  # noqa: E402,F401  (registers on import
 from tabulon.plans import catalog_stats  # noqa: E402,F401
 from tabulon.plans import catalog_ml  # noqa: E402,F401
 from tabulon.plans import catalog_io  # noqa: E402,F401
+from tabulon.plans import catalog_flows  # noqa: E402,F401
