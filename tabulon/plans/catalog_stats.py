@@ -32,7 +32,7 @@ register("stats_column_summary", with_sales("\nUNION ALL\n".join(
 
 def _half_even(value: str) -> str:
     """Two digits, half even, on the decimal that a double prints as (scaling the double itself would lose the tie)."""
-    y = f"CAST({value} AS DECIMAL(30, 8)) * 100"
+    y = f"CAST(CAST({value} AS VARCHAR) AS DECIMAL(36, 14)) * 100"
     tie = f"(({y}) - floor({y}) = 0.5 AND abs(floor({y})) % 2 = 1)"
     return f"CAST((floor({y}) + CASE WHEN ({y}) - floor({y}) > 0.5 OR {tie} THEN 1 ELSE 0 END) AS DOUBLE) / 100"
 

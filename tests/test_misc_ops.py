@@ -38,7 +38,7 @@ def test_export_pack_sql(spark, demo):
     res = run_pack(demo, detect_roles(demo, "sql"), "demo", collect=False)
     text = pack_sql_text(res, "demo.csv", "demo", now=datetime.datetime(2024, 1, 2, 3, 4))
     assert text.startswith("-- Query pack over demo (from demo.csv), written 2024-01-02 03:04\n")
-    assert "-- Dataset Overview: " in text and text.count(";\n") == len(res)
+    assert "-- Size of the table: " in text and text.count(";\n") == len(res)
     d = tempfile.mkdtemp(prefix="tabulon-k3-")
     export_pack_sql(spark, res, os.path.join(d, "pack"), "demo.csv", "demo")
     files = [f for f in os.listdir(os.path.join(d, "pack")) if f.startswith("part-")]
