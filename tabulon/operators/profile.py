@@ -55,6 +55,13 @@ def _semantic(dtype: T.DataType, n: int, n_distinct: int, bad_ts: int, bad_num:
     return "categorical" if n_distinct / n < 0.5 else "text"
 
 
+def _limits(dtype: T.DataType, n: int) -> list[float]:
+    """The distinct counts at which the P1 rule of a type turns."""
+    if isinstance(dtype, DATE_TYPES):
+        return []
+    return [2.5, 15.5] if isinstance(dtype, (*NUMERIC_TYPES, T.BooleanType)) else [2.5, 15.5, n / 2]
+
+
 def profile_columns(df: DataFrame, exact: bool = True) -> list[ColumnProfile]:
     """One row of statistics per column.
 
@@ -78,7 +85,7 @@ def profile_columns(df: DataFrame, exact: bool = True) -> list[ColumnProfile]:
     if exact:
         distinct = D.counted(df, [f.name for f in fields])
     else:
-        limits = {f.name: [1.5, 2.5, 15.5, base[f"n{i}"] / 2] for i, f in enumerate(fields)}
+        limits = {f.name: [1.5, *_limits(f.dataType, base[f"n{i}"])] for i, f in enumerate(fields)}
         distinct = {c: d.n for c, d in D.decided(df, {f.name: base[f"d{i}"] for i, f in enumerate(fields)}, limits).items()}
     rows = base["_rows"]
     out = []
