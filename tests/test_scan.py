@@ -15,9 +15,9 @@ from tabulon.sources import csv, records, sinks
 
 @pytest.fixture()
 def small_splits(spark):
-    """Files are cut into splits of a thousand bytes."""
+    """Files are cut into splits of 500 bytes."""
     old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
     spark.conf.set("spark.sql.files.openCostInBytes", "0")
     yield
     for k, v in old.items():
