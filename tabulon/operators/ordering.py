@@ -34,6 +34,8 @@ _ROW = "__row"
 _PID = "__pid"
 TARGET_PARTITION_BYTES = 256 * 1024 * 1024
 MAX_PARTITIONS = 200_000
+#: A table of so many splits (some 200 bytes each) is sent to every task; beyond it Spark chooses the join.
+BROADCAST_SPLITS = 200_000
 #: Spark gives rows made in the driver the largest size there is; they are small.
 UNKNOWN_SIZE = 1 << 60
 
@@ -79,7 +81,7 @@ def number_rows(placed: DataFrame, name: str = ROW_ID) -> DataFrame:
         offsets.append((r[FILE], r[START], total, r["lo"], r["hi"] - r["lo"] + 1 != r["n"]))
         total += r["n"]
     table = placed.sparkSession.createDataFrame(offsets, f"{FILE} string, {START} bigint, __off bigint, __lo bigint, __gaps boolean")
-    rows = pinned.join(F.broadcast(table), [FILE, START])
+    rows = pinned.join(F.broadcast(table) if len(offsets) <= BROADCAST_SPLITS else table, [FILE, START])
     kept = [q(c) for c in placed.columns if c not in (FILE, START, POS)]
     out = rows.where("NOT __gaps").select(*kept, (F.col("__off") + F.col(POS) - F.col("__lo")).alias(name))
     if any(o[4] for o in offsets):
