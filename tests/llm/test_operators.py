@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from tabulon.llm import (decontaminate, jaccard_join, language_id, lm_scoring, mixing, neighbours, secret_scan, seed_extend,
                          suffix_dedup, token_counts)
+from tabulon.llm.common import fold
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
                      T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),
@@ -137,36 +138,64 @@ def test_components_of_a_chain(spark):
     assert {r.label for r in jaccard_join.components(edges).collect()} == {0, 99}
 
 
-def test_lm_scoring(docs, rows, empty):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm_scoring(docs, rows, empty, order):
     tk = [(i, [*WORD.findall((x or "").translate(LOWER)), None]) for i, x, *_ in rows]
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    c, bi, ctx, kinds = Counter(), Counter(), Counter(), Counter()
+    c, grams, contexts, kinds = Counter(), Counter(), Counter(), Counter()
+
+    def before(w, j, k):
+        return tuple(w[x] if x >= 0 else 0 for x in range(j - k, j))
+
     for i, w in tk:
         if not held(i):
             c.update(w)
-            for a, b in zip([0, *w], w, strict=False):
-                bi[a, b] += 1
-                ctx[a] += 1
-    kinds.update(a for a, _ in bi)
+            for j in range(len(w)):
+                for k in range(1, order):
+                    grams[before(w, j, k), w[j]] += 1
+                    contexts[before(w, j, k)] += 1
+    kinds.update(a for a, _ in grams)
     n, v = sum(c.values()), len(c)
-    got = {r.doc_id: r for r in lm_scoring.op2(docs).collect()}
+    scored = lm_scoring.score_texts(docs, fold(F.col("doc_id"), 7) != 2, order=order)
+    got = {r.id: r for r in scored.collect()}
     for i, w in tk:
         g = got[i]
-        assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (held(i), len(w), sum(c[x] > 0 for x in w), n)
+        assert (not g.trained, g.n_tokens, g.n_known, g.train_tokens) == (held(i), len(w), sum(c[x] > 0 for x in w), n)
         assert math.isclose(g.base_score, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
         score = 0
-        for a, b in zip([0, *w], w, strict=False):
-            p = (bi[a, b] - 0.75) / ctx[a] if bi[a, b] else 0
-            score += math.log10(p + (0.75 * kinds[a] / ctx[a] if ctx[a] else 1) * (c[b] + 1) / (n + v + 1))
-        assert abs(score - g.score) < 2e-4 * len(w)
-    assert lm_scoring.op2(empty).count() == 0
-
-
-def test_elias_fano():
-    x = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 5000, dtype=np.uint64))
-    ef = lm_scoring.EliasFano(x, 1 << 64)
-    assert (ef.find(x) == np.arange(len(x))).all() and (ef.find(x + np.uint64(1)) == -1).all()
-    assert (lm_scoring.EliasFano(x[:0], 1 << 64).find(x) == -1).all()
+        for j, x in enumerate(w):
+            p = (c[x] + 1) / (n + v + 1)
+            for k in range(1, order):
+                a = before(w, j, k)
+                p = (max(grams[a, x] - 0.75, 0) + 0.75 * kinds[a] * p) / contexts[a] if contexts[a] else p
+            score += math.log10(p)
+        assert abs(score - g.score) < 2e-4 * order * len(w)
+    assert lm_scoring.score_texts(empty, F.lit(True), order=order).count() == 0
+    if order == 2:
+        assert {r.doc_id: (r.held_out, r.score) for r in lm_scoring.op2(docs).collect()} == {r.id: (not r.trained, r.score) for r in got.values()}
+
+
+def test_lm_scoring_nothing_to_learn_from(docs):
+    for r in lm_scoring.score_texts(docs, F.lit(False), order=3).collect():
+        assert (r.train_tokens, r.n_known, r.score) == (0, 0, 0.0)
+
+
+@pytest.mark.parametrize("universe", [1 << 64, 1 << 63, 100_000, 7001])
+def test_elias_fano(universe):
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 2, 70, 5000):
+        x = np.unique(rng.integers(0, universe - 1, n, dtype=np.uint64, endpoint=True))
+        ef = lm_scoring.EliasFano(x, universe)
+        assert (ef.find(x) == np.arange(len(x))).all()
+        ends = np.concatenate([x[:-1] + np.uint64(1), np.array([0, universe - 1], np.uint64)])
+        assert (ef.find(ends) == np.where(np.isin(ends, x), np.searchsorted(x, ends), -1)).all()
+    assert ef.nbytes * 8 <= len(x) * (int(ef.width) + 4) + 2048  # width and about two bits a value
+
+
+def test_elias_fano_of_one_bucket():
+    x = np.arange(3000, dtype=np.uint64) + np.uint64(12345)
+    ef = lm_scoring.EliasFano(x, 1 << 40)
+    assert (ef.find(x) == np.arange(3000)).all() and (ef.find(x - np.uint64(3000)) == -1).all()
 
 
 def test_seed_extend(docs, rows, empty):
