@@ -5,15 +5,16 @@ window).  For patterns of one length m, a shift table over blocks of two words s
 without missing an occurrence; where it says zero, the hash of the last block selects a bucket of patterns, and
 comparing the bytes of the words confirms.  Cursors of many stretches of text move at once.
 
-The index of the benchmark is broadcast in shards of a checked size (SHARD_BYTES of item text, or one longer
-item); each further shard is one more map over the same rows, so there is no shuffle and no cap.  Null texts have
-no words, null items no windows; an item without an id marks words but is not listed; repeated items count once;
-repeated documents get a row each.
+The index is arrays only: the bytes and word bounds of the items, and for each different window one sorted key (the hash
+of its last block, then that of the whole window), the place of one occurrence and the numbers of its items: about 6 bytes
+for a byte of item text.  It is broadcast in shards of a checked size (SHARD_BYTES of item text, or one longer item); each
+further shard is one more map over the same rows.  Maps whose shards pass STAGE_BYTES together are parted by a
+checkpoint, so that a stage's Python workers never hold more.  Null texts have no words, null items no windows; an item
+without an id marks words but is not listed; repeated items count once; repeated documents get a row each.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +25,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tabulon.llm.common import arrow_map, fresh, table
-from tabulon.llm.words import NOT_ALNUM, Words, byte_table, mix, text_blocks
+from tabulon.llm.words import NOT_ALNUM, Words, byte_table, mix, shingle_hashes, text_blocks
+from tabulon.session import materialize
 
 WIDTH = 10
 SHARD_BYTES = 16 << 20
+#: Bytes of index that the maps of one stage hold together (or one shard).
+STAGE_BYTES = 256 << 20
 STRETCH = 256
 _TABLES = byte_table(drop=NOT_ALNUM, lower=True)
 _SLOTS = 16
@@ -39,40 +43,74 @@ def _blocks(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return mix(words[at]) if size == 1 else mix(words[at - 1] * _C + words[at])
 
 
+def _same(a: tuple, at: np.ndarray, b: tuple, bt: np.ndarray, m: int) -> np.ndarray:
+    """Whether the `m` words from each place of `a` are those from the place of `b`; both are (bytes, starts, ends)."""
+    ok = np.ones(len(at), bool)
+    for low in range(0, len(at), 1 << 14):
+        for k in range(m):
+            live = low + np.flatnonzero(ok[low : low + (1 << 14)])
+            first = [x[1][y[live] + k].astype(np.int64) for x, y in ((a, at), (b, bt))]
+            size, other = (x[2][y[live] + k] - f for x, y, f in ((a, at, first[0]), (b, bt, first[1])))
+            ok[live] = size == other
+            keep = size == other
+            live, size, first = live[keep], size[keep], [f[keep] for f in first]
+            if len(live):
+                begin = np.cumsum(size) - size
+                step = np.arange(size.sum()) - np.repeat(begin, size)
+                x, y = (_TABLES[1][t[0][np.repeat(f, size) + step]] for t, f in ((a, first[0]), (b, first[1])))
+                ok[live] = ~np.logical_or.reduceat(x != y, begin)
+    return ok
+
+
+def _keys(hashes: np.ndarray, at: np.ndarray, m: int, whole: np.ndarray) -> np.ndarray:
+    """Key of the window of `m` words at each place: half of its last block's hash, half of its own."""
+    last = _blocks(hashes, at + m - 1, min(2, m))
+    return (last & np.uint64(0xFFFFFFFF00000000)) | (whole[at] >> np.uint64(32))
+
+
 class Patterns:
-    """All windows of one length."""
-
-    def __init__(self, length: int):
-        self.length, self.block = length, min(2, length)
-        self.number: dict[bytes, int] = {}
-        self.hashes: list[np.ndarray] = []
-        self.items: list[list[str]] = []
-
-    def add(self, window: bytes, hashes: np.ndarray, item: str | None) -> None:
-        k = self.number.setdefault(window, len(self.items))
-        if k == len(self.items):
-            self.items.append([])
-            self.hashes.append(hashes)
-        if item is not None and item not in self.items[k][-1:]:
-            self.items[k].append(item)
-
-    def build(self) -> Patterns:
-        h = np.array(self.hashes)
-        m, b = self.length, self.block
-        self.shift = np.full(1 << _SLOTS, m - b + 1, np.int64)
-        for j in range(b - 1, m):
-            slot = _blocks(h.ravel(), np.arange(len(h)) * m + j, b) >> np.uint64(64 - _SLOTS)
+    """All different windows of one length: their keys in order, a place each, and their items."""
+
+    def __init__(self, words: tuple, hashes: np.ndarray, at: np.ndarray, item: np.ndarray, m: int):
+        """`at`: places of all windows in the shard's words; `item`: number of each window's item, -1 without an id."""
+        self.length, self.block = m, min(2, m)
+        self.shift = np.full(1 << _SLOTS, m - self.block + 1, np.int64)
+        for j in range(self.block - 1, m):
+            slot = _blocks(hashes, at + j, self.block) >> np.uint64(64 - _SLOTS)
             np.minimum.at(self.shift, slot.astype(np.int64), m - 1 - j)
-        self.suffix = np.unique(_blocks(h.ravel(), np.arange(len(h)) * m + m - 1, b))
-        del self.hashes
-        return self
-
-    def find(self, words: Words, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start word, pattern) of every occurrence inside the texts' word ranges."""
+        key = _keys(hashes, at, m, shingle_hashes(hashes, m))
+        order = np.argsort(key, kind="stable")
+        keys, places, window = [], [], np.zeros(len(at), np.int64)
+        while len(order):  # windows of one key that differ, if any, take another turn
+            k = key[order]
+            new = np.concatenate([[True], k[1:] != k[:-1]])
+            number = np.cumsum(new) - 1
+            lead = order[new]
+            same = _same(words, at[order], words, at[lead][number], m)
+            window[order[same]] = number[same] + sum(map(len, keys))
+            keys.append(k[new])
+            places.append(at[lead])
+            order = order[~same]
+        keys, places = np.concatenate(keys), np.concatenate(places)
+        by_key = np.argsort(keys, kind="stable")
+        place = np.empty(len(by_key), np.int64)
+        place[by_key] = np.arange(len(by_key))
+        self.key, self.at = keys[by_key], places[by_key].astype(np.uint32)
+        held = np.unique(np.stack([place[window], item])[:, item >= 0], axis=1)
+        self.items = held[1].astype(np.uint32)
+        self.fan = np.concatenate([[0], np.cumsum(np.bincount(held[0], minlength=len(keys)))]).astype(np.uint32)
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.shift, self.key, self.at, self.items, self.fan))
+
+    def find(self, words: Words, first: np.ndarray, last: np.ndarray, held: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """(start word, window) of every occurrence inside the texts' word ranges."""
         m, b = self.length, self.block
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
         spans = [(np.arange(x, y - m + 1, STRETCH), y) for x, y in zip(first, last, strict=True) if y - x >= m]
         if not spans:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return none
         start = np.concatenate([s for s, _ in spans])
         stop = np.minimum(start + STRETCH, np.repeat([y - m + 1 for _, y in spans], [len(s) for s, _ in spans]))
         at, end = start + m - 1, stop + m - 1  # a cursor is where a window ends
@@ -80,45 +118,54 @@ class Patterns:
         while len(at):
             code = _blocks(words.hash, at, b)
             step = self.shift[(code >> np.uint64(64 - _SLOTS)).astype(np.int64)]
-            stay = step == 0
-            if stay.any():
-                near = at[stay]
-                k = np.minimum(np.searchsorted(self.suffix, code[stay]), len(self.suffix) - 1)
-                found.append(near[self.suffix[k] == code[stay]] - m + 1)
+            found.append(at[step == 0] - m + 1)
             at = at + np.maximum(step, 1)
             live = at < end
             at, end = at[live], end[live]
-        starts, patterns = [], []
-        raw, ws, we = words.data, words.start, words.end
-        for i in np.concatenate(found).tolist() if found else ():
-            window = b" ".join(raw[ws[j] : we[j]].tobytes() for j in range(i, i + m)).translate(_LOWER)
-            k = self.number.get(window)
-            if k is not None:
-                starts.append(i)
-                patterns.append(k)
-        return np.array(starts, np.int64), np.array(patterns, np.int64)
-
-
-_LOWER = bytes(_TABLES[1])
-
-
-def build_index(items: list[tuple[str | None, str | None]], width: int) -> list[Patterns]:
-    by_length: dict[int, Patterns] = {}
-    for item, text in items:
-        raw = np.frombuffer((text or "").encode(), np.uint8)
-        words = Words(raw, np.array([0, len(raw)]), _TABLES)
-        n = len(words.hash)
-        if not n:
-            continue
-        m = min(n, width)
-        parts = [raw[a:b].tobytes().translate(_LOWER) for a, b in zip(words.start, words.end, strict=True)]
-        group = by_length.setdefault(m, Patterns(m))
-        for i in range(n - m + 1):
-            group.add(b" ".join(parts[i : i + m]), words.hash[i : i + m], item)
-    return [p.build() for p in by_length.values()]
-
-
-def scan(texts: pa.Array, index: list[Patterns]) -> tuple[np.ndarray, list[list[int]], list[list[str]]]:
+        near = np.concatenate(found)
+        if not len(near):
+            return none
+        key = _keys(words.hash, near, m, shingle_hashes(words.hash, m))
+        low, high = np.searchsorted(self.key, key, side="left"), np.searchsorted(self.key, key, side="right")
+        near, k = np.repeat(near, high - low), np.repeat(low, high - low)
+        k = k + np.arange(len(k)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+        ok = _same((words.data, words.start, words.end), near, held, self.at[k].astype(np.int64), m)
+        return near[ok], k[ok]
+
+
+class Index:
+    """The windows of a shard of items: the words of all items, the item ids, and Patterns by length."""
+
+    def __init__(self, items: list[tuple[str | None, str | None]], width: int):
+        texts = pa.array([x for _, x in items], pa.string())
+        data, start, end, hashes, of = [], [], [], [], []
+        size = 0
+        for i, _, raw, bounds in text_blocks(texts):
+            words = Words(raw, bounds, _TABLES)
+            data.append(_TABLES[1][raw])
+            start.append((words.start + size).astype(np.uint32))
+            end.append((words.end + size).astype(np.uint32))
+            hashes.append(words.hash)
+            of.append(words.text_of_word() + i)
+            size += len(raw)
+        none = [np.zeros(0, np.int64)]
+        self.words = tuple(np.concatenate(x or none) for x in (data, start, end))
+        hashes, of = np.concatenate(hashes or [np.zeros(0, np.uint64)]), np.concatenate(of or none)
+        self.ids = sorted({x for x, _ in items if x is not None})
+        name = {x: k for k, x in enumerate(self.ids)}
+        number = np.array([name.get(x, -1) for x, _ in items], np.int64)
+        count = np.bincount(of, minlength=len(items))
+        length = np.minimum(count, width)[of]  # of each word's item
+        left = (np.cumsum(count))[of] - np.arange(len(of))  # words from here to the end of the item
+        self.patterns = [Patterns(self.words, hashes, at, number[of[at]], int(m))
+                         for m in np.unique(length) for at in [np.flatnonzero((length == m) & (left >= m))]]
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (*self.words, *self.patterns))
+
+
+def scan(texts: pa.Array, index: Index) -> tuple[np.ndarray, list[list[int]], list[list[str]]]:
     """Of each text: number of words, marked word runs (start, end, start, ...), items found."""
     n_words = np.zeros(len(texts), np.int64)
     runs: list[list[int]] = [[] for _ in range(len(texts))]
@@ -127,20 +174,20 @@ def scan(texts: pa.Array, index: list[Patterns]) -> tuple[np.ndarray, list[list[
         words = Words(data, bounds, _TABLES)
         n_words[i:j] = words.last - words.first
         mark = np.zeros(len(words.hash) + 1, np.int32)
-        for group in index:
-            start, pattern = group.find(words, words.first, words.last)
+        for group in index.patterns:
+            start, window = group.find(words, words.first, words.last, index.words)
             if len(start):
                 np.add.at(mark, start, 1)
                 np.add.at(mark, start + group.length, -1)
                 text = np.searchsorted(words.last, start, side="right")
-                for t, k in set(zip(text.tolist(), pattern.tolist(), strict=True)):
-                    items[i + t].extend(group.items[k])
+                for t, k in np.unique(np.stack([text, window]), axis=1).T.tolist():
+                    items[i + t].extend(group.items[group.fan[k] : group.fan[k + 1]].tolist())
         on = np.cumsum(mark[:-1]) > 0
         if on.any():
             for t in np.unique(np.searchsorted(words.last, np.flatnonzero(on), side="right")).tolist():
                 here = np.concatenate([[False], on[words.first[t] : words.last[t]], [False]])
                 runs[i + t] = np.flatnonzero(here[1:] != here[:-1]).tolist()
-    return n_words, runs, [sorted(set(x)) for x in items]
+    return n_words, runs, [[index.ids[k] for k in sorted(set(x))] for x in items]
 
 
 def _joined(a: list[int], b: list[int]) -> list[int]:
@@ -156,7 +203,7 @@ def _joined(a: list[int], b: list[int]) -> list[int]:
 
 def mark_contaminated(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id",
                       item_text_col: str = "text", width: int = WIDTH,
-                      shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, dict[str, str]]:
+                      shard_bytes: int = SHARD_BYTES, stage_bytes: int = STAGE_BYTES) -> tuple[DataFrame, dict[str, str]]:
     """The rows with n_words, hit_runs (word runs) and items appended; returns the frame and their names."""
     spark = df.sparkSession
     bench = benchmark.select(F.col(item_col).cast("string").alias("item"),
@@ -170,18 +217,19 @@ def mark_contaminated(df: DataFrame, benchmark: DataFrame, *, text_col: str = "t
               T.StructField(names["items"], T.ArrayType(T.StringType()))]
     schema = T.StructType([*df.schema.fields, *fields])
     arrow, at, width_in = to_arrow_schema(schema), df.columns.index(text_col), len(df.columns)
-    out = df
+    out, held_bytes = df, 0
     for k in range(shards):
         part = bench if shards == 1 else bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == k)
-        held = spark.sparkContext.broadcast(pickle.dumps(
-            build_index([(r["item"], r["text"]) for r in part.toLocalIterator()], width)))
-        loaded: list[list[Patterns]] = []
-
-        def run(batches: Iterator[pa.RecordBatch], held=held, loaded=loaded) -> Iterator[pa.RecordBatch]:
-            if not loaded:
-                loaded.append(pickle.loads(held.value))
+        index = Index([(r["item"], r["text"]) for r in part.toLocalIterator()], width)
+        if k and held_bytes + index.nbytes > stage_bytes:
+            out, held_bytes = materialize(out), 0
+        held_bytes += index.nbytes
+        held = spark.sparkContext.broadcast(index)
+        del index
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                n, runs, items = scan(batch.column(at), loaded[0])
+                n, runs, items = scan(batch.column(at), held.value)
                 if batch.num_columns > width_in:  # what earlier shards found
                     runs = [_joined(a, b) for a, b in zip(batch.column(width_in + 1).to_pylist(), runs, strict=True)]
                     items = [sorted({*a, *b}) for a, b in zip(batch.column(width_in + 2).to_pylist(), items, strict=True)]

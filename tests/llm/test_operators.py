@@ -273,10 +273,37 @@ def test_decontaminate(spark, docs, rows, empty):
     rd = lambda df: {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in df.collect()}
     assert rd(decontaminate.op7(docs, ids)) == want
     assert decontaminate.op7(empty, bench).count() == 0
-    sharded, names = decontaminate.mark_contaminated(docs, ids, shard_bytes=100)
-    assert names["n_words"] == "n_words_"
-    assert {r.doc_id: tuple(r["items"]) for r in sharded.collect()} == {i: tuple(sorted({"1", "10"} & set(x))) for i, x in
-            {r.doc_id: r["items"] for r in decontaminate.mark_contaminated(docs, ids)[0].collect()}.items()}
+    for stage_bytes in (1, 1 << 30):  # a stage for each shard, all shards in one
+        sharded, names = decontaminate.mark_contaminated(docs, ids, shard_bytes=100, stage_bytes=stage_bytes)
+        assert names["n_words"] == "n_words_"
+        assert {r.doc_id: tuple(r["items"]) for r in sharded.collect()} == {i: tuple(sorted({"1", "10"} & set(x))) for i, x in
+                {r.doc_id: r["items"] for r in decontaminate.mark_contaminated(docs, ids)[0].collect()}.items()}
+
+
+def test_decontaminate_repeated_windows_and_equal_keys(monkeypatch):
+    items = [("a", "x " * 500), ("b", "X x x x x x x x x x"), ("c", "one two three four five six seven eight nine ten eleven"),
+             (None, "p q"), ("d", "P q"), ("e", None), ("f", "..."), ("e", "one two three four five six seven eight nine ten")]
+    texts = pa.array(["y " + "x " * 300, "ONE, two three four five six seven eight nine ten? eleven", None, "", "p. q", "one two"])
+
+    def found():
+        index = decontaminate.Index(items, 10)
+        n, runs, ids = decontaminate.scan(texts, index)
+        return n.tolist(), runs, ids, index
+
+    n, runs, ids, index = found()
+    assert n == [301, 11, 0, 0, 2, 2]
+    assert runs == [[1, 301], [0, 11], [], [], [0, 2], []]
+    assert ids == [["a", "b"], ["c", "e"], [], [], ["d"], []]
+    assert [len(p.key) for p in index.patterns] == [1, 3]  # p q; ten times x, two of the numbers
+    # Windows that differ but have one key are still told apart by their words.
+    monkeypatch.setattr(decontaminate, "_keys", lambda hashes, at, m, whole: np.zeros(len(at), np.uint64))
+    assert found()[:3] == (n, runs, ids)
+
+
+def test_decontaminate_index_size():
+    rng = random.Random(3)
+    items = [(str(i), " ".join(str(rng.randrange(10**6)) for _ in range(200))) for i in range(500)]
+    assert decontaminate.Index(items, 10).nbytes < 8 * sum(len(x) for _, x in items) + (1 << 20)
 
 
 def test_secret_spans():
