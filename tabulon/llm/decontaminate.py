@@ -7,9 +7,9 @@ comparing the bytes of the words confirms.  Cursors of many stretches of text mo
 
 The index is arrays only: the bytes and word bounds of the items, and for each different window one sorted key (the hash
 of its last block, then that of the whole window), the place of one occurrence and the numbers of its items: about 6 bytes
-for a byte of item text.  It is broadcast in shards of a checked size (SHARD_BYTES of item text, or one longer item); each
-further shard is one more map over the same rows.  Maps whose shards pass STAGE_BYTES together are parted by a
-checkpoint, so that a stage's Python workers never hold more.  Null texts have no words, null items no windows; an item
+for a byte of item text.  It is built and broadcast in shards of a checked size (SHARD_BYTES of item text, or one longer
+item).  One map over the rows takes the shards up to STAGE_BYTES of index; where there are more, the rows are written by a
+checkpoint and go through another map, so that a Python worker never holds more.  Null texts have no words, null items no windows; an item
 without an id marks words but is not listed; repeated items count once; repeated documents get a row each.
 """
 
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +30,8 @@ from tabulon.llm.words import NOT_ALNUM, Words, byte_table, mix, shingle_hashes,
 from tabulon.session import materialize
 
 WIDTH = 10
-SHARD_BYTES = 16 << 20
-#: Bytes of index that the maps of one stage hold together (or one shard).
+SHARD_BYTES = 4 << 20
+#: Bytes of index that a map holds (or one shard).
 STAGE_BYTES = 256 << 20
 STRETCH = 256
 _TABLES = byte_table(drop=NOT_ALNUM, lower=True)
@@ -86,7 +87,8 @@ class Patterns:
             new = np.concatenate([[True], k[1:] != k[:-1]])
             number = np.cumsum(new) - 1
             lead = order[new]
-            same = _same(words, at[order], words, at[lead][number], m)
+            same = new.copy()
+            same[~new] = _same(words, at[order[~new]], words, at[lead][number[~new]], m)
             window[order[same]] = number[same] + sum(map(len, keys))
             keys.append(k[new])
             places.append(at[lead])
@@ -96,9 +98,11 @@ class Patterns:
         place = np.empty(len(by_key), np.int64)
         place[by_key] = np.arange(len(by_key))
         self.key, self.at = keys[by_key], places[by_key].astype(np.uint32)
-        held = np.unique(np.stack([place[window], item])[:, item >= 0], axis=1)
-        self.items = held[1].astype(np.uint32)
-        self.fan = np.concatenate([[0], np.cumsum(np.bincount(held[0], minlength=len(keys)))]).astype(np.uint32)
+        known = item >= 0
+        size = int(item.max(initial=0)) + 1
+        owner, number = np.divmod(np.unique(place[window[known]] * size + item[known]), size)
+        self.items = number.astype(np.uint32)
+        self.fan = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(keys)))]).astype(np.uint32)
 
     @property
     def nbytes(self) -> int:
@@ -165,7 +169,7 @@ class Index:
         return sum(x.nbytes for x in (*self.words, *self.patterns))
 
 
-def scan(texts: pa.Array, index: Index) -> tuple[np.ndarray, list[list[int]], list[list[str]]]:
+def scan(texts: pa.Array, shards: list[Index]) -> tuple[np.ndarray, list[list[int]], list[list[str]]]:
     """Of each text: number of words, marked word runs (start, end, start, ...), items found."""
     n_words = np.zeros(len(texts), np.int64)
     runs: list[list[int]] = [[] for _ in range(len(texts))]
@@ -174,20 +178,21 @@ def scan(texts: pa.Array, index: Index) -> tuple[np.ndarray, list[list[int]], li
         words = Words(data, bounds, _TABLES)
         n_words[i:j] = words.last - words.first
         mark = np.zeros(len(words.hash) + 1, np.int32)
-        for group in index.patterns:
+        for index, group in [(x, g) for x in shards for g in x.patterns]:
             start, window = group.find(words, words.first, words.last, index.words)
             if len(start):
                 np.add.at(mark, start, 1)
                 np.add.at(mark, start + group.length, -1)
                 text = np.searchsorted(words.last, start, side="right")
-                for t, k in np.unique(np.stack([text, window]), axis=1).T.tolist():
-                    items[i + t].extend(group.items[group.fan[k] : group.fan[k + 1]].tolist())
+                size = len(group.key)
+                for t, k in zip(*[x.tolist() for x in np.divmod(np.unique(text * size + window), size)], strict=True):
+                    items[i + t].extend(index.ids[x] for x in group.items[group.fan[k] : group.fan[k + 1]].tolist())
         on = np.cumsum(mark[:-1]) > 0
         if on.any():
             for t in np.unique(np.searchsorted(words.last, np.flatnonzero(on), side="right")).tolist():
                 here = np.concatenate([[False], on[words.first[t] : words.last[t]], [False]])
                 runs[i + t] = np.flatnonzero(here[1:] != here[:-1]).tolist()
-    return n_words, runs, [[index.ids[k] for k in sorted(set(x))] for x in items]
+    return n_words, runs, [sorted(set(x)) for x in items]
 
 
 def _joined(a: list[int], b: list[int]) -> list[int]:
@@ -217,27 +222,28 @@ def mark_contaminated(df: DataFrame, benchmark: DataFrame, *, text_col: str = "t
               T.StructField(names["items"], T.ArrayType(T.StringType()))]
     schema = T.StructType([*df.schema.fields, *fields])
     arrow, at, width_in = to_arrow_schema(schema), df.columns.index(text_col), len(df.columns)
-    out, held_bytes = df, 0
-    for k in range(shards):
-        part = bench if shards == 1 else bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == k)
-        index = Index([(r["item"], r["text"]) for r in part.toLocalIterator()], width)
-        if k and held_bytes + index.nbytes > stage_bytes:
-            out, held_bytes = materialize(out), 0
-        held_bytes += index.nbytes
-        held = spark.sparkContext.broadcast(index)
-        del index
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+    def marked(rows: DataFrame, shards: list[Broadcast]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                n, runs, items = scan(batch.column(at), held.value)
+                n, runs, items = scan(batch.column(at), [x.value for x in shards])
                 if batch.num_columns > width_in:  # what earlier shards found
                     runs = [_joined(a, b) for a, b in zip(batch.column(width_in + 1).to_pylist(), runs, strict=True)]
                     items = [sorted({*a, *b}) for a, b in zip(batch.column(width_in + 2).to_pylist(), items, strict=True)]
                 new = [pa.array(v, f.type) for v, f in zip((n, runs, items), list(arrow)[width_in:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:width_in], *new], names=arrow.names)
 
-        out = arrow_map(out, run, schema)
-    return out, names
+        return arrow_map(rows, run, schema)
+
+    out, held, size = df, [], 0
+    for k in range(shards):
+        part = bench if shards == 1 else bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == k)
+        index = Index([(r["item"], r["text"]) for r in part.toLocalIterator()], width)
+        if held and size + index.nbytes > stage_bytes:
+            out, held, size = materialize(marked(out, held)), [], 0
+        held.append(spark.sparkContext.broadcast(index))
+        size += index.nbytes
+    return marked(out, held), names
 
 
 def hit_words(runs: str):

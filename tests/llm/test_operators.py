@@ -273,7 +273,7 @@ def test_decontaminate(spark, docs, rows, empty):
     rd = lambda df: {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in df.collect()}
     assert rd(decontaminate.op7(docs, ids)) == want
     assert decontaminate.op7(empty, bench).count() == 0
-    for stage_bytes in (1, 1 << 30):  # a stage for each shard, all shards in one
+    for stage_bytes in (1, 1 << 30):  # a map for each shard, one for all
         sharded, names = decontaminate.mark_contaminated(docs, ids, shard_bytes=100, stage_bytes=stage_bytes)
         assert names["n_words"] == "n_words_"
         assert {r.doc_id: tuple(r["items"]) for r in sharded.collect()} == {i: tuple(sorted({"1", "10"} & set(x))) for i, x in
@@ -287,7 +287,7 @@ def test_decontaminate_repeated_windows_and_equal_keys(monkeypatch):
 
     def found():
         index = decontaminate.Index(items, 10)
-        n, runs, ids = decontaminate.scan(texts, index)
+        n, runs, ids = decontaminate.scan(texts, [index])
         return n.tolist(), runs, ids, index
 
     n, runs, ids, index = found()
