@@ -7,7 +7,7 @@ one of the role's keywords.  The rule is reproduced as is, traps included
 
 from __future__ import annotations
 
-from dataclasses import dataclass, asdict
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
 
@@ -49,9 +49,11 @@ class Roles:
     date: str | None = None
     qty: str | None = None
     price: str | None = None
+    #: the category is known to have at most SQL_CATEGORY_MAX_DISTINCT values
+    category_bounded: bool = field(default=False, repr=False, compare=False)
 
     def as_dict(self) -> dict:
-        return asdict(self)
+        return {k: v for k, v in asdict(self).items() if k != "category_bounded"}
 
 
 def first_match(columns: list[str], keywords: list[str]) -> str | None:
@@ -85,6 +87,7 @@ def detect_roles(df: DataFrame, flavour: str = "sql", check_cardinality: bool =
         if "category" not in override:
             roles.category = (_bounded_category(df, cands, SQL_CATEGORY_MAX_DISTINCT)
                               if check_cardinality else (cands[0] if cands else None))
+            roles.category_bounded = check_cardinality and roles.category is not None
     elif flavour == "bi":
         kw = BI_KEYWORDS
         for role in ("revenue", "cost", "date", "category", "qty"):

@@ -101,6 +101,34 @@ SELECT category, ROUND(SUM(revenue), 2) AS revenue,
 FROM sales GROUP BY category"""))(
     lambda s, d: qp.window_running(_sales(s, d), "category", "revenue"))
 
+# Q6-Q9 by a category without a bound on its values: one group for each order.
+_BY_ORDER = "SELECT l_orderkey, SUM(l_quantity) AS part FROM lineitem GROUP BY l_orderkey"
+
+
+def _lineitem(spark, sf_dir):
+    return fx.table(spark, sf_dir, "lineitem")
+
+
+register("pack_having_filter_wide", f"""
+WITH g AS ({_BY_ORDER})
+SELECT l_orderkey, ROUND(part, 2) AS total_revenue FROM g WHERE ROUND(part, 2) > (SELECT AVG(part) FROM g)""")(
+    lambda s, d: qp.having_filter(_lineitem(s, d), "l_orderkey", "l_quantity", bounded=False))
+
+register("pack_cte_ranked_wide", f"""
+WITH g AS ({_BY_ORDER})
+SELECT l_orderkey, ROUND(part, 2) AS revenue, ROUND(part / (SELECT SUM(part) FROM g) * 100, 2) AS revenue_share_pct FROM g""")(
+    lambda s, d: qp.cte_ranked(_lineitem(s, d), "l_orderkey", "l_quantity", bounded=False))
+
+register("pack_window_rank_wide", f"""
+WITH g AS ({_BY_ORDER})
+SELECT l_orderkey, ROUND(part, 2) AS total_revenue, RANK() OVER (ORDER BY part DESC) AS revenue_rank FROM g""")(
+    lambda s, d: qp.window_rank(_lineitem(s, d), "l_orderkey", "l_quantity", bounded=False))
+
+register("pack_window_running_wide", f"""
+WITH g AS ({_BY_ORDER})
+SELECT l_orderkey, ROUND(part, 2) AS revenue, ROUND(SUM(part) OVER (ORDER BY part DESC), 2) AS running_total FROM g""")(
+    lambda s, d: qp.window_running(_lineitem(s, d), "l_orderkey", "l_quantity", bounded=False))
+
 register("pack_profit_analysis", with_sales("""
 SELECT category, ROUND(SUM(revenue), 2) AS revenue, ROUND(SUM(cost), 2) AS total_cost,
        ROUND(SUM(revenue) - SUM(cost), 2) AS net_profit FROM sales GROUP BY category"""))(
