@@ -20,7 +20,7 @@ def _documents(op: Callable[[DataFrame], DataFrame]) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": _documents(jaccard_join.op1),
-    "op2_lm_score": _documents(lm_scoring.op2),
+    "op2_lm_score": _documents(lambda docs: lm_scoring.op2(docs, lm_scoring.ORDER)),
     "op3_mix_sources": _documents(mixing.op3),
     "op4_nearest_neighbours": lambda s, d: neighbours.op4(table(s, d, "embeddings")),
     "op5_substring_dedup": _documents(seed_extend.op5),
