@@ -2,7 +2,8 @@
 
 A document is the set of its word 5-grams (a text of fewer words: one gram of all of them; words are
 `[^\\x20\\x09-\\x0D]+`, unchanged).  Equal sets are one node.  Nodes are embedded by COORDINATES min-hashes; a token is a
-coordinate with its value.  From the root, each of RUNS runs samples coordinates, 1/threshold of them on average, and splits the
+coordinate with its value (32 bits of it at the root, so that buckets of unlike nodes don't fill up as the table grows, 16
+below).  From the root, each of RUNS runs samples coordinates, 1/threshold of them on average, and splits the
 nodes by the tokens they have there; buckets that stay over LIMIT are split again along sampled coordinates (at least one), level by level.
 In a small bucket all pairs are compared by their sketches, the ones that may reach the threshold by their whole sets.
 A pair of similarity 0.8 shares no bucket of a run with probability e^-1, so 16 runs leave about one pair in ten
@@ -35,7 +36,7 @@ COORDINATES, RUNS, LIMIT, DEPTH = 64, 16, 2048, 8
 #: Below the threshold by this much, a sketch says that a pair can't reach it (about four standard deviations).
 SLACK = 0.19
 _TABLES = byte_table(drop=SPACE)
-U16 = np.uint16
+U16, U32 = np.uint16, np.uint32
 
 
 def _multipliers() -> np.ndarray:
@@ -79,15 +80,17 @@ def gram_sets(texts: pa.Array, gram: int = GRAM) -> Iterator[tuple[int, int, np.
 
 
 SKETCHED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("node", T.LongType()),
-                         T.StructField("n", T.IntegerType()), T.StructField("sketch", T.BinaryType())])
+                         T.StructField("n", T.IntegerType()), T.StructField("sketch", T.BinaryType()),
+                         T.StructField("tokens", T.BinaryType())])
 
 
-def _sketches(batches: Iterator[pa.RecordBatch], gram: int) -> Iterator[pa.RecordBatch]:
+def _sketches(batches: Iterator[pa.RecordBatch], gram: int, order: np.ndarray) -> Iterator[pa.RecordBatch]:
     turns = _multipliers()
+    places = {int(c): k for k, c in enumerate(order)}
     for batch in batches:
         rows = batch.num_rows
         node, n = np.zeros(rows, np.int64), np.zeros(rows, np.int32)
-        sketch = np.zeros((rows, COORDINATES), U16)
+        sketch, tokens = np.zeros((rows, COORDINATES), U16), np.zeros((rows, len(order)), U32)
         for i, j, h, bounds in gram_sets(batch.column(2), gram):
             size = np.diff(bounds)
             n[i:j] = size
@@ -98,54 +101,64 @@ def _sketches(batches: Iterator[pa.RecordBatch], gram: int) -> Iterator[pa.Recor
             node[i + some] = mix(np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), start)
                                  + np.uint64(7) * np.bitwise_xor.reduceat(mix(h + np.uint64(9)), start)).view(np.int64)
             for c, turn in enumerate(turns):
-                sketch[i + some, c] = mix(np.minimum.reduceat((h * turn) >> np.uint64(8), start)) >> np.uint64(48)
+                value = mix(np.minimum.reduceat((h * turn) >> np.uint64(8), start))
+                sketch[i + some, c] = value >> np.uint64(48)
+                if c in places:
+                    tokens[i + some, places[c]] = (value >> np.uint64(16)) & np.uint64(0xFFFFFFFF)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(node, mask=n == 0), pa.array(n),
-             pa.array([s.tobytes() for s in sketch], pa.binary())], names=SKETCHED.names)
+             pa.array([s.tobytes() for s in sketch], pa.binary()), pa.array([t.tobytes() for t in tokens], pa.binary())], names=SKETCHED.names)
 
 
-def _paths(batches: Iterator[pa.RecordBatch], order: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(path, coord, node, sketch) -> the child paths; at the root (path null) along `order`, else as the path samples."""
+def _path(above: np.ndarray, coord: np.ndarray, value: np.ndarray) -> np.ndarray:
+    return mix(mix(above + coord.astype(np.uint64) + np.uint64(1)) ^ value + np.uint64(1 << 20)).view(np.int64)
+
+
+def _roots(batches: Iterator[pa.RecordBatch], order: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(node, tokens) -> the first-level paths, with the place of their coordinate in `order`."""
+    for batch in batches:
+        node = batch.column(0).to_numpy()
+        value = np.frombuffer(b"".join(batch.column(1).to_pylist()), U32).astype(np.uint64)
+        place = np.tile(np.arange(len(order)), len(node))
+        path = _path(np.zeros(len(value), np.uint64), order[place], value)
+        yield pa.RecordBatch.from_arrays([pa.array(path), pa.array(place, pa.int32()), pa.array(np.repeat(node, len(order)))],
+                                         names=["path", "coord", "node"])
+
+
+def _paths(batches: Iterator[pa.RecordBatch], order: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """(path, coord, node, sketch) -> the child paths along the coordinates that the path samples."""
     for batch in batches:
         sketch = np.frombuffer(b"".join(batch.column(3).to_pylist()), U16).reshape(-1, COORDINATES).astype(np.uint64)
         node = batch.column(2).to_numpy()
-        if batch.column(0).null_count:
-            picked = np.repeat(order[None], len(node), axis=0)
-            at, place = np.divmod(np.arange(picked.size), picked.shape[1])
-            coord, above = picked.ravel(), np.zeros(picked.size, np.uint64)
-        else:
-            above = batch.column(0).to_numpy().view(np.uint64)
-            draw = mix(above[:, None] + (np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None])
-            taken = draw < np.uint64(int((1 << 64) * 2 / COORDINATES))
-            taken[np.arange(len(draw)), draw.argmin(axis=1)] = True  # every path goes on
-            at, coord = np.nonzero(taken)
-            above, place = above[at], np.full(len(at), -1)
-        path = mix(mix(above + coord.astype(np.uint64) + np.uint64(1)) ^ sketch[at, coord] + np.uint64(1 << 20))
-        yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(place, pa.int32()), pa.array(node[at])],
+        above = batch.column(0).to_numpy().view(np.uint64)
+        draw = mix(above[:, None] + (np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None])
+        taken = draw < np.uint64(int((1 << 64) * 2 / COORDINATES))
+        taken[np.arange(len(draw)), draw.argmin(axis=1)] = True  # every path goes on
+        at, coord = np.nonzero(taken)
+        path = _path(above[at], coord, sketch[at, coord])
+        yield pa.RecordBatch.from_arrays([pa.array(path), pa.array(np.full(len(at), -1), pa.int32()), pa.array(node[at])],
                                          names=["path", "coord", "node"])
 
 
-def _maybe(sketch: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, coord: np.ndarray, split: np.ndarray,
-           order: np.ndarray, threshold: float) -> np.ndarray:
+def _maybe(sketch: np.ndarray, tokens: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, coord: np.ndarray, split: np.ndarray,
+           threshold: float) -> np.ndarray:
     """Which pairs may reach the threshold and have no common first-level bucket before this one, split ones aside."""
-    bit = np.int64(1) << np.arange(len(order), dtype=np.int64)
+    bit = np.int64(1) << np.arange(tokens.shape[1], dtype=np.int64)
     out = np.zeros(len(a), bool)
     least = int(np.ceil((threshold - SLACK) * COORDINATES))
     for i in range(0, len(a), 1 << 16):
         x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
         fits = np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y])
         at = np.flatnonzero(fits)
-        same = sketch[x[at]] == sketch[y[at]]
-        near = same.sum(axis=1) >= least
-        at, same = at[near], same[near]
+        at = at[(sketch[x[at]] == sketch[y[at]]).sum(axis=1) >= least]
         whole = (split[x[at], None] & bit) == 0  # a common bucket is split for both or for none
-        first = np.argmax(same[:, order] & whole, axis=1)
+        first = np.argmax((tokens[x[at]] == tokens[y[at]]) & whole, axis=1)
         place = coord[x[at]]
         out[i + at[(place < 0) | (place == first)]] = True
     return out
 
 
-def candidates(got: pa.Table, sketch: np.ndarray, order: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def candidates(got: pa.Table, sketch: np.ndarray, tokens: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows (a before b) that share a bucket and may reach the threshold; the rows are sorted by path."""
     path, coord, n = (got[x].to_numpy() for x in ("path", "coord", "n"))
     split = got["split"].to_numpy() if "split" in got.column_names else np.zeros(len(path), np.int64)
@@ -162,7 +175,7 @@ def candidates(got: pa.Table, sketch: np.ndarray, order: np.ndarray, threshold:
             tasks = ((np.repeat(f + i, s - i - 1), f + np.arange(i + 1, s)) for f in base for i in range(s - 1))
         for a, b in tasks:
             if len(a):
-                ok = _maybe(sketch, n, a, b, coord, split, order, threshold)
+                ok = _maybe(sketch, tokens, n, a, b, coord, split, threshold)
                 left.append(a[ok])
                 right.append(b[ok])
     if not left:
@@ -198,24 +211,25 @@ LINKS = T.StructType([T.StructField("node", T.LongType()), T.StructField("root",
                       T.StructField("others", T.BinaryType()), T.StructField("copies", T.BinaryType())])
 
 
-def _members(got: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    """The rows of some buckets sorted by path and node, their nodes and sketches."""
+def _members(got: pa.Table, order: np.ndarray) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of some buckets sorted by path and node, their nodes, sketches and tokens."""
     got = got.sort_by([("path", "ascending"), ("node", "ascending")])
-    return got, got["node"].to_numpy(), np.frombuffer(b"".join(got["sketch"].to_pylist()), U16).reshape(-1, COORDINATES)
+    packed = lambda name, dtype, width: np.frombuffer(b"".join(got[name].to_pylist()), dtype).reshape(-1, width)
+    return got, got["node"].to_numpy(), packed("sketch", U16, COORDINATES), packed("tokens", U32, len(order))
 
 
 def _probe(got: pa.Table, order: np.ndarray, threshold: float) -> pa.Table:
     """The members of a range of buckets that have a candidate there."""
-    got, _, sketch = _members(got)
-    a, b = candidates(got, sketch, order, threshold)
+    got, _, sketch, tokens = _members(got, order)
+    a, b = candidates(got, sketch, tokens, threshold)
     return got.take(pa.array(np.unique(np.concatenate([a, b])))).select(["path", "coord", "node"])
 
 
 def _verified(got: pa.Table, order: np.ndarray, threshold: float) -> pa.Table:
     """The links in a range of buckets, by node."""
-    got, node, sketch = _members(got)
+    got, node, sketch, tokens = _members(got, order)
     copies = got["copies"].to_numpy().astype(np.int64)
-    a, b = candidates(got, sketch, order, threshold)
+    a, b = candidates(got, sketch, tokens, threshold)
     other = node[a] != node[b]  # repeated rows of a node
     a, b = a[other], b[other]
     rows = []
@@ -271,7 +285,7 @@ def _classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", g
                       threshold: float = THRESHOLD, limit: int = LIMIT) -> DataFrame:
     """The rows of similar_documents with `key` (hash of id and text) and `class_key`, the key of the row that stands for the class.
 
-    Written on the way, in the shared folder: the sketches (about 130 bytes a document) and small link tables.
+    Written on the way, in the shared folder: the sketches and tokens (about 210 bytes a document) and small link tables.
     """
     spark: SparkSession = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -280,19 +294,19 @@ def _classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", g
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
     path = scratch_path(spark, "jaccard-sketches")
-    arrow_map(docs, lambda b: _sketches(b, gram), SKETCHED).write.parquet(path)
+    arrow_map(docs, lambda b: _sketches(b, gram, order), SKETCHED).write.parquet(path)
     sketched = spark.read.parquet(path)
     path = scratch_path(spark, "jaccard-nodes")
     (sketched.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull()).groupBy("node")
      .agg(F.min(F.struct("doc_id", "key")).alias("least"), F.count("*").cast("int").alias("copies"), F.first("n").alias("n"),
-          F.first("sketch").alias("sketch"))
-     .select("node", "n", "copies", "sketch", F.col("least.doc_id").alias("doc_id"), F.col("least.key").alias("key"))
+          F.first("sketch").alias("sketch"), F.first("tokens").alias("tokens"))
+     .select("node", "n", "copies", "sketch", "tokens", F.col("least.doc_id").alias("doc_id"), F.col("least.key").alias("key"))
      .write.parquet(path))
     nodes = spark.read.parquet(path)
 
     paths = T.StructType([T.StructField("path", T.LongType()), T.StructField("coord", T.IntegerType()), T.StructField("node", T.LongType())])
-    split = lambda rows: arrow_map(rows.select("path", "coord", "node", "sketch"), lambda b: _paths(b, order), paths)
-    rows = split(nodes.select(F.lit(None).cast("long").alias("path"), F.lit(-1).alias("coord"), "node", "sketch"))
+    split = lambda rows: arrow_map(rows.select("path", "coord", "node", "sketch"), _paths, paths)
+    rows = arrow_map(nodes.select("node", "tokens"), lambda b: _roots(b, order), paths)
     buckets, known, extra = None, nodes, []
     for depth in range(DEPTH):
         sized = rows.groupBy("path").agg(F.count("*").alias("size")).where(F.col("size") > 1)
@@ -311,23 +325,23 @@ def _classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", g
             known = nodes.join(spark.read.parquet(where), "node", "left").fillna(0, extra)
         big = level.where(F.col("size") > limit).join(nodes.select("node", "sketch"), "node")
         rows = split(big).distinct()
-    member = buckets.join(known.select("node", "n", "sketch", *extra), "node").select("path", "coord", "node", "n", "sketch", *extra)
+    member = buckets.join(known.select("node", "n", "sketch", "tokens", *extra), "node").select("path", "coord", "node", "n", "sketch", "tokens", *extra)
 
     # Buckets go to tasks in ranges of paths, so that a task call serves many small buckets.
     ranges = F.pmod(F.col("path"), F.lit(parts_for(docs))).alias("part")
     where = scratch_path(spark, "jaccard-candidates")
     (member.groupBy(ranges).applyInArrow(lambda got: _probe(got, order, threshold), paths).write.parquet(where))
     wanted = spark.read.parquet(where).groupBy("node").agg(F.collect_list(F.struct("path", "coord")).alias("paths"))
-    wanted = wanted.join(known, "node").select("key", "node", "n", "copies", "sketch", "paths", *extra)
+    wanted = wanted.join(known, "node").select("key", "node", "n", "copies", "sketch", "tokens", "paths", *extra)
 
     full = T.StructType([T.StructField("path", T.LongType()), T.StructField("coord", T.IntegerType()), T.StructField("node", T.LongType()),
                          T.StructField("n", T.IntegerType()), T.StructField("copies", T.IntegerType()),
-                         T.StructField("sketch", T.BinaryType()), T.StructField("grams", T.BinaryType()),
+                         T.StructField("sketch", T.BinaryType()), T.StructField("tokens", T.BinaryType()), T.StructField("grams", T.BinaryType()),
                          *[T.StructField(x, T.LongType()) for x in extra]])
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col = {x: batch.column(x).to_pylist() for x in ("node", "n", "copies", "sketch", "paths", *extra)}
+            col = {x: batch.column(x).to_pylist() for x in ("node", "n", "copies", "sketch", "tokens", "paths", *extra)}
             seen = set()
             for i, j, h, bounds in gram_sets(batch.column(batch.schema.get_field_index("text")), gram):
                 out = []
@@ -336,14 +350,14 @@ def _classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", g
                         continue
                     seen.add(col["node"][t])
                     grams = h[bounds[t - i] : bounds[t - i + 1]].tobytes()
-                    out += [(p["path"], p["coord"], col["node"][t], col["n"][t], col["copies"][t], col["sketch"][t], grams,
+                    out += [(p["path"], p["coord"], col["node"][t], col["n"][t], col["copies"][t], col["sketch"][t], col["tokens"][t], grams,
                              *[col[x][t] for x in extra])
                             for p in col["paths"][t]]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(
-                    (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * len(extra)))],
+                    (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), *[pa.int64()] * len(extra)))],
                     names=full.names)
 
-    texts = docs.select("key", "text").join(wanted, "key").select("text", "node", "n", "copies", "sketch", "paths", *extra)
+    texts = docs.select("key", "text").join(wanted, "key").select("text", "node", "n", "copies", "sketch", "tokens", "paths", *extra)
     where = scratch_path(spark, "jaccard-links")
     (arrow_map(texts, with_sets, full).groupBy(ranges).applyInArrow(lambda got: _verified(got, order, threshold), LINKS)
      .write.parquet(where))
