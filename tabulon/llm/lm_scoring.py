@@ -8,10 +8,11 @@ counts of all blocks and builds its part of the trie.  The first level holds the
 is a level of contexts (the shorter context, then the word before it) and a level of successors (the context, then the
 word: by hash after one word, by its rank among the successors of the shorter context after more).  Every level is one
 monotone sequence in Elias-Fano form: high bits in unary with a count every 512 bits, low bits packed, both in mapped
-files, with 16-bit quantised log probabilities and back-off weights beside them.  Each block's n-grams are looked up by
-search within their context and answered in the order asked; the block then adds up its texts.
+files, with 16-bit quantised log probabilities and back-off weights beside them.  The n-grams that blocks ask for are sorted and
+looked up in one pass over their level, a piece at a time, and answered in the order asked; the block then adds up its texts.
 
-Words are told apart by 64 bits of hash, words next to a context by 40.  Repetitions inside a block are added up
+Words are told apart by 64 bits of hash, words next to a context by 40.  The most frequent training words (`FREQUENT`, a table of
+fixed size) travel as their two-byte number instead.  Repetitions inside a block are added up
 before the shuffle, so a frequent word or context costs a block one entry (and one for each distinct successor).  Null texts are
 empty: one end token.  Rows without an id are scored too (their fold is that of the empty text); repeated rows count as often as they
 occur.  With no training row, c, N and V are 0.
@@ -36,10 +37,13 @@ ORDER = 3
 DISCOUNT = 0.75
 #: log10 units of one quantisation step; code 0 means not seen.
 STEP = 12 / 65535
+#: Words that have a two-byte number, at most; the number after the last stands for any other word.
+FREQUENT = (1 << 16) - 1
 BEGIN, END = np.uint64(0x1B5E5BCD0F2A7C11), np.uint64(0x2E0D3F6A9C4B8813)
 _TABLES = byte_table(drop=SPACE, lower=True)
 _SHORT = np.uint64(24)  # 64 - 40
 _ZSTD = pa.Codec("zstd", 1)
+U8, U16, U32 = np.uint8, np.uint16, np.uint32
 
 
 def squeeze(raw: bytes) -> bytes:
@@ -59,9 +63,23 @@ def expand(packed: bytes) -> bytes:
     return _ZSTD.decompress(packed[9:], size_of(packed), asbytes=True) if packed[0] else packed[1:]
 
 
-def _arrays(column: pa.ChunkedArray, dtype) -> np.ndarray:
+def pack(array: np.ndarray, planes: bool = True) -> bytes:
+    """The items squeezed; by planes: the first bytes of all items, then the second ones and so on, as high bytes are mostly zero."""
+    return squeeze((array.view(U8).reshape(-1, array.itemsize).T if planes else array).tobytes())
+
+
+def unpack(packed: bytes, dtype, planes: bool = True) -> np.ndarray:
+    raw = np.frombuffer(expand(packed), U8)
+    return (np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).reshape(-1) if planes else raw).view(dtype)
+
+
+def _planes(column: str) -> bool:
+    return not column.startswith(("backoff", "codes"))  # codes often repeat whole
+
+
+def _arrays(got: pa.Table, column: str, dtype) -> np.ndarray:
     """The packed arrays of a column, one after another."""
-    return np.frombuffer(b"".join(expand(x) for x in column.to_pylist()), dtype)
+    return np.concatenate([np.zeros(0, dtype), *[unpack(x, dtype, _planes(column)) for x in got[column].to_pylist()]])
 
 
 def _sizes(column: pa.ChunkedArray, width: int) -> list[int]:
@@ -72,8 +90,8 @@ def _texts(column: pa.ChunkedArray) -> pa.Array:
     return pa.array([None if x is None else expand(x) for x in column.to_pylist()], pa.large_binary())
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, word before, row) of every token; each text ends with END and starts after BEGIN."""
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(word, row) of every token; each text ends with END."""
     found = []
     for i, _, data, bounds in text_blocks(texts, 1 << 20):
         words = Words(data, bounds, _TABLES)
@@ -83,12 +101,38 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         is_end = np.zeros(len(row), bool)
         is_end[np.cumsum(n) - 1] = True
         word[~is_end] = words.hash
-        before = np.concatenate([[BEGIN], word[:-1]])
-        before[np.cumsum(n) - n] = BEGIN
-        found.append((word, before, row + i))
+        found.append((word, row + i))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _numbered(values: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with return_inverse, of integers from 0 to under `limit`; by a sort of values that carry their place, where 64 bits hold both."""
+    n = len(values)
+    low = n.bit_length()
+    if limit.bit_length() + low > 64:
+        return np.unique(values, return_inverse=True)
+    place = np.uint64(low)
+    value = np.sort((values.astype(np.uint64) << place) | np.arange(n, dtype=np.uint64))
+    at = (value & ((np.uint64(1) << place) - np.uint64(1))).astype(np.int64)
+    value >>= place
+    new = _changes(value)
+    number = np.empty(n, np.int64)
+    number[at] = np.cumsum(new) - 1
+    return value[new].astype(np.int64), number
+
+
+def _changes(values: np.ndarray) -> np.ndarray:
+    """True at the first of each run of equal values."""
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return new
+
+
+def _starts(owner: np.ndarray, n: int) -> np.ndarray:
+    """First place of each of n owners in a sorted array of owners, and its length at the end."""
+    return np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
+
+
 class Level:
     """The n-grams of one length of context in a block: contexts by shorter context, n-grams by context."""
 
@@ -97,50 +141,68 @@ class Level:
 
     def grams(self, key: np.ndarray, size: int, weight: np.ndarray) -> Level:
         """Distinct (context, key) pairs; `key` tells the tokens' n-grams apart and is under `size`."""
-        pair, number = np.unique(self.at * size + key, return_inverse=True)
+        contexts = int(self.at.max(initial=0)) + 1
+        pair, number = _numbered(self.at.astype(np.int64) * size + key, contexts * size)
         self.pair = number.astype(np.int32)
         self.at = self.at.astype(np.int32)
         self.context, self.key = np.divmod(pair, size)
+        self.first = _starts(self.context, contexts)
         self.count = np.bincount(number, weight, len(pair)).astype(np.int64)
         return self
 
 
 class Block:
-    """The distinct words and n-grams of a block of texts, ordered by shard, context and word."""
+    """The distinct words and n-grams of a block of texts, ordered by shard, context and word (frequent words by number, then the others)."""
 
-    def __init__(self, texts: pa.Array, trained: np.ndarray, parts: int, order: int):
-        self.word, before, self.row = tokens(texts)
+    def __init__(self, texts: pa.Array, trained: np.ndarray, parts: int, order: int, frequent: np.ndarray):
+        word, self.row = tokens(texts)
         weight = trained[self.row].astype(np.float32)
-        words, number = np.unique(np.concatenate([self.word, before, [BEGIN]]), return_inverse=True)
-        n, size = len(self.word), len(words)
+        n = len(word)
+        coded = pa.array(np.append(word, BEGIN)).dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False)
+        near = numbers(words, frequent)
+        by_number = np.lexsort((words, near))
+        words, near, size = words[by_number], near[by_number], len(words)
+        renamed = np.empty(size, np.int64)
+        renamed[by_number] = np.arange(size)
+        number = renamed[coded.indices.to_numpy()]  # in the order of the numbers and hashes
+        rank, begin = number[:n], number[-1]
         shard = (words >> np.uint64(16)) % np.uint64(parts)
         by_shard = np.argsort(shard, kind="stable")
         place = np.empty(size, np.int64)
         place[by_shard] = np.arange(size)
-        self.words, self.shard = words[by_shard], shard[by_shard].astype(np.int64)
-        rank = number[:n].astype(np.int64)  # in the order of the hashes
+        self.words, self.numbers, self.shard = words[by_shard], near[by_shard], shard[by_shard].astype(np.int64)
         self.at = place[rank]  # token -> its word
         self.count = np.bincount(self.at, weight, size).astype(np.int64)
-        self.short = words >> _SHORT
-        in_text = np.arange(n) - np.searchsorted(self.row, self.row)
-        level = Level(np.zeros(0, np.int64), np.zeros(0, np.int64), place[number[n : 2 * n]]).grams(rank, size, weight)
+        self.short, self.near = words >> _SHORT, near
+        in_text = np.arange(n) - _starts(self.row, 0)[self.row]
+        back = lambda k: np.where(in_text >= k, np.concatenate([np.full(k, begin), rank])[:n], begin)
+        level = Level(np.zeros(0, np.int64), np.zeros(0, np.int64), place[back(1)]).grams(rank, size, weight)
         self.levels = [level]
         for k in range(2, order):
-            back = np.where(in_text >= k, np.concatenate([np.zeros(k, np.int64), rank])[:n], number[-1])
-            context, at = np.unique(level.at.astype(np.int64) * size + back, return_inverse=True)
+            context, at = _numbered(level.at.astype(np.int64) * size + back(k), (int(level.at.max(initial=0)) + 1) * size)
             # An n-gram is named by the one after the shorter context, whose last words it shares.
             level = Level(*np.divmod(context, size), at).grams(level.pair, len(level.count), weight)
             self.levels.append(level)
 
 
-U8, U16, U32 = np.uint8, np.uint16, np.uint32
+def numbers(words: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Of each word its number among the frequent ones, or FREQUENT."""
+    out = np.full(len(words), FREQUENT, U16)
+    if len(frequent):
+        order = np.argsort(frequent)
+        known = frequent[order]
+        at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+        same = known[at] == words
+        out[same] = order[at[same]]
+    return out
 
 
 def _columns(order: int) -> tuple[list[str], list[str]]:
     """Names of the packed columns that a block asks with, and that a shard answers with."""
-    asks, answers = ["words", "counts", "fans1", "low1", "high1", "grams1"], ["counts", "backoff1", "codes1"]
+    asks, answers = ["numbers", "words", "counts", "fans1", "near1", "low1", "high1", "grams1"], ["counts", "backoff1", "codes1"]
     for k in range(2, order):
-        asks += [f"{x}{k}" for x in ("before", "low", "high", "fans", "ranks", "grams")]
+        asks += [f"{x}{k}" for x in ("before", "near", "low", "high", "fans", "ranks", "grams")]
         answers += [f"backoff{k}", f"codes{k}"]
     return asks, answers
 
@@ -151,34 +213,36 @@ def _packed(names: list[str]) -> T.StructType:
 
 def _table(rows: list[tuple], names: list[str]) -> pa.Table:
     keys = [pa.array([r[k] for r in rows], pa.int32()) for k in range(2)]
-    return pa.Table.from_arrays([*keys, *[pa.array([squeeze(r[k]) for r in rows], pa.binary()) for k in range(2, len(names) + 2)]],
+    return pa.Table.from_arrays([*keys, *[pa.array([pack(r[k], _planes(x)) for r in rows], pa.binary()) for k, x in enumerate(names, 2)]],
                                 names=["shard", "block", *names])
 
 
-def _halves(short: np.ndarray) -> tuple[bytes, bytes]:
-    return (short & np.uint64(0xFFFFFFFF)).astype(U32).tobytes(), (short >> np.uint64(32)).astype(U8).tobytes()
+def ask(got: pa.Table, parts: int, order: int = 2, frequent: np.ndarray = np.zeros(0, np.uint64)) -> pa.Table:
+    b = Block(_texts(got["text"]), got["trained"].to_numpy(zero_copy_only=False), parts, order, frequent)
 
+    def names(word: np.ndarray) -> list[np.ndarray]:
+        """Numbers of words, and the hashes (low bits, high bits) of those that aren't frequent."""
+        rest = b.short[word[b.near[word] == FREQUENT]]
+        return [b.near[word], (rest & np.uint64(0xFFFFFFFF)).astype(U32), (rest >> np.uint64(32)).astype(U8)]
 
-def ask(got: pa.Table, parts: int, order: int = 2) -> pa.Table:
-    b = Block(_texts(got["text"]), got["trained"].to_numpy(zero_copy_only=False), parts, order)
     rows = []
     for p in np.unique(b.shard):
         i, j = np.searchsorted(b.shard, [p, p + 1])
-        row = [int(p), got["block"][0].as_py(), b.words[i:j].tobytes(), b.count[i:j].astype(U32).tobytes()]
+        rare = b.words[i:j][b.numbers[i:j] == FREQUENT]
+        row = [int(p), got["block"][0].as_py(), b.numbers[i:j], rare, b.count[i:j].astype(U32)]
         for k, level in enumerate(b.levels, 1):
             if k > 1:  # contexts whose shorter context is the shard's
                 fan_of, (i, j) = i, np.searchsorted(level.parent, [i, j])
-                row += [np.bincount(level.parent[i:j] - fan_of, minlength=contexts).astype(U32).tobytes(), *_halves(b.short[level.word[i:j]])]
+                row += [np.bincount(level.parent[i:j] - fan_of, minlength=contexts).astype(U32), *names(level.word[i:j])]
             contexts = j - i
             x, y = np.searchsorted(level.context, [i, j])
-            row.append(np.bincount(level.context[x:y] - i, minlength=contexts).astype(U32).tobytes())
+            row.append(np.bincount(level.context[x:y] - i, minlength=contexts).astype(U32))
             if k == 1:
-                row += _halves(b.short[level.key[x:y]])
+                row += names(level.key[x:y])
             else:
-                shorter = b.levels[k - 2]
-                first = np.searchsorted(shorter.context, level.parent[level.context[x:y]])
-                row.append((level.key[x:y] - first).astype(U32).tobytes())
-            row.append(level.count[x:y].astype(U32).tobytes())
+                first = b.levels[k - 2].first[level.parent[level.context[x:y]]]
+                row.append((level.key[x:y] - first).astype(U32))
+            row.append(level.count[x:y].astype(U32))
         rows.append(tuple(row))
     return _table(rows, _columns(order)[0])
 
@@ -211,62 +275,51 @@ class EliasFano:
             bit = np.arange(self.n, dtype=np.uint64) * self.width
             word, shift = (bit >> _SIX).astype(np.int64), bit & _63
             low = values & self.mask
-            np.add.at(packed, word, low << shift)  # the bits of two values never meet
-            np.add.at(packed, word + 1, (low >> _ONE) >> (_63 - shift))
+            new = np.flatnonzero(_changes(word))  # a value takes under 64 bits, so no word is left out
+            if len(new):
+                packed[: len(new)] = np.bitwise_or.reduceat(low << shift, new)
+                packed[1 : len(new) + 1] |= np.bitwise_or.reduceat((low >> _ONE) >> (_63 - shift), new)
         self.low = _mapped(packed)
 
     @property
     def nbytes(self) -> int:
         return self.unary.nbytes + self.sample.nbytes + self.low.nbytes
 
-    def zero(self, k: np.ndarray) -> np.ndarray:
-        """Place of the k-th zero of the unary bits (from 0)."""
-        block = np.searchsorted(self.sample, k, side="right") - 1
-        left, word = k - self.sample[block], block * 8
-        open_ = np.arange(len(k))
-        while len(open_):
-            here = 64 - np.bitwise_count(self.unary[word[open_]]).astype(np.int64)
-            open_, here = open_[left[open_] >= here], here[left[open_] >= here]
-            left[open_] -= here
-            word[open_] += 1
-        rest, at = ~self.unary[word], word * 64
-        for half in (32, 16, 8, 4, 2, 1):
-            below = np.bitwise_count(rest & np.uint64((1 << half) - 1)).astype(np.int64)
-            up = left >= below
-            left -= np.where(up, below, 0)
-            at += np.where(up, half, 0)
-            rest = np.where(up, rest >> np.uint64(half), rest)
-        return at
-
     def lows(self, at: np.ndarray) -> np.ndarray:
         bit = at.astype(np.uint64) * self.width
         word, shift = (bit >> _SIX).astype(np.int64), bit & _63
         return ((self.low[word] >> shift) | ((self.low[word + 1] << _ONE) << (_63 - shift))) & self.mask
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """Position of each value, or -1, for some values after the others."""
-        found = np.empty(len(values), np.int64)
-        for i in range(0, len(values), PIECE):
-            found[i : i + PIECE] = self._search(values[i : i + PIECE])
-        return found
-
-    def _search(self, values: np.ndarray) -> np.ndarray:
-        """Successor search in each value's bucket."""
-        high, low = (values >> self.width).astype(np.int64), values & self.mask
-        a = np.where(high > 0, self.zero(np.maximum(high - 1, 0)) - np.maximum(high - 1, 0), 0)
-        b = self.zero(high) - high
-        stop = b.copy()
-        while True:
-            open_ = np.flatnonzero(a < b)
-            if not len(open_):
-                break
-            middle = (a[open_] + b[open_]) // 2
-            less = self.lows(middle) < low[open_]
-            a[open_[less]] = middle[less] + 1
-            b[open_[~less]] = middle[~less]
-        ok = a < stop
-        ok[ok] = self.lows(a[ok]) == low[ok]
-        return np.where(ok, a, -1)
+    def find(self, values: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+        """Position of each value, or -1; `order` sorts the values, if known.
+
+        One pass over the unary bits, PIECE at a time: the count before a piece tells which values can lie in it.
+        """
+        order = np.argsort(values) if order is None else order
+        values = values[order]
+        found = np.full(len(values), -1)
+        for block in range(0, len(self.sample), PIECE >> 9):
+            until = min(block + (PIECE >> 9), len(self.sample))
+            least = int(self.sample[block])
+            most = int(self.sample[until]) if until < len(self.sample) else self.buckets
+            ends = [min(x << int(self.width), (1 << 64) - 1) for x in (least, most + 1)]
+            some = slice(np.searchsorted(values, np.uint64(ends[0])), np.searchsorted(values, np.uint64(ends[1]), side="right"))
+            if some.start == some.stop:
+                continue
+            bits = np.unpackbits(self.unary[block * 8 : until * 8].view(U8), bitorder="little")
+            ones = np.flatnonzero(bits)
+            if not len(ones):
+                continue
+            first = block * 512 - least  # ones before the piece
+            high = (ones - np.arange(len(ones)) + least).astype(np.uint64)
+            held = (high << self.width) | self.lows(first + np.arange(len(ones)))
+            at = np.searchsorted(held, values[some])
+            same = at < len(held)
+            same[same] = held[at[same]] == values[some][same]
+            found[some] = np.where(same, first + at, found[some])
+        out = np.empty(len(values), np.int64)
+        out[order] = found
+        return out
 
 
 def _mapped(array: np.ndarray) -> np.ndarray:
@@ -284,25 +337,25 @@ def quantise(p: np.ndarray) -> np.ndarray:
         return np.where(p > 0, np.clip(np.round(-np.log10(p) / STEP), 0, 65534) + 1, 0).astype(U16)
 
 
+_RESTORED = np.append(0.0, 10.0 ** (-np.arange(65535.0) * STEP))
+
+
 def restore(code: np.ndarray) -> np.ndarray:
-    return np.where(code > 0, 10.0 ** (-(code.astype(np.float64) - 1) * STEP), 0.0)
+    return _RESTORED[code]
 
 
-def _distinct(values: np.ndarray) -> np.ndarray:
-    """Sorted distinct values; by a sort, since nearly all differ."""
-    values = np.sort(values)
-    new = np.ones(len(values), bool)
-    np.not_equal(values[1:], values[:-1], out=new[1:])
-    return values[new]
+def _distinct(ordered: np.ndarray) -> np.ndarray:
+    return ordered[_changes(ordered)]
 
 
 class Trie:
     """A shard's part of the model, built level by level from what all blocks ask; finds what they ask on the way."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray):
-        known = _distinct(words)
+        order = np.argsort(words)
+        known = _distinct(words[order])
         self.words = EliasFano(known, 1 << 64)
-        self.node = self.words.find(words)  # of each context asked: its number among those held, or -1
+        self.node = self.words.find(words, order)  # of each context asked: its number among those held, or -1
         self.count = np.bincount(self.node, counts, len(known)).astype(np.int64)
         self.contexts = len(known)
 
@@ -315,10 +368,11 @@ class Trie:
             some = slice(i, i + PIECE)
             value[some] = np.where(can[some], context[some], 0).astype(np.uint64) << np.uint64(bits)
             value[some] |= np.where(can[some], key[some], 0).astype(np.uint64)
-        held = _distinct(value[counts > 0])
+        order = np.argsort(value)
+        held = _distinct(value[order[counts[order] > 0]])
         grams = EliasFano(held, max(self.contexts, 1) << bits)
-        self.at = grams.find(value)  # of each n-gram asked: its place among those held, or -1
-        del value
+        self.at = grams.find(value, order)  # of each n-gram asked: its place among those held, or -1
+        del value, order
         count = np.bincount(self.at[counts > 0], counts[counts > 0], len(held))
         self.at[~can] = -1
         owner = (held >> np.uint64(bits)).astype(np.int64)
@@ -342,76 +396,98 @@ class Trie:
         value = (np.maximum(node, 0).astype(np.uint64) << np.uint64(40)) | short
         context = np.repeat(np.arange(len(short)), fans)
         seen = np.bincount(context, counts, len(short)) > 0
-        held = _distinct(value[seen])
-        found = EliasFano(held, max(self.contexts, 1) << 40).find(value)
+        order = np.argsort(value)
+        held = _distinct(value[order[seen[order]]])
+        found = EliasFano(held, max(self.contexts, 1) << 40).find(value, order)
         self.node, self.contexts = np.where(node >= 0, found, -1), len(held)
         return self.successors(key, int(self.rank.max(initial=0)).bit_length(), fans, counts)
 
 
-def answer(got: pa.Table, order: int = 2) -> pa.Table:
+def answer(got: pa.Table, order: int = 2, frequent: np.ndarray = np.zeros(0, np.uint64)) -> pa.Table:
     """Build the shard's trie from all blocks' counts and answer each block in its order."""
-    take = lambda name, dtype: _arrays(got[name], dtype)
+    take = lambda name, dtype: _arrays(got, name, dtype)
     whole = lambda name: take(name, U32).astype(np.int64)
     times = lambda name: take(name, U32)
 
     def short(k: int) -> np.ndarray:
-        found = take(f"high{k}", U8).astype(np.uint64)
-        found <<= np.uint64(32)
-        found |= take(f"low{k}", U32)
+        rest = take(f"high{k}", U8).astype(np.uint64)
+        rest <<= np.uint64(32)
+        rest |= take(f"low{k}", U32)
+        return named(f"near{k}", frequent >> _SHORT, rest)
+
+    def named(column: str, known: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """Each word by its number among the known ones; the rest in their order."""
+        number = take(column, U16)
+        found = np.append(known, np.zeros(1, np.uint64))[np.minimum(number, len(known))]
+        found[number == FREQUENT] = rest
         return found
 
-    trie = Trie(take("words", np.uint64), times("counts"))
+    trie = Trie(named("numbers", frequent, take("words", np.uint64)), times("counts"))
     told = [trie.count[trie.node]]
     told += trie.successors(short(1).view(np.int64), 40, whole("fans1"), times("grams1"))
     for k in range(2, order):
         told += trie.longer(whole(f"before{k}"), short(k), whole(f"fans{k}"), whole(f"ranks{k}"), times(f"grams{k}"))
     # Entries of each block: words (and contexts of one word) by the words asked, the others by their own columns.
-    sizes = [_sizes(got["words"], 8)] * 2
+    sizes = [_sizes(got["numbers"], 2)] * 2
     for k in range(1, order):
         if k > 1:
-            sizes.append(_sizes(got[f"low{k}"], 4))
+            sizes.append(_sizes(got[f"near{k}"], 2))
         sizes.append(_sizes(got[f"grams{k}"], 4))
     cuts = [np.concatenate([[0], np.cumsum(x)]).astype(np.int64) for x in sizes]
     keys = zip(got["shard"].to_pylist(), got["block"].to_pylist(), strict=True)
-    rows = [(*key, *[x[c[i] : c[i + 1]].tobytes() for x, c in zip(told, cuts, strict=True)]) for i, key in enumerate(keys)]
+    rows = [(*key, *[x[c[i] : c[i + 1]] for x, c in zip(told, cuts, strict=True)]) for i, key in enumerate(keys)]
     return _table(rows, _columns(order)[1])
 
 
-def vocabulary(docs: DataFrame, parts: int) -> tuple[int, int]:
-    """(tokens, distinct tokens) of the training rows, end tokens included."""
-    packed = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("words", T.BinaryType()), T.StructField("n", T.LongType())])
+def vocabulary(docs: DataFrame, parts: int, frequent: int = FREQUENT) -> tuple[int, int, np.ndarray]:
+    """(tokens, distinct tokens) of the training rows, end tokens included, and words that are frequent there, up to `frequent`.
+
+    The frequent words are to shorten what travels; no result depends on which they are.
+    """
+    packed = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("words", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+    most = 2 * frequent // parts + 1  # words that a part names: as parts are dealt by hash, about twice its share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            word, _, _ = tokens(batch.column(0))
-            some = np.unique(word)
+            word, _ = tokens(batch.column(0))
+            counted = pa.array(word).value_counts()
+            some, count = (counted.field(k).to_numpy(zero_copy_only=False) for k in range(2))
             part = (some >> np.uint64(16)) % np.uint64(parts)
             order = np.argsort(part, kind="stable")
             names, cut = np.unique(part[order], return_index=True)
-            rows = [some[order[a:b]].tobytes() for a, b in zip(cut, [*cut[1:], len(some)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(rows, pa.binary()),
-                                              pa.array([len(word), *[0] * (len(rows) - 1)], pa.int64())], names=packed.names)
+            groups = [order[a:b] for a, b in zip(cut, [*cut[1:], len(some)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array([some[x].tobytes() for x in groups], pa.binary()),
+                                              pa.array([pack(count[x].astype(U32)) for x in groups], pa.binary())], names=packed.names)
 
     def distinct(got: pa.Table) -> pa.Table:
-        return pa.table({"n": pa.array([sum(got["n"].to_pylist())], pa.int64()),
-                         "v": pa.array([len(np.unique(_joined(got["words"], np.uint64)))], pa.int64())})
+        known, number = np.unique(_joined(got["words"], np.uint64), return_inverse=True)
+        count = np.bincount(number, _arrays(got, "counts", U32), len(known)).astype(np.int64)
+        top = np.argsort(-count, kind="stable")[:most]
+        return pa.table({"n": pa.array([count.sum()], pa.int64()), "v": pa.array([len(known)], pa.int64()),
+                         "words": pa.array([known[top].tobytes()], pa.binary()), "counts": pa.array([count[top].tobytes()], pa.binary())})
+
+    found = arrow_map(docs.where("trained").select("text"), run, packed).groupBy("part").applyInArrow(
+        distinct, "n long, v long, words binary, counts binary").toArrow()
+    words, counts = _joined(found["words"], np.uint64), _joined(found["counts"], np.int64)
+    top = words[np.lexsort((words, -counts))][: max(frequent - 1, 0)]
+    return sum(found["n"].to_pylist()), sum(found["v"].to_pylist()), np.append(BEGIN, top[top != BEGIN])
 
-    found = arrow_map(docs.where("trained").select("text"), run, packed).groupBy("part").applyInArrow(distinct, "n long, v long")
-    got = found.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    return got["n"] or 0, got["v"] or 0
 
+def score_texts(df: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER,
+                frequent: int = FREQUENT) -> DataFrame:
+    """(id, trained, n_tokens, n_known, train_tokens, base_score, score) of every row; `order` words an n-gram, at least two.
 
-def score_texts(df: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
-    """(id, trained, n_tokens, n_known, train_tokens, base_score, score) of every row; `order` words an n-gram, at least two."""
+    Up to `frequent` words (FREQUENT at most) travel by number; that changes no result.
+    """
     if order < 2:
         raise ValueError("an n-gram has two words at least")
     deliver(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
                      F.coalesce(train, F.lit(False)).alias("trained"))
     parts = parts_for(docs, 5 << 19)
-    n, v = vocabulary(docs, parts)
+    n, v, known = vocabulary(docs, parts, min(frequent, FREQUENT))
     asked, answered = _columns(order)
     blocks = docs.withColumn("block", F.pmod(F.xxhash64("id", "text", F.lit(5)), F.lit(parts)).cast("int"))
     schema = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == "text" else f for f in blocks.schema.fields])
@@ -423,21 +499,21 @@ def score_texts(df: DataFrame, train: Column, *, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([text if n == "text" else batch.column(n) for n in schema.names], names=schema.names)
 
     blocks = arrow_map(blocks, squeezed, schema)
-    asks = blocks.groupBy("block").applyInArrow(lambda got: ask(got, parts, order), _packed(asked))
-    answers = asks.groupBy("shard").applyInArrow(lambda got: answer(got, order), _packed(answered))
+    asks = blocks.groupBy("block").applyInArrow(lambda got: ask(got, parts, order, known), _packed(asked))
+    answers = asks.groupBy("shard").applyInArrow(lambda got: answer(got, order, known), _packed(answered))
     scores = "id long, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def score(have: pa.Table, told: pa.Table) -> pa.Table:
         if not have.num_rows:
             return pa.Table.from_arrays([pa.array([], t) for t in (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2)],
                                         names=["id", "trained", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-        b = Block(_texts(have["text"]), have["trained"].to_numpy(zero_copy_only=False), parts, order)
+        b = Block(_texts(have["text"]), have["trained"].to_numpy(zero_copy_only=False), parts, order, known)
         told = told.sort_by("shard")
-        count = _arrays(told["counts"], np.int64)
+        count = _arrays(told, "counts", np.int64)
         c = count[b.at]
         p = unigram = (c + 1) / (n + v + 1)
         for k, level in enumerate(b.levels, 1):
-            backoff, code = (restore(_arrays(told[f"{x}{k}"], U16)) for x in ("backoff", "codes"))
+            backoff, code = (restore(_arrays(told, f"{x}{k}", U16)) for x in ("backoff", "codes"))
             p = code[level.pair] + backoff[level.at] * p
         rows = have.num_rows
         add = lambda w=None: np.bincount(b.row, w, rows)
