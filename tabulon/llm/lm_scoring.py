@@ -43,7 +43,7 @@ BEGIN, END = np.uint64(0x1B5E5BCD0F2A7C11), np.uint64(0x2E0D3F6A9C4B8813)
 _TABLES = byte_table(drop=SPACE, lower=True)
 _SHORT = np.uint64(24)  # 64 - 40
 _ZSTD = pa.Codec("zstd", 1)
-U8, U16, U32 = np.uint8, np.uint16, np.uint32
+U8, U16, U32, U64 = np.uint8, np.uint16, np.uint32, np.uint64
 
 
 def squeeze(raw: bytes) -> bytes:
@@ -63,29 +63,6 @@ def expand(packed: bytes) -> bytes:
     return _ZSTD.decompress(packed[9:], size_of(packed), asbytes=True) if packed[0] else packed[1:]
 
 
-def pack(array: np.ndarray, planes: bool = True) -> bytes:
-    """The items squeezed; by planes: the first bytes of all items, then the second ones and so on, as high bytes are mostly zero."""
-    return squeeze((array.view(U8).reshape(-1, array.itemsize).T if planes else array).tobytes())
-
-
-def unpack(packed: bytes, dtype, planes: bool = True) -> np.ndarray:
-    raw = np.frombuffer(expand(packed), U8)
-    return (np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).reshape(-1) if planes else raw).view(dtype)
-
-
-def _planes(column: str) -> bool:
-    return not column.startswith(("backoff", "codes"))  # codes often repeat whole
-
-
-def _arrays(got: pa.Table, column: str, dtype) -> np.ndarray:
-    """The packed arrays of a column, one after another."""
-    return np.concatenate([np.zeros(0, dtype), *[unpack(x, dtype, _planes(column)) for x in got[column].to_pylist()]])
-
-
-def _sizes(column: pa.ChunkedArray, width: int) -> list[int]:
-    return [size_of(x) // width for x in column.to_pylist()]
-
-
 def _texts(column: pa.ChunkedArray) -> pa.Array:
     return pa.array([None if x is None else expand(x) for x in column.to_pylist()], pa.large_binary())
 
@@ -101,7 +78,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         is_end = np.zeros(len(row), bool)
         is_end[np.cumsum(n) - 1] = True
         word[~is_end] = words.hash
-        found.append((word, row + i))
+        found.append((word, (row + i).astype(np.int32)))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -109,16 +86,20 @@ def _numbered(values: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """np.unique with return_inverse, of integers from 0 to under `limit`; by a sort of values that carry their place, where 64 bits hold both."""
     n = len(values)
     low = n.bit_length()
-    if limit.bit_length() + low > 64:
+    if limit.bit_length() + low > 64 or low > 31:
         return np.unique(values, return_inverse=True)
     place = np.uint64(low)
-    value = np.sort((values.astype(np.uint64) << place) | np.arange(n, dtype=np.uint64))
-    at = (value & ((np.uint64(1) << place) - np.uint64(1))).astype(np.int64)
+    value = values.astype(U64)
+    value <<= place
+    value |= np.arange(n, dtype=U64)
+    value.sort()
+    at = (value & ((np.uint64(1) << place) - np.uint64(1))).astype(np.int32)
     value >>= place
     new = _changes(value)
-    number = np.empty(n, np.int64)
-    number[at] = np.cumsum(new) - 1
-    return value[new].astype(np.int64), number
+    value = value[new].view(np.int64)
+    number = np.empty(n, np.int32)
+    number[at] = np.cumsum(new, dtype=np.int32) - 1
+    return value, number
 
 
 def _changes(values: np.ndarray) -> np.ndarray:
@@ -160,23 +141,25 @@ class Block:
         n = len(word)
         coded = pa.array(np.append(word, BEGIN)).dictionary_encode()
         words = coded.dictionary.to_numpy(zero_copy_only=False)
+        del word
         near = numbers(words, frequent)
         by_number = np.lexsort((words, near))
         words, near, size = words[by_number], near[by_number], len(words)
-        renamed = np.empty(size, np.int64)
+        renamed = np.empty(size, np.int32)
         renamed[by_number] = np.arange(size)
         number = renamed[coded.indices.to_numpy()]  # in the order of the numbers and hashes
+        del coded
         rank, begin = number[:n], number[-1]
         shard = (words >> np.uint64(16)) % np.uint64(parts)
         by_shard = np.argsort(shard, kind="stable")
-        place = np.empty(size, np.int64)
+        place = np.empty(size, np.int32)
         place[by_shard] = np.arange(size)
         self.words, self.numbers, self.shard = words[by_shard], near[by_shard], shard[by_shard].astype(np.int64)
         self.at = place[rank]  # token -> its word
         self.count = np.bincount(self.at, weight, size).astype(np.int64)
         self.short, self.near = words >> _SHORT, near
-        in_text = np.arange(n) - _starts(self.row, 0)[self.row]
-        back = lambda k: np.where(in_text >= k, np.concatenate([np.full(k, begin), rank])[:n], begin)
+        in_text = np.arange(n, dtype=np.int32) - _starts(self.row, 0).astype(np.int32)[self.row]
+        back = lambda k: np.where(in_text >= k, np.concatenate([np.full(k, begin, np.int32), rank])[:n], begin)
         level = Level(np.zeros(0, np.int64), np.zeros(0, np.int64), place[back(1)]).grams(rank, size, weight)
         self.levels = [level]
         for k in range(2, order):
@@ -198,23 +181,73 @@ def numbers(words: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return out
 
 
-def _columns(order: int) -> tuple[list[str], list[str]]:
-    """Names of the packed columns that a block asks with, and that a shard answers with."""
-    asks, answers = ["numbers", "words", "counts", "fans1", "near1", "low1", "high1", "grams1"], ["counts", "backoff1", "codes1"]
+Columns = dict[str, np.dtype]
+
+
+def _columns(order: int) -> tuple[Columns, Columns]:
+    """The arrays that a block asks with, and that a shard answers with."""
+    asks = {"numbers": U16, "words": U64, "counts": U32, "fans1": U32, "near1": U16, "low1": U32, "high1": U8, "grams1": U32}
+    answers = {"counts": np.int64, "backoff1": U16, "codes1": U16}
     for k in range(2, order):
-        asks += [f"{x}{k}" for x in ("before", "near", "low", "high", "fans", "ranks", "grams")]
-        answers += [f"backoff{k}", f"codes{k}"]
-    return asks, answers
+        asks |= {f"before{k}": U32, f"near{k}": U16, f"low{k}": U32, f"high{k}": U8, f"fans{k}": U32, f"ranks{k}": U32, f"grams{k}": U32}
+        answers |= {f"backoff{k}": U16, f"codes{k}": U16}
+    return tuple({x: np.dtype(y) for x, y in columns.items()} for columns in (asks, answers))
+
+
+#: What a block and a shard send each other: arrays of hashes as they are, then the sizes of all arrays and the others squeezed.
+CELL = T.StructType([*[T.StructField(x, T.IntegerType()) for x in ("shard", "block")],
+                     *[T.StructField(x, T.BinaryType()) for x in ("hashes", "rest")]])
+
+
+def _is_hash(column: str) -> bool:
+    return column.startswith(("words", "low", "high"))
 
 
-def _packed(names: list[str]) -> T.StructType:
-    return T.StructType([T.StructField(x, T.IntegerType()) for x in ("shard", "block")] + [T.StructField(x, T.BinaryType()) for x in names])
+def _by_planes(column: str) -> bool:
+    """The first bytes of all items, then the second ones and so on, as high bytes are mostly zero; codes often repeat whole."""
+    return not column.startswith(("backoff", "codes"))
 
 
-def _table(rows: list[tuple], names: list[str]) -> pa.Table:
+def cells(rows: list[tuple], columns: Columns) -> pa.Table:
+    """A row of CELL for each (shard, block, arrays of the columns)."""
+    hashes, rest = [], []
+    for _, _, *arrays in rows:
+        parts = [], [np.array([len(x) for x in arrays], U32).tobytes()]
+        for (name, dtype), x in zip(columns.items(), arrays, strict=True):
+            x = x.astype(dtype, copy=False)
+            parts[0 if _is_hash(name) else 1].append((x.view(U8).reshape(-1, dtype.itemsize).T if _by_planes(name) else x).tobytes())
+        hashes.append(b"".join(parts[0]))
+        rest.append(squeeze(b"".join(parts[1])))
     keys = [pa.array([r[k] for r in rows], pa.int32()) for k in range(2)]
-    return pa.Table.from_arrays([*keys, *[pa.array([pack(r[k], _planes(x)) for r in rows], pa.binary()) for k, x in enumerate(names, 2)]],
-                                names=["shard", "block", *names])
+    return pa.Table.from_arrays([*keys, pa.array(hashes, pa.binary()), pa.array(rest, pa.binary())], names=CELL.names)
+
+
+class Cells:
+    """The arrays of several cells, one after another."""
+
+    def __init__(self, got: pa.Table, columns: Columns):
+        self.names, self.dtypes = list(columns), list(columns.values())
+        self.raw = got["hashes"].to_pylist(), [expand(x) for x in got["rest"].to_pylist()]
+        #: of each cell and column
+        self.size = np.array([np.frombuffer(x, U32, len(columns)) for x in self.raw[1]], np.int64).reshape(-1, len(columns))
+        length = self.size * [x.itemsize for x in self.dtypes]
+        is_hash = np.array([_is_hash(x) for x in self.names])
+        self.start = np.where(is_hash, np.cumsum(length * is_hash, 1), np.cumsum(length * ~is_hash, 1) + 4 * len(columns)) - length
+
+    def take(self, name: str) -> np.ndarray:
+        k = self.names.index(name)
+        width = self.dtypes[k].itemsize
+        sizes, starts, raw = self.size[:, k].tolist(), self.start[:, k].tolist(), self.raw[0 if _is_hash(name) else 1]
+        if not _by_planes(name):
+            return np.frombuffer(b"".join([x[i : i + n * width] for x, i, n in zip(raw, starts, sizes, strict=True)]), self.dtypes[k])
+        out = np.empty((sum(sizes), width), U8)
+        for w in range(width):
+            out[:, w] = np.frombuffer(b"".join([x[i + w * n : i + (w + 1) * n] for x, i, n in zip(raw, starts, sizes, strict=True)]), U8)
+        return out.reshape(-1).view(self.dtypes[k])
+
+    def ends(self, name: str) -> np.ndarray:
+        """First place of each cell's items, and the number of all items."""
+        return np.concatenate([[0], np.cumsum(self.size[:, self.names.index(name)])])
 
 
 def ask(got: pa.Table, parts: int, order: int = 2, frequent: np.ndarray = np.zeros(0, np.uint64)) -> pa.Table:
@@ -223,28 +256,28 @@ def ask(got: pa.Table, parts: int, order: int = 2, frequent: np.ndarray = np.zer
     def names(word: np.ndarray) -> list[np.ndarray]:
         """Numbers of words, and the hashes (low bits, high bits) of those that aren't frequent."""
         rest = b.short[word[b.near[word] == FREQUENT]]
-        return [b.near[word], (rest & np.uint64(0xFFFFFFFF)).astype(U32), (rest >> np.uint64(32)).astype(U8)]
+        return [b.near[word], rest & np.uint64(0xFFFFFFFF), rest >> np.uint64(32)]
 
     rows = []
     for p in np.unique(b.shard):
         i, j = np.searchsorted(b.shard, [p, p + 1])
         rare = b.words[i:j][b.numbers[i:j] == FREQUENT]
-        row = [int(p), got["block"][0].as_py(), b.numbers[i:j], rare, b.count[i:j].astype(U32)]
+        row = [int(p), got["block"][0].as_py(), b.numbers[i:j], rare, b.count[i:j]]
         for k, level in enumerate(b.levels, 1):
             if k > 1:  # contexts whose shorter context is the shard's
                 fan_of, (i, j) = i, np.searchsorted(level.parent, [i, j])
-                row += [np.bincount(level.parent[i:j] - fan_of, minlength=contexts).astype(U32), *names(level.word[i:j])]
+                row += [np.bincount(level.parent[i:j] - fan_of, minlength=contexts), *names(level.word[i:j])]
             contexts = j - i
             x, y = np.searchsorted(level.context, [i, j])
-            row.append(np.bincount(level.context[x:y] - i, minlength=contexts).astype(U32))
+            row.append(np.bincount(level.context[x:y] - i, minlength=contexts))
             if k == 1:
                 row += names(level.key[x:y])
             else:
                 first = b.levels[k - 2].first[level.parent[level.context[x:y]]]
-                row.append((level.key[x:y] - first).astype(U32))
-            row.append(level.count[x:y].astype(U32))
+                row.append(level.key[x:y] - first)
+            row.append(level.count[x:y])
         rows.append(tuple(row))
-    return _table(rows, _columns(order)[0])
+    return cells(rows, _columns(order)[0])
 
 
 #: Values that a shard works on at once, so that what it holds for a frequent context stays near its entries.
@@ -297,7 +330,8 @@ class EliasFano:
         """
         order = np.argsort(values) if order is None else order
         values = values[order]
-        found = np.full(len(values), -1)
+        place = np.int32 if self.n < 1 << 31 else np.int64
+        found = np.full(len(values), -1, place)
         for block in range(0, len(self.sample), PIECE >> 9):
             until = min(block + (PIECE >> 9), len(self.sample))
             least = int(self.sample[block])
@@ -317,7 +351,8 @@ class EliasFano:
             same = at < len(held)
             same[same] = held[at[same]] == values[some][same]
             found[some] = np.where(same, first + at, found[some])
-        out = np.empty(len(values), np.int64)
+        del values
+        out = np.empty(len(order), place)
         out[order] = found
         return out
 
@@ -382,7 +417,7 @@ class Trie:
         codes = _mapped(quantise((count - DISCOUNT) / total[owner]) if len(held) else np.zeros(0, U16))
         self.fans = fans
         self.first = np.concatenate([[0], np.cumsum(kinds)])
-        self.rank = np.where(self.at >= 0, self.at - self.first[np.maximum(context, 0)], -1)
+        self.rank = np.where(self.at >= 0, self.at - self.first.astype(self.at.dtype)[np.maximum(context, 0)], -1)
         certain = quantise(np.ones(1))  # no shorter context's share is lost where a context isn't held
         return (np.append(backoff, certain)[self.node],
                 np.where(self.at >= 0, codes[np.maximum(self.at, 0)], 0).astype(U16) if len(codes) else np.zeros(len(key), U16))
@@ -390,8 +425,10 @@ class Trie:
     def longer(self, before: np.ndarray, short: np.ndarray, fans: np.ndarray, ranks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One more word of context: `before` counts the longer contexts of each context, `short` are the words before them."""
         shorter = np.repeat(np.arange(len(before)), before)
-        gram = (np.cumsum(self.fans) - self.fans)[np.repeat(shorter, fans)] + ranks  # the n-gram after the shorter context
+        gram = (np.cumsum(self.fans) - self.fans)[np.repeat(shorter, fans)]
+        gram += ranks  # the n-gram after the shorter context
         key = self.rank[gram]
+        del gram, ranks
         node = self.node[shorter]
         value = (np.maximum(node, 0).astype(np.uint64) << np.uint64(40)) | short
         context = np.repeat(np.arange(len(short)), fans)
@@ -400,43 +437,43 @@ class Trie:
         held = _distinct(value[order[seen[order]]])
         found = EliasFano(held, max(self.contexts, 1) << 40).find(value, order)
         self.node, self.contexts = np.where(node >= 0, found, -1), len(held)
+        del value, order, seen, context, shorter, node, short
         return self.successors(key, int(self.rank.max(initial=0)).bit_length(), fans, counts)
 
 
 def answer(got: pa.Table, order: int = 2, frequent: np.ndarray = np.zeros(0, np.uint64)) -> pa.Table:
     """Build the shard's trie from all blocks' counts and answer each block in its order."""
-    take = lambda name, dtype: _arrays(got, name, dtype)
-    whole = lambda name: take(name, U32).astype(np.int64)
-    times = lambda name: take(name, U32)
+    asked = Cells(got, _columns(order)[0])
+    take = asked.take
+    whole = lambda name: take(name).astype(np.int64)
 
     def short(k: int) -> np.ndarray:
-        rest = take(f"high{k}", U8).astype(np.uint64)
+        rest = take(f"high{k}").astype(np.uint64)
         rest <<= np.uint64(32)
-        rest |= take(f"low{k}", U32)
+        rest |= take(f"low{k}")
         return named(f"near{k}", frequent >> _SHORT, rest)
 
     def named(column: str, known: np.ndarray, rest: np.ndarray) -> np.ndarray:
         """Each word by its number among the known ones; the rest in their order."""
-        number = take(column, U16)
+        number = take(column)
         found = np.append(known, np.zeros(1, np.uint64))[np.minimum(number, len(known))]
         found[number == FREQUENT] = rest
         return found
 
-    trie = Trie(named("numbers", frequent, take("words", np.uint64)), times("counts"))
+    trie = Trie(named("numbers", frequent, take("words")), take("counts"))
     told = [trie.count[trie.node]]
-    told += trie.successors(short(1).view(np.int64), 40, whole("fans1"), times("grams1"))
+    told += trie.successors(short(1).view(np.int64), 40, whole("fans1"), take("grams1"))
     for k in range(2, order):
-        told += trie.longer(whole(f"before{k}"), short(k), whole(f"fans{k}"), whole(f"ranks{k}"), times(f"grams{k}"))
+        told += trie.longer(whole(f"before{k}"), short(k), whole(f"fans{k}"), whole(f"ranks{k}"), take(f"grams{k}"))
     # Entries of each block: words (and contexts of one word) by the words asked, the others by their own columns.
-    sizes = [_sizes(got["numbers"], 2)] * 2
+    cuts = [asked.ends("numbers")] * 2
     for k in range(1, order):
         if k > 1:
-            sizes.append(_sizes(got[f"near{k}"], 2))
-        sizes.append(_sizes(got[f"grams{k}"], 4))
-    cuts = [np.concatenate([[0], np.cumsum(x)]).astype(np.int64) for x in sizes]
+            cuts.append(asked.ends(f"near{k}"))
+        cuts.append(asked.ends(f"grams{k}"))
     keys = zip(got["shard"].to_pylist(), got["block"].to_pylist(), strict=True)
     rows = [(*key, *[x[c[i] : c[i + 1]] for x, c in zip(told, cuts, strict=True)]) for i, key in enumerate(keys)]
-    return _table(rows, _columns(order)[1])
+    return cells(rows, _columns(order)[1])
 
 
 def vocabulary(docs: DataFrame, parts: int, frequent: int = FREQUENT) -> tuple[int, int, np.ndarray]:
@@ -444,7 +481,7 @@ def vocabulary(docs: DataFrame, parts: int, frequent: int = FREQUENT) -> tuple[i
 
     The frequent words are to shorten what travels; no result depends on which they are.
     """
-    packed = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("words", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+    columns = {"words": np.dtype(U64), "counts": np.dtype(U32)}
     most = 2 * frequent // parts + 1  # words that a part names: as parts are dealt by hash, about twice its share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -458,17 +495,17 @@ def vocabulary(docs: DataFrame, parts: int, frequent: int = FREQUENT) -> tuple[i
             order = np.argsort(part, kind="stable")
             names, cut = np.unique(part[order], return_index=True)
             groups = [order[a:b] for a, b in zip(cut, [*cut[1:], len(some)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array([some[x].tobytes() for x in groups], pa.binary()),
-                                              pa.array([pack(count[x].astype(U32)) for x in groups], pa.binary())], names=packed.names)
+            yield from cells([(int(p), 0, some[x], count[x]) for p, x in zip(names, groups, strict=True)], columns).to_batches()
 
     def distinct(got: pa.Table) -> pa.Table:
-        known, number = np.unique(_joined(got["words"], np.uint64), return_inverse=True)
-        count = np.bincount(number, _arrays(got, "counts", U32), len(known)).astype(np.int64)
+        got = Cells(got, columns)
+        known, number = np.unique(got.take("words"), return_inverse=True)
+        count = np.bincount(number, got.take("counts"), len(known)).astype(np.int64)
         top = np.argsort(-count, kind="stable")[:most]
         return pa.table({"n": pa.array([count.sum()], pa.int64()), "v": pa.array([len(known)], pa.int64()),
                          "words": pa.array([known[top].tobytes()], pa.binary()), "counts": pa.array([count[top].tobytes()], pa.binary())})
 
-    found = arrow_map(docs.where("trained").select("text"), run, packed).groupBy("part").applyInArrow(
+    found = arrow_map(docs.where("trained").select("text"), run, CELL).groupBy("shard").applyInArrow(
         distinct, "n long, v long, words binary, counts binary").toArrow()
     words, counts = _joined(found["words"], np.uint64), _joined(found["counts"], np.int64)
     top = words[np.lexsort((words, -counts))][: max(frequent - 1, 0)]
@@ -488,7 +525,6 @@ def score_texts(df: DataFrame, train: Column, *, id_col: str = "doc_id", text_co
                      F.coalesce(train, F.lit(False)).alias("trained"))
     parts = parts_for(docs, 5 << 19)
     n, v, known = vocabulary(docs, parts, min(frequent, FREQUENT))
-    asked, answered = _columns(order)
     blocks = docs.withColumn("block", F.pmod(F.xxhash64("id", "text", F.lit(5)), F.lit(parts)).cast("int"))
     schema = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == "text" else f for f in blocks.schema.fields])
 
@@ -499,8 +535,8 @@ def score_texts(df: DataFrame, train: Column, *, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([text if n == "text" else batch.column(n) for n in schema.names], names=schema.names)
 
     blocks = arrow_map(blocks, squeezed, schema)
-    asks = blocks.groupBy("block").applyInArrow(lambda got: ask(got, parts, order, known), _packed(asked))
-    answers = asks.groupBy("shard").applyInArrow(lambda got: answer(got, order, known), _packed(answered))
+    asks = blocks.groupBy("block").applyInArrow(lambda got: ask(got, parts, order, known), CELL)
+    answers = asks.groupBy("shard").applyInArrow(lambda got: answer(got, order, known), CELL)
     scores = "id long, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def score(have: pa.Table, told: pa.Table) -> pa.Table:
@@ -508,12 +544,12 @@ def score_texts(df: DataFrame, train: Column, *, id_col: str = "doc_id", text_co
             return pa.Table.from_arrays([pa.array([], t) for t in (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2)],
                                         names=["id", "trained", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
         b = Block(_texts(have["text"]), have["trained"].to_numpy(zero_copy_only=False), parts, order, known)
-        told = told.sort_by("shard")
-        count = _arrays(told, "counts", np.int64)
+        told = Cells(told.sort_by("shard"), _columns(order)[1])
+        count = told.take("counts")
         c = count[b.at]
         p = unigram = (c + 1) / (n + v + 1)
         for k, level in enumerate(b.levels, 1):
-            backoff, code = (restore(_arrays(told, f"{x}{k}", U16)) for x in ("backoff", "codes"))
+            backoff, code = (restore(told.take(f"{x}{k}")) for x in ("backoff", "codes"))
             p = code[level.pair] + backoff[level.at] * p
         rows = have.num_rows
         add = lambda w=None: np.bincount(b.row, w, rows)

@@ -34,6 +34,7 @@ def test_asked_bytes():
     frequent = np.append(lm_scoring.BEGIN, seen[np.argsort(-count, kind="stable")][:2000])
     asked = lm_scoring.ask(block, 8, 3, frequent)
     size = sum(len(x) for name in asked.column_names[2:] for x in asked[name].to_pylist())
+    assert lm_scoring.Cells(asked, lm_scoring._columns(3)[0]).take("counts").sum() == len(word)
     assert size < 2.5 * len(word)  # 1.8 bytes a token; 3.5 when every word travelled as a hash
 
 
