@@ -280,7 +280,7 @@ def ask(got: pa.Table, parts: int, order: int = 2, frequent: np.ndarray = np.zer
     return cells(rows, _columns(order)[0])
 
 
-#: Values that a shard works on at once, so that what it holds for a frequent context stays near its entries.
+#: Values (in a lookup: unary bits) that a shard works on at once, so that what it holds for a frequent context stays near its entries.
 PIECE = 1 << 18
 _ONE, _SIX, _63 = np.uint64(1), np.uint64(6), np.uint64(63)
 
@@ -289,7 +289,7 @@ class EliasFano:
     """A sorted sequence of distinct integers: high bits in unary, low bits packed, in mapped files.
 
     The unary bits are a one for each value and a zero for the end of each bucket of equal high bits; the number of
-    zeros before every 512th bit leads to the zero of a bucket.
+    zeros before every 512th bit is the bucket there.
     """
 
     def __init__(self, values: np.ndarray, universe: int):
