@@ -11,6 +11,8 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 from tabulon.operators import ml
+from tabulon.plans import fixtures as fx
+from tabulon.session import FREED
 
 
 @pytest.fixture(scope="module")
@@ -62,3 +64,41 @@ def test_written_rows_dealt(spark):
     assert len(held) == 16 and max(held) == 64 and out.schema == df.schema
     assert [tuple(r) for r in out.orderBy("i").collect()] == rows
     assert ml.written(df.limit(0), 64).count() == 0
+
+
+def _shuffles(spark) -> set:
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return {n for i in range(files.size()) if (n := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def _left(spark, before: set) -> set:
+    """New shuffle files; freeing them takes a moment."""
+    until = time.time() + 10
+    while (left := _shuffles(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    return left
+
+
+def test_shuffles_of_written_rows_go(spark, monkeypatch):
+    df = spark.range(0, 20000, 1, 2).select(F.col("id").cast("double").alias("x"))
+    monkeypatch.setattr(ml, "_parts", lambda df, rows: 40)  # counting shuffles too
+    before = _shuffles(spark)
+    out = ml.written(df, 500)
+    assert not _left(spark, before)
+    assert out.rdd.getNumPartitions() == 40 and tuple(out.agg(F.sum("x"), F.count("x")).first()) == (20000 * 19999 / 2, 20000)
+
+
+def test_shuffles_of_the_sales_join_go(spark, tmp_path, monkeypatch):
+    for name, columns, rows in (
+            ("region", "r_regionkey long, r_name string", [(0, "ASIA")]), ("nation", "n_nationkey long, n_regionkey long", [(0, 0)]),
+            ("customer", "c_custkey long, c_nationkey long, c_mktsegment string", [(1, 0, "AUTO")]),
+            ("orders", "o_orderkey long, o_custkey long", [(i, 1) for i in range(50)]),
+            ("part", "p_partkey long, p_type string, p_retailprice double", [(i, f"T{i}", 2.0) for i in range(9)]),
+            ("lineitem", "l_orderkey long, l_linenumber int, l_partkey long, l_shipdate timestamp, l_quantity double, l_extendedprice double",
+             [(i % 50, i, i % 9, dt.datetime(2020, 1, 1), 3.0, float(i)) for i in range(400)])):
+        spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / f"{name}.parquet"))
+    monkeypatch.setattr(fx, "_WRITTEN", {})
+    was, before = spark.conf.get(FREED, None), _shuffles(spark)
+    out = fx.sales(spark, str(tmp_path))
+    assert not _left(spark, before) and spark.conf.get(FREED, None) == was
+    assert out.count() == 400 and {r["cost"] for r in out.select("cost").distinct().collect()} == {6.0}
