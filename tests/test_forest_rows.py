@@ -102,3 +102,10 @@ def test_shuffles_of_the_sales_join_go(spark, tmp_path, monkeypatch):
     out = fx.sales(spark, str(tmp_path))
     assert not _left(spark, before) and spark.conf.get(FREED, None) == was
     assert out.count() == 400 and {r["cost"] for r in out.select("cost").distinct().collect()} == {6.0}
+
+
+def test_forecast_ordered_by_its_target(spark, monkeypatch):
+    monkeypatch.setattr(ml, "FOREST_BYTES", 100 * 240)
+    df = spark.range(0, 600, 1, 1).select((F.col("id") % 10).cast("double").alias("x"), ((F.col("id") % 10) * 5.0).alias("y"))
+    got = ml.bi_forecast(df, "y", ["y"], num_trees=3)
+    assert got["next_prediction"] == 45.0 and got["current_avg"] == 22.5
